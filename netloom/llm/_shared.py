@@ -61,4 +61,5 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         before = now
     else:
         raise RuntimeError(f"links did not settle in {rounds} rounds")
+    # every edge now leads to its component's least node
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())

@@ -127,6 +127,14 @@ def shingles(codes: np.ndarray, size: int) -> np.ndarray:
     return mix(out + np.uint64(size))
 
 
+def distinct(codes: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    codes = np.sort(codes)
+    if len(codes) < 2:
+        return codes
+    return codes[np.concatenate(([True], codes[1:] != codes[:-1]))]
+
+
 def row_words(data: np.ndarray, at: np.ndarray, kind: np.ndarray, lower: bool):
     """(row, word codes) of each row of a column."""
     for a, b in chunks(at):

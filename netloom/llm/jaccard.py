@@ -48,7 +48,7 @@ def overlap_needed(a: int, b: int, percent: int) -> int:
 
 
 def _set(codes: np.ndarray, size: int) -> np.ndarray:
-    return np.unique(W.shingles(codes, size))
+    return W.distinct(W.shingles(codes, size))
 
 
 def _sets(batch: pa.RecordBatch, size: int):
@@ -67,7 +67,7 @@ def _count(size: int, cell_bits: int):
 
         def add(held: list[np.ndarray]) -> None:
             tokens = np.concatenate(held)
-            np.add.at(heavy, (tokens >> np.uint64(64 - HEAVY_BITS)).astype(np.int64), 1)
+            heavy[:] += np.bincount((tokens >> np.uint64(64 - HEAVY_BITS)).astype(np.int64), minlength=len(heavy)).astype(np.uint32)
             cells, counts = np.unique((tokens & np.uint64((1 << cell_bits) - 1)).astype(np.uint32), return_counts=True)
             at, bit = cells >> 3, (1 << (cells & 7)).astype(np.uint8)
             again = (counts > 1) | ((ones[at] & bit) > 0)
@@ -218,18 +218,15 @@ def signed_sets(docs: DataFrame, size: int, percent: int, text_bytes: int | None
     return keep(texts.mapInArrow(_sign(size, percent, bits, spark.sparkContext.broadcast(blocks)), "doc_id long, class long, n long, first array<long>, others binary, tokens binary"), "sets")
 
 
-def links(sets: DataFrame, percent: int) -> DataFrame | None:
-    """Links (a, b) between classes whose components they join; None where no classes share a bucket.
+def class_components(sets: DataFrame, percent: int) -> DataFrame | None:
+    """(node, label) of the classes that are linked with another one; None where none is.
 
-    Not all links of a component are listed: between classes that are in one component already none is sought.
+    Between classes that are in one component already no further link is sought.
     """
-    spark = sets.sparkSession
-    # one row of each class: the first column pruned scan never reads the sets
     classes = sets.where("first is not null").groupBy("class").agg(F.min(F.struct("n", "first")).alias("x")).select("class", "x.n", F.explode("x.first").alias("token"))
     members = keep(classes, "members")
     heavy = sets.where("tokens is not null").select("class", "others", "tokens").dropDuplicates(["class"])
     content = None
-    found: DataFrame | None = None
     comp: DataFrame | None = None
     for turn in range(ROUNDS):
         k = PIVOTS[min(turn, len(PIVOTS) - 1)]
@@ -251,16 +248,12 @@ def links(sets: DataFrame, percent: int) -> DataFrame | None:
         left = content.select(F.col("class").alias("a"), F.col("others").alias("oa"), F.col("tokens").alias("ta"))
         right = content.select(F.col("class").alias("b"), F.col("others").alias("ob"), F.col("tokens").alias("tb"))
         new = keep(pairs.join(left, "a").join(right, "b").select("a", "b", "oa", "ob", "ta", "tb").mapInArrow(_verify(percent), "a long, b long"), "found")
-        if found is None:
-            both = new
-        else:
-            both = keep(found.unionByName(new), "found")
-            drop(found)
-            drop(new)
-        found = both
-        if comp is not None:
-            drop(comp)
-        comp = keep(components(found), "comp")
+        if not new.isEmpty():
+            before = comp
+            grown = new if comp is None else new.unionByName(comp.select(F.col("node").alias("a"), F.col("label").alias("b")))
+            comp = keep(components(grown), "comp")
+            drop(before)
+        drop(new)
         left_over = keep(open_rows.where(~F.exists("pivots", lambda p: p["class"] == F.col("class"))).select("class", "n", "token"), "members")
         drop(members)
         drop(open_rows)
@@ -269,8 +262,6 @@ def links(sets: DataFrame, percent: int) -> DataFrame | None:
         raise RuntimeError(f"buckets are still open after {ROUNDS} rounds")
     drop(members)
     drop(content)
-    if comp is not None:
-        comp._links = found
     return comp
 
 
@@ -282,7 +273,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, text_b
     if not 1 <= percent <= 100:
         raise ValueError("percent must lie in 1..100")
     sets = signed_sets(docs, size, percent, text_bytes)
-    comp = links(sets, percent)
+    comp = class_components(sets, percent)
     rows = sets.select("doc_id", "class", F.col("n").alias("n_shingles"))
     filled = rows.where("n_shingles > 0")
     by_class = filled.groupBy("class").agg(F.min("doc_id").alias("least"))
