@@ -220,40 +220,39 @@ class Encoder:
         return b"".join(out)
 
 
-def _run(automaton, output: str):
+def _run(automaton, with_ids: bool):
     def run(batches):
         a = automaton.value  # a worker keeps it from task to task
         encoder = a.encoder = a.encoder or Encoder(a)
-        size = max(max(a.labels), max(a.special.values(), default=0)) + 1
-        labels = np.zeros(size, dtype=object)
+        labels = np.zeros(max(max(a.labels), max(a.special.values(), default=0)) + 1, dtype=object)
         for k, t in a.labels.items():
             labels[k] = t
         for t, k in a.special.items():
             labels[k] = t.encode()
         for batch in batches:
-            n, ids_out, text_out = [], [], []
-            for v in batch.column("text"):
-                packed = encoder.encode(v.as_py() or "")
-                ids = np.frombuffer(packed, dtype="<u4")
-                decoded = b"".join(labels[ids].tolist()).decode("utf-8", "replace").encode()
-                n.append(len(ids))
-                ids_out.append(sha256(packed).hexdigest() if output == "digest" else ids.astype(np.int32).tolist())
-                text_out.append(sha256(decoded).hexdigest() if output == "digest" else decoded.decode())
-            kind = pa.string() if output == "digest" else pa.list_(pa.int32())
-            names = ("ids_sha256", "decoded_sha256") if output == "digest" else ("ids", "decoded")
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_out, kind), pa.array(text_out, pa.string())], names=["doc_id", "n_tokens", *names])
+            for start in range(0, len(batch), 500):
+                part = batch.slice(start, 500)
+                packed = [encoder.encode(v.as_py() or "") for v in part.column("text")]
+                ids = [np.frombuffer(x, dtype="<u4") for x in packed]
+                decoded = [b"".join(labels[x].tolist()).decode("utf-8", "replace").encode() for x in ids]
+                n = np.array([len(x) for x in ids], dtype=np.int64)
+                out = {"doc_id": part.column("doc_id"), "n_tokens": pa.array(n)}
+                if with_ids:
+                    out["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, dtype=np.int32), *(x.astype(np.int32) for x in ids)])))
+                out["ids_sha256"] = pa.array([sha256(x).hexdigest() for x in packed], pa.string())
+                out["decoded_sha256"] = pa.array([sha256(x).hexdigest() for x in decoded], pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, list) else c for c in out.values()], names=list(out))
 
     return run
 
 
-def encode_documents(docs: DataFrame, raw: bytes, output: str = "ids") -> DataFrame:
-    """doc_id, n_tokens, and ids and decoded text of each row of docs, or, with output="digest", their SHA-256.
+def encode_documents(docs: DataFrame, raw: bytes, with_ids: bool = True) -> DataFrame:
+    """doc_id, n_tokens, ids (if with_ids), ids_sha256 and decoded_sha256 of each row of docs.
 
     raw is the vocabulary file.  A null text is an empty one; empty texts have no tokens.  Strings of the file's added
-    tokens inside a text become those tokens.
+    tokens inside a text become those tokens.  The digests are of the ids as little-endian unsigned 32-bit integers and
+    of the decoded text in UTF-8.
     """
-    if output not in ("ids", "digest"):
-        raise ValueError("output must be 'ids' or 'digest'")
     automaton = docs.sparkSession.sparkContext.broadcast(load(raw))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(_run(automaton, output), "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if output == "digest" else "ids array<int>, decoded string"))
+    return texts.mapInArrow(_run(automaton, with_ids), "doc_id long, n_tokens long, " + "ids array<int>, " * with_ids + "ids_sha256 string, decoded_sha256 string")

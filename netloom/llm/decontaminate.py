@@ -146,30 +146,62 @@ def _scan(tables, last: bool):
     return run
 
 
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, size: int = 10, table_bytes: int = TABLE_BYTES) -> DataFrame:
-    """doc_id, n_words, hits (ends of the spans of hit words: start, end, start ...) and items (sorted item_ids).
+def _table_sets(benchmark: DataFrame, size: int, table_bytes: int):
+    """Broadcast sets of tables, one after the other; the benchmark's size is summed first.
 
-    The benchmark's size is summed first.  Up to table_bytes its patterns are broadcast as one set of tables; a larger
-    benchmark is dealt into sets of about that size, each searched in a pass of its own that adds to the last one's
-    hits, so that no task or driver holds more than one set.
+    Up to table_bytes there is one set; a larger benchmark is dealt into sets of about that size.
     """
-    spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     passes = max(1, -(-total // table_bytes))
-    empty = F.array().cast("array<long>")
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), empty.alias("hits"), empty.alias("items"))
     for k in range(passes):
         part = items if passes == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k)
         rows = [(r["item_id"], r["text"]) for r in part.toLocalIterator()]
         tables = [Patterns(m, w) for m, w in sorted(windows(rows, size).items())]
-        last = k == passes - 1
-        found = found.mapInArrow(_scan(spark.sparkContext.broadcast(tables), last), ", ".join(f"{c} {t}" for c, t in _FIELDS.items() if not (last and c == "text")))
+        yield k == passes - 1, benchmark.sparkSession.sparkContext.broadcast(tables)
+
+
+def benchmark_hits(docs: DataFrame, benchmark: DataFrame, size: int = 10, table_bytes: int = TABLE_BYTES) -> DataFrame:
+    """doc_id, n_words, hits (ends of the spans of hit words: start, end, start ...) and items (sorted item_ids).
+
+    Each set of tables is searched in a pass of its own that adds to the last one's hits, so that no task or driver
+    holds more than one set.
+    """
+    empty = F.array().cast("array<long>")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), empty.alias("hits"), empty.alias("items"))
+    for last, tables in _table_sets(benchmark, size, table_bytes):
+        found = found.mapInArrow(_scan(tables, last), ", ".join(f"{c} {t}" for c, t in _FIELDS.items() if not (last and c == "text")))
         if not last:
             found = keep(found, "hits")
     return found
 
 
+def _clean(tables):
+    def run(batches):
+        for batch in batches:
+            data, at = W.utf8(batch.column("text"))
+            clean = np.ones(len(batch), dtype=bool)
+            for a, b in W.chunks(at):
+                words = W.Words(data, at[a : b + 1], W.LETTERS_DIGITS, True)
+                for table in tables.value:
+                    for first, _ in table.search(words):
+                        row = int(np.searchsorted(words.first, first, side="right")) - 1
+                        if first + table.m <= words.first[row + 1]:
+                            clean[a + row] = False
+            yield batch.filter(pa.array(clean))
+
+    return run
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10, table_bytes: int = TABLE_BYTES) -> DataFrame:
+    """The rows of docs, with all their columns, in which no window of the benchmark occurs."""
+    for last, tables in _table_sets(benchmark, size, table_bytes):
+        docs = docs.mapInArrow(_clean(tables), docs.schema)
+        if not last:
+            docs = keep(docs, "clean")
+    return docs
+
+
 def digests(found: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of benchmark_hits()."""
     ends = F.transform("hits", lambda x, k: F.when(k % 2 == 1, x).otherwise(-x))

@@ -51,7 +51,7 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = bpe_automaton.read_file(spark, tokenizer_path("byte_bpe_50k.json"))
-    return bpe_automaton.encode_documents(table(spark, sf_dir, "documents"), raw, output="digest")
+    return bpe_automaton.encode_documents(table(spark, sf_dir, "documents"), raw, with_ids=False)
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
