@@ -11,8 +11,7 @@ from netloom.llm._shared import keep
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the cascade keep."""
-    rows = docs.select(F.struct("*").alias("_row"), F.col("text").cast("string").alias("text"))
-    return quality.judged(rows).where("kept").select("_row.*")
+    return quality.kept_rows(docs)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -115,4 +115,8 @@ def judged(docs: DataFrame, chosen: list[Rule] | None = None, sample_rows: int =
     return measured(docs).withColumn("base_failed", base_failed()).withColumn("kept", cascade([base, *order]).isNull()).drop("words")
 
 
-ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+def kept_rows(docs: DataFrame, chosen: list[Rule] | None = None) -> DataFrame:
+    """The rows of docs that judged() keeps, with all their columns as they were."""
+    rows = judged(docs.select(F.struct("*").alias("_row"), F.col("text").cast("string").alias("text")), chosen)
+    # a filter on a deterministic projection would be pushed below it, with every expression written out in full
+    return rows.withColumn("_place", F.monotonically_increasing_id()).where("kept and _place >= 0").select("_row.*")
