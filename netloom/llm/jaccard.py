@@ -5,10 +5,10 @@ any one order of all tokens.  The join uses three orders.  The first puts rare t
 sketch over all documents, then the token's code.  The other two are plain hash orders.  A candidate pair must pass
 all three, and the bound on sizes, before its sets are compared.
 
-Documents with equal sets are one class throughout.  Within a bucket (the classes with one first-order token in their
-prefixes) pairs are never listed: in each round a few pivots are compared with the members that lie in other
-components so far, and leave.  A bucket is done when its members lie in one component or one is left; so no link
-between components is lost, and a group of n near copies costs about n comparisons.
+Documents with equal sets are one class throughout.  Classes with one first-order token in their prefixes are a bucket;
+no pair of a bucket's members is made a row.  A large bucket's members are compared with one of them first, so that a
+group of close copies costs as many comparisons as it has members, and what that leaves open is compared by blocks.
+Only links that join components are given out.
 
 Rows: null or empty text has an empty set, linked with nothing.  Equal or null doc_ids are kept as separate rows; a
 component's id is its least non-null doc_id.  Classes are told apart by a 128-bit digest of their whole sets, folded to
@@ -33,8 +33,12 @@ BLOCK_BITS = 20
 """Cells in a block of the sketch, as a power of two."""
 HEAVY_BITS = 20
 """Counters for frequent tokens, as a power of two."""
-ROUNDS = 200
-PIVOTS = (1, 2, 4, 8)
+SMALL = 32
+"""Members of a bucket that is compared at once."""
+BLOCK = 256
+"""Members of a block of a larger bucket, about."""
+FEW = 500_000
+"""Ids that are broadcast at most, 8 bytes each."""
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -174,24 +178,90 @@ def _sign(size: int, percent: int, cell_bits: int, sketch):
     return run
 
 
+def _passes(x: tuple, y: tuple, percent: int) -> bool:
+    """Do two sets (tokens, second- and third-order prefixes) pass the size bound, both orders and the comparison?"""
+    small, large = sorted((len(x[0]), len(y[0])))
+    if 100 * small < percent * large:
+        return False
+    if not all(len(np.intersect1d(x[1][k], y[1][k], assume_unique=True)) for k in (0, 1)):
+        return False
+    return len(np.intersect1d(x[0], y[0], assume_unique=True)) >= overlap_needed(len(x[0]), len(y[0]), percent)
+
+
+def _unpacked(tokens, others) -> tuple:
+    return np.frombuffer(tokens.as_buffer(), dtype=np.uint64), np.frombuffer(others.as_buffer(), dtype=np.uint64).reshape(2, -1)
+
+
+_LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
 def _verify(percent: int):
-    """Pairs that pass the size bound, then the second and the third order, then the comparison of sets."""
+    """The pairs (a, b) that are linked."""
 
     def run(batches):
         for batch in batches:
-            keep_a, keep_b = [], []
-            for a, b, xo, yo, xt, yt in zip(*(batch.column(c) for c in ("a", "b", "oa", "ob", "ta", "tb")), strict=True):
-                x, y = (np.frombuffer(t.as_buffer(), dtype=np.uint64) for t in (xt, yt))
-                small, large = sorted((len(x), len(y)))
-                if 100 * small < percent * large:
-                    continue
-                px, py = (np.frombuffer(o.as_buffer(), dtype=np.uint64).reshape(2, -1) for o in (xo, yo))
-                if not all(len(np.intersect1d(px[k], py[k], assume_unique=True)) for k in (0, 1)):
-                    continue
-                if len(np.intersect1d(x, y, assume_unique=True)) >= overlap_needed(len(x), len(y), percent):
-                    keep_a.append(a.as_py())
-                    keep_b.append(b.as_py())
-            yield pa.RecordBatch.from_pydict({"a": keep_a, "b": keep_b}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+            kept = [_passes(_unpacked(xt, xo), _unpacked(yt, yo), percent) for xo, yo, xt, yt in zip(*(batch.column(c) for c in ("oa", "ob", "ta", "tb")), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(kept, pa.bool_())) for c in ("a", "b")], schema=_LINKS)
+
+    return run
+
+
+def _shared(x: list[np.ndarray], y: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """The intersection sizes of all of x with all of y, by products of indicator matrices, width tokens at a time."""
+    sizes = [len(t) for t in (*x, *y)]
+    values, column = np.unique(np.concatenate([*x, *y]), return_inverse=True)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(x), len(y)), dtype=np.float32)
+    for start in range(0, len(values), width):
+        lo, hi = np.searchsorted(column, [start, start + width])
+        part = np.zeros((len(sizes), width), dtype=np.float32)
+        part[row[lo:hi], column[lo:hi] - start] = 1
+        out += part[: len(x)] @ part[len(x) :].T
+    return out
+
+
+def _compare_blocks(percent: int):
+    """Links that join the components of two blocks of one bucket: the sets are compared in numpy, no pair is a row."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        classes, labels, own = (table.column(c).to_numpy() for c in ("class", "label", "own"))
+        column = lambda c: [x for chunk in table.column(c).chunks for x in chunk]
+        sets = [_unpacked(t, o) for t, o in zip(column("tokens"), column("others"), strict=True)]
+        bi, bj = table.column("bi")[0].as_py(), table.column("bj")[0].as_py()
+        left, right = np.flatnonzero(own == bi), np.flatnonzero(own == bj)
+        n = np.array([len(t) for t, _ in sets])
+        small, large = np.minimum.outer(n[left], n[right]), np.maximum.outer(n[left], n[right])
+        open_pairs = (100 * small >= percent * large) & (labels[left][:, None] != labels[right][None, :])
+        if bi == bj:
+            open_pairs &= left[:, None] < right[None, :]
+        if len(left) * len(right) > 64:
+            for k in (0, 1):
+                if open_pairs.any():
+                    open_pairs &= _shared([sets[i][1][k] for i in left], [sets[j][1][k] for j in right]) > 0
+            if open_pairs.any():
+                total = n[left][:, None] + n[right][None, :]
+                open_pairs &= _shared([sets[i][0] for i in left], [sets[j][0] for j in right]) >= -(-percent * total // (100 + percent))
+            found = np.argwhere(open_pairs)
+        else:
+            found = [(i, j) for i, j in np.argwhere(open_pairs) if _passes(sets[left[i]], sets[right[j]], percent)]
+        parent: dict[int, int] = {}
+
+        def root(v: int) -> int:
+            while parent.get(v, v) != v:
+                v = parent[v]
+            return v
+
+        out_a, out_b = [], []
+        for i, j in found:
+            a, b = root(int(labels[left[i]])), root(int(labels[right[j]]))
+            if a != b:  # a link within what is joined already adds nothing
+                parent[max(a, b)] = min(a, b)
+                out_a.append(int(classes[left[i]]))
+                out_b.append(int(classes[right[j]]))
+        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())}, schema=_LINKS)
 
     return run
 
@@ -218,50 +288,56 @@ def signed_sets(docs: DataFrame, size: int, percent: int, text_bytes: int | None
     return keep(texts.mapInArrow(_sign(size, percent, bits, spark.sparkContext.broadcast(blocks)), "doc_id long, class long, n long, first array<long>, others binary, tokens binary"), "sets")
 
 
+def _only(content: DataFrame, classes: DataFrame) -> DataFrame:
+    """content's rows of classes, a table that keep() wrote; its ids are broadcast where they are FEW at most."""
+    return content.join(F.broadcast(classes) if classes.count() <= FEW else classes, "class", "left_semi")
+
+
 def class_components(sets: DataFrame, percent: int) -> DataFrame | None:
     """(node, label) of the classes that are linked with another one; None where none is.
 
-    Between classes that are in one component already no further link is sought.
+    Buckets of up to SMALL members are often equal, as near copies share many tokens: each set of members is compared
+    once.  In a larger bucket all members are first compared with one of them; where that leaves more than one
+    component, its members are dealt into blocks of about BLOCK, and pairs of blocks are compared, each in a task of its
+    own, passing over pairs of one component.
     """
-    classes = sets.where("first is not null").groupBy("class").agg(F.min(F.struct("n", "first")).alias("x")).select("class", "x.n", F.explode("x.first").alias("token"))
-    members = keep(classes, "members")
-    heavy = sets.where("tokens is not null").select("class", "others", "tokens").dropDuplicates(["class"])
-    content = None
-    comp: DataFrame | None = None
-    for turn in range(ROUNDS):
-        k = PIVOTS[min(turn, len(PIVOTS) - 1)]
-        if comp is None:
-            rows = members.select("token", "class", "n", F.col("class").alias("label"), F.lit(1).alias("size"))
-        else:
-            sized = comp.join(comp.groupBy("label").agg(F.count(F.lit(1)).alias("size")), "label")
-            rows = members.join(sized.withColumnRenamed("node", "class"), "class", "left").select("token", "class", "n", F.coalesce("label", "class").alias("label"), F.coalesce("size", F.lit(1)).alias("size"))
-        # pivots come from a bucket's smallest components; equal hashes choose equal pivots in all buckets of a group
-        chosen = [F.min(F.struct(F.col("size"), F.xxhash64("class", F.lit(s)).alias("h"), "class", "label")).alias(f"p{s}") for s in range(k)]
-        pivots = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), *chosen).where("lo <> hi").select("token", F.array_distinct(F.array(*[F.struct(f"p{s}.class", f"p{s}.label") for s in range(k)])).alias("pivots"))
-        open_rows = keep(rows.join(pivots, "token"), "open")
-        if open_rows.isEmpty():
-            drop(open_rows)
-            break
-        pairs = open_rows.select("class", "label", F.explode("pivots").alias("p")).where("p.label <> label").select(F.greatest("class", "p.class").alias("a"), F.least("class", "p.class").alias("b")).distinct()
-        if content is None:
-            content = keep(heavy.join(members.select("class").distinct(), "class", "left_semi"), "content")
-        left = content.select(F.col("class").alias("a"), F.col("others").alias("oa"), F.col("tokens").alias("ta"))
-        right = content.select(F.col("class").alias("b"), F.col("others").alias("ob"), F.col("tokens").alias("tb"))
-        new = keep(pairs.join(left, "a").join(right, "b").select("a", "b", "oa", "ob", "ta", "tb").mapInArrow(_verify(percent), "a long, b long"), "found")
-        if not new.isEmpty():
-            before = comp
-            grown = new if comp is None else new.unionByName(comp.select(F.col("node").alias("a"), F.col("label").alias("b")))
-            comp = keep(components(grown), "comp")
-            drop(before)
-        drop(new)
-        left_over = keep(open_rows.where(~F.exists("pivots", lambda p: p["class"] == F.col("class"))).select("class", "n", "token"), "members")
-        drop(members)
-        drop(open_rows)
-        members = left_over
-    else:
-        raise RuntimeError(f"buckets are still open after {ROUNDS} rounds")
+    content = sets.where("tokens is not null").select("class", "others", "tokens").dropDuplicates(["class"])
+    members = keep(sets.where("first is not null").select("class", "first").dropDuplicates(["class"]).select("class", F.explode("first").alias("token")), "members")
+    counted = members.join(members.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "token")
+    counted = keep(counted, "counted")
+    equal = counted.where(F.col("m") <= SMALL).groupBy("token").agg(F.array_sort(F.collect_list("class")).alias("ids")).select("ids").distinct()
+    small = equal.select(F.xxhash64("ids").alias("token"), F.explode("ids").alias("class"), F.lit(1).alias("nb"))
+    large = counted.where(F.col("m") > SMALL)
+    comp = None
+    star = keep(large.join(large.groupBy("token").agg(F.min("class").alias("pivot")), "token").where("class <> pivot").select(F.col("class").alias("a"), F.col("pivot").alias("b")).distinct(), "star")
+    if not star.isEmpty():
+        ids = keep(star.select(F.col("a").alias("class")).union(star.select("b")).distinct(), "ids")
+        some = keep(_only(content, ids), "content")
+        left = some.select(F.col("class").alias("a"), F.col("others").alias("oa"), F.col("tokens").alias("ta"))
+        right = some.select(F.col("class").alias("b"), F.col("others").alias("ob"), F.col("tokens").alias("tb"))
+        found = keep(star.join(left, "a").join(right, "b").select("oa", "ob", "ta", "tb", "a", "b").mapInArrow(_verify(percent), "a long, b long"), "found")
+        if not found.isEmpty():
+            comp = keep(components(found), "comp")
+        drop(found)
+        drop(some)
+        drop(ids)
+    drop(star)
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int").alias("nb")
+    named = lambda rows: rows.withColumn("label", F.col("class")) if comp is None else rows.join(comp.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
+    rows = keep(named(small.unionByName(large.select("token", "class", blocks))), "rows")
+    still = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
+    rows = rows.join(still, "token").withColumn("own", F.pmod(F.xxhash64("class", F.lit(7)), F.col("nb")).cast("int"))
+    dealt = rows.join(content, "class").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    dealt = dealt.select("token", "class", "label", "own", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "others", "tokens")
+    joined = keep(dealt.groupBy("token", "bi", "bj").applyInArrow(_compare_blocks(percent), "a long, b long"), "found")
     drop(members)
-    drop(content)
+    drop(counted)
+    if not joined.isEmpty():
+        before = comp
+        grown = joined if comp is None else joined.unionByName(comp.select(F.col("node").alias("a"), F.col("label").alias("b")))
+        comp = keep(components(grown), "comp")
+        drop(before)
+    drop(joined)
     return comp
 
 
