@@ -1,0 +1,245 @@
+"""Each operator against a plain version, with nulls, empty texts, ties, repeated rows, empty tables and extra columns."""
+
+import random
+import re
+import zlib
+from collections import Counter
+
+import pytest
+
+pytest.importorskip("netloom.llm")
+
+import public_tokenizers  # noqa: E402
+
+from netloom.llm import bpe_automaton, chat, decontaminate, jaccard, language_id, licenses, passages, quality, secrets, token_counts  # noqa: E402
+
+SPACE = r"[^\x20\x09-\x0D]+"
+RNG = random.Random(5)
+VOCABULARY = [f"w{k}" for k in range(300)]
+
+
+def text(n):
+    return " ".join(RNG.choices(VOCABULARY, k=n))
+
+
+def edited(t, k):
+    words = t.split(" ")
+    for _ in range(k):
+        words[RNG.randrange(len(words))] = "x%d" % RNG.randrange(10**6)
+    return " ".join(words)
+
+
+BASE = text(120)
+TEXTS = [None, "", "   ", "one", "one", "A b c", BASE, BASE.upper(), edited(BASE, 2), edited(BASE, 3), edited(BASE, 30), text(3000), "\n".join([text(8)] * 5), text(60) + " " + BASE[:400], *[edited(BASE, 4) for _ in range(50)], *[text(40) for _ in range(30)]]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    data = [(k, t, "en", "s", "clash") for k, t in enumerate(TEXTS)] + [(None, "one", None, None, "z"), (6, BASE, "en", "s", "repeat")]
+    return spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_words string").repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(docs):
+    return docs.where("doc_id < 0")
+
+
+def by_id(df):
+    return {r["doc_id"]: r for r in df.collect() if r["doc_id"] is not None}
+
+
+def shingle_set(t, size):
+    words = re.findall(SPACE.encode(), (t or "").encode().lower())
+    return {tuple(words[k : k + size]) for k in range(max(1, len(words) - size + 1))} if words else set()
+
+
+def test_jaccard(docs, none):
+    sets = [shingle_set(t, 4) for t in TEXTS]
+    parent = list(range(len(sets)))
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for a in range(len(sets)):
+        for b in range(a):
+            i = len(sets[a] & sets[b])
+            if sets[a] and sets[b] and 100 * i >= 85 * (len(sets[a]) + len(sets[b]) - i):
+                x, y = root(a), root(b)
+                parent[max(x, y)] = min(x, y)
+    out = jaccard.jaccard_components(docs, 4, 85)
+    assert out.count() == docs.count()
+    assert {k: (r["n_shingles"], r["component_id"]) for k, r in by_id(out).items()} == {k: (len(s), root(k)) for k, s in enumerate(sets)}
+    assert jaccard.jaccard_components(none, 4, 85).count() == 0
+
+
+def test_prefix_bounds():
+    for percent in (50, 80, 85, 100):
+        for n in range(1, 200):
+            assert jaccard.prefix_length(n, percent) >= 1
+            assert jaccard.overlap_needed(n, n, percent) * 100 >= percent * (2 * n - jaccard.overlap_needed(n, n, percent))
+
+
+def test_blocks_agree_with_pairs():
+    import numpy as np
+
+    sets = [np.unique(np.array([RNG.randrange(500) for _ in range(60)], dtype=np.uint64)) for _ in range(12)]
+    got = jaccard._shared(sets[:5], sets[5:], width=7)
+    assert [[int(v) for v in row] for row in got] == [[len(np.intersect1d(a, b)) for b in sets[5:]] for a in sets[:5]]
+
+
+def test_quality(docs, none):
+    out = by_id(quality.judged(docs.select("doc_id", "text")))
+    for k, t in enumerate(TEXTS):
+        words = re.findall(SPACE, t or "")
+        windows = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+        covered = {j for i in range(len(words) - 4) if windows[tuple(words[i : i + 5])] > 1 for j in range(i, i + 5)}
+        lines = [x for x in (t or "").split("\n") if re.search(SPACE, x)]
+        r = out[k]
+        assert (r["n_words"], r["word_chars"], r["n_dup_lines"], r["n_repeat_words"]) == (len(words), sum(map(len, words)), len(lines) - len(set(lines)), len(covered))
+        assert r["base_failed"] == (len(words) < 10 or 100 * len(covered) > 20 * len(words))
+        assert not (r["base_failed"] and r["kept"])
+    kept = quality.kept_rows(docs)
+    assert kept.columns == docs.columns and kept.count() == sum(1 for r in quality.judged(docs.select("doc_id", "text")).collect() if r["kept"])
+    assert quality.judged(none.select("doc_id", "text")).count() == 0
+
+
+def test_cascade_order_keeps_the_result(docs):
+    rows = docs.select("doc_id", "text")
+    results = []
+    for order in (quality.rules(), quality.rules()[::-1]):
+        results.append(sorted((r["text"] or "", r["x"] is None) for r in quality.measured(rows).withColumn("x", quality.cascade(order)).collect()))
+    assert results[0] == results[1]
+
+
+def test_secrets(docs, none):
+    found = lambda t: [(secrets.KINDS[k], t[a:b]) for a, k, b in secrets.find_spans(t, 28.0)]
+    assert found("é password: secret: abcdefghijk") == []
+    assert found('x api_key = "abcd1234efgh"') == [("assign", 'api_key = "abcd1234efgh')]
+    assert found("AKIA1234567890ABCD AKIA12") == [("access", "AKIA1234567890ABCD")]
+    assert found("0" * 31 + " " + "a" * 33) == [("hex", "a" * 33)]
+    assert found("pwd: xK9$mQ2!vL") == [("password", "xK9$mQ2!vL")]
+    assert found("pwd: password1") == [] and found("pwd: qwertyuiop") == []
+    assert found("tokeN=ABCDEFGH ſecret=ABCDEFGH") == [("assign", "tokeN=ABCDEFGH")]
+    assert secrets.guess_bits("aaaaaaaa") < secrets.guess_bits("19870412") < secrets.guess_bits("k8Jq2Lw9")
+    assert secrets.find_secrets(docs).count() == docs.count() and secrets.find_secrets(none).count() == 0
+    masked = secrets.mask_secrets(docs.withColumn("text", secrets.F.concat(secrets.F.lit("token=abcdefgh12 "), "text")))
+    assert masked.columns == docs.columns and all(r["text"] is None or r["text"].startswith("[ASSIGN] ") for r in masked.collect())
+
+
+def test_decontamination(spark, docs, none):
+    items = [(1, " ".join(BASE.split(" ")[5:30])), (2, "One"), (3, None), (4, "--"), (10, text(15)), (1, "b, C")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    pattern = rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+"
+    windows = [(i, ws[k : k + min(10, len(ws))]) for i, t in items for ws in [re.findall(pattern, (t or "").encode().lower())] for k in range(max(0, len(ws) - 10) + 1) if ws]
+    for limit in (decontaminate.TABLE_BYTES, 60):
+        out = by_id(decontaminate.digests(decontaminate.benchmark_hits(docs, benchmark, table_bytes=limit)))
+        for k, t in enumerate(TEXTS):
+            ws = re.findall(pattern, (t or "").encode().lower())
+            hit, names = set(), set()
+            for i, w in windows:
+                for j in range(len(ws) - len(w) + 1):
+                    if ws[j : j + len(w)] == w:
+                        hit |= set(range(j, j + len(w)))
+                        names.add(i)
+            assert (out[k]["n_words"], out[k]["n_hit"], out[k]["n_items"], out[k]["contaminated"]) == (len(ws), len(hit), len(names), bool(hit))
+        clean = decontaminate.drop_contaminated(docs, benchmark, table_bytes=limit)
+        assert clean.columns == docs.columns and {r["doc_id"] for r in clean.collect()} == {k for k, r in out.items() if not r["contaminated"]}
+    assert decontaminate.benchmark_hits(none, benchmark).count() == 0
+    assert decontaminate.benchmark_hits(docs, benchmark.limit(0)).where("size(hits) > 0").count() == 0
+
+
+HARD = ["".join(RNG.choices([*"ab eE's't'll  \n\t  é中😀12٣.,!\x1c\x85​\x00", " the", "tion", "<|endoftext|>", "<s>"], k=RNG.randrange(40))) for _ in range(400)]
+
+
+def test_bpe(spark, docs, none):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    theirs = Tokenizer.from_file(path)
+    raw = bpe_automaton.read_file(spark, path)
+    ours = bpe_automaton.load(raw)
+    encoder = bpe_automaton.Encoder(ours)
+    for t in [*HARD, "lsssl", "aaaaaaaa", "a" * 3000, *filter(None, TEXTS)]:
+        ids = list(memoryview(encoder.encode(t)).cast("I"))
+        assert ids == theirs.encode(t, add_special_tokens=False).ids
+        assert ours.decode(ids) == theirs.decode(ids, skip_special_tokens=False)
+    out = bpe_automaton.encode_documents(docs, raw)
+    assert out.count() == docs.count() and by_id(out)[0]["ids"] == []
+    assert bpe_automaton.encode_documents(none, raw).count() == 0
+
+
+def test_token_counts(spark, docs, none):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    theirs = sentencepiece.SentencePieceProcessor(model_file=path)
+    raw = bpe_automaton.read_file(spark, path)
+    ours = token_counts.load(raw)
+    for t in [*HARD, "a" * 500, "▁x", *filter(None, TEXTS)]:
+        assert token_counts.count_text(ours, t) == len(theirs.encode(t))
+    out = by_id(token_counts.count_tokens(docs, raw, limit=10))
+    assert all(r["over_limit"] == (r["n_tokens"] > 10) for r in out.values()) and out[0]["n_tokens"] == 0
+    assert token_counts.count_tokens(none, raw).count() == 0
+
+
+def test_language(spark, none):
+    words = {"en": "the and of that house water".split(), "de": "der und nicht haus wasser schön".split()}
+    data = [(k, " ".join(RNG.choices(words[lang], k=40)), lang) for k in range(80) for lang in [("en", "de")[k % 2]]] + [(100, None, "en"), (101, "123 !", "de"), (None, "und nicht", None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    held = language_id.F.coalesce(language_id.fold() == 2, language_id.F.lit(False))
+    model = language_id.fit(docs.where(~held))
+    out = language_id.identify(docs, model, held).collect()
+    lang = {k: v for k, _, v in data}
+    for r in out:
+        if r["doc_id"] in (100, 101):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+        elif r["doc_id"] is not None:
+            assert r["lang_pred"] == lang[r["doc_id"]] and 0 <= r["score"] <= 1
+            assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+    empty = language_id.fit(docs.limit(0))
+    assert {r["lang_pred"] for r in language_id.identify(docs, empty).collect()} == {"und"}
+
+
+def test_licenses(spark):
+    data = [(1, "x y.\nReleased under the MIT License.", "a/b/one"), (2, "no words here", "a/b/two"), (3, "This work is licensed under the GNU General Public License, version 3.", "a/LICENSE"), (4, "plain", "a/c/d/four"), (5, None, "a/b/five"), (6, "plain", None), (7, "licensed to thrill", "z/seven"), (8, "Licensed under CC BY-NC 4.0.", "q/eight"), (8, "Licensed under CC BY-NC 4.0.", "q/eight")]
+    out = licenses.scan(spark.createDataFrame(data, "doc_id long, text string, path string")).collect()
+    assert len(out) == len(data)
+    found = {r["doc_id"]: (r["license"], r["origin"]) for r in out}
+    assert found[1] == ("MIT", "header") and found[3] == ("GPL-3.0", "header") and found[8] == ("CC-BY-NC-4.0", "header")
+    assert found[4] == ("GPL-3.0", "inherited") and found[6] == (None, "none") and found[7] == (None, "none")
+    assert found[2][1] == found[5][1] == "inherited"
+
+
+def test_chat(spark):
+    turns = {1: ["a", "b"], 2: ["a", "b", "c"], 3: ["a", "b", "c"], 4: ["a", "x"], 5: ["a"], None: ["q"], 7: ["b", "a"]}
+    data = [(c, k, "user", t) for c, ts in turns.items() for k, t in enumerate(ts)] + [(8, 0, None, None), (9, 0, None, "")]
+    df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string").repartition(3)
+    out = {r["conv_id"]: r for r in chat.render(df).collect()}
+    assert set(out) == {2, 4, None, 7, 8, 9}
+    assert out[4]["rendered"] == "<|im_start|>user\na<|im_end|>\n<|im_start|>user\nx<|im_end|>\n"
+    assert chat.render(df.limit(0)).count() == 0
+
+
+def test_passages(spark, none):
+    shared, near = text(70), edited(text(80), 0)
+    data = [(1, text(100) + " " + shared + " " + text(50)), (2, shared + " " + text(30)), (3, text(200)), (4, None), (5, near), (6, text(20) + " " + near), (7, text(10)), (8, text(90) + " " + shared)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    out = {r["doc_id"]: r["spans"] for r in passages.repeated_passages(docs).collect()}
+    assert set(out) == {1, 2, 5, 6, 8}
+    start, end = map(int, out[6].split(":"))
+    assert start <= 20 and end >= 100 and end <= 100
+    assert passages.repeated_passages(none).count() == 0
+
+
+def test_pipeline(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    shared = text(60)
+    data = [(k, t, "en", "s", len(t)) for k, t in enumerate([text(80), BASE, edited(BASE, 1), "too short", text(30) + " " + shared + " " + text(20), text(50) + " password=hunter2hunter2 " + text(20), "a b c d e " * 40])]
+    spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, shared)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = by_id(corpus_pipeline.run(spark, str(tmp_path)))
+    assert set(out) == {0, 1, 5}
+    ours = bpe_automaton.load(bpe_automaton.read_file(spark, public_tokenizers.path("byte_bpe_50k.json")))
+    assert "[ASSIGN]" in ours.decode(out[5]["ids"]) and ours.decode(out[0]["ids"]) == data[0][1]
