@@ -302,14 +302,17 @@ def class_components(sets: DataFrame, percent: int) -> DataFrame | None:
     own, passing over pairs of one component.
     """
     content = sets.where("tokens is not null").select("class", "others", "tokens").dropDuplicates(["class"])
-    members = keep(sets.where("first is not null").select("class", "first").dropDuplicates(["class"]).select("class", F.explode("first").alias("token")), "members")
+    members = keep(sets.where("first is not null").select("class", "n", "first").dropDuplicates(["class"]).select("class", "n", F.explode("first").alias("token")), "members")
     counted = members.join(members.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "token")
     counted = keep(counted, "counted")
-    equal = counted.where(F.col("m") <= SMALL).groupBy("token").agg(F.array_sort(F.collect_list("class")).alias("ids")).select("ids").distinct()
+    equal = counted.where(F.col("m") <= SMALL).groupBy("token").agg(F.array_sort(F.collect_list(F.struct("n", "class"))).alias("xs"))
+    # a member stays if the next smaller or the next larger one passes the bound on sizes with it
+    near = F.filter("xs", lambda x, i: ((i > 0) & (100 * F.get("xs", i - 1)["n"] >= percent * x["n"])) | F.coalesce(100 * x["n"] >= percent * F.get("xs", i + 1)["n"], F.lit(False)))
+    equal = equal.select(F.transform(near, lambda x: x["class"]).alias("ids")).where("size(ids) > 1").distinct()
     small = equal.select(F.xxhash64("ids").alias("token"), F.explode("ids").alias("class"), F.lit(1).alias("nb"))
     large = counted.where(F.col("m") > SMALL)
     comp = None
-    star = keep(large.join(large.groupBy("token").agg(F.min("class").alias("pivot")), "token").where("class <> pivot").select(F.col("class").alias("a"), F.col("pivot").alias("b")).distinct(), "star")
+    star = keep(large.join(large.groupBy("token").agg(F.min(F.struct("class", "n")).alias("pivot")), "token").where("class <> pivot.class").where(100 * F.least("n", "pivot.n") >= percent * F.greatest("n", "pivot.n")).select(F.col("class").alias("a"), F.col("pivot.class").alias("b")).distinct(), "star")
     if not star.isEmpty():
         ids = keep(star.select(F.col("a").alias("class")).union(star.select("b")).distinct(), "ids")
         some = keep(_only(content, ids), "content")
