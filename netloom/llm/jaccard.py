@@ -17,6 +17,7 @@ component's id is its least non-null doc_id.  Classes are told apart by a 128-bi
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from hashlib import blake2b
@@ -304,7 +305,12 @@ def class_components(sets: DataFrame, percent: int) -> DataFrame | None:
     content = sets.where("tokens is not null").select("class", "others", "tokens").dropDuplicates(["class"])
     members = keep(sets.where("first is not null").select("class", "n", "first").dropDuplicates(["class"]).select("class", "n", F.explode("first").alias("token")), "members")
     counted = members.join(members.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "token")
-    counted = keep(counted, "counted")
+    # sets of sizes that can be linked lie in one class of sizes or in two neighbouring ones: a large bucket is parted by them
+    step = F.floor(F.log("n") / F.lit(1.0001 * math.log(100 / percent) if percent < 100 else 1e-9))
+    parted = counted.where(F.col("m") > SMALL).withColumn("c", F.explode(F.array(step, step - 1))).select("class", "n", F.xxhash64("token", "c").alias("token"))
+    parted = keep(parted, "parted")
+    parted_m = parted.join(parted.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "token")
+    counted = keep(counted.where(F.col("m") <= SMALL).unionByName(parted_m), "counted")
     equal = counted.where(F.col("m") <= SMALL).groupBy("token").agg(F.array_sort(F.collect_list(F.struct("n", "class"))).alias("xs"))
     # a member stays if the next smaller or the next larger one passes the bound on sizes with it
     near = F.filter("xs", lambda x, i: ((i > 0) & (100 * F.get("xs", i - 1)["n"] >= percent * x["n"])) | F.coalesce(100 * x["n"] >= percent * F.get("xs", i + 1)["n"], F.lit(False)))
@@ -333,8 +339,8 @@ def class_components(sets: DataFrame, percent: int) -> DataFrame | None:
     dealt = rows.join(content, "class").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     dealt = dealt.select("token", "class", "label", "own", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "others", "tokens")
     joined = keep(dealt.groupBy("token", "bi", "bj").applyInArrow(_compare_blocks(percent), "a long, b long"), "found")
-    drop(members)
-    drop(counted)
+    for kept in (members, parted, counted, rows):
+        drop(kept)
     if not joined.isEmpty():
         before = comp
         grown = joined if comp is None else joined.unionByName(comp.select(F.col("node").alias("a"), F.col("label").alias("b")))
