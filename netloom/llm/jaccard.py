@@ -6,8 +6,8 @@ sketch over all documents, then the token's code.  The other two are plain hash
 all three, and the bound on sizes, before its sets are compared.
 
 Documents with equal sets are one class throughout.  Classes with one first-order token in their prefixes are a bucket;
-no pair of a bucket's members is made a row.  A large bucket's members are compared with one of them first, so that a
-group of close copies costs as many comparisons as it has members, and what that leaves open is compared by blocks.
+no pair of a bucket's members is made a row.  A bucket's members are compared with one of them first, so that a group of
+close copies costs as many comparisons as it has members, and what that leaves open is compared by blocks.
 Only links that join components are given out.
 
 Rows: null or empty text has an empty set, linked with nothing.  Equal or null doc_ids are kept as separate rows; a
@@ -161,13 +161,15 @@ def _sign(size: int, percent: int, cell_bits: int, sketch):
                     heavy = part
                 else:
                     seen[k * step : (k + 1) * step] = part
+        written = set()  # of a task's copies only the first carries prefixes and tokens
         for batch in batches:
             cols: list[list] = [[], [], [], [], [], []]
             ids = batch.column("doc_id").to_pylist()
             for row, tokens in _sets(batch, size):
                 first, others, held = None, None, None
                 digest = int.from_bytes(blake2b(tokens.tobytes(), digest_size=16).digest()[:8], "little") >> 1
-                if len(tokens) and (found := _prefixes(tokens, percent, seen, heavy, cell_bits)):
+                if len(tokens) and digest not in written and (found := _prefixes(tokens, percent, seen, heavy, cell_bits)):
+                    written.add(digest)
                     first, others, held = found[0].view(np.int64), np.concatenate(found[1]).tobytes(), tokens.tobytes()
                 for col, v in zip(cols, (ids[row], digest, len(tokens), first, others, held), strict=True):
                     col.append(v)
@@ -290,19 +292,20 @@ def signed_sets(docs: DataFrame, size: int, percent: int, text_bytes: int | None
 
 
 def _only(content: DataFrame, classes: DataFrame) -> DataFrame:
-    """content's rows of classes, a table that keep() wrote; its ids are broadcast where they are FEW at most."""
-    return content.join(F.broadcast(classes) if classes.count() <= FEW else classes, "class", "left_semi")
+    """One row of each of classes, a table that keep() wrote; its ids are broadcast where they are FEW at most."""
+    return content.join(F.broadcast(classes) if classes.count() <= FEW else classes, "class", "left_semi").dropDuplicates(["class"])
 
 
 def class_components(sets: DataFrame, percent: int) -> DataFrame | None:
     """(node, label) of the classes that are linked with another one; None where none is.
 
-    Buckets of up to SMALL members are often equal, as near copies share many tokens: each set of members is compared
-    once.  In a larger bucket all members are first compared with one of them; where that leaves more than one
-    component, its members are dealt into blocks of about BLOCK, and pairs of blocks are compared, each in a task of its
-    own, passing over pairs of one component.
+    Buckets of up to SMALL members are often equal, as near copies share many tokens: each set of members counts once.
+    In every bucket all members are first compared with the one of least class, so that a pair which many buckets hold
+    is compared once.  Where that leaves more than one component among three members or more, they are dealt into blocks
+    of about BLOCK, and pairs of blocks are compared, each in a task of its own, passing over pairs of one component.
+    Buckets of one pivot are pooled for that where it sends no more rows to blocks.
     """
-    content = sets.where("tokens is not null").select("class", "others", "tokens").dropDuplicates(["class"])
+    content = sets.where("tokens is not null").select("class", "others", "tokens")
     members = keep(sets.where("first is not null").select("class", "n", "first").dropDuplicates(["class"]).select("class", "n", F.explode("first").alias("token")), "members")
     counted = members.join(members.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "token")
     # sets of sizes that can be linked lie in one class of sizes or in two neighbouring ones: a large bucket is parted by them
@@ -314,11 +317,16 @@ def class_components(sets: DataFrame, percent: int) -> DataFrame | None:
     equal = counted.where(F.col("m") <= SMALL).groupBy("token").agg(F.array_sort(F.collect_list(F.struct("n", "class"))).alias("xs"))
     # a member stays if the next smaller or the next larger one passes the bound on sizes with it
     near = F.filter("xs", lambda x, i: ((i > 0) & (100 * F.get("xs", i - 1)["n"] >= percent * x["n"])) | F.coalesce(100 * x["n"] >= percent * F.get("xs", i + 1)["n"], F.lit(False)))
-    equal = equal.select(F.transform(near, lambda x: x["class"]).alias("ids")).where("size(ids) > 1").distinct()
-    small = equal.select(F.xxhash64("ids").alias("token"), F.explode("ids").alias("class"), F.lit(1).alias("nb"))
+    equal = keep(equal.select(near.alias("xs")).where("size(xs) > 1").distinct(), "equal")
     large = counted.where(F.col("m") > SMALL)
+    pivots = large.groupBy("token").agg(F.min(F.struct("class", "n")).alias("pivot"))
+    near_pivot = 100 * F.least("n", "pivot.n") >= percent * F.greatest("n", "pivot.n")
+    starred = equal.select(F.array_min(F.transform("xs", lambda x: F.struct(x["class"].alias("class"), x["n"].alias("n")))).alias("pivot"), F.inline("xs"))
+    starred = starred.unionByName(large.join(pivots, "token").select("pivot", "n", "class"))
     comp = None
-    star = keep(large.join(large.groupBy("token").agg(F.min(F.struct("class", "n")).alias("pivot")), "token").where("class <> pivot.class").where(100 * F.least("n", "pivot.n") >= percent * F.greatest("n", "pivot.n")).select(F.col("class").alias("a"), F.col("pivot.class").alias("b")).distinct(), "star")
+    star = keep(starred.where("class <> pivot.class").where(near_pivot).select(F.col("class").alias("a"), F.col("pivot.class").alias("b")).distinct(), "star")
+    # the comparison with the pivot is all that a bucket of two needs
+    small = equal.where("size(xs) > 2").select(F.xxhash64("xs").alias("token"), F.explode("xs.class").alias("class"), F.lit(1).alias("nb"))
     if not star.isEmpty():
         ids = keep(star.select(F.col("a").alias("class")).union(star.select("b")).distinct(), "ids")
         some = keep(_only(content, ids), "content")
@@ -334,12 +342,21 @@ def class_components(sets: DataFrame, percent: int) -> DataFrame | None:
     blocks = F.ceil(F.col("m") / BLOCK).cast("int").alias("nb")
     named = lambda rows: rows.withColumn("label", F.col("class")) if comp is None else rows.join(comp.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
     rows = keep(named(small.unionByName(large.select("token", "class", blocks))), "rows")
-    still = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
-    rows = rows.join(still, "token").withColumn("own", F.pmod(F.xxhash64("class", F.lit(7)), F.col("nb")).cast("int"))
-    dealt = rows.join(content, "class").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    still = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("class").alias("p")).where("lo <> hi").select("token", "p")
+    held, rows = rows, keep(rows.join(still, "token"), "still")
+    # open buckets of one pivot overlap: they are one bucket where that sends no more rows to blocks
+    pooled = rows.select("p", "class", "label").distinct()
+    pools = pooled.groupBy("p").agg(F.count(F.lit(1)).alias("m")).withColumn("pool", F.ceil(F.col("m") / BLOCK).cast("int"))
+    pools = keep(pools.join(rows.groupBy("p").agg(F.sum("nb").alias("sent")), "p").where(F.col("m") * F.col("pool") <= F.col("sent")).select("p", "pool"), "pools")
+    apart = rows.join(pools, "p", "left_anti").select("token", "class", "label", "nb")
+    pooled = pooled.join(pools, "p").select(F.xxhash64("p", F.lit("pool")).alias("token"), "class", "label", F.col("pool").alias("nb"))
+    still, rows = rows, pooled.unionByName(apart).withColumn("own", F.pmod(F.xxhash64("class", F.lit(7)), F.col("nb")).cast("int"))
+    rows = keep(rows, "open")
+    open_ids = keep(rows.select("class").distinct(), "ids")
+    dealt = rows.join(_only(content, open_ids), "class").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     dealt = dealt.select("token", "class", "label", "own", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "others", "tokens")
     joined = keep(dealt.groupBy("token", "bi", "bj").applyInArrow(_compare_blocks(percent), "a long, b long"), "found")
-    for kept in (members, parted, counted, rows):
+    for kept in (members, parted, counted, equal, held, still, pools, rows, open_ids):
         drop(kept)
     if not joined.isEmpty():
         before = comp
