@@ -127,7 +127,7 @@ def _order_codes(tokens: np.ndarray, k: int) -> np.ndarray:
 
 
 def _prefixes(tokens: np.ndarray, percent: int, seen_again: np.ndarray, heavy: np.ndarray, cell_bits: int):
-    """First-order prefix tokens that another set may hold, and the second- and third-order prefixes."""
+    """First-order prefix tokens that another set may hold."""
     p = prefix_length(len(tokens), percent)
     cells = (tokens & np.uint64((1 << cell_bits) - 1)).astype(np.int64)
     again = (seen_again[cells >> 3] >> (cells & 7).astype(np.uint8)) & 1
@@ -135,17 +135,16 @@ def _prefixes(tokens: np.ndarray, percent: int, seen_again: np.ndarray, heavy: n
     if alone >= p:  # a token of one set only makes no candidate
         return None
     rest = tokens[again > 0]
-    first = rest[np.lexsort((rest, heavy[(rest >> np.uint64(64 - HEAVY_BITS)).astype(np.int64)]))[: p - alone]]
-    others = []
-    for k in (1, 2):
-        codes = _order_codes(tokens, k)
-        if p < len(codes):
-            codes = np.partition(codes, p - 1)[:p]
-        others.append(np.sort(codes))
-    return first, others
+    return rest[np.lexsort((rest, heavy[(rest >> np.uint64(64 - HEAVY_BITS)).astype(np.int64)]))[: p - alone]]
 
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("class", pa.int64()), ("n", pa.int64()), ("first", pa.list_(pa.int64())), ("others", pa.binary()), ("tokens", pa.binary())])
+def _hash_prefix(tokens: np.ndarray, k: int, percent: int) -> np.ndarray:
+    """The prefix under the k-th hash order; it is made from the set where it is needed, so that it is never shuffled."""
+    p, codes = prefix_length(len(tokens), percent), _order_codes(tokens, k)
+    return np.sort(np.partition(codes, p - 1)[:p] if p < len(codes) else codes)
+
+
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("class", pa.int64()), ("n", pa.int64()), ("first", pa.list_(pa.int64())), ("tokens", pa.binary())])
 
 
 def _sign(size: int, percent: int, cell_bits: int, sketch):
@@ -163,36 +162,36 @@ def _sign(size: int, percent: int, cell_bits: int, sketch):
                     seen[k * step : (k + 1) * step] = part
         written = set()  # of a task's copies only the first carries prefixes and tokens
         for batch in batches:
-            cols: list[list] = [[], [], [], [], [], []]
+            cols: list[list] = [[] for _ in _SIGNED]
             ids = batch.column("doc_id").to_pylist()
             for row, tokens in _sets(batch, size):
-                first, others, held = None, None, None
+                first, held = None, None
                 digest = int.from_bytes(blake2b(tokens.tobytes(), digest_size=16).digest()[:8], "little") >> 1
-                if len(tokens) and digest not in written and (found := _prefixes(tokens, percent, seen, heavy, cell_bits)):
+                if len(tokens) and digest not in written and (found := _prefixes(tokens, percent, seen, heavy, cell_bits)) is not None:
                     written.add(digest)
-                    first, others, held = found[0].view(np.int64), np.concatenate(found[1]).tobytes(), tokens.tobytes()
-                for col, v in zip(cols, (ids[row], digest, len(tokens), first, others, held), strict=True):
+                    first, held = found.view(np.int64), tokens.tobytes()
+                for col, v in zip(cols, (ids[row], digest, len(tokens), first, held), strict=True):
                     col.append(v)
                 if len(cols[0]) >= 500:
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, _SIGNED, strict=True)], schema=_SIGNED)
-                    cols = [[], [], [], [], [], []]
+                    cols = [[] for _ in _SIGNED]
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, _SIGNED, strict=True)], schema=_SIGNED)
 
     return run
 
 
-def _passes(x: tuple, y: tuple, percent: int) -> bool:
-    """Do two sets (tokens, second- and third-order prefixes) pass the size bound, both orders and the comparison?"""
-    small, large = sorted((len(x[0]), len(y[0])))
+def _passes(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Do two sets pass the size bound, the filters of both hash orders and the comparison?"""
+    small, large = sorted((len(x), len(y)))
     if 100 * small < percent * large:
         return False
-    if not all(len(np.intersect1d(x[1][k], y[1][k], assume_unique=True)) for k in (0, 1)):
+    if not all(len(np.intersect1d(_hash_prefix(x, k, percent), _hash_prefix(y, k, percent), assume_unique=True)) for k in (1, 2)):
         return False
-    return len(np.intersect1d(x[0], y[0], assume_unique=True)) >= overlap_needed(len(x[0]), len(y[0]), percent)
+    return len(np.intersect1d(x, y, assume_unique=True)) >= overlap_needed(len(x), len(y), percent)
 
 
-def _unpacked(tokens, others) -> tuple:
-    return np.frombuffer(tokens.as_buffer(), dtype=np.uint64), np.frombuffer(others.as_buffer(), dtype=np.uint64).reshape(2, -1)
+def _unpacked(tokens) -> np.ndarray:
+    return np.frombuffer(tokens.as_buffer(), dtype=np.uint64)
 
 
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -203,7 +202,7 @@ def _verify(percent: int):
 
     def run(batches):
         for batch in batches:
-            kept = [_passes(_unpacked(xt, xo), _unpacked(yt, yo), percent) for xo, yo, xt, yt in zip(*(batch.column(c) for c in ("oa", "ob", "ta", "tb")), strict=True)]
+            kept = [_passes(_unpacked(x), _unpacked(y), percent) for x, y in zip(batch.column("ta"), batch.column("tb"), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(kept, pa.bool_())) for c in ("a", "b")], schema=_LINKS)
 
     return run
@@ -231,22 +230,21 @@ def _compare_blocks(percent: int):
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         classes, labels, own = (table.column(c).to_numpy() for c in ("class", "label", "own"))
-        column = lambda c: [x for chunk in table.column(c).chunks for x in chunk]
-        sets = [_unpacked(t, o) for t, o in zip(column("tokens"), column("others"), strict=True)]
+        sets = [_unpacked(x) for chunk in table.column("tokens").chunks for x in chunk]
         bi, bj = table.column("bi")[0].as_py(), table.column("bj")[0].as_py()
         left, right = np.flatnonzero(own == bi), np.flatnonzero(own == bj)
-        n = np.array([len(t) for t, _ in sets])
+        n = np.array([len(t) for t in sets])
         small, large = np.minimum.outer(n[left], n[right]), np.maximum.outer(n[left], n[right])
         open_pairs = (100 * small >= percent * large) & (labels[left][:, None] != labels[right][None, :])
         if bi == bj:
             open_pairs &= left[:, None] < right[None, :]
         if len(left) * len(right) > 64:
-            for k in (0, 1):
+            for k in (1, 2):
                 if open_pairs.any():
-                    open_pairs &= _shared([sets[i][1][k] for i in left], [sets[j][1][k] for j in right]) > 0
+                    open_pairs &= _shared([_hash_prefix(sets[i], k, percent) for i in left], [_hash_prefix(sets[j], k, percent) for j in right]) > 0
             if open_pairs.any():
                 total = n[left][:, None] + n[right][None, :]
-                open_pairs &= _shared([sets[i][0] for i in left], [sets[j][0] for j in right]) >= -(-percent * total // (100 + percent))
+                open_pairs &= _shared([sets[i] for i in left], [sets[j] for j in right]) >= -(-percent * total // (100 + percent))
             found = np.argwhere(open_pairs)
         else:
             found = [(i, j) for i, j in np.argwhere(open_pairs) if _passes(sets[left[i]], sets[right[j]], percent)]
@@ -279,7 +277,7 @@ def sketch_bits(n_chars: int) -> int:
 
 
 def signed_sets(docs: DataFrame, size: int, percent: int, text_bytes: int | None = None) -> DataFrame:
-    """One row per document: its class, set size and, where another document may be like it, prefixes and set."""
+    """One row per document: its class, set size and, where another document may be like it, first-order prefix and set."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     if text_bytes is None:
@@ -288,7 +286,7 @@ def signed_sets(docs: DataFrame, size: int, percent: int, text_bytes: int | None
     counted = texts.select("text").mapInArrow(_count(size, bits), "block long, ones binary, more binary")
     merged = counted.groupBy("block").applyInArrow(_merge_blocks, "block long, bits binary")
     blocks = {r["block"]: bytes(r["bits"]) for r in merged.toLocalIterator()}  # 2^bits bits and 2^20 bytes at most
-    return keep(texts.mapInArrow(_sign(size, percent, bits, spark.sparkContext.broadcast(blocks)), "doc_id long, class long, n long, first array<long>, others binary, tokens binary"), "sets")
+    return keep(texts.mapInArrow(_sign(size, percent, bits, spark.sparkContext.broadcast(blocks)), "doc_id long, class long, n long, first array<long>, tokens binary"), "sets")
 
 
 def _only(content: DataFrame, classes: DataFrame) -> DataFrame:
@@ -305,7 +303,7 @@ def class_components(sets: DataFrame, percent: int) -> DataFrame | None:
     of about BLOCK, and pairs of blocks are compared, each in a task of its own, passing over pairs of one component.
     Buckets of one pivot are pooled for that where it sends no more rows to blocks.
     """
-    content = sets.where("tokens is not null").select("class", "others", "tokens")
+    content = sets.where("tokens is not null").select("class", "tokens")
     members = keep(sets.where("first is not null").select("class", "n", "first").dropDuplicates(["class"]).select("class", "n", F.explode("first").alias("token")), "members")
     counted = members.join(members.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "token")
     # sets of sizes that can be linked lie in one class of sizes or in two neighbouring ones: a large bucket is parted by them
@@ -330,9 +328,9 @@ def class_components(sets: DataFrame, percent: int) -> DataFrame | None:
     if not star.isEmpty():
         ids = keep(star.select(F.col("a").alias("class")).union(star.select("b")).distinct(), "ids")
         some = keep(_only(content, ids), "content")
-        left = some.select(F.col("class").alias("a"), F.col("others").alias("oa"), F.col("tokens").alias("ta"))
-        right = some.select(F.col("class").alias("b"), F.col("others").alias("ob"), F.col("tokens").alias("tb"))
-        found = keep(star.join(left, "a").join(right, "b").select("oa", "ob", "ta", "tb", "a", "b").mapInArrow(_verify(percent), "a long, b long"), "found")
+        left = some.select(F.col("class").alias("a"), F.col("tokens").alias("ta"))
+        right = some.select(F.col("class").alias("b"), F.col("tokens").alias("tb"))
+        found = keep(star.join(left, "a").join(right, "b").select("ta", "tb", "a", "b").mapInArrow(_verify(percent), "a long, b long"), "found")
         if not found.isEmpty():
             comp = keep(components(found), "comp")
         drop(found)
@@ -354,7 +352,7 @@ def class_components(sets: DataFrame, percent: int) -> DataFrame | None:
     rows = keep(rows, "open")
     open_ids = keep(rows.select("class").distinct(), "ids")
     dealt = rows.join(_only(content, open_ids), "class").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    dealt = dealt.select("token", "class", "label", "own", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "others", "tokens")
+    dealt = dealt.select("token", "class", "label", "own", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "tokens")
     joined = keep(dealt.groupBy("token", "bi", "bj").applyInArrow(_compare_blocks(percent), "a long, b long"), "found")
     for kept in (members, parted, counted, equal, held, still, pools, rows, open_ids):
         drop(kept)
