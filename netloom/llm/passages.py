@@ -1,22 +1,26 @@
-"""Near-duplicate passages by compact windows.
-
-A text is a sequence of five-word shingles.  Under one hash function, all runs of shingles whose least hash stands at
-one place form a compact window: a node of the Cartesian tree over the hashes whose range is wide enough.  Passages of
-at least `words` words are looked at through the windows of `hashes` functions together: the intersections of one window
-of each (an interval join inside the text) are the passages that share all minima, and their signature is those minima.
-Passages of different places with one signature are candidates; two are repeats if the sets of shingles of their first
-`words` words have a Jaccard similarity of percent or more.  Equal passages have equal signatures, so every passage of
-that many words that occurs twice is found.
-
-Within a signature, members are compared with one of them; those that are like it are settled with it, the rest go on
-to the next round with another one, until each group has one member left.  So no group's pairs are listed.
-
-Null and short texts have no passage.  Rows that are equal in doc_id and text are one row; a text that repeats a passage
-inside itself repeats it.
+"""Near-duplicate passages: all of them, by prefixes of windows under one order of shingles.
+
+A text is a sequence of five-word shingles, and a passage is a window of `words` words, so of words - size + 1 shingles.
+Two passages of different places are repeats if their sets of shingles have a Jaccard similarity of percent or more;
+passages of one text that share places are repeats only if so many shingles agree side by side that it follows.
+
+Two such passages share a shingle among the first p(n) = n - ceil(t n) + 1 of each one's n shingles, under any one order
+of all shingles.  The order puts rare shingles first (the counted sketch of op4).  A passage with p shingles of its own
+has no partner.  For the others the shingles of the prefix are seeds, kept with the stretch of text around them that
+holds the passages they stand for.  Equal stretches around one seed are one class, and their passages repeat each other.
+Different classes of one seed are compared, in blocks of BLOCK where there are many, each pair of blocks in a task of
+its own; a class whose passages are all found stays as a partner for the others.  So no candidate is dropped and no
+group has a limit, and only the CPU cost of passages without a partner grows with the square of a seed's classes.
+
+Shingles are told apart by 64 bits for seeds and by 32 bits where stretches are compared.  Null and short texts have no
+passage.  Rows that are equal in doc_id and text are one row; a text that repeats a passage inside itself repeats it.
 """
 
 from __future__ import annotations
 
+import zlib
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,146 +28,297 @@ from pyspark.sql import functions as F
 
 from . import _words as W
 from ._shared import drop, keep
+from .jaccard import BLOCK_BITS, HEAVY_BITS, _count, _merge_blocks, sketch_bits
 
-ROUNDS = 100
-
+BLOCK = 256
+"""Classes of a block of a larger seed, about."""
+FEW_PAIRS = 64
+"""Pairs that are compared without counting shared shingles by blocks first."""
 
-def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
-    """The place of the least of each width consecutive values, the leftmost of equals: the tops of the Cartesian trees."""
-    n = len(values) - width + 1
-    least, place, span = values, np.arange(len(values)), 1
-    while span < width:
-        step = min(span, width - span)
-        take = least[step:] < least[:-step]
-        least, place = np.where(take, least[step:], least[:-step]), np.where(take, place[step:], place[:-step])
-        span += step
-    return place[:n]
 
+def _twins(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, next place of the same value) of all values that come again."""
+    by = np.argsort(values, kind="stable")
+    same = values[by[1:]] == values[by[:-1]]
+    return by[:-1][same], by[1:][same]
 
-def signatures(codes: np.ndarray, width: int, hashes: int) -> tuple[np.ndarray, ...]:
-    """(signature, first start, last start, place of the first function's minimum) of the runs of starts whose passages share the minima of all functions."""
-    n = len(codes) - width + 1
-    if n < 1:
-        none = np.zeros(0, dtype=np.int64)
-        return none.astype(np.uint64), none, none, none
-    key = np.zeros(n, dtype=np.uint64)
-    change = np.zeros(n, dtype=bool)
-    change[0] = True
-    for k in range(hashes):
-        values = W.mix(codes ^ np.uint64((0x8EBC6AF09C88C6E3 * (k + 1)) & (1 << 64) - 1))
-        place = sliding_least(values, width)
-        change[1:] |= place[1:] != place[:-1]
-        anchor = place if k == 0 else anchor
-        key = key * np.uint64(0x9E3779B97F4A7C15) + values[place]
-    first = np.flatnonzero(change)
-    return W.mix(key[first]), first, np.append(first[1:], n) - 1, anchor[first]
 
+def seeds(s: np.ndarray, width: int, percent: int, again: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, first start, last start) of the shingles in the prefix of some window of s, with the windows they stand for.
 
-_RUNS = pa.schema([("row", pa.int64()), ("sig", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("at", pa.int32())])
-
-
-def _emit(size: int, width: int, hashes: int):
+    again: whether another text may hold the shingle; weight: its place in the order, before its code.
+    """
+    none = np.zeros(0, dtype=np.int64)
+    n = len(s) - width + 1
+    values, place, inv, times = np.unique(s, return_index=True, return_inverse=True, return_counts=True)
+    held = again[place] | (times > 1)
+    alone = np.concatenate(([0], np.cumsum(~held[inv])))
+    p, q = _twins(inv)
+    near = q - p < width
+    p, q = p[near], q[near]
+    pairs = np.zeros(n + 1, dtype=np.int64)
+    np.add.at(pairs, np.maximum(q - width + 1, 0), 1)
+    np.add.at(pairs, np.minimum(p, n - 1) + 1, -1)
+    sizes = width - np.cumsum(pairs[:n])  # distinct shingles of each window
+    prefix = sizes + (-percent * sizes // 100) + 1
+    ok = np.flatnonzero(alone[width:] - alone[:-width] < prefix)
+    if not len(ok):
+        return none, none, none
+    rank = np.empty(len(values), dtype=np.int32)
+    rank[np.lexsort((values, weight[place], held))] = np.arange(len(values), dtype=np.int32)
+    windows = np.lib.stride_tricks.sliding_window_view(rank[inv], width)
+    lo, hi = np.full(len(s), -1, dtype=np.int64), np.full(len(s), -1, dtype=np.int64)
+    lone = int((~held).sum())
+    for part in np.array_split(ok, -(-len(ok) // 4096)):
+        w = windows[part]
+        ordered = np.sort(w, axis=1)
+        nth = np.cumsum(np.concatenate((np.ones((len(part), 1), dtype=np.int16), ordered[:, 1:] != ordered[:, :-1]), axis=1), axis=1)
+        last = ordered[np.arange(len(part)), (nth >= prefix[part][:, None]).argmax(axis=1)]
+        a, c = np.nonzero((w <= last[:, None]) & (w >= lone))
+        start = part[a]
+        at = start + c
+        first = np.full(len(s), -1, dtype=np.int64)
+        first[at[::-1]] = start[::-1]
+        lo = np.where(lo < 0, first, lo)
+        hi[at] = start
+    at = np.flatnonzero(hi >= 0)
+    return at, lo[at], hi[at]
+
+
+def _unsketched(blocks: dict[int, bytes], cell_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bits of the cells that are seen again, and the weights by leading bits, of op4's sketch."""
+    seen, heavy, step = np.zeros(1 << (cell_bits - 3), dtype=np.uint8), np.zeros(1 << HEAVY_BITS, dtype=np.uint8), 1 << (BLOCK_BITS - 3)
+    for k, bits in blocks.items():
+        part = np.frombuffer(zlib.decompress(bits), dtype=np.uint8)
+        if k < 0:
+            heavy = part
+        else:
+            seen[k * step : (k + 1) * step] = part
+    return seen, heavy
+
+
+_SEEDS = pa.schema([("row", pa.int64()), ("h", pa.int64()), ("ctx", pa.int64()), ("pos", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32())])
+
+
+def _emit(size: int, width: int, percent: int, cell_bits: int, sketch):
     def run(batches):
+        seen_again, heavy = _unsketched(sketch.value, cell_bits)
         for batch in batches:
             data, at = W.utf8(batch.column("text"))
             rows = batch.column("row").to_numpy()
             parts = []
             for row, codes in W.row_words(data, at, W.SPACE_SEPARATED, True):
-                if len(codes) >= width + size - 1:
-                    sig, first, last, place = signatures(W.shingles(codes, size), width, hashes)
-                    parts.append((np.full(len(sig), rows[row]), sig.view(np.int64), first.astype(np.int32), last.astype(np.int32), place.astype(np.int32)))
+                if len(codes) < width + size - 1:
+                    continue
+                s = W.shingles(codes, size)
+                cells = (s & np.uint64((1 << cell_bits) - 1)).astype(np.int64)
+                again = ((seen_again[cells >> 3] >> (cells & 7).astype(np.uint8)) & 1).astype(bool)
+                pos, lo, hi = seeds(s, width, percent, again, heavy[(s >> np.uint64(64 - HEAVY_BITS)).astype(np.int64)])
+                if len(pos):
+                    ctx = [int.from_bytes(blake2b(s[a : b + width].tobytes(), digest_size=8, salt=(p - a).to_bytes(2, "little")).digest(), "little", signed=True) for p, a, b in zip(pos.tolist(), lo.tolist(), hi.tolist(), strict=True)]
+                    parts.append((np.full(len(pos), rows[row]), s[pos].view(np.int64), np.array(ctx, dtype=np.int64), pos.astype(np.int32), lo.astype(np.int32), hi.astype(np.int32)))
             if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], schema=_RUNS)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], schema=_SEEDS)
 
     return run
 
 
-def _codes(size: int):
+_STRETCHES = pa.schema([("h", pa.int64()), ("nb", pa.int32()), ("ctx", pa.int64()), ("pos", pa.int32()), ("off", pa.int32()), ("row", pa.int64()), ("row2", pa.int64()), ("pos2", pa.int32()), ("codes", pa.binary())])
+
+
+def _stretches(size: int, width: int):
+    """The 32-bit codes of the stretch of each class, from one of the texts that hold it."""
+
     def run(batches):
         for batch in batches:
             data, at = W.utf8(batch.column("text"))
-            out = [W.shingles(c, size).tobytes() for _, c in W.row_words(data, at, W.SPACE_SEPARATED, True)]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.binary())], names=["row", "codes"])
+            rows, asked = batch.column("row").to_pylist(), batch.column("asked")
+            for k, codes in W.row_words(data, at, W.SPACE_SEPARATED, True):
+                s = (W.shingles(codes, size) >> np.uint64(32)).astype(np.uint32)
+                out: list[list] = [[] for _ in _STRETCHES]
+                for x in asked[k].as_py():
+                    for col, v in zip(out, (x["h"], x["nb"], x["ctx"], x["pos"], x["pos"] - x["lo"], rows[k], x["row2"], x["pos2"], s[x["lo"] : x["hi"] + width].tobytes()), strict=True):
+                        col.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _STRETCHES, strict=True)], schema=_STRETCHES)
 
     return run
 
 
-def like_starts(x: np.ndarray, y: np.ndarray, low: int, high: int, at: int, pat: int, width: int, percent: int) -> tuple[int, int] | None:
-    """The first and last offset in [low, high] from both anchors at which the passages of x and y are alike.
-
-    Shingles are compared side by side at all offsets at once; the offset with the most equal ones is also compared by
-    sets, which allows for words put in or left out.
-    """
-    same = x[at + low : at + high + width] == y[pat + low : pat + high + width]
-    sums = np.concatenate(([0], np.cumsum(same)))
-    equal = sums[width:] - sums[:-width]
-    good = np.flatnonzero((100 + percent) * equal >= 2 * percent * width)
-    if len(good):
-        return low + int(good[0]), low + int(good[-1])
-    best = low + int(equal.argmax())
-    u, v = (np.unique(z[a + best : a + best + width]) for z, a in ((x, at), (y, pat)))
-    i = len(np.intersect1d(u, v, assume_unique=True))
-    return (best, best) if 100 * i >= percent * (len(u) + len(v) - i) else None
-
-
-_MEMBER = ("sig", "row", "start", "stop", "at")
-_FOUND = pa.schema([("sig", pa.int64()), ("row", pa.int64()), ("start", pa.int32()), ("a", pa.int64()), ("prow", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
-
-
-def _alike(width: int, percent: int):
-    """Members like their pivot: the starts of the passage in both, and how many starts in a row."""
+class Stretch:
+    """A class of equal stretches around a seed, and which of its windows have a partner so far."""
+
+    __slots__ = ("_firsts", "codes", "done", "kinds", "least", "off", "places", "sizes", "width")
+
+    def __init__(self, codes: np.ndarray, off: int, places: tuple[tuple[int, int], tuple[int, int]], width: int):
+        self.codes, self.off, self.places, self.width, self._firsts = codes, off, places, width, None
+        n = len(codes) - width + 1
+        self.done = np.full(n, places[0] != places[1])
+        self.kinds = frozenset(codes.tolist())
+        if len(self.kinds) == len(codes):
+            self.sizes, self.least = None, width
+        else:
+            self.sizes = self.firsts.sum(axis=1)
+            self.least = int(self.sizes.min())
+
+    @property
+    def firsts(self) -> np.ndarray:
+        """For each window, 1 at the first place of each of its shingles."""
+        if self._firsts is None:
+            n, at = len(self.codes) - self.width + 1, np.arange(len(self.codes))
+            before = np.full(len(at), -1)
+            p, q = _twins(self.codes)
+            before[q] = p
+            start = np.arange(n)[:, None]
+            self._firsts = ((at >= start) & (at < start + self.width) & (before < start)).astype(np.float32)
+        return self._firsts
+
+    def window_sizes(self) -> np.ndarray:
+        return np.full(len(self.done), float(self.width)) if self.sizes is None else self.sizes
+
+
+def compare(x: Stretch, y: Stretch, percent: int) -> None:
+    """Mark the windows of x and y that are alike."""
+    width = x.width
+    if (100 + percent) * len(x.kinds & y.kinds) < percent * (x.least + y.least):
+        return
+    (a, b), (c, d) = x.places, y.places
+    one_text = a[0] == b[0] == c[0] == d[0]
+    if not one_text and x.sizes is None and y.sizes is None:
+        # no shingle twice: those that agree side by side are shared ones
+        shift = x.off - y.off
+        i, j = max(0, shift), max(0, -shift)
+        n = min(len(x.codes) - i, len(y.codes) - j)
+        if n >= width:
+            sums = np.concatenate(([0], np.cumsum(x.codes[i : i + n] == y.codes[j : j + n])))
+            good = (100 + percent) * (sums[width:] - sums[:-width]) >= 2 * percent * width
+            x.done[i : i + len(good)] |= good
+            y.done[j : j + len(good)] |= good
+            if x.done.all() and y.done.all():
+                return
+    equal = (x.codes[:, None] == y.codes[None, :]).astype(np.float32)
+    need = percent * (x.window_sizes()[:, None] + y.window_sizes()[None, :])
+    good = (100 + percent) * (x.firsts @ equal @ y.firsts.T) >= need
+    if one_text:
+        # places that agree hold at least so many different shingles: those agreeing, less the ones that come twice
+        beside = sum(equal[t : t + len(x.done), t : t + len(y.done)] for t in range(width))
+        shared = beside - (width - np.maximum(x.window_sizes()[:, None], y.window_sizes()[None, :]))
+        near, anywhere = (100 + percent) * shared >= need, good
+        good = np.zeros(anywhere.shape, dtype=bool)
+        for gap in {p[1] - q[1] for p in (a, b) for q in (c, d)}:
+            away = gap - x.off + y.off + np.arange(len(x.done))[:, None] - np.arange(len(y.done))[None, :]
+            good |= np.where(np.abs(away) < width, (away != 0) & near, anywhere)
+    x.done |= good.any(axis=1)
+    y.done |= good.any(axis=0)
+
+
+def compare_blocks(left: list[Stretch], right: list[Stretch] | None, percent: int) -> None:
+    """Compare left with right, or within left where right is None."""
+    others = left if right is None else right
+    if len(left) * len(others) <= FEW_PAIRS:
+        for k, x in enumerate(left):
+            for y in others[k + 1 :] if right is None else others:
+                if not (x.done.all() and y.done.all()):
+                    compare(x, y, percent)
+        return
+    both = left if right is None else left + right
+    _, inv = np.unique(np.concatenate([x.codes for x in both]), return_inverse=True)
+    ids = np.split(inv, np.cumsum([len(x.codes) for x in both])[:-1])
+    left_ids, right_ids = ids[: len(left)], ids[len(both) - len(others) :]
+    n = int(inv.max()) + 1
+    for xs, x_ids, ys, y_ids in ((left, left_ids, others, right_ids), (right, right_ids, left, left_ids)):
+        if xs is None or all(x.done.all() for x in xs):
+            continue
+        holds = np.zeros((n, len(ys)), dtype=np.float32)
+        for k, i in enumerate(y_ids):
+            holds[i, k] = 1
+        least = np.array([y.least for y in ys])
+        for x, i in zip(xs, x_ids, strict=True):
+            todo = ~x.done
+            if todo.any():
+                can = (100 + percent) * (x.firsts[todo] @ holds[i]) >= percent * (x.window_sizes()[todo][:, None] + least[None, :])
+                for k in np.flatnonzero(can.any(axis=0)):
+                    if ys[k] is not x and (can[:, k] & ~x.done[todo]).any():
+                        compare(x, ys[k], percent)
+
+
+_FOUND = pa.schema([("h", pa.int64()), ("ctx", pa.int64()), ("a", pa.int32()), ("b", pa.int32())])
+
+
+def runs(done: np.ndarray) -> list[tuple[int, int]]:
+    """The first and last place of each run of true ones."""
+    edge = np.diff(np.concatenate(([0], done.astype(np.int8), [0])))
+    return list(zip(np.flatnonzero(edge > 0).tolist(), (np.flatnonzero(edge < 0) - 1).tolist(), strict=True))
+
+
+def _compared(width: int, percent: int):
+    """Rows sorted by h, bi and bj: the runs of windows with a partner, of each class and pair of blocks."""
+
+    def settle(table: pa.Table, out: list[list]) -> None:
+        h, bi, bj = (table.column(c)[0].as_py() for c in ("h", "bi", "bj"))
+        sides: tuple[dict[int, Stretch], dict[int, Stretch]] = ({}, {})
+        for own, ctx, off, *place, codes in zip(*(table.column(c).to_pylist() for c in ("own", "ctx", "off", "row", "pos", "row2", "pos2", "codes")), strict=True):
+            side = sides[0] if own == bi else sides[1]
+            if ctx not in side:  # a text that is given twice gives its stretches twice
+                side[ctx] = Stretch(np.frombuffer(codes, dtype=np.uint32), off, ((place[0], place[1]), (place[2], place[3])), width)
+        if bi != bj and not (sides[0] and sides[1]):
+            return
+        compare_blocks(list(sides[0].values()), None if bi == bj else list(sides[1].values()), percent)
+        for side in sides:
+            for ctx, x in side.items():
+                if x.places[0] == x.places[1]:  # else known
+                    for a, b in runs(x.done):
+                        for col, v in zip(out, (h, ctx, a, b), strict=True):
+                            col.append(v)
+
+    def batch_of(out):
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _FOUND, strict=True)], schema=_FOUND)
 
     def run(batches):
+        rest = None
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], [], []]
-            names = ("sig", "row", "start", "stop", "at", "prow", "pstart", "pstop", "pat")
-            for x, y, sig, row, start, stop, at, prow, pstart, pstop, pat in zip(batch.column("ca"), batch.column("cb"), *(batch.column(c).to_pylist() for c in names), strict=True):
-                low, high = max(start - at, pstart - pat), min(stop - at, pstop - pat)
-                u, v = (np.frombuffer(z.as_buffer(), dtype=np.uint64) for z in (x, y))
-                if low > high:  # the runs lie apart around their anchors: their nearest starts are compared
-                    least, most = -min(at, pat), min(len(u) - width - at, len(v) - width - pat)
-                    if least > most:
-                        continue
-                    low = high = max(least, min(high, most))
-                found = like_starts(u, v, low, high, at, pat, width, percent)
-                if found:
-                    for col, value in zip(out, (sig, row, start, at + found[0], prow, pat + found[0], found[1] - found[0]), strict=True):
-                        col.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _FOUND, strict=True)], schema=_FOUND)
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            table = table if rest is None else pa.concat_tables([rest, table]).combine_chunks()
+            keys = [table.column(c).to_numpy() for c in ("h", "bi", "bj")]
+            cuts = [0, *(np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1).tolist()]
+            out: list[list] = [[], [], [], []]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                settle(table.slice(a, b - a), out)
+            rest = table.slice(cuts[-1])
+            yield batch_of(out)
+        if rest is not None:
+            out = [[], [], [], []]
+            settle(rest, out)
+            yield batch_of(out)
 
     return run
 
 
-def repeated_passages(docs: DataFrame, words: int = 50, size: int = 5, percent: int = 80, hashes: int = 3) -> DataFrame:
+def repeated_passages(docs: DataFrame, words: int = 50, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_spans, n_repeat_words and spans (start:end in words, end exclusive, comma-joined) of texts with repeats."""
     width = words - size + 1
+    spark = docs.sparkSession
     texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
-    runs = texts.select("row", "text").mapInArrow(_emit(size, width, hashes), "row long, sig long, start int, stop int, at int").repartition("sig")
-    several = runs.groupBy("sig").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("sig")
-    # repeated rows, equal in doc_id and text, fall together here
-    members = keep(runs.join(several, "sig").distinct(), "runs")
-    content = keep(texts.join(members.select("row").distinct(), "row", "left_semi").dropDuplicates(["row"]).select("row", "text").mapInArrow(_codes(size), "row long, codes binary"), "codes")
-    found = None
-    for _ in range(ROUNDS):
-        pivots = members.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("row", "start", "stop", "at")).alias("p")).where("m > 1").select("sig", F.col("p.row").alias("prow"), F.col("p.start").alias("pstart"), F.col("p.stop").alias("pstop"), F.col("p.at").alias("pat"))
-        tried = keep(members.join(pivots, "sig").where("row <> prow or start <> pstart"), "tried")
-        if tried.isEmpty():
-            drop(tried)
-            break
-        pairs = tried.join(content.withColumnRenamed("codes", "ca"), "row").join(content.select(F.col("row").alias("prow"), F.col("codes").alias("cb")), "prow")
-        alike = keep(pairs.select(*_MEMBER, "prow", "pstart", "pstop", "pat", "ca", "cb").mapInArrow(_alike(width, percent), "sig long, row long, start int, a long, prow long, b long, n long"), "alike")
-        spans = alike.select("row", F.col("a").alias("s"), (F.col("a") + F.col("n") + words).alias("e")).union(alike.select("prow", "b", F.col("b") + F.col("n") + words)).distinct()
-        found = spans if found is None else found.union(spans)
-        rest = keep(tried.join(alike.select("sig", "row", "start"), ["sig", "row", "start"], "left_anti").select(*_MEMBER), "runs")
-        drop(members)
-        drop(tried)
-        members = rest
-    else:
-        raise RuntimeError(f"signatures are still open after {ROUNDS} rounds")
-    if found is None:
-        return texts.limit(0).select("doc_id", F.lit(0).cast("long").alias("n_spans"), F.lit(0).cast("long").alias("n_repeat_words"), F.lit("").alias("spans"))
-    ends = found.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("ends"))
+    bits = sketch_bits(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    merged = texts.select("text").mapInArrow(_count(size, bits), "block long, ones binary, more binary").groupBy("block").applyInArrow(_merge_blocks, "block long, bits binary")
+    sketch = spark.sparkContext.broadcast({r["block"]: bytes(r["bits"]) for r in merged.toLocalIterator()})  # as in op4
+    found_seeds = keep(texts.select("row", "text").mapInArrow(_emit(size, width, percent, bits, sketch), "row long, h long, ctx long, pos int, lo int, hi int"), "seeds")
+    place = F.struct("row", "pos")
+    classes = found_seeds.groupBy("h", "ctx").agg(F.min(F.struct("row", "pos", "lo", "hi")).alias("x"), F.max(place).alias("y"))
+    classes = keep(classes.select("h", "ctx", "x.*", F.col("y.row").alias("row2"), F.col("y.pos").alias("pos2")), "classes")
+    several = classes.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb"))
+    asked = classes.join(several, "h").groupBy("row").agg(F.collect_list(F.struct("h", "nb", "ctx", "pos", "lo", "hi", "row2", "pos2")).alias("asked"))
+    stretches = texts.select("row", "text").join(asked, "row").mapInArrow(_stretches(size, width), "h long, nb int, ctx long, pos int, off int, row long, row2 long, pos2 int, codes binary")
+    dealt = stretches.withColumn("own", F.pmod(F.xxhash64("ctx", F.lit(7)), F.col("nb")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    dealt = dealt.withColumn("bi", F.least("own", "other")).withColumn("bj", F.greatest("own", "other")).drop("other", "nb")
+    alike = dealt.repartition("h", "bi", "bj").sortWithinPartitions("h", "bi", "bj").mapInArrow(_compared(width, percent), "h long, ctx long, a int, b int")
+    exact = classes.where("row <> row2 or pos <> pos2").select("h", "ctx", F.lit(0).alias("a"), (F.col("hi") - F.col("lo")).alias("b"))
+    found = keep(alike.unionByName(exact), "found")
+    spans = found_seeds.join(found, ["h", "ctx"]).select("row", (F.col("lo") + F.col("a")).alias("s"), (F.col("lo") + F.col("b") + words).alias("e"))
+    ends = spans.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("ends"))
     ids = texts.select("row", "doc_id").distinct()
+    drop(classes)
 
     def unite(batches):
         for batch in batches:

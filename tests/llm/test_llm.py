@@ -233,6 +233,43 @@ def test_passages(spark, none):
     assert passages.repeated_passages(none).count() == 0
 
 
+def plain_repeats(texts, words=50, size=5, percent=80):
+    """Covered words of each text, from every pair of passages of different texts."""
+    sets = {k: [set(x[a : a + words - size + 1]) for a in range(len(x) - words + size)] for k, t in texts.items() for w in [t.split(" ")] for x in [[tuple(w[i : i + size]) for i in range(len(w) - size + 1)]]}
+    covered = {k: set() for k in texts}
+    for k in texts:
+        for other in texts:
+            for a, u in enumerate(sets[k] if k < other else []):
+                for b, v in enumerate(sets[other]):
+                    if 100 * len(u & v) >= percent * len(u | v):
+                        covered[k] |= set(range(a, a + words))
+                        covered[other] |= set(range(b, b + words))
+    return {k: c for k, c in covered.items() if c}
+
+
+def words_of(spans):
+    return {w for x in spans.split(",") for w in range(*map(int, x.split(":")))}
+
+
+def found_passages(spark, texts):
+    out = passages.repeated_passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3))
+    return {r["doc_id"]: words_of(r["spans"]) for r in out.collect()}
+
+
+def test_phrases_of_many_unlike_texts(spark):
+    """Hundreds of texts that share a phrase too short for a passage are all compared, and only real repeats come out."""
+    rng = random.Random(12)
+    some = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    for n in (20, 30, 43):
+        phrase = some(n)
+        texts = {k: " ".join(some(30) + phrase + some(30)) for k in range(600)}
+        repeat = some(60)
+        texts[1000], texts[1001] = (" ".join(phrase + repeat + some(5)) for _ in range(2))
+        # the repeat, and what surrounds it alike
+        out = found_passages(spark, texts)
+        assert set(out) == {1000, 1001} and all(set(range(n, n + 60)) <= v for v in out.values())
+
+
 def test_pipeline(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     shared = text(60)
