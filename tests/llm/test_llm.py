@@ -256,6 +256,22 @@ def found_passages(spark, texts):
     return {r["doc_id"]: words_of(r["spans"]) for r in out.collect()}
 
 
+def test_near_passages_are_all_found(spark):
+    rng = random.Random(11)
+    some = lambda n: [f"v{rng.randrange(400)}" for _ in range(n)]
+    texts = {}
+    for k in range(12):
+        base = some(54)
+        for edit in range(3):
+            w = list(base)
+            at = rng.randrange(2, 52)
+            w[at : at + rng.randrange(2)] = some(edit and 1)
+            texts[3 * k + edit] = " ".join(some(rng.randrange(8)) + w + some(rng.randrange(8)))
+    texts[90] = " ".join(["a b c"] * 12 + some(20))
+    texts[91] = " ".join(["a b c"] * 12 + some(20))
+    assert found_passages(spark, texts) == plain_repeats(texts)
+
+
 def test_phrases_of_many_unlike_texts(spark):
     """Hundreds of texts that share a phrase too short for a passage are all compared, and only real repeats come out."""
     rng = random.Random(12)
