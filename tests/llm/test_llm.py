@@ -286,6 +286,22 @@ def test_phrases_of_many_unlike_texts(spark):
         assert set(out) == {1000, 1001} and all(set(range(n, n + 60)) <= v for v in out.values())
 
 
+def test_partners_of_a_found_passage(spark):
+    """P ~ A and A ~ B but not P ~ B: B is found whichever is met first, and A's spans hold what it shares with B."""
+    rng = random.Random(13)
+    some = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    texts, k = {}, 0
+    for _ in range(6):
+        base, tail = some(50), some(55)
+        p, b = list(base), list(base)
+        p[12], b[38] = "p", "b"
+        for w in (some(3) + p, base + some(2) + tail, b, some(4) + tail):
+            texts[k] = " ".join(w)
+            k += 1
+    out = found_passages(spark, texts)
+    assert out == plain_repeats(texts) and len(out) == len(texts)
+
+
 def test_pipeline(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     shared = text(60)
