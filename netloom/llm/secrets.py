@@ -24,7 +24,8 @@ KINDS = ("assign", "access", "hex", "password")
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # runs are maximal, so shorter ones may be skipped
-CONTEXT = re.compile(r"""(?i:\b(?:password|passwd|passphrase|passcode|pass|pwd|pin|login|credentials?|secret))["']?\x20*(?::|=|\bis\b)\x20*["']?([^\s"'<>]{6,128})""", re.ASCII)
+# The credential word may end an identifier: after any letters where it is telling, else after "_", "-" and such or as in userPin.
+CONTEXT = re.compile(r"""(?i:(?:password|passwd|passphrase|passcode|pwd|credentials?|secret|(?:(?<![a-z0-9])|(?<=[0-9])|(?-i:(?<=[a-z])(?=[A-Z])))(?:pass|pin|login)))["']?\x20*(?::|=|\bis\b)\x20*["']?([^\s"'<>]{6,})""", re.ASCII)
 
 _HINTS = (b"passw", b"secret", b"token", b"apikey", b"api_key")
 _CONTEXT_HINTS = (b"pass", b"pwd", b"pin", b"login", b"credential", b"secret")
@@ -62,17 +63,40 @@ def _charset(text: str) -> int:
     return max(10, sum(n for n, pattern in ((10, "[0-9]"), (26, "[a-z]"), (26, "[A-Z]"), (33, r"[^0-9a-zA-Z]")) if re.search(pattern, text)))
 
 
+def _least(starts: list[int], new: int, cost: list[float], more) -> float:
+    """The least of cost[i] + more(i) over starts and new, where more grows with the logarithm of the way from i.
+
+    A start that costs no less than a later one is worse for good, as is one that is worse now than an earlier one.
+    """
+    while starts and cost[starts[-1]] >= cost[new]:
+        starts.pop()
+    starts.append(new)
+    totals = [cost[i] + more(i) for i in starts]
+    k = min(range(len(totals)), key=totals.__getitem__)
+    del starts[k + 1 :]
+    return totals[k]
+
+
 def guess_bits(value: str) -> float:
     """log2 of the guesses of the cheapest split of value.
 
     cost[j], the least over i < j of cost[i] + the cost of value[i:j] + one bit for the join, for each kind of span.
+    Of the starts of repeats and walks only those are kept that may still be the best, so that long values cost about
+    as much a character as short ones.
     """
     n = len(value)
     lower = value.lower()
     plain = lower.translate(LEET)
     brute = math.log2(_charset(value))
     cost = [0.0] + [math.inf] * n
-    dates = {(m.start(), m.end()) for k in range(n) for m in [DATE.match(value, k)] if m}
+    dates: dict[int, list[int]] = {}
+    for k in range(n):
+        if m := DATE.match(value, k):
+            dates.setdefault(m.end(), []).append(k)
+    walk: list[int] = []
+    walked = 1
+    repeats: dict[tuple[int, int], list[int]] = {(size, k): [] for size in (1, 2, 3, 4) for k in range(size)}
+    times = {key: 1 for key in repeats}
     for j in range(1, n + 1):
         best = min(cost[j], cost[j - 1] + brute)
         for i in range(max(0, j - LONGEST), j):
@@ -80,20 +104,20 @@ def guess_bits(value: str) -> float:
                 if (rank := RANK.get(word)) is not None and j - i > 1:
                     cased = 1.0 if value[i:j] != word else 0.0
                     best = min(best, cost[i] + 1 + math.log2(rank + 1) + more + cased)
-        i = j - 1
-        while i and (lower[i - 1 : i + 1] in NEAR):
-            i -= 1
-            if j - i >= 3:
-                best = min(best, cost[i] + 1 + math.log2(94 * (j - i)))
-        for a, b in dates:
-            if b == j:
-                best = min(best, cost[a] + 1 + (math.log2(365 * 120) if b - a > 4 else math.log2(120)))
+        walked = walked + 1 if j > 1 and lower[j - 2 : j] in NEAR else 1
+        if walked >= 3:
+            if walked == 3:
+                walk.clear()
+            best = min(best, _least(walk, j - 3, cost, lambda i: 1 + math.log2(94 * (j - i))))
+        for i in dates.get(j, ()):
+            best = min(best, cost[i] + 1 + (math.log2(365 * 120) if j - i > 4 else math.log2(120)))
         for size in (1, 2, 3, 4):  # a unit of size characters, twice or more
-            unit, k = value[j - size : j], 1
-            while j - (k + 1) * size >= 0 and value[j - (k + 1) * size : j - k * size] == unit:
-                k += 1
-                i = j - k * size
-                best = min(best, cost[i] + 1 + size * brute + math.log2(k))
+            key = (size, j % size)
+            times[key] = times[key] + 1 if j >= 2 * size and value[j - size : j] == value[j - 2 * size : j - size] else 1
+            if times[key] >= 2:
+                if times[key] == 2:
+                    repeats[key].clear()
+                best = min(best, _least(repeats[key], j - 2 * size, cost, lambda i: 1 + size * brute + math.log2((j - i) // size)))
         cost[j] = best
     return cost[n]
 

@@ -128,6 +128,20 @@ def test_secrets(docs, none):
     assert masked.columns == docs.columns and all(r["text"] is None or r["text"].startswith("[ASSIGN] ") for r in masked.collect())
 
 
+def test_whole_secrets():
+    found = lambda t: [(secrets.KINDS[k], t[a:b]) for a, k, b in secrets.find_spans(t, 28.0)]
+    rng = random.Random(14)
+    for n in (129, 200, 5000):
+        value = "".join(rng.choices("abcXYZ0189#$%&", k=n - 1)) + "z"
+        for words in ("pwd: ", "my secret is "):
+            assert found(words + value + " end") == [("password", value)]
+            assert secrets.masked(words + value + " end", secrets.find_spans(words + value + " end", 28.0)) == words + "[PASSWORD] end"
+    for key in ("DB_PASSWORD", "user_pwd", "userPassword", "dbpasswd", "MY_PIN", "userPin", "admin-login"):
+        assert found(f"{key} = k8#Jq2!Lw9$z") == [("password", "k8#Jq2!Lw9$z")]
+    assert found("compass: k8#Jq2!Lw9$z") == found("spin = k8#Jq2!Lw9$z") == []
+    assert secrets.guess_bits("a" * 100_000) < 28 and secrets.guess_bits("qwer" * 20_000) < 50
+
+
 def test_decontamination(spark, docs, none):
     items = [(1, " ".join(BASE.split(" ")[5:30])), (2, "One"), (3, None), (4, "--"), (10, text(15)), (1, "b, C")]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
