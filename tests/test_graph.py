@@ -43,6 +43,17 @@ def test_queries(toy, numbered):
         toy.query_nodes("nothing > 1")
 
 
+def test_loc_keeps_the_order_of_any_number_of_ids(spark):
+    nodes = spark.range(1200)
+    g = GraphTable(nodes, nodes.selectExpr("id as source", "(id + 1) % 1200 as target"))
+    for n in (1000, 1001, 1200):
+        ids = list(range(n))[::-1]
+        found = g.loc[ids, ids]
+        assert [r["id"] for r in found.positions().orderBy("_pos").select("id").collect()] == ids
+        split = g.loc[ids[:600], ids[600:]]
+        assert [r["id"] for r in split.positions().orderBy("_pos").select("id").collect()] == ids
+
+
 def test_null_logic(spark):
     nodes = spark.createDataFrame([(1, 1.0), (2, None), (3, 3.0)], "id long, x double")
     g = GraphTable(nodes, spark.createDataFrame([], "source long, target long"))
