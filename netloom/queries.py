@@ -24,10 +24,11 @@ def trade(spark: SparkSession, d: str) -> GraphTable:
     return GraphTable(_t(spark, d, "nation").withColumnRenamed("n_nationkey", "id"), edges, validate=False)
 
 
-def supply(spark: SparkSession, d: str) -> GraphTable:
-    """Suppliers and parts; an edge for each pair that a discounted full-quantity line item joins."""
+def supply(spark: SparkSession, d: str, whole: bool = False) -> GraphTable:
+    """Suppliers and parts; an edge for each pair that a line item joins: any one if whole, else a discounted full-quantity one."""
     name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
-    edges = _t(spark, d, "lineitem").where("l_quantity = 50 and l_discount = 0.1").select(name("S", "l_suppkey").alias("source"), name("P", "l_partkey").alias("target")).distinct()
+    items = _t(spark, d, "lineitem")
+    edges = (items if whole else items.where("l_quantity = 50 and l_discount = 0.1")).select(name("S", "l_suppkey").alias("source"), name("P", "l_partkey").alias("target")).distinct()
     nodes = _t(spark, d, "supplier").select(name("S", "s_suppkey").alias("id")).union(_t(spark, d, "part").select(name("P", "p_partkey")))
     return GraphTable(nodes, edges, validate=False)
 
@@ -263,7 +264,32 @@ def torch_node_matrix(spark, d):
 
 @query(None)
 def edges_json(spark, d):
-    return supply(spark, d).edges_json()
+    return supply(spark, d, whole=True).edges_json()
+
+
+# Over all line items and all transitions; the closure in SQL is too slow there.
+G2W = G2.removesuffix(" where l_quantity = 50 and l_discount = 0.1")
+
+
+@query(f"with {G2W} select id from nodes where id in (select source from edges union select target from edges)")
+def remove_unused_nodes_whole(spark, d):
+    return supply(spark, d, whole=True).remove_unused_nodes().nodes
+
+
+@query(f"with {G2W} select avg(case when id in (select source from edges union select target from edges) then 1.0 else 0.0 end)::double as agreement from nodes")
+def node_agreement_whole(spark, d):
+    g = supply(spark, d, whole=True)
+    return g.node_agreement_table(g.remove_unused_nodes())
+
+
+@query(None)
+def wcc_labels_whole(spark, d):
+    return supply(spark, d, whole=True).label_nodes_by_component().nodes
+
+
+@query(None)
+def scc_labels_whole(spark, d):
+    return transitions(spark, d).component_labels(connection="strong")
 
 
 @query(None)

@@ -1,3 +1,4 @@
+import json
 import math
 import random
 
@@ -152,3 +153,52 @@ def test_matrices(toy, numbered):
     assert again.nodes.count() == 5 and rows(again.edges) == rows(numbered.edges)
     assert math.isclose(numbered.node_agreement(numbered.remove_nodes([4])), 0.8)
     assert numbered.to_edge_index(directed=False).count() == 10
+
+
+def test_whole_graph_queries(spark, tmp_path):
+    """All line items and all transitions count, whatever their values; against closures in plain Python."""
+    from netloom import queries
+
+    rng, d = random.Random(15), str(tmp_path)
+    items = [(rng.randrange(40), rng.randrange(40), float(rng.choice([1, 50])), rng.choice([0.0, 0.1])) for _ in range(30)]
+    events = [(k, rng.randrange(25), rng.choice(["purchase", "error", "view"]), float(rng.choice([5, 30]))) for k in range(160)]
+    for name, data, schema in (
+        ("lineitem", items, "l_suppkey long, l_partkey long, l_quantity double, l_discount double"),
+        ("supplier", [(k,) for k in range(40)], "s_suppkey long"),
+        ("part", [(k,) for k in range(40)], "p_partkey long"),
+        ("events", events, "event_id long, user_id long, event_type string, value double"),
+    ):
+        spark.createDataFrame(data, schema).write.parquet(f"{d}/{name}.parquet")
+
+    def reached(edges, nodes):
+        out = {}
+        for n in nodes:
+            seen, todo = {n}, [n]
+            while todo:
+                x = todo.pop()
+                new = {b for a, b in edges if a == x} - seen
+                seen |= new
+                todo += new
+            out[n] = seen
+        return out
+
+    def numbered_by(root):
+        numbers = {r: k for k, r in enumerate(sorted(set(root.values())))}
+        return {n: numbers[r] for n, r in root.items()}
+
+    nodes = [f"S{k}" for k in range(40)] + [f"P{k}" for k in range(40)]
+    edges = {(f"S{s}", f"P{p}") for s, p, _, _ in items}
+    used = {x for e in edges for x in e}
+    weak = reached(edges | {(b, a) for a, b in edges}, nodes)
+    got = lambda name: queries.ENTRIES[name][0](spark, d)
+    assert {r["id"] for r in got("remove_unused_nodes_whole").collect()} == used
+    assert got("node_agreement_whole").first()[0] == pytest.approx(len(used) / len(nodes))
+    labels = {r["id"]: r["component"] for r in got("wcc_labels_whole").collect()}
+    assert labels == numbered_by({n: min(weak[n]) for n in nodes})
+    pairs = [json.loads(r["edge"]) for r in got("edges_json").collect()]
+    assert sorted((p["source"], p["target"]) for p in pairs) == sorted(edges)
+    users = {u for _, u, _, _ in events}
+    steps = {(a[1], b[1]) for a, b in zip(events, events[1:]) if a[2] == "purchase" and b[2] == "error"}
+    far = reached(steps, users)
+    strong = {r[0]: r[1] for r in got("scc_labels_whole").select("id", "component").collect()}
+    assert strong == numbered_by({n: min(m for m in far[n] if n in far[m]) for n in users})
