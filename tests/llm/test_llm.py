@@ -226,6 +226,20 @@ def test_licenses(spark):
     assert found[2][1] == found[5][1] == "inherited"
 
 
+def test_real_licenses(spark):
+    """Real headers on one line, and whole texts, wrapped and not, with a copyright line."""
+    whole = lambda name: f"Copyright (c) 2020 A. Author\n\n{licenses.FILES[name]}"
+    headers = {"GPL-3.0": licenses.GNU.format("", 3), "GPL-2.0": licenses.GNU.format("", 2).replace("software:", "software;"), "LGPL-3.0": licenses.GNU.format("Lesser ", 3), "AGPL-3.0": licenses.GNU.format("Affero ", 3), "MIT": licenses.MIT, "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"}
+    data = [(k, "code\n" + t + "\nmore code", f"h{k}/x") for k, t in enumerate(headers.values())]
+    for k, name in enumerate(licenses.FILES):
+        text = whole(name)
+        data += [(10 + 4 * k, text, f"w{k}/1"), (11 + 4 * k, "no words here", f"w{k}/a/2"), (12 + 4 * k, re.sub("(.{60,75}) ", r"\1\n", text), f"v{k}/1"), (13 + 4 * k, "plain", f"v{k}/a/2")]
+    out = {r["doc_id"]: (r["license"], r["origin"]) for r in licenses.scan(spark.createDataFrame(data, "doc_id long, text string, path string")).collect()}
+    assert [out[k] for k in range(len(headers))] == [(name, "header") for name in headers]
+    for k, name in enumerate(licenses.FILES):
+        assert [out[10 + 4 * k + i] for i in range(4)] == [(name, "header"), (name, "inherited")] * 2
+
+
 def test_chat(spark):
     turns = {1: ["a", "b"], 2: ["a", "b", "c"], 3: ["a", "b", "c"], 4: ["a", "x"], 5: ["a"], None: ["q"], 7: ["b", "a"]}
     data = [(c, k, "user", t) for c, ts in turns.items() for k, t in enumerate(ts)] + [(8, 0, None, None), (9, 0, None, "")]
