@@ -1,7 +1,10 @@
 """Each operator against a plain version, with nulls, empty texts, ties, repeated rows, empty tables and extra columns."""
 
+import hashlib
+import json
 import random
 import re
+import struct
 import zlib
 from collections import Counter
 
@@ -179,11 +182,41 @@ def test_bpe(spark, docs, none):
         ids = list(memoryview(encoder.encode(t)).cast("I"))
         assert ids == theirs.encode(t, add_special_tokens=False).ids
         assert ours.decode(ids) == theirs.decode(ids, skip_special_tokens=False)
+    for t in ["a" * 3000, "lsssl", "x y", "z" * 257, "\0 a \0"]:
+        for w in encoder.words.findall(t):
+            assert list(memoryview(ours.encode_words([w.encode(), b"a", b"aa"])[0]).cast("I")) == list(ours.encode_word(w.encode()))
     out = bpe_automaton.encode_documents(docs, raw)
     assert out.count() == docs.count() and by_id(out)[0]["ids"] == []
+    for k, r in by_id(out).items():
+        ids = theirs.encode(TEXTS[k] or "", add_special_tokens=False).ids
+        assert (r["n_tokens"], r["ids"]) == (len(ids), ids)
+        assert r["ids_sha256"] == hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(theirs.decode(ids, skip_special_tokens=False).encode()).hexdigest()
     assert bpe_automaton.encode_documents(none, raw).count() == 0
 
 
+def test_bpe_memory(monkeypatch):
+    """What is remembered is thrown away again and again, and the ids stay the same; texts of some MB in one piece too."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    theirs, encoder = Tokenizer.from_file(path), bpe_automaton.Encoder(bpe_automaton.load(bpe_automaton.read_file(None, path)))
+    monkeypatch.setattr(bpe_automaton, "MEMO_BYTES", 20_000)
+    texts = [*HARD, *filter(None, TEXTS)]
+    for start in range(0, 3 * len(texts), 7):
+        part = [texts[k % len(texts)] for k in range(start, start + 7)]
+        assert [list(memoryview(x).cast("I")) for x in encoder.encode_all(part)] == [x.ids for x in theirs.encode_batch(part, add_special_tokens=False)]
+    long = " ".join(texts[-1:] * 20_000) + "q" * 50_000
+    assert list(memoryview(encoder.encode(long)).cast("I")) == theirs.encode(long, add_special_tokens=False).ids
+
+
+def test_bpe_refuses_what_it_does_not_follow():
+    spec = json.loads(bpe_automaton.read_file(None, public_tokenizers.path("byte_bpe_50k.json")))
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": spec["pre_tokenizer"] | {"add_prefix_space": True}}, {"model": spec["model"] | {"ignore_merges": True}}, {"added_tokens": [spec["added_tokens"][0] | {"lstrip": True}]}):
+        with pytest.raises(ValueError, match="not supported"):
+            bpe_automaton.load(json.dumps(spec | change).encode())
+
+
 def test_token_counts(spark, docs, none):
     import sentencepiece
 
