@@ -267,13 +267,13 @@ def _compare_blocks(percent: int):
     return run
 
 
-def sketch_bits(n_chars: int) -> int:
-    """Cells for the sketch, as a power of two: about two cells for each word, between 2^20 and 2^27 (16 MB of bits).
+def sketch_bits(n_chars: int, most: int = 27) -> int:
+    """Cells for the sketch, as a power of two: about two cells for each word, between 2^20 and 2^most (2^27: 16 MB of bits).
 
     The bound holds at any input.  Beyond it more tokens look repeated, so more prefix tokens are written out; results
     stay the same.
     """
-    return min(27, max(20, int(np.ceil(np.log2(max(1, n_chars) / 3)))))
+    return min(most, max(20, int(np.ceil(np.log2(max(1, n_chars) / 3)))))
 
 
 def signed_sets(docs: DataFrame, size: int, percent: int, text_bytes: int | None = None) -> DataFrame:

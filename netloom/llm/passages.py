@@ -1,19 +1,27 @@
-"""Near-duplicate passages: all of them, by prefixes of windows under one order of shingles.
-
-A text is a sequence of five-word shingles, and a passage is a window of `words` words, so of words - size + 1 shingles.
-Two passages of different places are repeats if their sets of shingles have a Jaccard similarity of percent or more;
-passages of one text that share places are repeats only if so many shingles agree side by side that it follows.
-
-Two such passages share a shingle among the first p(n) = n - ceil(t n) + 1 of each one's n shingles, under any one order
-of all shingles.  The order puts rare shingles first (the counted sketch of op4).  A passage with p shingles of its own
-has no partner.  For the others the shingles of the prefix are seeds, kept with the stretch of text around them that
-holds the passages they stand for.  Equal stretches around one seed are one class, and their passages repeat each other.
-Different classes of one seed are compared, in blocks of BLOCK where there are many, each pair of blocks in a task of
-its own; a class whose passages are all found stays as a partner for the others.  So no candidate is dropped and no
-group has a limit, and only the CPU cost of passages without a partner grows with the square of a seed's classes.
-
-Shingles are told apart by 64 bits for seeds and by 32 bits where stretches are compared.  Null and short texts have no
-passage.  Rows that are equal in doc_id and text are one row; a text that repeats a passage inside itself repeats it.
+"""Near-duplicate passages by compact windows (Deng et al., "Near-Duplicate Sequence Search at Scale", 2023).
+
+A text is a sequence of five-word shingles, and a passage is a window of `words` words, so of w = words - size + 1
+shingles.  Two passages are repeats if the multisets of their shingles have a Jaccard similarity of percent or more, and
+they lie in different texts or in one text without sharing a word.  Texts of the same words, in lower case, are one text;
+a text that several documents hold is repeated from end to end.
+
+1. A counted sketch (as op4's) tells which shingles may occur again.  A passage that has a partner shares
+   least_shared() shingles with it, so only passages with that many shingles that occur again live on.
+2. For each hash function the Cartesian tree over the hashes of a stretch of living passages gives its compact windows
+   (l, c, r): all sequences within [l, r] that hold c have their least hash at c.  Nodes whose windows are shorter than w
+   are left out.
+3. The windows of the two functions of a band are joined as intervals: each piece [a, b] of starts has both least hashes
+   in common, and these are its signature.  Two passages of Jaccard similarity J share a band's signature with
+   probability J^2, and one of BANDS with 1 - (1 - J^2)^BANDS: 0.994 at 0.8.
+4. Pieces of one signature and one content are a class; a class that stands in two places is a repeat.  Different classes
+   of one signature are compared exactly.  Large groups are dealt into blocks, each pair of blocks in a task of its own,
+   with the group's commonest class in each: what is like that one is settled first, the rest by shared shingles.
+
+So a found passage is always a true one, and one without equal is missed with the probability above at most, in practice
+less, as a repeat has many passages.  Windows that repeat shingles inside may have fewer signatures in common.
+
+Null and short texts have no passage.  Rows that are equal in doc_id and text are one row; a null doc_id is a value of
+its own.  Columns of docs beside doc_id and text are left out.  An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -30,218 +38,334 @@ from . import _words as W
 from ._shared import drop, keep
 from .jaccard import BLOCK_BITS, HEAVY_BITS, _count, _merge_blocks, sketch_bits
 
-BLOCK = 256
-"""Classes of a block of a larger seed, about."""
-FEW_PAIRS = 64
-"""Pairs that are compared without counting shared shingles by blocks first."""
+BANDS = 5
+"""Signatures, of two hash functions each."""
+BLOCK = 512
+"""Classes of a block of a larger group, about."""
+SKETCH_BITS = 28
+"""Cells of the sketch at most, as a power of two (32 MB); beyond it more passages live on to step 2, with the same result."""
+FEW = 6
+"""Classes of a group in which all pairs are compared at once."""
 
 
-def _twins(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place, next place of the same value) of all values that come again."""
-    by = np.argsort(values, kind="stable")
-    same = values[by[1:]] == values[by[:-1]]
-    return by[:-1][same], by[1:][same]
+def least_shared(width: int, percent: int) -> int:
+    """Shingles that two windows of width shingles share at least at this similarity: i / (2 width - i) >= percent / 100."""
+    return -(-2 * percent * width // (100 + percent))
 
 
-def seeds(s: np.ndarray, width: int, percent: int, again: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place, first start, last start) of the shingles in the prefix of some window of s, with the windows they stand for.
+def _seed(k: int) -> np.uint64:
+    return np.uint64((0x9E3779B97F4A7C15 * (2 * k + 3)) & ((1 << 64) - 1))
+
+
+def _tops(hashes: np.ndarray, ok: np.ndarray, width: int) -> np.ndarray:
+    """Places of the least hash, the first at ties, of the windows that start at ok (sorted)."""
+    least, have = hashes, 1
+    while have < width:
+        step = min(have, width - have)
+        least = np.minimum(least[: len(least) - step], least[step:])
+        have += step
+    values = least[ok]
+    new = np.flatnonzero(np.concatenate(([True], (values[1:] != values[:-1]) | (ok[1:] != ok[:-1] + 1))))
+    out = []
+    for k, start in zip(new.tolist(), ok[new].tolist(), strict=True):
+        out.append(start + int((hashes[start : start + width] == values[k]).argmax()))
+    return np.unique(np.array(out, dtype=np.int64))
 
-    again: whether another text may hold the shingle; weight: its place in the order, before its code.
-    """
-    none = np.zeros(0, dtype=np.int64)
-    n = len(s) - width + 1
-    values, place, inv, times = np.unique(s, return_index=True, return_inverse=True, return_counts=True)
-    held = again[place] | (times > 1)
-    alone = np.concatenate(([0], np.cumsum(~held[inv])))
-    p, q = _twins(inv)
-    near = q - p < width
-    p, q = p[near], q[near]
-    pairs = np.zeros(n + 1, dtype=np.int64)
-    np.add.at(pairs, np.maximum(q - width + 1, 0), 1)
-    np.add.at(pairs, np.minimum(p, n - 1) + 1, -1)
-    sizes = width - np.cumsum(pairs[:n])  # distinct shingles of each window
-    prefix = sizes + (-percent * sizes // 100) + 1
-    ok = np.flatnonzero(alone[width:] - alone[:-width] < prefix)
-    if not len(ok):
-        return none, none, none
-    rank = np.empty(len(values), dtype=np.int32)
-    rank[np.lexsort((values, weight[place], held))] = np.arange(len(values), dtype=np.int32)
-    windows = np.lib.stride_tricks.sliding_window_view(rank[inv], width)
-    lo, hi = np.full(len(s), -1, dtype=np.int64), np.full(len(s), -1, dtype=np.int64)
-    lone = int((~held).sum())
-    for part in np.array_split(ok, -(-len(ok) // 4096)):
-        w = windows[part]
-        ordered = np.sort(w, axis=1)
-        nth = np.cumsum(np.concatenate((np.ones((len(part), 1), dtype=np.int16), ordered[:, 1:] != ordered[:, :-1]), axis=1), axis=1)
-        last = ordered[np.arange(len(part)), (nth >= prefix[part][:, None]).argmax(axis=1)]
-        a, c = np.nonzero((w <= last[:, None]) & (w >= lone))
-        start = part[a]
-        at = start + c
-        first = np.full(len(s), -1, dtype=np.int64)
-        first[at[::-1]] = start[::-1]
-        lo = np.where(lo < 0, first, lo)
-        hi[at] = start
-    at = np.flatnonzero(hi >= 0)
-    return at, lo[at], hi[at]
-
-
-def _unsketched(blocks: dict[int, bytes], cell_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bits of the cells that are seen again, and the weights by leading bits, of op4's sketch."""
-    seen, heavy, step = np.zeros(1 << (cell_bits - 3), dtype=np.uint8), np.zeros(1 << HEAVY_BITS, dtype=np.uint8), 1 << (BLOCK_BITS - 3)
-    for k, bits in blocks.items():
-        part = np.frombuffer(zlib.decompress(bits), dtype=np.uint8)
-        if k < 0:
-            heavy = part
-        else:
-            seen[k * step : (k + 1) * step] = part
-    return seen, heavy
 
+def compact_windows(hashes: np.ndarray, lo: np.ndarray, hi: np.ndarray, ok: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(l, c, r) of the nodes of width places or more in the Cartesian trees over hashes[lo[i] : hi[i]], by c.
 
-_SEEDS = pa.schema([("row", pa.int64()), ("h", pa.int64()), ("ctx", pa.int64()), ("pos", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32())])
+    ok: the starts of windows of width places in these stretches, sorted.  The parent of such a node is one too, so the
+    upper part of each tree is built by itself, with a stack.
+    """
+    tops = _tops(hashes, ok, width)
+    owner = np.searchsorted(lo, tops, side="right") - 1
+    left, right = lo[owner].tolist(), (hi[owner] - 1).tolist()
+    values, places, owners = hashes[tops].tolist(), tops.tolist(), owner.tolist()
+    stack: list[int] = []
+    for k in range(len(places)):
+        if stack and owners[stack[-1]] != owners[k]:
+            stack.clear()
+        while stack and values[stack[-1]] > values[k]:
+            right[stack.pop()] = places[k] - 1
+        if stack:
+            left[k] = places[stack[-1]] + 1
+        stack.append(k)
+    return np.array(left, dtype=np.int64), tops, np.array(right, dtype=np.int64)
+
+
+def pieces(codes: np.ndarray, lo: np.ndarray, hi: np.ndarray, width: int, bands: int = BANDS):
+    """(band, signature, first start, last start, place of the first function's least hash) over stretches of codes."""
+    n = hi - lo - width + 1  # windows of each stretch
+    ok = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+    out = []
+    for band in range(bands):
+        joined = []
+        for k in (2 * band, 2 * band + 1):
+            hashes = W.mix(codes ^ _seed(k))
+            left, c, right = compact_windows(hashes, lo, hi, ok, width)
+            first = np.maximum(left, c - width + 1)  # the starts of its windows of width places
+            joined.append((first, np.minimum(c, right - width + 1), hashes[c], c))
+        (first1, last1, value1, c1), (first2, last2, value2, _) = joined
+        start = np.union1d(first1, first2)
+        i, j = np.searchsorted(first1, start, side="right") - 1, np.searchsorted(first2, start, side="right") - 1
+        out.append((np.full(len(start), band), W.mix(value1[i] * np.uint64(3) + W.mix(value2[j] + np.uint64(band))), start, np.minimum(last1[i], last2[j]), c1[i]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _unsketched(blocks: dict[int, bytes], cell_bits: int) -> np.ndarray:
+    """Bits of the cells that are seen again, of op4's sketch."""
+    seen, step = np.zeros(1 << (cell_bits - 3), dtype=np.uint8), 1 << (BLOCK_BITS - 3)
+    for k, bits in blocks.items():
+        if k >= 0:
+            seen[k * step : (k + 1) * step] = np.frombuffer(zlib.decompress(bits), dtype=np.uint8)
+    return seen
+
+
+_RUNS = pa.schema([("doc_id", pa.int64()), ("row", pa.binary()), ("n_words", pa.int32()), ("at", pa.list_(pa.int32())), ("codes", pa.binary()), ("sig", pa.list_(pa.int64())), ("ctx", pa.list_(pa.int64())), ("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32())), ("off", pa.list_(pa.int16()))])
+_RUNS_DDL = "doc_id long, row binary, n_words int, at array<int>, codes binary, sig array<long>, ctx array<long>, a array<int>, b array<int>, off array<short>"
+
+
+def _alive(s: np.ndarray, begin: np.ndarray, end: np.ndarray, again: np.ndarray, width: int, need: int) -> tuple[np.ndarray, np.ndarray]:
+    """[lo, hi) of the stretches of s, within its texts [begin, end), whose windows all have need shingles that come again."""
+    # a shingle may come again in its own text
+    rest = np.flatnonzero(~again)
+    order = rest[np.argsort(s[rest], kind="stable")]
+    same = (s[order[1:]] == s[order[:-1]]) & (np.searchsorted(begin, order[1:], side="right") == np.searchsorted(begin, order[:-1], side="right"))
+    again[order[1:][same]] = again[order[:-1][same]] = True
+    sums = np.concatenate(([0], np.cumsum(again)))
+    ok = np.zeros(len(s) + 1, dtype=bool)
+    ok[: len(s) - width + 1] = sums[width:] - sums[:-width] >= need
+    inside = np.zeros(len(s) + 2, dtype=np.int32)  # a window lies in one text
+    long = end - begin >= width
+    np.add.at(inside, begin[long], 1)
+    np.add.at(inside, end[long] - width + 1, -1)
+    ok &= np.cumsum(inside)[: len(ok)] > 0
+    edge = np.diff(np.concatenate(([0], ok.astype(np.int8), [0])))
+    return np.flatnonzero(edge > 0), np.flatnonzero(edge < 0) + width - 1
 
 
 def _emit(size: int, width: int, percent: int, cell_bits: int, sketch):
+    need = least_shared(width, percent)
+
     def run(batches):
-        seen_again, heavy = _unsketched(sketch.value, cell_bits)
+        seen_again = _unsketched(sketch.value, cell_bits)
+        written = set()  # of a task's copies only the first carries pieces
         for batch in batches:
             data, at = W.utf8(batch.column("text"))
-            rows = batch.column("row").to_numpy()
-            parts = []
-            for row, codes in W.row_words(data, at, W.SPACE_SEPARATED, True):
-                if len(codes) < width + size - 1:
-                    continue
-                s = W.shingles(codes, size)
-                cells = (s & np.uint64((1 << cell_bits) - 1)).astype(np.int64)
-                again = ((seen_again[cells >> 3] >> (cells & 7).astype(np.uint8)) & 1).astype(bool)
-                pos, lo, hi = seeds(s, width, percent, again, heavy[(s >> np.uint64(64 - HEAVY_BITS)).astype(np.int64)])
-                if len(pos):
-                    ctx = [int.from_bytes(blake2b(s[a : b + width].tobytes(), digest_size=8, salt=(p - a).to_bytes(2, "little")).digest(), "little", signed=True) for p, a, b in zip(pos.tolist(), lo.tolist(), hi.tolist(), strict=True)]
-                    parts.append((np.full(len(pos), rows[row]), s[pos].view(np.int64), np.array(ctx, dtype=np.int64), pos.astype(np.int32), lo.astype(np.int32), hi.astype(np.int32)))
-            if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], schema=_SEEDS)
+            ids = batch.column("doc_id").to_pylist()
+            for first_row, last_row in W.chunks(at):
+                words = W.Words(data, at[first_row : last_row + 1], W.SPACE_SEPARATED, True)
+                cols: list[list] = [[] for _ in _RUNS]
+                n = np.diff(words.first)
+                held, begin, end, total = [], [], [], 0
+                for k in np.flatnonzero(n >= width + size - 1).tolist():
+                    codes = words.codes[words.first[k] : words.first[k + 1]]
+                    row = blake2b(codes.tobytes(), digest_size=16).digest()
+                    for col, v in zip(cols[:3], (ids[first_row + k], row, int(n[k])), strict=True):
+                        col.append(v)
+                    begin.append(total)
+                    if row not in written:
+                        written.add(row)
+                        held.append(W.shingles(codes, size))
+                        total += len(held[-1])
+                    end.append(total)
+                lists = [(pa.array(np.zeros(len(begin) + 1, dtype=np.int32)), []) for _ in cols[3:]]
+                if held:
+                    s = np.concatenate(held)
+                    begin, end = np.array(begin), np.array(end)
+                    cells = (s & np.uint64((1 << cell_bits) - 1)).astype(np.int64)
+                    again = ((seen_again[cells >> 3] >> (cells & 7).astype(np.uint8)) & 1).astype(bool)
+                    full = end > begin
+                    lo, hi = _alive(s, begin[full], end[full], again, width, need)
+                    if len(lo):
+                        lists = _arrays(s, begin, end, lo, hi, width)
+                arrays = [pa.array(c, type=f.type) for c, f in zip(cols[:3], _RUNS, strict=False)]
+                for (offsets, values), f in zip(lists, list(_RUNS)[3:], strict=True):
+                    if f.name == "codes":
+                        arrays.append(pa.array(values if len(values) else [None] * len(cols[0]), type=f.type))
+                    else:
+                        arrays.append(pa.ListArray.from_arrays(offsets, pa.array(values, type=f.type.value_type)))
+                if len(cols[0]):
+                    yield pa.RecordBatch.from_arrays(arrays, schema=_RUNS)
 
     return run
 
 
-_STRETCHES = pa.schema([("h", pa.int64()), ("nb", pa.int32()), ("ctx", pa.int64()), ("pos", pa.int32()), ("off", pa.int32()), ("row", pa.int64()), ("row2", pa.int64()), ("pos2", pa.int32()), ("codes", pa.binary())])
+def _arrays(s, begin, end, lo, hi, width):
+    """The columns at, codes, sig, ctx, a, b and off, by text: offsets and values."""
+    _, sig, a, b, c = pieces(s, lo, hi, width)
+    up, down = W._power_tables(len(s) + 1)
+    sums = np.zeros(len(s) + 1, dtype=np.uint64)
+    np.cumsum(s * up[: len(s)], out=sums[1:])
+    stop = b + width
+    ctx = W.mix((sums[stop] - sums[a]) * down[a] + (stop - a).astype(np.uint64))  # a piece's content
+    order = np.argsort(a, kind="stable")
+    sig, ctx, a, b, c = sig[order], ctx[order], a[order], b[order], c[order]
+
+    # texts without a shingle of their own (copies) begin and end at one place: they get no piece
+    full = np.flatnonzero(end > begin)
+
+    def offsets(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        count = np.zeros(len(begin), dtype=np.int64)
+        owner = full[np.searchsorted(begin[full], places, side="right") - 1]
+        np.add.at(count, owner, 1)
+        return np.concatenate(([0], np.cumsum(count))), owner
+
+    piece_at, owner = offsets(a)
+    stretch_at, text = offsets(lo)
+    at = np.stack((lo - begin[text], hi - begin[text]), axis=1).ravel()
+    short = (s >> np.uint64(32)).astype(np.uint32)
+    codes: list = [None] * len(begin)
+    for k in np.unique(text).tolist():
+        codes[k] = b"".join(short[x:y].tobytes() for x, y in zip(lo[stretch_at[k] : stretch_at[k + 1]].tolist(), hi[stretch_at[k] : stretch_at[k + 1]].tolist(), strict=True))
+    small = lambda x: pa.array(x.astype(np.int32))
+    own = small(piece_at)
+    return [(small(2 * stretch_at), at.astype(np.int32)), (None, codes), (own, sig.view(np.int64)), (own, ctx.view(np.int64)), (own, (a - begin[owner]).astype(np.int32)), (own, (b - begin[owner]).astype(np.int32)), (own, (c - a).astype(np.int16))]
 
 
-def _stretches(size: int, width: int):
-    """The 32-bit codes of the stretch of each class, from one of the texts that hold it."""
+_MEMBERS = pa.schema([("sig", pa.int64()), ("bi", pa.int32()), ("bj", pa.int32()), ("own", pa.int32()), ("ctx", pa.int64()), ("a", pa.int32()), ("off", pa.int16()), ("row", pa.binary()), ("row2", pa.binary()), ("a2", pa.int32()), ("kind", pa.int8()), ("codes", pa.binary())])
+_MEMBERS_DDL = "sig long, bi int, bj int, own int, ctx long, a int, off short, row binary, row2 binary, a2 int, kind byte, codes binary"
+# kinds: what a class is to its group
+SINGLE, SEVERAL, REPEATED, PIVOT = 1, 2, 4, 8
+
+
+def _members(width: int):
+    """The codes of each class that is asked for, in each pair of blocks that it takes part in."""
 
     def run(batches):
         for batch in batches:
-            data, at = W.utf8(batch.column("text"))
-            rows, asked = batch.column("row").to_pylist(), batch.column("asked")
-            for k, codes in W.row_words(data, at, W.SPACE_SEPARATED, True):
-                s = (W.shingles(codes, size) >> np.uint64(32)).astype(np.uint32)
-                out: list[list] = [[] for _ in _STRETCHES]
+            rows, ats, codes, asked = (batch.column(c) for c in ("row", "at", "codes", "asked"))
+            for k in range(len(batch)):
+                out: list[list] = [[] for _ in _MEMBERS]
+                at = np.array(ats[k].as_py(), dtype=np.int64).reshape(-1, 2)
+                begin = np.cumsum(at[:, 1] - at[:, 0]) - (at[:, 1] - at[:, 0])
+                held = np.frombuffer(codes[k].as_py(), dtype=np.uint32)
+                row = rows[k].as_py()
                 for x in asked[k].as_py():
-                    for col, v in zip(out, (x["h"], x["nb"], x["ctx"], x["pos"], x["pos"] - x["lo"], rows[k], x["row2"], x["pos2"], s[x["lo"] : x["hi"] + width].tobytes()), strict=True):
-                        col.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _STRETCHES, strict=True)], schema=_STRETCHES)
+                    j = int(np.searchsorted(at[:, 0], x["a"], side="right")) - 1
+                    p = int(begin[j] + x["a"] - at[j, 0])
+                    content = held[p : p + x["b"] - x["a"] + width].tobytes()
+                    nb, own = x["nb"], x["ctx"] % x["nb"]
+                    pairs = [(i, j) for i in range(nb) for j in range(i, nb)] if x["kind"] & PIVOT else [(min(own, o), max(own, o)) for o in range(nb)]
+                    for bi, bj in pairs:
+                        for col, v in zip(out, (x["sig"], bi, bj, own, x["ctx"], x["a"], x["off"], row, x["row2"], x["a2"], x["kind"], content), strict=True):
+                            col.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _MEMBERS, strict=True)], schema=_MEMBERS)
 
     return run
 
 
-class Stretch:
-    """A class of equal stretches around a seed, and which of its windows have a partner so far."""
+class Member:
+    """A class of pieces of one signature, and which of its windows have a partner so far."""
 
-    __slots__ = ("_firsts", "codes", "done", "kinds", "least", "off", "places", "sizes", "width")
+    __slots__ = ("codes", "ctx", "distinct", "done", "kind", "off", "places")
 
-    def __init__(self, codes: np.ndarray, off: int, places: tuple[tuple[int, int], tuple[int, int]], width: int):
-        self.codes, self.off, self.places, self.width, self._firsts = codes, off, places, width, None
-        n = len(codes) - width + 1
-        self.done = np.full(n, places[0] != places[1])
-        self.kinds = frozenset(codes.tolist())
-        if len(self.kinds) == len(codes):
-            self.sizes, self.least = None, width
-        else:
-            self.sizes = self.firsts.sum(axis=1)
-            self.least = int(self.sizes.min())
+    def __init__(self, codes: np.ndarray, off: int, places: tuple[tuple[bytes, int], tuple[bytes, int]], kind: int, ctx: int, width: int):
+        self.codes, self.off, self.places, self.kind, self.ctx = codes, off, places, kind, ctx
+        self.done = np.full(len(codes) - width + 1, bool(kind & REPEATED))
+        self.distinct = len(set(codes.tolist())) == len(codes)
 
-    @property
-    def firsts(self) -> np.ndarray:
-        """For each window, 1 at the first place of each of its shingles."""
-        if self._firsts is None:
-            n, at = len(self.codes) - self.width + 1, np.arange(len(self.codes))
-            before = np.full(len(at), -1)
-            p, q = _twins(self.codes)
-            before[q] = p
-            start = np.arange(n)[:, None]
-            self._firsts = ((at >= start) & (at < start + self.width) & (before < start)).astype(np.float32)
-        return self._firsts
 
-    def window_sizes(self) -> np.ndarray:
-        return np.full(len(self.done), float(self.width)) if self.sizes is None else self.sizes
+def _counts(codes: np.ndarray, kinds: np.ndarray, width: int) -> np.ndarray:
+    """How often each of kinds (sorted) stands in each window of codes."""
+    hit = np.zeros((len(codes) + 1, len(kinds)), dtype=np.int16)
+    at = np.searchsorted(kinds, codes)
+    known = np.flatnonzero(kinds[np.minimum(at, len(kinds) - 1)] == codes)
+    hit[known + 1, at[known]] = 1
+    sums = np.cumsum(hit, axis=0, dtype=np.int16)
+    return sums[width:] - sums[:-width]
 
 
-def compare(x: Stretch, y: Stretch, percent: int) -> None:
+def compare(x: Member, y: Member, need: int, width: int, words: int) -> None:
     """Mark the windows of x and y that are alike."""
-    width = x.width
-    if (100 + percent) * len(x.kinds & y.kinds) < percent * (x.least + y.least):
-        return
-    (a, b), (c, d) = x.places, y.places
-    one_text = a[0] == b[0] == c[0] == d[0]
-    if not one_text and x.sizes is None and y.sizes is None:
-        # no shingle twice: those that agree side by side are shared ones
-        shift = x.off - y.off
-        i, j = max(0, shift), max(0, -shift)
-        n = min(len(x.codes) - i, len(y.codes) - j)
-        if n >= width:
-            sums = np.concatenate(([0], np.cumsum(x.codes[i : i + n] == y.codes[j : j + n])))
-            good = (100 + percent) * (sums[width:] - sums[:-width]) >= 2 * percent * width
-            x.done[i : i + len(good)] |= good
-            y.done[j : j + len(good)] |= good
-            if x.done.all() and y.done.all():
-                return
-    equal = (x.codes[:, None] == y.codes[None, :]).astype(np.float32)
-    need = percent * (x.window_sizes()[:, None] + y.window_sizes()[None, :])
-    good = (100 + percent) * (x.firsts @ equal @ y.firsts.T) >= need
-    if one_text:
-        # places that agree hold at least so many different shingles: those agreeing, less the ones that come twice
-        beside = sum(equal[t : t + len(x.done), t : t + len(y.done)] for t in range(width))
-        shared = beside - (width - np.maximum(x.window_sizes()[:, None], y.window_sizes()[None, :]))
-        near, anywhere = (100 + percent) * shared >= need, good
-        good = np.zeros(anywhere.shape, dtype=bool)
-        for gap in {p[1] - q[1] for p in (a, b) for q in (c, d)}:
-            away = gap - x.off + y.off + np.arange(len(x.done))[:, None] - np.arange(len(y.done))[None, :]
-            good |= np.where(np.abs(away) < width, (away != 0) & near, anywhere)
+    if x.distinct and y.distinct:
+        sums = np.zeros((len(x.codes) + 1, len(y.codes) + 1), dtype=np.int16)
+        np.cumsum(np.cumsum(x.codes[:, None] == y.codes[None, :], axis=0, dtype=np.int16), axis=1, out=sums[1:, 1:])
+        good = sums[width:, width:] - sums[:-width, width:] - sums[width:, :-width] + sums[:-width, :-width] >= need
+    else:
+        kinds = np.intersect1d(x.codes, y.codes)
+        if not len(kinds):
+            return
+        cx, cy = _counts(x.codes, kinds, width), _counts(y.codes, kinds, width)
+        good = np.stack([np.minimum(row, cy).sum(axis=1) >= need for row in cx])
+    if x.places[0][0] == x.places[1][0] == y.places[0][0] == y.places[1][0]:  # one text: its passages mustn't share a word
+        places = [(p, q) for p in set(x.places) for q in set(y.places)]
+        apart = np.arange(len(x.done))[:, None] - np.arange(len(y.done))[None, :]
+        good &= np.any([np.abs(apart + p[1] - q[1]) >= words for p, q in places], axis=0)
     x.done |= good.any(axis=1)
     y.done |= good.any(axis=0)
 
 
-def compare_blocks(left: list[Stretch], right: list[Stretch] | None, percent: int) -> None:
-    """Compare left with right, or within left where right is None."""
-    others = left if right is None else right
-    if len(left) * len(others) <= FEW_PAIRS:
-        for k, x in enumerate(left):
-            for y in others[k + 1 :] if right is None else others:
+def _like_pivot(members: list[Member], pivot: Member, need: int, width: int, words: int) -> None:
+    """compare() each of many members with one: by shingles that stand side by side first."""
+    size = max(len(m.codes) for m in members)
+    table = np.zeros((len(members), size + width), dtype=np.uint64)
+    for k, m in enumerate(members):
+        table[k, : len(m.codes)] = m.codes.astype(np.uint64) + 1
+    can = np.isin(table, pivot.codes.astype(np.uint64) + 1)
+    sums = np.concatenate((np.zeros((len(members), 1), dtype=np.int32), np.cumsum(can, axis=1)), axis=1)
+    most = sums[:, width:] - sums[:, :-width]
+    here = pivot.places[0][0]
+    for k, m in enumerate(members):
+        n = len(m.done)
+        if not (most[k, :n][~m.done] >= need).any() and (pivot.done.all() or not (most[k, :n] >= need).any()):
+            continue
+        if m.distinct and pivot.distinct and not (here == pivot.places[1][0] == m.places[0][0] == m.places[1][0]):
+            shift = m.off - pivot.off
+            i, j = max(0, shift), max(0, -shift)
+            both = min(len(m.codes) - i, len(pivot.codes) - j)
+            if both >= width:
+                run = np.concatenate(([0], np.cumsum(m.codes[i : i + both] == pivot.codes[j : j + both])))
+                good = run[width:] - run[:-width] >= need
+                m.done[i : i + len(good)] |= good
+                pivot.done[j : j + len(good)] |= good
+        if (~m.done & (most[k, :n] >= need)).any() or not pivot.done.all():
+            compare(m, pivot, need, width, words)
+
+
+def compare_group(left: list[Member], right: list[Member] | None, pivot: Member | None, need: int, width: int, words: int) -> None:
+    """Compare left with right, or within left where right is None; pivot: a member that the others are compared with first."""
+    both = left if right is None else left + right
+    if len(both) <= FEW:
+        for i, x in enumerate(left):
+            for y in left[i + 1 :] if right is None else right:
                 if not (x.done.all() and y.done.all()):
-                    compare(x, y, percent)
+                    compare(x, y, need, width, words)
         return
-    both = left if right is None else left + right
-    _, inv = np.unique(np.concatenate([x.codes for x in both]), return_inverse=True)
-    ids = np.split(inv, np.cumsum([len(x.codes) for x in both])[:-1])
-    left_ids, right_ids = ids[: len(left)], ids[len(both) - len(others) :]
-    n = int(inv.max()) + 1
-    for xs, x_ids, ys, y_ids in ((left, left_ids, others, right_ids), (right, right_ids, left, left_ids)):
-        if xs is None or all(x.done.all() for x in xs):
+    if pivot is not None:
+        others = [m for m in both if m is not pivot and m.ctx != pivot.ctx]
+        if others:
+            _like_pivot(others, pivot, need, width, words)
+    sides = [(left, left)] if right is None else [(left, right), (right, left)]
+    values, inverse = np.unique(np.concatenate([m.codes for m in both]), return_inverse=True)
+    ids = dict(zip(map(id, both), np.split(inverse, np.cumsum([len(m.codes) for m in both])[:-1]), strict=True))
+    for askers, others in sides:
+        asking = [x for x in askers if not x.done.all()]
+        if not asking:
             continue
-        holds = np.zeros((n, len(ys)), dtype=np.float32)
-        for k, i in enumerate(y_ids):
-            holds[i, k] = 1
-        least = np.array([y.least for y in ys])
-        for x, i in zip(xs, x_ids, strict=True):
-            todo = ~x.done
-            if todo.any():
-                can = (100 + percent) * (x.firsts[todo] @ holds[i]) >= percent * (x.window_sizes()[todo][:, None] + least[None, :])
-                for k in np.flatnonzero(can.any(axis=0)):
-                    if ys[k] is not x and (can[:, k] & ~x.done[todo]).any():
-                        compare(x, ys[k], percent)
-
-
-_FOUND = pa.schema([("h", pa.int64()), ("ctx", pa.int64()), ("a", pa.int32()), ("b", pa.int32())])
+        flat = np.concatenate([ids[id(y)] for y in others])
+        holder = np.repeat(np.arange(len(others)), [len(y.codes) for y in others])
+        order = np.argsort(flat, kind="stable")
+        flat, holder = flat[order], holder[order]
+        begin = np.searchsorted(flat, np.arange(len(values) + 1))
+        for x in asking:
+            own = ids[id(x)]
+            wanted = np.zeros(len(own) + 1, dtype=np.int32)  # the codes of its open windows
+            start = np.flatnonzero(~x.done)
+            np.add.at(wanted, start, 1)
+            np.add.at(wanted, start + width, -1)
+            sought = np.unique(own[np.cumsum(wanted)[: len(own)] > 0])
+            shared = np.bincount(np.concatenate([holder[begin[v] : begin[v + 1]] for v in sought.tolist()]), minlength=len(others))
+            can = np.flatnonzero(shared >= need)
+            for k in can[np.argsort(-shared[can], kind="stable")].tolist():
+                if others[k] is not x:
+                    compare(x, others[k], need, width, words)
+                    if x.done.all():
+                        break
+
+
+_FOUND = pa.schema([("sig", pa.int64()), ("ctx", pa.int64()), ("row", pa.binary()), ("kind", pa.int8()), ("at", pa.int32()), ("s", pa.int32()), ("e", pa.int32())])
 
 
 def runs(done: np.ndarray) -> list[tuple[int, int]]:
@@ -250,47 +374,62 @@ def runs(done: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(np.flatnonzero(edge > 0).tolist(), (np.flatnonzero(edge < 0) - 1).tolist(), strict=True))
 
 
-def _compared(width: int, percent: int):
-    """Rows sorted by h, bi and bj: the runs of windows with a partner, of each class and pair of blocks."""
+def _compared(width: int, percent: int, words: int):
+    """Rows sorted by sig, bi and bj: the runs of windows with a partner, of each class and pair of blocks."""
+    need = least_shared(width, percent)
 
-    def settle(table: pa.Table, out: list[list]) -> None:
-        h, bi, bj = (table.column(c)[0].as_py() for c in ("h", "bi", "bj"))
-        sides: tuple[dict[int, Stretch], dict[int, Stretch]] = ({}, {})
-        for own, ctx, off, *place, codes in zip(*(table.column(c).to_pylist() for c in ("own", "ctx", "off", "row", "pos", "row2", "pos2", "codes")), strict=True):
-            side = sides[0] if own == bi else sides[1]
-            if ctx not in side:  # a text that is given twice gives its stretches twice
-                side[ctx] = Stretch(np.frombuffer(codes, dtype=np.uint32), off, ((place[0], place[1]), (place[2], place[3])), width)
-        if bi != bj and not (sides[0] and sides[1]):
-            return
-        compare_blocks(list(sides[0].values()), None if bi == bj else list(sides[1].values()), percent)
-        for side in sides:
-            for ctx, x in side.items():
-                if x.places[0] == x.places[1]:  # else known
-                    for a, b in runs(x.done):
-                        for col, v in zip(out, (h, ctx, a, b), strict=True):
-                            col.append(v)
-
-    def batch_of(out):
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _FOUND, strict=True)], schema=_FOUND)
+    def settle(columns: dict[str, list], out: list[list]) -> None:
+        bi, bj = columns["bi"][0], columns["bj"][0]
+        sides: tuple[dict[int, Member], dict[int, Member]] = ({}, {})
+        pivot, rows = None, {}
+        for own, ctx, a, off, row, row2, a2, kind, codes in zip(*(columns[c] for c in ("own", "ctx", "a", "off", "row", "row2", "a2", "kind", "codes")), strict=True):
+            side = sides[0] if own == bi else sides[1] if own == bj else None
+            if side is not None and ctx in side:
+                continue
+            m = Member(np.frombuffer(codes, dtype=np.uint32), off, ((row, a), (row2, a2)), kind, ctx, width)
+            if kind & PIVOT:
+                pivot = m
+            rows[ctx] = (row, a)
+            if side is not None:
+                side[ctx] = m
+        compare_group(list(sides[0].values()), None if bi == bj else list(sides[1].values()), pivot, need, width, words)
+        members = {**sides[0], **sides[1]} | ({pivot.ctx: pivot} if pivot is not None else {})
+        for ctx, m in members.items():
+            if not m.kind & REPEATED:  # else known
+                for s, e in runs(m.done):
+                    for col, v in zip(out, (columns["sig"][0], ctx, rows[ctx][0], m.kind & SEVERAL, rows[ctx][1], s, e), strict=True):
+                        col.append(v)
 
     def run(batches):
-        rest = None
+        rest: dict[str, list] = {f.name: [] for f in _MEMBERS}
+        out: list[list] = [[] for _ in _FOUND]
+
+        def flush():
+            nonlocal out
+            batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _FOUND, strict=True)], schema=_FOUND)
+            out = [[] for _ in _FOUND]
+            return batch
+
+        last = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            table = table if rest is None else pa.concat_tables([rest, table]).combine_chunks()
-            keys = [table.column(c).to_numpy() for c in ("h", "bi", "bj")]
-            cuts = [0, *(np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1).tolist()]
-            out: list[list] = [[], [], [], []]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                settle(table.slice(a, b - a), out)
-            rest = table.slice(cuts[-1])
-            yield batch_of(out)
-        if rest is not None:
-            out = [[], [], [], []]
+            columns = {f.name: batch.column(f.name).to_pylist() for f in _MEMBERS}
+            keys = list(zip(columns["sig"], columns["bi"], columns["bj"], strict=True))
+            start = 0
+            for k in range(len(keys)):
+                if keys[k] != last:
+                    if last is not None:
+                        for name, values in rest.items():
+                            values += columns[name][start:k]
+                        settle(rest, out)
+                        rest = {f.name: [] for f in _MEMBERS}
+                    start, last = k, keys[k]
+            for name, values in rest.items():
+                values += columns[name][start:]
+            if len(out[0]):
+                yield flush()
+        if last is not None:
             settle(rest, out)
-            yield batch_of(out)
+        yield flush()
 
     return run
 
@@ -299,26 +438,37 @@ def repeated_passages(docs: DataFrame, words: int = 50, size: int = 5, percent:
     """doc_id, n_spans, n_repeat_words and spans (start:end in words, end exclusive, comma-joined) of texts with repeats."""
     width = words - size + 1
     spark = docs.sparkSession
-    texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
-    bits = sketch_bits(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    bits = sketch_bits(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0, SKETCH_BITS)
     merged = texts.select("text").mapInArrow(_count(size, bits), "block long, ones binary, more binary").groupBy("block").applyInArrow(_merge_blocks, "block long, bits binary")
-    sketch = spark.sparkContext.broadcast({r["block"]: bytes(r["bits"]) for r in merged.toLocalIterator()})  # as in op4
-    found_seeds = keep(texts.select("row", "text").mapInArrow(_emit(size, width, percent, bits, sketch), "row long, h long, ctx long, pos int, lo int, hi int"), "seeds")
-    place = F.struct("row", "pos")
-    classes = found_seeds.groupBy("h", "ctx").agg(F.min(F.struct("row", "pos", "lo", "hi")).alias("x"), F.max(place).alias("y"))
-    classes = keep(classes.select("h", "ctx", "x.*", F.col("y.row").alias("row2"), F.col("y.pos").alias("pos2")), "classes")
-    several = classes.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb"))
-    asked = classes.join(several, "h").groupBy("row").agg(F.collect_list(F.struct("h", "nb", "ctx", "pos", "lo", "hi", "row2", "pos2")).alias("asked"))
-    stretches = texts.select("row", "text").join(asked, "row").mapInArrow(_stretches(size, width), "h long, nb int, ctx long, pos int, off int, row long, row2 long, pos2 int, codes binary")
-    dealt = stretches.withColumn("own", F.pmod(F.xxhash64("ctx", F.lit(7)), F.col("nb")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    dealt = dealt.withColumn("bi", F.least("own", "other")).withColumn("bj", F.greatest("own", "other")).drop("other", "nb")
-    alike = dealt.repartition("h", "bi", "bj").sortWithinPartitions("h", "bi", "bj").mapInArrow(_compared(width, percent), "h long, ctx long, a int, b int")
-    exact = classes.where("row <> row2 or pos <> pos2").select("h", "ctx", F.lit(0).alias("a"), (F.col("hi") - F.col("lo")).alias("b"))
-    found = keep(alike.unionByName(exact), "found")
-    spans = found_seeds.join(found, ["h", "ctx"]).select("row", (F.col("lo") + F.col("a")).alias("s"), (F.col("lo") + F.col("b") + words).alias("e"))
-    ends = spans.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("ends"))
-    ids = texts.select("row", "doc_id").distinct()
-    drop(classes)
+    sketch = spark.sparkContext.broadcast({r["block"]: bytes(r["bits"]) for r in merged.where("block >= 0").toLocalIterator()})  # as in op4
+    found_runs = keep(texts.mapInArrow(_emit(size, width, percent, bits, sketch), _RUNS_DDL), "runs")
+    flat = found_runs.where("size(sig) > 0").select("row", F.inline(F.arrays_zip("sig", "ctx", "a", "b", "off")))
+    classes = flat.groupBy("sig", "ctx").agg(F.min(F.struct("row", "a", "b", "off")).alias("x"), F.max(F.struct("row", "a")).alias("y"), F.count(F.lit(1)).alias("n"))
+    kind = F.when((F.col("y.row") != F.col("x.row")) | (F.col("y.a") - F.col("x.a") >= words), REPEATED).when(F.col("y.a") > F.col("x.a"), SEVERAL).otherwise(SINGLE)
+    classes = keep(classes.select("sig", "ctx", "x.*", F.col("y.row").alias("row2"), F.col("y.a").alias("a2"), "n", kind.alias("kind")), "classes")
+    # groups of several classes, of which one at least is open
+    groups = classes.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.max(F.struct("n", "ctx")).alias("pivot"), F.min("kind").alias("least")).where((F.col("m") > 1) & (F.col("least") < REPEATED))
+    groups = groups.select("sig", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb"), F.col("pivot.ctx").alias("pivot"))
+    asked = classes.join(groups, "sig").withColumn("kind", F.col("kind") + F.when(F.col("ctx") == F.col("pivot"), PIVOT).otherwise(0))
+    asked = asked.groupBy("row").agg(F.collect_list(F.struct("sig", "nb", "ctx", "a", "b", "off", "row2", "a2", "kind")).alias("asked"))  # a text's own pieces
+    store = found_runs.where("codes is not null").select("row", "at", "codes").dropDuplicates(["row"])
+    members = store.join(asked, "row").mapInArrow(_members(width), _MEMBERS_DDL)
+    alike = members.repartition("sig", "bi", "bj").sortWithinPartitions("sig", "bi", "bj").mapInArrow(_compared(width, percent, words), "sig long, ctx long, row binary, kind byte, at int, s int, e int")
+    alike = keep(alike, "alike")
+    # a class in one place is that place; others are looked up
+    spans = alike.where(F.col("kind") != SEVERAL).select("row", (F.col("at") + F.col("s")).alias("s"), (F.col("at") + F.col("e") + words).alias("e"))
+    repeated = classes.where(F.col("kind") == REPEATED).select("sig", "ctx", F.lit(0).alias("s"), (F.col("b") - F.col("a")).alias("e"), F.col("row").alias("row1"), F.col("a").alias("a1"), "row2", "a2")
+    nowhere = [F.lit(None).cast("binary").alias("row1"), F.lit(None).cast("int").alias("a1"), F.lit(None).cast("binary").alias("row2"), F.lit(None).cast("int").alias("a2")]
+    repeated = repeated.unionByName(alike.where(F.col("kind") == SEVERAL).select("sig", "ctx", "s", "e", *nowhere))
+    here = F.col("row1").isNull() | (F.col("row") != F.col("row1")) | (F.col("row") != F.col("row2")) | (F.col("a") - F.col("a1") >= words) | (F.col("a2") - F.col("a") >= words)
+    spans = spans.unionByName(flat.select("row", "sig", "ctx", "a").join(repeated, ["sig", "ctx"]).where(here).select("row", (F.col("a") + F.col("s")).alias("s"), (F.col("a") + F.col("e") + words).alias("e")))
+    ids = found_runs.select("doc_id", "row", "n_words").distinct()
+    copied = ids.groupBy("row").agg(F.count(F.lit(1)).alias("n"), F.first("n_words").alias("n_words")).where("n > 1")
+    spans = spans.unionByName(copied.select("row", F.lit(0).alias("s"), F.col("n_words").alias("e")))
+    ends = keep(spans.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("ends")), "ends")  # no more than a text has pieces
+    for kept in (classes, alike):
+        drop(kept)
 
     def unite(batches):
         for batch in batches:
@@ -333,4 +483,4 @@ def repeated_passages(docs: DataFrame, words: int = 50, size: int = 5, percent:
                 out.append(merged)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(m) for m in out], pa.int64()), pa.array([sum(b - a for a, b in m) for m in out], pa.int64()), pa.array([",".join(f"{a}:{b}" for a, b in m) for m in out], pa.string())], names=["doc_id", "n_spans", "n_repeat_words", "spans"])
 
-    return ends.join(ids, "row").select("doc_id", "ends").mapInArrow(unite, "doc_id long, n_spans long, n_repeat_words long, spans string")
+    return ids.join(ends, "row").select("doc_id", "ends").mapInArrow(unite, "doc_id long, n_spans long, n_repeat_words long, spans string")
