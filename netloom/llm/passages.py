@@ -1,12 +1,13 @@
 """Near-duplicate passages by compact windows (Deng et al., "Near-Duplicate Sequence Search at Scale", 2023).
 
 A text is a sequence of five-word shingles, and a passage is a window of `words` words, so of w = words - size + 1
-shingles.  Two passages are repeats if the multisets of their shingles have a Jaccard similarity of percent or more, and
-they lie in different texts or in one text without sharing a word.  Texts of the same words, in lower case, are one text;
-a text that several documents hold is repeated from end to end.
+shingles.  Two passages of different texts are repeats if the multisets of their shingles have a Jaccard similarity of
+percent or more; two passages of one text that share no word are repeats if they are equal.  Texts of the same words, in
+lower case, are one text; a text that several documents hold is repeated from end to end.
 
-1. A counted sketch (as op4's) tells which shingles may occur again.  A passage that has a partner shares
-   least_shared() shingles with it, so only passages with that many shingles that occur again live on.
+1. A counted sketch (as op4's) tells which shingles other documents may hold.  A passage that has a partner shares
+   least_shared() shingles with it, so only passages with that many such shingles live on.  Equal passages of one text
+   are found where it is read.
 2. For each hash function the Cartesian tree over the hashes of a stretch of living passages gives its compact windows
    (l, c, r): all sequences within [l, r] that hold c have their least hash at c.  Nodes whose windows are shorter than w
    are left out.
@@ -67,8 +68,10 @@ def _tops(hashes: np.ndarray, ok: np.ndarray, width: int) -> np.ndarray:
     values = least[ok]
     new = np.flatnonzero(np.concatenate(([True], (values[1:] != values[:-1]) | (ok[1:] != ok[:-1] + 1))))
     out = []
-    for k, start in zip(new.tolist(), ok[new].tolist(), strict=True):
-        out.append(start + int((hashes[start : start + width] == values[k]).argmax()))
+    for value, start, stop in zip(values[new], ok[new].tolist(), ok[np.append(new[1:], len(ok)) - 1].tolist(), strict=True):
+        while start <= stop:  # a value that comes again takes over where its first place falls out
+            out.append(start + int((hashes[start : start + width] == value).argmax()))
+            start = out[-1] + 1
     return np.unique(np.array(out, dtype=np.int64))
 
 
@@ -96,20 +99,25 @@ def compact_windows(hashes: np.ndarray, lo: np.ndarray, hi: np.ndarray, ok: np.n
 
 def pieces(codes: np.ndarray, lo: np.ndarray, hi: np.ndarray, width: int, bands: int = BANDS):
     """(band, signature, first start, last start, place of the first function's least hash) over stretches of codes."""
-    n = hi - lo - width + 1  # windows of each stretch
-    ok = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+    # stretches may overlap, so each is laid out by itself
+    size = hi - lo
+    base = np.cumsum(size) - size
+    codes = codes[np.repeat(lo - base, size) + np.arange(int(size.sum()))]
+    n = size - width + 1  # windows of each stretch
+    ok = np.repeat(base - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
     out = []
     for band in range(bands):
         joined = []
         for k in (2 * band, 2 * band + 1):
             hashes = W.mix(codes ^ _seed(k))
-            left, c, right = compact_windows(hashes, lo, hi, ok, width)
+            left, c, right = compact_windows(hashes, base, base + size, ok, width)
             first = np.maximum(left, c - width + 1)  # the starts of its windows of width places
             joined.append((first, np.minimum(c, right - width + 1), hashes[c], c))
         (first1, last1, value1, c1), (first2, last2, value2, _) = joined
         start = np.union1d(first1, first2)
         i, j = np.searchsorted(first1, start, side="right") - 1, np.searchsorted(first2, start, side="right") - 1
-        out.append((np.full(len(start), band), W.mix(value1[i] * np.uint64(3) + W.mix(value2[j] + np.uint64(band))), start, np.minimum(last1[i], last2[j]), c1[i]))
+        back = (lo - base)[np.searchsorted(base, start, side="right") - 1]
+        out.append((np.full(len(start), band), W.mix(value1[i] * np.uint64(3) + W.mix(value2[j] + np.uint64(band))), start + back, np.minimum(last1[i], last2[j]) + back, c1[i] + back))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -122,17 +130,12 @@ def _unsketched(blocks: dict[int, bytes], cell_bits: int) -> np.ndarray:
     return seen
 
 
-_RUNS = pa.schema([("doc_id", pa.int64()), ("row", pa.binary()), ("n_words", pa.int32()), ("at", pa.list_(pa.int32())), ("codes", pa.binary()), ("sig", pa.list_(pa.int64())), ("ctx", pa.list_(pa.int64())), ("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32())), ("off", pa.list_(pa.int16()))])
-_RUNS_DDL = "doc_id long, row binary, n_words int, at array<int>, codes binary, sig array<long>, ctx array<long>, a array<int>, b array<int>, off array<short>"
+_RUNS = pa.schema([("doc_id", pa.int64()), ("row", pa.binary()), ("n_words", pa.int32()), ("at", pa.list_(pa.int32())), ("codes", pa.binary()), ("sig", pa.list_(pa.int64())), ("ctx", pa.list_(pa.int64())), ("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32())), ("off", pa.list_(pa.int16())), ("own", pa.list_(pa.int32()))])
+_RUNS_DDL = "doc_id long, row binary, n_words int, at array<int>, codes binary, sig array<long>, ctx array<long>, a array<int>, b array<int>, off array<short>, own array<int>"
 
 
 def _alive(s: np.ndarray, begin: np.ndarray, end: np.ndarray, again: np.ndarray, width: int, need: int) -> tuple[np.ndarray, np.ndarray]:
     """[lo, hi) of the stretches of s, within its texts [begin, end), whose windows all have need shingles that come again."""
-    # a shingle may come again in its own text
-    rest = np.flatnonzero(~again)
-    order = rest[np.argsort(s[rest], kind="stable")]
-    same = (s[order[1:]] == s[order[:-1]]) & (np.searchsorted(begin, order[1:], side="right") == np.searchsorted(begin, order[:-1], side="right"))
-    again[order[1:][same]] = again[order[:-1][same]] = True
     sums = np.concatenate(([0], np.cumsum(again)))
     ok = np.zeros(len(s) + 1, dtype=bool)
     ok[: len(s) - width + 1] = sums[width:] - sums[:-width] >= need
@@ -145,6 +148,30 @@ def _alive(s: np.ndarray, begin: np.ndarray, end: np.ndarray, again: np.ndarray,
     return np.flatnonzero(edge > 0), np.flatnonzero(edge < 0) + width - 1
 
 
+def _own_repeats(s: np.ndarray, begin: np.ndarray, end: np.ndarray, width: int, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted starts of the windows that come again, word for word and words away or more, in their own text; their texts."""
+    text = np.repeat(np.arange(len(begin)), end - begin)
+    order = np.argsort(s, kind="stable")
+    same = (s[order[1:]] == s[order[:-1]]) & (text[order[1:]] == text[order[:-1]])
+    twice = np.zeros(len(s) + 1, dtype=np.int64)
+    twice[order[1:][same]] = twice[order[:-1][same]] = 1
+    sums = np.concatenate(([0], np.cumsum(twice[:-1])))
+    start = np.flatnonzero(sums[width:] - sums[:-width] == width)
+    start = start[start + width <= end[text[start]]]
+    if not len(start):
+        return start, start
+    up, down = W._power_tables(len(s) + 1)
+    total = np.zeros(len(s) + 1, dtype=np.uint64)
+    np.cumsum(s * up[: len(s)], out=total[1:])
+    code = W.mix((total[start + width] - total[start]) * down[start] + text[start].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    _, kind = np.unique(code, return_inverse=True)
+    first, last = np.full(kind.max() + 1, len(s)), np.full(kind.max() + 1, -1)
+    np.minimum.at(first, kind, start)
+    np.maximum.at(last, kind, start)
+    start = start[(start - first[kind] >= words) | (last[kind] - start >= words)]
+    return start, text[start]
+
+
 def _emit(size: int, width: int, percent: int, cell_bits: int, sketch):
     need = least_shared(width, percent)
 
@@ -179,7 +206,11 @@ def _emit(size: int, width: int, percent: int, cell_bits: int, sketch):
                     full = end > begin
                     lo, hi = _alive(s, begin[full], end[full], again, width, need)
                     if len(lo):
-                        lists = _arrays(s, begin, end, lo, hi, width)
+                        lists[:-1] = _arrays(s, begin, end, lo, hi, width)
+                    start, text = _own_repeats(s, begin, end, width, width + size - 1)
+                    new = np.flatnonzero(np.concatenate(([True], (start[1:] != start[:-1] + 1) | (text[1:] != text[:-1])))) if len(start) else start
+                    spans = np.stack((start[new], start[np.append(new[1:], len(start)) - 1] + width + size - 1), axis=1) - begin[text[new]][:, None] if len(start) else np.zeros((0, 2))
+                    lists[-1] = (pa.array(np.concatenate(([0], 2 * np.cumsum(np.bincount(text[new], minlength=len(begin))))).astype(np.int32)), spans.ravel().astype(np.int32))
                 arrays = [pa.array(c, type=f.type) for c, f in zip(cols[:3], _RUNS, strict=False)]
                 for (offsets, values), f in zip(lists, list(_RUNS)[3:], strict=True):
                     if f.name == "codes":
@@ -270,15 +301,17 @@ class Member:
 def _counts(codes: np.ndarray, kinds: np.ndarray, width: int) -> np.ndarray:
     """How often each of kinds (sorted) stands in each window of codes."""
     hit = np.zeros((len(codes) + 1, len(kinds)), dtype=np.int16)
-    at = np.searchsorted(kinds, codes)
-    known = np.flatnonzero(kinds[np.minimum(at, len(kinds) - 1)] == codes)
+    at = np.minimum(np.searchsorted(kinds, codes), len(kinds) - 1)
+    known = np.flatnonzero(kinds[at] == codes)
     hit[known + 1, at[known]] = 1
     sums = np.cumsum(hit, axis=0, dtype=np.int16)
     return sums[width:] - sums[:-width]
 
 
-def compare(x: Member, y: Member, need: int, width: int, words: int) -> None:
-    """Mark the windows of x and y that are alike."""
+def compare(x: Member, y: Member, need: int, width: int) -> None:
+    """Mark the windows of x and y that are alike, if another text than x's holds y."""
+    if x.places[0][0] == x.places[1][0] == y.places[0][0] == y.places[1][0]:
+        return
     if x.distinct and y.distinct:
         sums = np.zeros((len(x.codes) + 1, len(y.codes) + 1), dtype=np.int16)
         np.cumsum(np.cumsum(x.codes[:, None] == y.codes[None, :], axis=0, dtype=np.int16), axis=1, out=sums[1:, 1:])
@@ -288,16 +321,16 @@ def compare(x: Member, y: Member, need: int, width: int, words: int) -> None:
         if not len(kinds):
             return
         cx, cy = _counts(x.codes, kinds, width), _counts(y.codes, kinds, width)
-        good = np.stack([np.minimum(row, cy).sum(axis=1) >= need for row in cx])
-    if x.places[0][0] == x.places[1][0] == y.places[0][0] == y.places[1][0]:  # one text: its passages mustn't share a word
-        places = [(p, q) for p in set(x.places) for q in set(y.places)]
-        apart = np.arange(len(x.done))[:, None] - np.arange(len(y.done))[None, :]
-        good &= np.any([np.abs(apart + p[1] - q[1]) >= words for p, q in places], axis=0)
+        # the sum of least counts: a column for each time that both hold a code
+        times = np.minimum(cx.max(axis=0), cy.max(axis=0)).astype(np.int64)
+        column = np.repeat(np.arange(len(kinds)), times)
+        level = np.arange(len(column)) - np.repeat(np.cumsum(times) - times, times) + 1
+        good = (cx[:, column] >= level).astype(np.float32) @ (cy[:, column] >= level).astype(np.float32).T >= need
     x.done |= good.any(axis=1)
     y.done |= good.any(axis=0)
 
 
-def _like_pivot(members: list[Member], pivot: Member, need: int, width: int, words: int) -> None:
+def _like_pivot(members: list[Member], pivot: Member, need: int, width: int) -> None:
     """compare() each of many members with one: by shingles that stand side by side first."""
     size = max(len(m.codes) for m in members)
     table = np.zeros((len(members), size + width), dtype=np.uint64)
@@ -321,22 +354,22 @@ def _like_pivot(members: list[Member], pivot: Member, need: int, width: int, wor
                 m.done[i : i + len(good)] |= good
                 pivot.done[j : j + len(good)] |= good
         if (~m.done & (most[k, :n] >= need)).any() or not pivot.done.all():
-            compare(m, pivot, need, width, words)
+            compare(m, pivot, need, width)
 
 
-def compare_group(left: list[Member], right: list[Member] | None, pivot: Member | None, need: int, width: int, words: int) -> None:
+def compare_group(left: list[Member], right: list[Member] | None, pivot: Member | None, need: int, width: int) -> None:
     """Compare left with right, or within left where right is None; pivot: a member that the others are compared with first."""
     both = left if right is None else left + right
     if len(both) <= FEW:
         for i, x in enumerate(left):
             for y in left[i + 1 :] if right is None else right:
                 if not (x.done.all() and y.done.all()):
-                    compare(x, y, need, width, words)
+                    compare(x, y, need, width)
         return
     if pivot is not None:
         others = [m for m in both if m is not pivot and m.ctx != pivot.ctx]
         if others:
-            _like_pivot(others, pivot, need, width, words)
+            _like_pivot(others, pivot, need, width)
     sides = [(left, left)] if right is None else [(left, right), (right, left)]
     values, inverse = np.unique(np.concatenate([m.codes for m in both]), return_inverse=True)
     ids = dict(zip(map(id, both), np.split(inverse, np.cumsum([len(m.codes) for m in both])[:-1]), strict=True))
@@ -344,23 +377,20 @@ def compare_group(left: list[Member], right: list[Member] | None, pivot: Member
         asking = [x for x in askers if not x.done.all()]
         if not asking:
             continue
-        flat = np.concatenate([ids[id(y)] for y in others])
-        holder = np.repeat(np.arange(len(others)), [len(y.codes) for y in others])
-        order = np.argsort(flat, kind="stable")
-        flat, holder = flat[order], holder[order]
-        begin = np.searchsorted(flat, np.arange(len(values) + 1))
+        holds = np.zeros((len(values), len(others)), dtype=bool)
+        for k, y in enumerate(others):
+            holds[ids[id(y)], k] = True
         for x in asking:
-            own = ids[id(x)]
-            wanted = np.zeros(len(own) + 1, dtype=np.int32)  # the codes of its open windows
-            start = np.flatnonzero(~x.done)
-            np.add.at(wanted, start, 1)
-            np.add.at(wanted, start + width, -1)
-            sought = np.unique(own[np.cumsum(wanted)[: len(own)] > 0])
-            shared = np.bincount(np.concatenate([holder[begin[v] : begin[v + 1]] for v in sought.tolist()]), minlength=len(others))
-            can = np.flatnonzero(shared >= need)
-            for k in can[np.argsort(-shared[can], kind="stable")].tolist():
+            if x.done.all():  # by now
+                continue
+            # places of each open window whose codes another member holds, wherever it holds them
+            sums = np.zeros((len(x.codes) + 1, len(others)), dtype=np.int16)
+            np.cumsum(holds[ids[id(x)]], axis=0, dtype=np.int16, out=sums[1:])
+            most = (sums[width:] - sums[:-width])[~x.done].max(axis=0)
+            can = np.flatnonzero(most >= need)
+            for k in can[np.argsort(-most[can], kind="stable")].tolist():
                 if others[k] is not x:
-                    compare(x, others[k], need, width, words)
+                    compare(x, others[k], need, width)
                     if x.done.all():
                         break
 
@@ -370,11 +400,15 @@ _FOUND = pa.schema([("sig", pa.int64()), ("ctx", pa.int64()), ("row", pa.binary(
 
 def runs(done: np.ndarray) -> list[tuple[int, int]]:
     """The first and last place of each run of true ones."""
+    if done.all():
+        return [(0, len(done) - 1)]
+    if not done.any():
+        return []
     edge = np.diff(np.concatenate(([0], done.astype(np.int8), [0])))
     return list(zip(np.flatnonzero(edge > 0).tolist(), (np.flatnonzero(edge < 0) - 1).tolist(), strict=True))
 
 
-def _compared(width: int, percent: int, words: int):
+def _compared(width: int, percent: int):
     """Rows sorted by sig, bi and bj: the runs of windows with a partner, of each class and pair of blocks."""
     need = least_shared(width, percent)
 
@@ -392,7 +426,7 @@ def _compared(width: int, percent: int, words: int):
             rows[ctx] = (row, a)
             if side is not None:
                 side[ctx] = m
-        compare_group(list(sides[0].values()), None if bi == bj else list(sides[1].values()), pivot, need, width, words)
+        compare_group(list(sides[0].values()), None if bi == bj else list(sides[1].values()), pivot, need, width)
         members = {**sides[0], **sides[1]} | ({pivot.ctx: pivot} if pivot is not None else {})
         for ctx, m in members.items():
             if not m.kind & REPEATED:  # else known
@@ -445,24 +479,24 @@ def repeated_passages(docs: DataFrame, words: int = 50, size: int = 5, percent:
     found_runs = keep(texts.mapInArrow(_emit(size, width, percent, bits, sketch), _RUNS_DDL), "runs")
     flat = found_runs.where("size(sig) > 0").select("row", F.inline(F.arrays_zip("sig", "ctx", "a", "b", "off")))
     classes = flat.groupBy("sig", "ctx").agg(F.min(F.struct("row", "a", "b", "off")).alias("x"), F.max(F.struct("row", "a")).alias("y"), F.count(F.lit(1)).alias("n"))
-    kind = F.when((F.col("y.row") != F.col("x.row")) | (F.col("y.a") - F.col("x.a") >= words), REPEATED).when(F.col("y.a") > F.col("x.a"), SEVERAL).otherwise(SINGLE)
+    kind = F.when(F.col("y.row") != F.col("x.row"), REPEATED).when(F.col("y.a") > F.col("x.a"), SEVERAL).otherwise(SINGLE)
     classes = keep(classes.select("sig", "ctx", "x.*", F.col("y.row").alias("row2"), F.col("y.a").alias("a2"), "n", kind.alias("kind")), "classes")
-    # groups of several classes, of which one at least is open
-    groups = classes.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.max(F.struct("n", "ctx")).alias("pivot"), F.min("kind").alias("least")).where((F.col("m") > 1) & (F.col("least") < REPEATED))
+    # groups of several classes and texts, of which one class at least is open
+    groups = classes.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.max(F.struct("n", "ctx")).alias("pivot"), F.min("kind").alias("least"), F.min("row").alias("row"), F.max("row2").alias("row2")).where((F.col("m") > 1) & (F.col("least") < REPEATED) & (F.col("row") != F.col("row2")))
     groups = groups.select("sig", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb"), F.col("pivot.ctx").alias("pivot"))
     asked = classes.join(groups, "sig").withColumn("kind", F.col("kind") + F.when(F.col("ctx") == F.col("pivot"), PIVOT).otherwise(0))
     asked = asked.groupBy("row").agg(F.collect_list(F.struct("sig", "nb", "ctx", "a", "b", "off", "row2", "a2", "kind")).alias("asked"))  # a text's own pieces
     store = found_runs.where("codes is not null").select("row", "at", "codes").dropDuplicates(["row"])
     members = store.join(asked, "row").mapInArrow(_members(width), _MEMBERS_DDL)
-    alike = members.repartition("sig", "bi", "bj").sortWithinPartitions("sig", "bi", "bj").mapInArrow(_compared(width, percent, words), "sig long, ctx long, row binary, kind byte, at int, s int, e int")
+    alike = members.repartition("sig", "bi", "bj").sortWithinPartitions("sig", "bi", "bj").mapInArrow(_compared(width, percent), "sig long, ctx long, row binary, kind byte, at int, s int, e int")
     alike = keep(alike, "alike")
     # a class in one place is that place; others are looked up
     spans = alike.where(F.col("kind") != SEVERAL).select("row", (F.col("at") + F.col("s")).alias("s"), (F.col("at") + F.col("e") + words).alias("e"))
-    repeated = classes.where(F.col("kind") == REPEATED).select("sig", "ctx", F.lit(0).alias("s"), (F.col("b") - F.col("a")).alias("e"), F.col("row").alias("row1"), F.col("a").alias("a1"), "row2", "a2")
-    nowhere = [F.lit(None).cast("binary").alias("row1"), F.lit(None).cast("int").alias("a1"), F.lit(None).cast("binary").alias("row2"), F.lit(None).cast("int").alias("a2")]
-    repeated = repeated.unionByName(alike.where(F.col("kind") == SEVERAL).select("sig", "ctx", "s", "e", *nowhere))
-    here = F.col("row1").isNull() | (F.col("row") != F.col("row1")) | (F.col("row") != F.col("row2")) | (F.col("a") - F.col("a1") >= words) | (F.col("a2") - F.col("a") >= words)
-    spans = spans.unionByName(flat.select("row", "sig", "ctx", "a").join(repeated, ["sig", "ctx"]).where(here).select("row", (F.col("a") + F.col("s")).alias("s"), (F.col("a") + F.col("e") + words).alias("e")))
+    repeated = classes.where(F.col("kind") == REPEATED).select("sig", "ctx", F.lit(0).alias("s"), (F.col("b") - F.col("a")).alias("e"))
+    repeated = repeated.unionByName(alike.where(F.col("kind") == SEVERAL).select("sig", "ctx", "s", "e"))
+    spans = spans.unionByName(flat.select("row", "sig", "ctx", "a").join(repeated, ["sig", "ctx"]).select("row", (F.col("a") + F.col("s")).alias("s"), (F.col("a") + F.col("e") + words).alias("e")))
+    own = found_runs.where("size(own) > 0").select("row", F.posexplode("own").alias("k", "x")).groupBy("row", F.floor(F.col("k") / 2).alias("k"))
+    spans = spans.unionByName(own.agg(F.min("x").alias("s"), F.max("x").alias("e")).select("row", "s", "e"))
     ids = found_runs.select("doc_id", "row", "n_words").distinct()
     copied = ids.groupBy("row").agg(F.count(F.lit(1)).alias("n"), F.first("n_words").alias("n_words")).where("n > 1")
     spans = spans.unionByName(copied.select("row", F.lit(0).alias("s"), F.col("n_words").alias("e")))

@@ -312,11 +312,67 @@ def words_of(spans):
     return {w for x in spans.split(",") for w in range(*map(int, x.split(":")))}
 
 
+def test_compact_windows():
+    """Each window of width places lies in the one compact window of its least hash, as by looking at all of them."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for values in (40, 10**6):
+        for width in (1, 2, 5, 8):
+            lengths = [width, 30, 17, 60]
+            hashes = rng.integers(0, values, sum(lengths)).astype(np.uint64)
+            hi = np.cumsum(lengths)
+            lo = hi - lengths
+            ok = np.concatenate([np.arange(a, b - width + 1) for a, b in zip(lo, hi)])
+            found = list(zip(*(x.tolist() for x in passages.compact_windows(hashes, lo, hi, ok, width))))
+            for a, b in zip(lo.tolist(), hi.tolist()):
+                own = [x for x in found if a <= x[1] < b]
+                for start in range(a, b):
+                    for end in range(start + width, b + 1):
+                        least = start + int(hashes[start:end].argmin())
+                        assert [c for left, c, right in own if left <= start <= c < end <= right + 1] == [least]
+            band, sig, first, last, _ = passages.pieces(hashes, lo, hi, width)
+            lo, hi = np.append(lo, 40), np.append(hi, 40 + 2 * width)  # stretches may overlap
+            longer = passages.pieces(hashes, lo, hi, width)
+            extra = sorted(range(40, 40 + width + 1))
+            assert all(sorted(s for x, f, g in zip(longer[0], longer[2], longer[3]) if x == k for s in range(f, g + 1)) == sorted([*ok.tolist(), *extra]) for k in range(passages.BANDS))
+            assert len(sig) and all(sorted(s for x, f, g in zip(band, first, last) if x == k for s in range(f, g + 1)) == ok.tolist() for k in range(passages.BANDS))
+
+
 def found_passages(spark, texts):
     out = passages.repeated_passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3))
     return {r["doc_id"]: words_of(r["spans"]) for r in out.collect()}
 
 
+def test_repeats_inside_a_text(spark):
+    """Equal passages of one text are repeats, near ones aren't, nor are those that share words; and copies are whole."""
+    rng = random.Random(15)
+    some = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    p, q, r = some(55), some(60), some(60)
+    near = [*q[:30], "x", *q[31:]]
+    texts = {1: some(20) + p + some(30) + p + some(5), 2: q + some(9) + near, 3: ["a", "b", "c"] * 40, 4: r, 5: r, 6: some(49), 7: some(49)}
+    out = found_passages(spark, {k: " ".join(w) for k, w in texts.items()})
+    assert out == {1: {*range(20, 75), *range(105, 160)}, 3: set(range(120)), 4: set(range(60)), 5: set(range(60))}
+    again = [(4, " ".join(r)), (4, " ".join(r)), (None, " ".join(p)), (8, " ".join(p).upper() + "  ")]
+    found = passages.repeated_passages(spark.createDataFrame(again, "doc_id long, text string").selectExpr("*", "doc_id as row", "1 as sig")).collect()
+    assert sorted((r["doc_id"] or -1, r["spans"]) for r in found) == [(-1, "0:55"), (8, "0:55")]
+
+
+def test_multisets_of_repeating_windows():
+    import numpy as np
+    from collections import Counter
+
+    rng = np.random.default_rng(7)
+    for values in (4, 12, 10**6):
+        base = rng.integers(0, values, 14).astype(np.uint32)
+        other = base.copy()
+        other[rng.integers(0, 14, 2)] += 1
+        x, y = (passages.Member(c, 0, ((r, 0), (r, 0)), passages.SINGLE, k, 8) for k, (r, c) in enumerate(((b"x", base), (b"y", other))))
+        passages.compare(x, y, 6, 8)
+        alike = [[sum((Counter(base[i : i + 8].tolist()) & Counter(other[j : j + 8].tolist())).values()) >= 6 for j in range(7)] for i in range(7)]
+        assert x.done.tolist() == [any(row) for row in alike] and y.done.tolist() == [any(c) for c in zip(*alike)]
+
+
 def test_near_passages_are_all_found(spark):
     rng = random.Random(11)
     some = lambda n: [f"v{rng.randrange(400)}" for _ in range(n)]
