@@ -429,3 +429,21 @@ def test_pipeline(spark, tmp_path):
     assert set(out) == {0, 1, 5}
     ours = bpe_automaton.load(bpe_automaton.read_file(spark, public_tokenizers.path("byte_bpe_50k.json")))
     assert "[ASSIGN]" in ours.decode(out[5]["ids"]) and ours.decode(out[0]["ids"]) == data[0][1]
+
+
+def test_pipeline_keeps_unlike_rows(spark, tmp_path):
+    """Rows that differ by where a null stands, repeated rows, null ids, extra columns of odd names; and an empty table."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    a, b, c = text(60), text(60), text(60)
+    data = [(1, a, None, "en", "x", {"k": 1}), (2, b, "en", None, "x", None), (2, b, "en", None, "x", None), (None, c, None, None, None, None), (5, None, "en", "s", "x", None), (5, text(60), "en", "s", "x", None)]
+    schema = "doc_id long, text string, lang string, source string, key string, `group` map<string,int>"
+    docs = spark.createDataFrame(data, schema)
+    out = corpus_pipeline.ngram_jaccard_join(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns and sorted(str(r["doc_id"]) for r in out.collect()) == ["1", "2", "5", "5", "None"]
+    moved = spark.createDataFrame([(1, a, None, "en"), (1, a, "en", None)], "doc_id long, text string, lang string, source string")
+    assert corpus_pipeline.ngram_jaccard_join(spark, moved, str(tmp_path)).count() == 1  # near copies of each other
+    unlike = spark.createDataFrame([(1, a, None, "en"), (1, b, "en", None)], "doc_id long, text string, lang string, source string")
+    assert corpus_pipeline.ngram_jaccard_join(spark, unlike, str(tmp_path)).count() == 2
+    docs.drop("group").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, a)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
