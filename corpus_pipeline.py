@@ -1,4 +1,9 @@
-"""A training-data pipeline over the documents table: five stages, each over all that its predecessor kept."""
+"""A training-data pipeline over the documents table: five stages, each over all that its predecessor kept.
+
+A null text has no words, so the first stage drops it; nulls in other columns, extra columns and an empty table pass
+through all stages.  Rows that are equal in all columns are one document from the second stage on; rows that differ in any
+column, as by where a null stands, are told apart, and of rows of one doc_id each is a document of its own.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.llm import bpe_automaton, decontaminate, jaccard, quality, registry, secrets
-from netloom.llm._shared import keep
+from netloom.llm._shared import drop, keep
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,17 +19,27 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.kept_rows(docs)
 
 
+def _unused(docs: DataFrame, name: str) -> str:
+    """name, or a longer one that is no column of docs."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group whose sets of five-word shingles are linked at 0.8: that of the least doc_id.
 
     Rows equal in all columns are one document.  A null doc_id comes last.
     """
-    key = F.xxhash64(*docs.columns)
-    found = jaccard.jaccard_components(docs.select(key.alias("doc_id"), "text"), size=5, percent=80)
-    ids = docs.select(key.alias("_key"), "doc_id")
-    groups = found.select(F.col("doc_id").alias("_key"), F.col("component_id").alias("_group")).distinct()
-    first = ids.join(groups, "_key").groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key")).alias("x")).select("x._key")
-    return docs.withColumn("_key", key).join(first, "_key", "left_semi").dropDuplicates(["_key"]).select(docs.columns)
+    # names and nulls are part of a row's JSON; two unlike rows of one 64-bit key would both stay or both go
+    key, group = _unused(docs, "key"), _unused(docs, "group")
+    keyed = docs.withColumn(key, F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns]))))
+    found = jaccard.jaccard_components(keyed.select(F.col(key).alias("doc_id"), "text"), size=5, percent=80)
+    groups = found.select(F.col("doc_id").alias(key), F.col("component_id").alias(group)).distinct()
+    first = keyed.select(key, "doc_id").join(groups, key).groupBy(group).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(key).alias("key"))).alias("x"))
+    once = [c for c, kind in keyed.dtypes if "map<" not in kind]  # maps can't be compared, but are in the key
+    return keyed.join(first.select(F.col("x.key").alias(key)), key, "left_semi").dropDuplicates(once).select([f"`{c}`" for c in docs.columns])
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,5 +74,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each one's rows are written and read again as the next one's."""
     docs = registry.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = keep(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        before, docs = docs, keep(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
