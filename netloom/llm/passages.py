@@ -45,6 +45,8 @@ BLOCK = 512
 """Classes of a block of a larger group, about."""
 SKETCH_BITS = 28
 """Cells of the sketch at most, as a power of two (32 MB); beyond it more passages live on to step 2, with the same result."""
+FEW_COPIES = 200_000
+"""Rows that are broadcast at most, 24 bytes each, to pass over copies of one text; where there are more, each task passes over its own."""
 FEW = 6
 """Classes of a group in which all pairs are compared at once."""
 
@@ -180,7 +182,7 @@ def _emit(size: int, width: int, percent: int, cell_bits: int, sketch):
         written = set()  # of a task's copies only the first carries pieces
         for batch in batches:
             data, at = W.utf8(batch.column("text"))
-            ids = batch.column("doc_id").to_pylist()
+            ids, first_of = batch.column("doc_id").to_pylist(), batch.column("first").to_pylist()
             for first_row, last_row in W.chunks(at):
                 words = W.Words(data, at[first_row : last_row + 1], W.SPACE_SEPARATED, True)
                 cols: list[list] = [[] for _ in _RUNS]
@@ -192,7 +194,7 @@ def _emit(size: int, width: int, percent: int, cell_bits: int, sketch):
                     for col, v in zip(cols[:3], (ids[first_row + k], row, int(n[k])), strict=True):
                         col.append(v)
                     begin.append(total)
-                    if row not in written:
+                    if first_of[first_row + k] and row not in written:
                         written.add(row)
                         held.append(W.shingles(codes, size))
                         total += len(held[-1])
@@ -255,8 +257,8 @@ def _arrays(s, begin, end, lo, hi, width):
     return [(small(2 * stretch_at), at.astype(np.int32)), (None, codes), (own, sig.view(np.int64)), (own, ctx.view(np.int64)), (own, (a - begin[owner]).astype(np.int32)), (own, (b - begin[owner]).astype(np.int32)), (own, (c - a).astype(np.int16))]
 
 
-_MEMBERS = pa.schema([("sig", pa.int64()), ("bi", pa.int32()), ("bj", pa.int32()), ("own", pa.int32()), ("ctx", pa.int64()), ("a", pa.int32()), ("off", pa.int16()), ("row", pa.binary()), ("row2", pa.binary()), ("a2", pa.int32()), ("kind", pa.int8()), ("codes", pa.binary())])
-_MEMBERS_DDL = "sig long, bi int, bj int, own int, ctx long, a int, off short, row binary, row2 binary, a2 int, kind byte, codes binary"
+_MEMBERS = pa.schema([("sig", pa.int64()), ("bi", pa.int32()), ("bj", pa.int32()), ("own", pa.int32()), ("ctx", pa.int64()), ("a", pa.int32()), ("off", pa.int16()), ("row", pa.binary()), ("row2", pa.binary()), ("kind", pa.int8()), ("codes", pa.binary())])
+_MEMBERS_DDL = "sig long, bi int, bj int, own int, ctx long, a int, off short, row binary, row2 binary, kind byte, codes binary"
 # kinds: what a class is to its group
 SINGLE, SEVERAL, REPEATED, PIVOT = 1, 2, 4, 8
 
@@ -280,7 +282,7 @@ def _members(width: int):
                     nb, own = x["nb"], x["ctx"] % x["nb"]
                     pairs = [(i, j) for i in range(nb) for j in range(i, nb)] if x["kind"] & PIVOT else [(min(own, o), max(own, o)) for o in range(nb)]
                     for bi, bj in pairs:
-                        for col, v in zip(out, (x["sig"], bi, bj, own, x["ctx"], x["a"], x["off"], row, x["row2"], x["a2"], x["kind"], content), strict=True):
+                        for col, v in zip(out, (x["sig"], bi, bj, own, x["ctx"], x["a"], x["off"], row, x["row2"], x["kind"], content), strict=True):
                             col.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _MEMBERS, strict=True)], schema=_MEMBERS)
 
@@ -290,10 +292,10 @@ def _members(width: int):
 class Member:
     """A class of pieces of one signature, and which of its windows have a partner so far."""
 
-    __slots__ = ("codes", "ctx", "distinct", "done", "kind", "off", "places")
+    __slots__ = ("codes", "ctx", "distinct", "done", "kind", "off", "texts")
 
-    def __init__(self, codes: np.ndarray, off: int, places: tuple[tuple[bytes, int], tuple[bytes, int]], kind: int, ctx: int, width: int):
-        self.codes, self.off, self.places, self.kind, self.ctx = codes, off, places, kind, ctx
+    def __init__(self, codes: np.ndarray, off: int, texts: tuple[bytes, bytes], kind: int, ctx: int, width: int):
+        self.codes, self.off, self.texts, self.kind, self.ctx = codes, off, texts, kind, ctx
         self.done = np.full(len(codes) - width + 1, bool(kind & REPEATED))
         self.distinct = len(set(codes.tolist())) == len(codes)
 
@@ -310,7 +312,7 @@ def _counts(codes: np.ndarray, kinds: np.ndarray, width: int) -> np.ndarray:
 
 def compare(x: Member, y: Member, need: int, width: int) -> None:
     """Mark the windows of x and y that are alike, if another text than x's holds y."""
-    if x.places[0][0] == x.places[1][0] == y.places[0][0] == y.places[1][0]:
+    if x.texts == y.texts and x.texts[0] == x.texts[1]:
         return
     if x.distinct and y.distinct:
         sums = np.zeros((len(x.codes) + 1, len(y.codes) + 1), dtype=np.int16)
@@ -339,12 +341,11 @@ def _like_pivot(members: list[Member], pivot: Member, need: int, width: int) ->
     can = np.isin(table, pivot.codes.astype(np.uint64) + 1)
     sums = np.concatenate((np.zeros((len(members), 1), dtype=np.int32), np.cumsum(can, axis=1)), axis=1)
     most = sums[:, width:] - sums[:, :-width]
-    here = pivot.places[0][0]
     for k, m in enumerate(members):
         n = len(m.done)
         if not (most[k, :n][~m.done] >= need).any() and (pivot.done.all() or not (most[k, :n] >= need).any()):
             continue
-        if m.distinct and pivot.distinct and not (here == pivot.places[1][0] == m.places[0][0] == m.places[1][0]):
+        if m.distinct and pivot.distinct and not (m.texts == pivot.texts and m.texts[0] == m.texts[1]):
             shift = m.off - pivot.off
             i, j = max(0, shift), max(0, -shift)
             both = min(len(m.codes) - i, len(pivot.codes) - j)
@@ -416,11 +417,11 @@ def _compared(width: int, percent: int):
         bi, bj = columns["bi"][0], columns["bj"][0]
         sides: tuple[dict[int, Member], dict[int, Member]] = ({}, {})
         pivot, rows = None, {}
-        for own, ctx, a, off, row, row2, a2, kind, codes in zip(*(columns[c] for c in ("own", "ctx", "a", "off", "row", "row2", "a2", "kind", "codes")), strict=True):
+        for own, ctx, a, off, row, row2, kind, codes in zip(*(columns[c] for c in ("own", "ctx", "a", "off", "row", "row2", "kind", "codes")), strict=True):
             side = sides[0] if own == bi else sides[1] if own == bj else None
             if side is not None and ctx in side:
                 continue
-            m = Member(np.frombuffer(codes, dtype=np.uint32), off, ((row, a), (row2, a2)), kind, ctx, width)
+            m = Member(np.frombuffer(codes, dtype=np.uint32), off, (row, row2), kind, ctx, width)
             if kind & PIVOT:
                 pivot = m
             rows[ctx] = (row, a)
@@ -474,18 +475,27 @@ def repeated_passages(docs: DataFrame, words: int = 50, size: int = 5, percent:
     spark = docs.sparkSession
     texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     bits = sketch_bits(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0, SKETCH_BITS)
-    merged = texts.select("text").mapInArrow(_count(size, bits), "block long, ones binary, more binary").groupBy("block").applyInArrow(_merge_blocks, "block long, bits binary")
+    # of equal texts only the one of least doc_id need be counted and cut into pieces
+    digests = texts.where("doc_id is not null").select("doc_id", F.unhex(F.md5("text")).alias("digest"))
+    least = digests.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+    copies = keep(digests.join(least, "digest").where("doc_id > least").select("doc_id", "digest").distinct(), "copies")
+    if copies.count() <= FEW_COPIES:
+        marked = texts.withColumn("digest", F.unhex(F.md5("text"))).join(F.broadcast(copies.withColumn("copy", F.lit(True))), ["doc_id", "digest"], "left")
+        texts = marked.select("doc_id", "text", F.col("copy").isNull().alias("first"))
+    else:
+        texts = texts.withColumn("first", F.lit(True))
+    merged = texts.where("first").select("text").mapInArrow(_count(size, bits), "block long, ones binary, more binary").groupBy("block").applyInArrow(_merge_blocks, "block long, bits binary")
     sketch = spark.sparkContext.broadcast({r["block"]: bytes(r["bits"]) for r in merged.where("block >= 0").toLocalIterator()})  # as in op4
     found_runs = keep(texts.mapInArrow(_emit(size, width, percent, bits, sketch), _RUNS_DDL), "runs")
     flat = found_runs.where("size(sig) > 0").select("row", F.inline(F.arrays_zip("sig", "ctx", "a", "b", "off")))
-    classes = flat.groupBy("sig", "ctx").agg(F.min(F.struct("row", "a", "b", "off")).alias("x"), F.max(F.struct("row", "a")).alias("y"), F.count(F.lit(1)).alias("n"))
-    kind = F.when(F.col("y.row") != F.col("x.row"), REPEATED).when(F.col("y.a") > F.col("x.a"), SEVERAL).otherwise(SINGLE)
-    classes = keep(classes.select("sig", "ctx", "x.*", F.col("y.row").alias("row2"), F.col("y.a").alias("a2"), "n", kind.alias("kind")), "classes")
+    classes = flat.groupBy("sig", "ctx").agg(F.min(F.struct("row", "a", "b", "off")).alias("x"), F.max("row").alias("row2"), F.max("a").alias("a2"), F.count(F.lit(1)).alias("n"))
+    kind = F.when(F.col("row2") != F.col("x.row"), REPEATED).when(F.col("a2") > F.col("x.a"), SEVERAL).otherwise(SINGLE)
+    classes = keep(classes.select("sig", "ctx", "x.*", "row2", "n", kind.alias("kind")), "classes")
     # groups of several classes and texts, of which one class at least is open
     groups = classes.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.max(F.struct("n", "ctx")).alias("pivot"), F.min("kind").alias("least"), F.min("row").alias("row"), F.max("row2").alias("row2")).where((F.col("m") > 1) & (F.col("least") < REPEATED) & (F.col("row") != F.col("row2")))
     groups = groups.select("sig", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb"), F.col("pivot.ctx").alias("pivot"))
     asked = classes.join(groups, "sig").withColumn("kind", F.col("kind") + F.when(F.col("ctx") == F.col("pivot"), PIVOT).otherwise(0))
-    asked = asked.groupBy("row").agg(F.collect_list(F.struct("sig", "nb", "ctx", "a", "b", "off", "row2", "a2", "kind")).alias("asked"))  # a text's own pieces
+    asked = asked.groupBy("row").agg(F.collect_list(F.struct("sig", "nb", "ctx", "a", "b", "off", "row2", "kind")).alias("asked"))  # a text's own pieces
     store = found_runs.where("codes is not null").select("row", "at", "codes").dropDuplicates(["row"])
     members = store.join(asked, "row").mapInArrow(_members(width), _MEMBERS_DDL)
     alike = members.repartition("sig", "bi", "bj").sortWithinPartitions("sig", "bi", "bj").mapInArrow(_compared(width, percent), "sig long, ctx long, row binary, kind byte, at int, s int, e int")
@@ -501,7 +511,7 @@ def repeated_passages(docs: DataFrame, words: int = 50, size: int = 5, percent:
     copied = ids.groupBy("row").agg(F.count(F.lit(1)).alias("n"), F.first("n_words").alias("n_words")).where("n > 1")
     spans = spans.unionByName(copied.select("row", F.lit(0).alias("s"), F.col("n_words").alias("e")))
     ends = keep(spans.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("ends")), "ends")  # no more than a text has pieces
-    for kept in (classes, alike):
+    for kept in (classes, alike, copies):
         drop(kept)
 
     def unite(batches):

@@ -367,7 +367,7 @@ def test_multisets_of_repeating_windows():
         base = rng.integers(0, values, 14).astype(np.uint32)
         other = base.copy()
         other[rng.integers(0, 14, 2)] += 1
-        x, y = (passages.Member(c, 0, ((r, 0), (r, 0)), passages.SINGLE, k, 8) for k, (r, c) in enumerate(((b"x", base), (b"y", other))))
+        x, y = (passages.Member(c, 0, (r, r), passages.SINGLE, k, 8) for k, (r, c) in enumerate(((b"x", base), (b"y", other))))
         passages.compare(x, y, 6, 8)
         alike = [[sum((Counter(base[i : i + 8].tolist()) & Counter(other[j : j + 8].tolist())).values()) >= 6 for j in range(7)] for i in range(7)]
         assert x.done.tolist() == [any(row) for row in alike] and y.done.tolist() == [any(c) for c in zip(*alike)]
