@@ -50,7 +50,9 @@ class GraphTable:
         if not self.nodes.groupBy(self.id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).isEmpty():
             raise ValueError("Node IDs must be unique.")
         ids = self.nodes.select(F.col(self.id_col).alias("_id"))
-        if ids.schema["_id"].dataType.typeName() == "string" != self.edges.schema["source"].dataType.typeName() or "string" in (self.edges.schema["source"].dataType.typeName(), self.edges.schema["target"].dataType.typeName()) and ids.schema["_id"].dataType.typeName() != "string":
+        kinds = [kind.typeName() for kind in (ids.schema["_id"].dataType, self.edges.schema["source"].dataType, self.edges.schema["target"].dataType)]
+        whole = {"byte", "short", "integer", "long"}  # ids of these may meet each other
+        if len({"whole" if k in whole else k for k in kinds}) > 1:
             raise ValueError("edge ends and node ids are of different types")
         if not subgraph.touched(self.edges).join(ids, "_id", "left_anti").limit(1).isEmpty():
             raise ValueError("an edge's source or target is no node")
@@ -138,11 +140,11 @@ class GraphTable:
 
     loc = property(subgraph.Loc)
 
-    def query_nodes(self, expr, inplace: bool = False, local_dict=None, global_dict=None) -> GraphTable | None:
-        """Nodes on which a query string (or a Column) holds, and the edges among them."""
+    def query_nodes(self, expr, inplace: bool = False, local_dict=None, global_dict=None, engine=None, parser=None) -> GraphTable | None:
+        """Nodes on which a query string (or a Column) holds, and the edges among them; engine and parser change nothing."""
         return self._give(inplace, self._induced(self.nodes.where(subgraph.as_condition(self, self.nodes, expr, local_dict, global_dict, True))))
 
-    def query_edges(self, expr, inplace: bool = False, local_dict=None, global_dict=None) -> GraphTable | None:
+    def query_edges(self, expr, inplace: bool = False, local_dict=None, global_dict=None, engine=None, parser=None) -> GraphTable | None:
         return self._give(inplace, self._replace(edges=self.edges.where(subgraph.as_condition(self, self.edges, expr, local_dict, global_dict, False))))
 
     def remove_nodes(self, nodes, inplace: bool = False, errors: str = "raise") -> GraphTable | None:

@@ -1,7 +1,8 @@
 """Predicate strings in pandas' query grammar as Spark columns.
 
 Comparisons are two-valued as in pandas: a null operand makes `!=` and `not in` true and every other comparison false, so that
-`not` keeps the rows that pandas keeps.
+`not` keeps the rows that pandas keeps.  NaN is a missing value as null is: in columns of floats, and as what arithmetic
+and functions give.
 """
 
 from __future__ import annotations
@@ -46,9 +47,18 @@ def _prepare(text: str) -> tuple[str, dict[str, tuple[str, str]]]:
     return " ".join(out), names
 
 
+def _missing(value: Any) -> bool:
+    return value is None or isinstance(value, float) and value != value
+
+
+def _there(c: Column) -> Column:
+    """A column of floats with null for NaN."""
+    return F.when(~F.isnan(c), c)
+
+
 class _Compiler:
-    def __init__(self, columns: list[str], id_col: str | None, names, local_dict, global_dict):
-        self.columns, self.id_col, self.names = columns, id_col, names
+    def __init__(self, columns: list[str], id_col: str | None, names, local_dict, global_dict, kinds):
+        self.columns, self.id_col, self.names, self.kinds = columns, id_col, names, kinds or {}
         self.scope = {**(global_dict or {}), **(local_dict or {})}
 
     def visit(self, node: ast.AST) -> Any:
@@ -65,7 +75,8 @@ class _Compiler:
 
     def name(self, name: str) -> Any:
         if name in self.columns:
-            return F.col(f"`{name}`")
+            c = F.col(f"`{name}`")
+            return _there(c) if self.kinds.get(name) in ("float", "double") else c
         if name == "index" and self.id_col:
             return F.col(f"`{self.id_col}`")
         raise ValueError(f"name {name!r} is no column")
@@ -111,27 +122,35 @@ class _Compiler:
             return value
         raise ValueError("not supported in a query: " + type(node.op).__name__)
 
+    def is_string(self, node: ast.AST, value: Any) -> bool:
+        if isinstance(node, ast.BinOp) and isinstance(node.op, ast.Add):
+            return self.is_string(node.left, None) or self.is_string(node.right, None)
+        if isinstance(node, ast.Constant):
+            value = node.value
+        name = self.names.get(node.id, ("column", node.id))[1] if isinstance(node, ast.Name) else None
+        return isinstance(value, str) or self.kinds.get(name) == "string"
+
     def on_BinOp(self, node):
         left, right = self.visit(node.left), self.visit(node.right)
         a, b = (x if isinstance(x, Column) else F.lit(x) for x in (left, right))
         op = type(node.op)
         if op is ast.Add:
-            return F.concat(a, b) if isinstance(left, str) or isinstance(right, str) else a + b
+            return F.concat(a, b) if self.is_string(node.left, left) or self.is_string(node.right, right) else a + b
         if op is ast.Sub:
             return a - b
         if op is ast.Mult:
             return a * b
         x, y = a.cast("double"), b.cast("double")
-        zero = F.when(x.isNull(), None).when((x == 0) | F.isnan(x), float("nan")).when(x > 0, float("inf")).otherwise(float("-inf"))
+        zero = F.when(x.isNull() | (x == 0), None).when(x > 0, float("inf")).otherwise(float("-inf"))
         if op is ast.Div:
             return F.when(y == 0, zero).otherwise(x / F.when(y != 0, y))
         if op is ast.FloorDiv:
             return F.when(y == 0, zero).otherwise(F.floor(x / F.when(y != 0, y)).cast("double"))
         if op is ast.Mod:
             safe = F.when(y != 0, y)
-            return F.when(y == 0, F.lit(float("nan"))).otherwise(x - F.floor(x / safe) * safe)
+            return x - F.floor(x / safe) * safe
         if op is ast.Pow:
-            return F.pow(x, y)
+            return _there(F.pow(x, y))
         raise ValueError("not supported in a query: " + op.__name__)
 
     def on_Compare(self, node):
@@ -149,9 +168,11 @@ class _Compiler:
                 raise ValueError("in needs a list")
             if not isinstance(op, (ast.In, ast.NotIn, ast.Eq, ast.NotEq)):
                 raise ValueError("a list can be compared by in, not in, == and != only")
-            found = F.coalesce(self.column(left).isin([x for x in listed if x is not None]), F.lit(False))
+            own = self.column(left)
+            found = F.coalesce(own.isin([x for x in listed if not _missing(x)]), F.lit(False))
+            found = found | own.isNull() if any(map(_missing, listed)) else found
             return ~found if isinstance(op, (ast.NotIn, ast.NotEq)) else found
-        a, b = self.column(left), listed if isinstance(listed, Column) else F.lit(listed)
+        a, b = self.column(left), listed if isinstance(listed, Column) else F.lit(None if _missing(listed) else listed)
         kind = _COMPARE.get(type(op))
         if kind is None:
             raise ValueError("not supported in a query: " + type(op).__name__)
@@ -160,7 +181,8 @@ class _Compiler:
 
     def on_Call(self, node):
         if isinstance(node.func, ast.Name) and node.func.id in _MATH and not node.keywords:
-            return _MATH[node.func.id](*[self.column(x) for x in node.args])
+            made = _MATH[node.func.id](*[self.column(x) for x in node.args])
+            return made if node.func.id == "abs" else _there(made.cast("double"))
         if not isinstance(node.func, ast.Attribute):
             raise ValueError("unknown function in a query")
         owner, method = node.func.value, node.func.attr
@@ -174,7 +196,8 @@ class _Compiler:
         if method in ("notna", "notnull"):
             return c.isNotNull()
         if method == "isin":
-            return F.coalesce(c.isin(list(args[0])), F.lit(False))
+            found = F.coalesce(c.isin([x for x in args[0] if not _missing(x)]), F.lit(False))
+            return found | c.isNull() if any(map(_missing, args[0])) else found
         if method == "between":
             low, high = args[:2]
             inclusive = options.get("inclusive", "both")
@@ -200,13 +223,13 @@ class _Compiler:
         raise ValueError(f"unknown string method in a query: {method}")
 
 
-def compile_query(text: str, columns: list[str], id_col: str | None = None, local_dict=None, global_dict=None) -> Column:
-    """A query string as a boolean column over a table with these columns; index is the id column."""
+def compile_query(text: str, columns: list[str], id_col: str | None = None, local_dict=None, global_dict=None, kinds: dict[str, str] | None = None) -> Column:
+    """A query string as a boolean column over a table with these columns; index is the id column, kinds their type names."""
     try:
         source, names = _prepare(text)
         tree = ast.parse(source, mode="eval")
     except (SyntaxError, tokenize.TokenError) as e:
         raise ValueError(f"can't read the query {text!r}") from e
-    value = _Compiler(columns, id_col, names, local_dict, global_dict).visit(tree)
+    value = _Compiler(columns, id_col, names, local_dict, global_dict, kinds).visit(tree)
     value = value if isinstance(value, Column) else F.lit(value)
     return F.coalesce(value.cast("boolean"), F.lit(False))

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.fixpoint import settled, until_empty
 
 
+LOCAL_EDGES = 200_000
+"""Edges that are left for the driver to finish with, at most; more are worked on by rounds."""
+
+
 def _pairs(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("source").alias("s"), F.col("target").alias("t")).where("s is not null and t is not null")
 
@@ -31,16 +37,54 @@ def _labels_to_leasts(ids: DataFrame, pairs: DataFrame) -> DataFrame:
         state["edges"] = new
         return new.join(e, ["u", "v"], "left_anti").union(e.join(new, ["u", "v"], "left_anti")).limit(1)
 
-    until_empty(step, "weak components")
+    until_empty(step)
     stars = state["edges"].select(F.col("u").alias("id"), F.col("v").alias("root"))
     return ids.join(stars, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
 
 
+def _least_of_strong(pairs: list[tuple]) -> dict:
+    """The least node of each node's strong component, by Tarjan's walk without recursion."""
+    out: dict = {}
+    after: dict = {}
+    for s, t in pairs:
+        after.setdefault(s, []).append(t)
+    index: dict = {}
+    low: dict = {}
+    path: list = []
+    for start in after:
+        if start in index:
+            continue
+        index[start] = low[start] = len(index)
+        path.append(start)
+        walk = [(start, iter(after[start]))]
+        while walk:
+            node, rest = walk[-1]
+            for t in rest:
+                if t not in index:
+                    index[t] = low[t] = len(index)
+                    path.append(t)
+                    walk.append((t, iter(after.get(t, ()))))
+                    break
+                if t not in out:  # still on the path
+                    low[node] = min(low[node], index[t])
+            else:
+                walk.pop()
+                if walk:
+                    low[walk[-1][0]] = min(low[walk[-1][0]], low[node])
+                if low[node] == index[node]:
+                    own = []
+                    while not own or own[-1] != node:
+                        own.append(path.pop())
+                    out.update(dict.fromkeys(own, min(own)))
+    return out
+
+
 def _strong_roots(ids: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id, root): the least id of each strong component.
 
     Nodes without an edge in or out among the rest are components of their own and go first.  Then the least id that
-    reaches each node colours it; within a colour, what reaches its least node back is one component, and goes.
+    reaches each node colours it; within a colour, what reaches its least node back is one component, and goes.  These
+    rounds follow paths; as soon as no more than LOCAL_EDGES edges are left, the driver finds their components in one walk.
     """
     left = settled(ids)
     edges = settled(pairs.where("s <> t").distinct())
@@ -50,6 +94,14 @@ def _strong_roots(ids: DataFrame, pairs: DataFrame) -> DataFrame:
         return e.join(n.select(F.col("id").alias("s")), "s", "left_semi").join(n.select(F.col("id").alias("t")), "t", "left_semi").select("s", "t")
 
     while not left.isEmpty():
+        if edges.limit(LOCAL_EDGES + 1).count() <= LOCAL_EDGES:
+            found = _least_of_strong([(r["s"], r["t"]) for r in edges.collect()])
+            kind = ids.schema["id"].dataType.simpleString()
+            table = ids.sparkSession.createDataFrame(list(found.items()), f"id {kind}, root {kind}")
+            done.append(left.join(table, "id", "left").select("id", F.coalesce("root", "id").alias("root")))
+            break
+        if len(done) > 8:  # many layers, one table
+            done = [settled(reduce(DataFrame.union, done))]
         core = settled(left.join(edges.select(F.col("s").alias("id")).distinct(), "id", "left_semi").join(edges.select(F.col("t").alias("id")).distinct(), "id", "left_semi"))
         trimmed = left.join(core, "id", "left_anti")
         if not trimmed.isEmpty():
@@ -65,7 +117,7 @@ def _strong_roots(ids: DataFrame, pairs: DataFrame) -> DataFrame:
             colour["now"] = new.select("id", "c")
             return new.where("moved").limit(1)
 
-        until_empty(paint, "colours")
+        until_empty(paint)
         inside = edges.join(colour["now"].select(F.col("id").alias("s"), F.col("c").alias("cs")), "s").join(colour["now"].select(F.col("id").alias("t"), F.col("c").alias("ct")), "t").where("cs = ct").select("s", "t", F.col("cs").alias("c"))
         inside = settled(inside)
         reach = {"all": settled(colour["now"].where("id = c")), "new": None}
@@ -77,14 +129,11 @@ def _strong_roots(ids: DataFrame, pairs: DataFrame) -> DataFrame:
             reach["all"] = settled(reach["all"].union(reach["new"]))
             return reach["new"].limit(1)
 
-        until_empty(back, "backward reach")
+        until_empty(back)
         done.append(reach["all"].select("id", F.col("c").alias("root")))
         left = settled(left.join(reach["all"], "id", "left_anti"))
         edges = settled(within(edges, left))
-    out = ids.select("id", F.col("id").alias("root")).limit(0)
-    for d in done:
-        out = out.union(d)
-    return out
+    return reduce(DataFrame.union, done, ids.select("id", F.col("id").alias("root")).limit(0))
 
 
 def roots(graph, directed: bool = True, connection: str = "weak") -> DataFrame:

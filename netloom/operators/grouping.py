@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 _NAMED: dict[str, Callable[[Column], Column]] = {
     "mean": F.avg, "sum": F.sum, "max": F.max, "min": F.min, "any": lambda c: F.bool_or(F.coalesce(c.cast("double") != 0, F.lit(False))),
     "median": F.median, "std": F.stddev_samp, "var": F.var_samp, "count": F.count, "nunique": F.countDistinct, "first": lambda c: F.first(c, ignorenulls=True), "last": lambda c: F.last(c, ignorenulls=True),
+    "size": lambda c: F.count(F.lit(1)), "prod": F.product, "sem": lambda c: F.stddev_samp(c) / F.sqrt(F.count(c)), "all": lambda c: F.bool_and(F.coalesce(c.cast("double") != 0, F.lit(True))),
 }
 
 
@@ -21,6 +22,12 @@ def named_aggregate(name: str, column: Column) -> Column:
     return _NAMED[name](column)
 
 
+def without_nan(column: str, kind: T.DataType) -> Column:
+    """A column whose NaN are null, so that aggregates pass over them as pandas' do."""
+    c = F.col(f"`{column}`")
+    return F.when(~F.isnan(c), c) if isinstance(kind, (T.FloatType, T.DoubleType)) else c
+
+
 def numeric(df: DataFrame, but=()) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, T.NumericType) and f.name not in but]
 
@@ -149,7 +156,7 @@ class NodeGroups:
         if isinstance(func, str):
             if not chosen:
                 raise ValueError("no numeric edge column to aggregate")
-            return ends.groupBy(*keys).agg(*[named_aggregate(func, F.col(c)).alias(c) for c in chosen])
+            return ends.groupBy(*keys).agg(*[named_aggregate(func, without_nan(c, ends.schema[c].dataType)).alias(c) for c in chosen])
         if not callable(func):
             raise ValueError("func must be a name or a callable")
         types = {f.name: f.dataType.simpleString() for f in ends.schema}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.fixpoint import settled
-from .grouping import named_aggregate, numeric
+from .grouping import named_aggregate, numeric, without_nan
 
 
 def pairs(graph, k: int, directed: bool = False) -> DataFrame:
@@ -73,9 +73,7 @@ class Neighborhoods:
 
 
 def _clean(column: str, kind: T.DataType) -> Column:
-    c = F.col(column)
-    if isinstance(kind, (T.FloatType, T.DoubleType)):
-        return F.when(~F.isnan(c), c)
+    c = without_nan(column, kind)
     return c.cast("double") if isinstance(kind, T.DecimalType) else c
 
 

@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.fixpoint import settled
-from .grouping import named_aggregate
+from .grouping import named_aggregate, without_nan
 
+DENSE_NODES = 1000
+"""Nodes of a graph whose eigenvectors the driver finds in one piece, at most."""
 DENSE_IDS = 10_000
 """Columns of a dense adjacency at most, Spark's own limit for a pivot."""
 
@@ -44,7 +46,7 @@ def weighted(graph, weight_col: str | None, aggfunc="sum") -> DataFrame:
             return pd.DataFrame([[pdf["source"].iloc[0], pdf["target"].iloc[0], float(aggfunc(pdf[weight_col]))]], columns=["source", "target", "value"])
 
         return edges.groupBy("source", "target").applyInPandas(run, f"source {kinds['source']}, target {kinds['target']}, value double")
-    return edges.groupBy("source", "target").agg(named_aggregate(aggfunc, F.col(weight_col)).alias("value"))
+    return edges.groupBy("source", "target").agg(named_aggregate(aggfunc, without_nan(weight_col, edges.schema[weight_col].dataType)).alias("value"))
 
 
 def dense(graph, weight_col: str = "weight", aggfunc="sum") -> DataFrame:
@@ -100,12 +102,25 @@ def collect_csr(graph, coo: DataFrame, limit: int) -> Csr:
 def spectral_keys(graph, weight_col: str = "weight", rounds: int = 200, tolerance: float = 1e-10) -> DataFrame:
     """(id, _key): components of the leading eigenvector of A + A^T, the one of largest size made positive.
 
-    Power iteration on the square, so that eigenvalues of equal size and other sign do not swing: each round joins the
-    vector to the edges twice and sums by row.
+    Graphs of up to DENSE_NODES nodes are solved whole.  Beyond, power iteration on the square, so that eigenvalues of
+    equal size and other sign do not swing: each round joins the vector to the edges twice and sums by row.  Raises
+    RuntimeError where the vector still moves by more than tolerance after rounds; more rounds may be given.
     """
     a = weighted(graph, weight_col).select("source", "target", F.col("value").cast("double").alias("w"))
     both = settled(a.union(a.select(F.col("target"), F.col("source"), "w")).groupBy("source", "target").agg(F.sum("w").alias("w")))
     placed = graph.positions().select(F.col(graph.id_col).alias("id"), "_pos")
+    ids = [r["id"] for r in placed.orderBy("_pos").select("id").limit(DENSE_NODES + 1).collect()]
+    if 0 < len(ids) <= DENSE_NODES:
+        at = {k: i for i, k in enumerate(ids)}
+        matrix = np.zeros((len(ids), len(ids)))
+        for r in both.collect():  # the square of DENSE_NODES cells at most
+            if r["source"] in at and r["target"] in at and r["w"] is not None:
+                matrix[at[r["source"]], at[r["target"]]] = r["w"]
+        values, vectors = np.linalg.eigh(matrix)
+        own = vectors[:, int(np.abs(values).argmax())] if matrix.any() else np.zeros(len(ids))
+        top = own[int(np.lexsort((own, np.round(np.abs(own), 9)))[-1])]
+        kind = graph.nodes.schema[graph.id_col].dataType.simpleString()
+        return graph.nodes.sparkSession.createDataFrame([(k, round(float(v) * (1.0 if top > 0 else -1.0), 12) + 0.0) for k, v in zip(ids, own, strict=True)], f"`{graph.id_col}` {kind}, _key double")
     x = settled(placed.select("id", (F.lit(1.0) + F.sin(F.col("_pos").cast("double")) / 10).alias("x")))
 
     def times(v: DataFrame) -> DataFrame:
@@ -121,5 +136,7 @@ def spectral_keys(graph, weight_col: str = "weight", rounds: int = 200, toleranc
         x = new
         if moved < tolerance:
             break
+    else:
+        raise RuntimeError(f"the leading eigenvector has not settled in {rounds} rounds: give more, or a larger tolerance")
     top = x.agg(F.max_by("x", F.struct(F.round(F.abs("x"), 9), F.col("x")))).first()[0] or 1.0
     return placed.join(x, "id", "left").select(F.col("id").alias(graph.id_col), F.round(F.coalesce("x", F.lit(0.0)) * F.lit(1.0 if top > 0 else -1.0), 12).alias("_key"))

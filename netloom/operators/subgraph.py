@@ -58,7 +58,7 @@ def as_condition(graph, table: DataFrame, expr, local_dict, global_dict, is_node
 
     if isinstance(expr, Column):
         return F.coalesce(expr, F.lit(False))
-    return compile_query(expr, table.columns, graph.id_col if is_nodes else None, local_dict, global_dict)
+    return compile_query(expr, table.columns, graph.id_col if is_nodes else None, local_dict, global_dict, {f.name: f.dataType.typeName() for f in table.schema})
 
 
 class Loc:

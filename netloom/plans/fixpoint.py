@@ -2,25 +2,26 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-MAX_ROUNDS = 1000
-
 
 def settled(df: DataFrame) -> DataFrame:
-    """df cut from its lineage by checkpoint(); the folder is the session's, or one of this process where it has none."""
+    """df cut from its lineage by checkpoint(); the folder is the session's, or in local mode, where it has none, one of this process."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="netloom-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="netloom-"))
     return df.checkpoint()
 
 
-def until_empty(step: Callable[[int], DataFrame], what: str, most: int = MAX_ROUNDS) -> None:
-    """Call step(round) until the table that it returns has no rows."""
-    for turn in range(most):
-        if step(turn).isEmpty():
-            return
-    raise RuntimeError(f"{what} did not settle in {most} rounds")
+def until_empty(step: Callable[[int], DataFrame]) -> None:
+    """Call step(round) until the table that it returns has no rows; each caller's steps make progress, so they end."""
+    turn = 0
+    while not step(turn).isEmpty():
+        turn += 1

@@ -202,3 +202,74 @@ def test_whole_graph_queries(spark, tmp_path):
     far = reached(steps, users)
     strong = {r[0]: r[1] for r in got("scc_labels_whole").select("id", "component").collect()}
     assert strong == numbered_by({n: min(m for m in far[n] if n in far[m]) for n in users})
+
+
+@pytest.fixture
+def gaps(spark):
+    """Nodes and edges with NaN and null among their numbers."""
+    nan = float("nan")
+    nodes = spark.createDataFrame([(1, 1.0, "a", "x"), (2, nan, "b", "y"), (3, None, "a", None), (4, 4.0, "b", "x")], "id long, v double, kind string, more string")
+    edges = spark.createDataFrame([(1, 2, 2.0), (1, 4, nan), (3, 4, None), (3, 2, 3.0), (1, 2, 5.0)], "source long, target long, weight double")
+    return GraphTable(nodes, edges, id_col="id")
+
+
+def test_nan_is_missing_in_queries(gaps):
+    import pandas as pd
+
+    frame = pd.DataFrame({"v": [1.0, float("nan"), None, 4.0], "kind": ["a", "b", "a", "b"]}, index=[1, 2, 3, 4])
+    for query in ("v > 2", "not (v <= 2)", "v != v", "v == v", "v != 1", "v in [1, 4]", "v not in [1]", "v.isna()", "v.notna()", "v.between(0, 5)", "not v.between(0, 2)", "v + 1 > 2", "v / 0 > 1", "sqrt(v - 2) >= 0", "(v - 1) / (v - 1) != 1", "v % 2 == 0"):
+        want = frame.query(query, engine="python").index.tolist()
+        assert sorted(r["id"] for r in gaps.query_nodes(query, engine="python").nodes.collect()) == want, query
+    assert sorted(r["id"] for r in gaps.query_nodes("kind + more == 'ax'").nodes.collect()) == [1]
+
+
+def test_nan_is_passed_over_in_aggregates(gaps):
+    got = {(r["source"], r["target"]): r["weight"] for r in gaps.condense("kind", "sum", columns="weight").edges.collect()}
+    assert got == {("a", "b"): 10.0}
+    cells = {(r["source"], r["target"]): r["value"] for r in __import__("netloom.operators.matrix", fromlist=["x"]).weighted(gaps, "weight", "max").collect()}
+    assert cells == {(1, 2): 5.0, (1, 4): None, (3, 4): None, (3, 2): 3.0}
+    for name, value in (("prod", 30.0), ("mean", 10 / 3)):
+        assert math.isclose(gaps.groupby_nodes("kind").apply_edges(name, "weight").first()["weight"], value)
+
+
+def test_long_rings_and_chains(spark, monkeypatch):
+    """A directed ring of 1500 nodes is one strong component, a chain none; by walks, and by rounds on smaller ones."""
+    from netloom.operators import components
+
+    def ring_and_chain(n):
+        pairs = [(k, (k + 1) % n) for k in range(n)] + [(k, k + 1) for k in range(n, 2 * n)]
+        nodes = spark.createDataFrame([(k,) for k in range(2 * n + 1)], "id long")
+        return GraphTable(nodes, spark.createDataFrame(pairs, "source long, target long"), id_col="id")
+
+    g = ring_and_chain(1500)
+    assert {r["id"]: r["root"] for r in components.roots(g, connection="strong").collect()} == {k: 0 if k < 1500 else k for k in range(3001)}
+    assert {r["root"] for r in components.roots(g).collect()} == {0, 1500}
+    monkeypatch.setattr(components, "LOCAL_EDGES", 0)
+    g = ring_and_chain(3)
+    assert {r["id"]: r["root"] for r in components.roots(g, connection="strong").collect()} == {k: 0 if k < 3 else k for k in range(7)}
+
+
+def test_spectral_order_against_dense_solver(spark, monkeypatch):
+    import numpy as np
+
+    from netloom.operators import matrix
+
+    rng = np.random.default_rng(2)
+    a = np.triu(rng.integers(0, 3, (8, 8)), 1)
+    pairs = [(int(i), int(j), float(a[i, j])) for i, j in zip(*np.nonzero(a))]
+    g = GraphTable(spark.createDataFrame([(k,) for k in range(8)], "id long"), spark.createDataFrame(pairs, "source long, target long, weight double"), id_col="id")
+    values, vectors = np.linalg.eigh((a + a.T).astype(float))
+    own = np.abs(vectors[:, np.abs(values).argmax()])  # of one sign, as all weights are positive
+    got = {r["id"]: r["_key"] for r in matrix.spectral_keys(g).collect()}
+    assert all(abs(got[k] - own[k]) < 1e-9 for k in range(8))
+    monkeypatch.setattr(matrix, "DENSE_NODES", 0)
+    with pytest.raises(RuntimeError):
+        matrix.spectral_keys(g, rounds=1)
+
+
+def test_ends_of_other_types_are_refused(spark):
+    nodes = spark.createDataFrame([(1,), (2,)], "id long")
+    for kind, value in (("double", 1.0), ("string", "1")):
+        with pytest.raises(ValueError):
+            GraphTable(nodes, spark.createDataFrame([(value, value)], f"source {kind}, target {kind}"), id_col="id")
+    assert GraphTable(nodes, spark.createDataFrame([(1, 2)], "source int, target short"), id_col="id").edges.count() == 1
