@@ -19,10 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words as W
-from ._shared import keep
+from ._shared import drop, keep
 
-TABLE_BYTES = 8 << 20
-"""Most bytes of benchmark text in one set of tables; beyond it the items are dealt into several sets."""
+TABLE_BYTES = 4 << 20
+"""Most bytes of benchmark text in one set of tables, some 15 times as much in memory; beyond it the items are dealt into several sets."""
 SEGMENT = 64
 """Words of a segment: segments are searched side by side."""
 
@@ -32,22 +32,20 @@ class Patterns:
 
     def __init__(self, m: int, words: dict[tuple[bytes, ...], set]):
         self.m, self.block = m, min(2, m)
-        self.words = list(words)
-        self.items = [frozenset(words[w]) for w in self.words]
-        codes = np.array([[_code(x) for x in w] for w in self.words], dtype=np.uint64)
-        shifts: dict[int, int] = {}
-        for end in range(self.block - 1, m):
-            for key in self._keys(codes[:, end - self.block + 1 : end + 1]).tolist():
-                shifts[key] = min(shifts.get(key, m), m - 1 - end)
-        self.bits = max(12, int(np.ceil(np.log2(len(shifts) + 1))) + 5)
+        self.vocabulary = sorted({x for w in words for x in w})
+        place = {x: k for k, x in enumerate(self.vocabulary)}
+        spelled = np.fromiter((place[x] for w in words for x in w), dtype=np.int32, count=m * len(words)).reshape(-1, m)
+        shared: dict[frozenset, frozenset] = {}
+        items = [shared.setdefault(f, f) for f in map(frozenset, words.values())]
+        codes = _codes(self.vocabulary)[spelled]
+        keys = [self._keys(codes[:, end - self.block + 1 : end + 1]) for end in range(self.block - 1, m)]
+        self.bits = max(12, int(np.ceil(np.log2(len(np.unique(np.concatenate(keys))) + 1))) + 5)
         self.shift = np.full(1 << self.bits, m - self.block + 1, dtype=np.int32)
-        for key, shift in shifts.items():
-            at = key >> (64 - self.bits)
-            self.shift[at] = min(self.shift[at], shift)
-        self.buckets: dict[int, list[int]] = {}
-        for k, key in enumerate(self._keys(codes[:, m - self.block :]).tolist()):
-            self.buckets.setdefault(key, []).append(k)
-        self.suffixes = np.sort(np.array(list(self.buckets), dtype=np.uint64))
+        for k, key in enumerate(keys):  # from the first block to the last
+            self.shift[(key >> np.uint64(64 - self.bits)).astype(np.int64)] = m - self.block - k
+        # buckets: patterns in order of their last block
+        order = np.argsort(keys[-1], kind="stable")
+        self.suffixes, self.spelled, self.items = keys[-1][order], spelled[order], [items[k] for k in order.tolist()]
 
     @staticmethod
     def _keys(blocks: np.ndarray) -> np.ndarray:
@@ -73,21 +71,22 @@ class Patterns:
             shift = self.shift[(key >> np.uint64(64 - self.bits)).astype(np.int64)]
             if (hit := np.flatnonzero(shift == 0)).size:
                 sought = key[hit]
-                known = np.searchsorted(self.suffixes, sought)
-                same = self.suffixes[np.minimum(known, len(self.suffixes) - 1)] == sought
-                for at, k in zip(place[hit[same]].tolist(), sought[same].tolist(), strict=True):
+                low, high = np.searchsorted(self.suffixes, sought, side="left"), np.searchsorted(self.suffixes, sought, side="right")
+                same = low < high
+                for at, a, b in zip(place[hit[same]].tolist(), low[same].tolist(), high[same].tolist(), strict=True):
                     first = at - self.m + 1
-                    text = tuple(words.text(j) for j in range(first, at + 1))
-                    found += [(first, p) for p in self.buckets[k] if self.words[p] == text]
+                    text = [words.text(j) for j in range(first, at + 1)]
+                    found += [(first, p) for p in range(a, b) if [self.vocabulary[k] for k in self.spelled[p].tolist()] == text]
             place = place + np.maximum(shift, 1)
             going = place < stop
             place, stop = place[going], stop[going]
         return found
 
 
-def _code(word: bytes) -> int:
-    data = np.frombuffer(word, dtype=np.uint8)
-    return int(W.Words(data, np.array([0, len(data)]), np.ones(256, dtype=bool), False).codes[0])
+def _codes(words: list[bytes]) -> np.ndarray:
+    """The codes of words, as of words in a text."""
+    data = np.frombuffer(b" ".join(words), dtype=np.uint8)
+    return W.Words(data, np.array([0, len(data)]), W.LETTERS_DIGITS, False).codes
 
 
 def windows(rows, size: int) -> dict[int, dict[tuple[bytes, ...], set]]:
@@ -168,11 +167,14 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, size: int = 10, table_
     holds more than one set.
     """
     empty = F.array().cast("array<long>")
+    held = None
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), empty.alias("hits"), empty.alias("items"))
     for last, tables in _table_sets(benchmark, size, table_bytes):
         found = found.mapInArrow(_scan(tables, last), ", ".join(f"{c} {t}" for c, t in _FIELDS.items() if not (last and c == "text")))
         if not last:
-            found = keep(found, "hits")
+            before, held = held, keep(found, "hits")
+            found = held
+            drop(before)
     return found
 
 
@@ -195,10 +197,13 @@ def _clean(tables):
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10, table_bytes: int = TABLE_BYTES) -> DataFrame:
     """The rows of docs, with all their columns, in which no window of the benchmark occurs."""
+    held = None
     for last, tables in _table_sets(benchmark, size, table_bytes):
         docs = docs.mapInArrow(_clean(tables), docs.schema)
         if not last:
-            docs = keep(docs, "clean")
+            before, held = held, keep(docs, "clean")
+            docs = held
+            drop(before)
     return docs
 
 

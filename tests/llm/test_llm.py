@@ -167,6 +167,20 @@ def test_decontamination(spark, docs, none):
     assert decontaminate.benchmark_hits(docs, benchmark.limit(0)).where("size(hits) > 0").count() == 0
 
 
+def test_large_benchmark_tables():
+    """The tables of some MB of benchmark text are made in seconds, and every window is found."""
+    import time
+
+    rng = random.Random(21)
+    rows = [(k, " ".join(f"b{rng.randrange(50_000)}" for _ in range(60))) for k in range(6000)]
+    began = time.perf_counter()
+    tables = [decontaminate.Patterns(m, w) for m, w in decontaminate.windows(rows, 10).items()]
+    assert sum(len(t) for _, t in rows) > 2_000_000 and time.perf_counter() - began < 60
+    data, at = decontaminate.W.utf8(decontaminate.pa.array([rows[7][1], "b1 " * 30, rows[5999][1]]))
+    found = tables[0].search(decontaminate.W.Words(data, at, decontaminate.W.LETTERS_DIGITS, True))
+    assert {f for f, p in found if 7 in tables[0].items[p]} == set(range(51)) and {f for f, p in found if 5999 in tables[0].items[p]} == set(range(90, 141))
+
+
 HARD = ["".join(RNG.choices([*"ab eE's't'll  \n\t  é中😀12٣.,!\x1c\x85​\x00", " the", "tion", "<|endoftext|>", "<s>"], k=RNG.randrange(40))) for _ in range(400)]
 
 
