@@ -345,9 +345,9 @@ def test_compact_windows():
                     for end in range(start + width, b + 1):
                         least = start + int(hashes[start:end].argmin())
                         assert [c for left, c, right in own if left <= start <= c < end <= right + 1] == [least]
-            band, sig, first, last, _ = passages.pieces(hashes, lo, hi, width)
+            band, sig, first, last, _ = passages.pieces(hashes, lo, hi, width, passages.BANDS, 1 + width % 3)
             lo, hi = np.append(lo, 40), np.append(hi, 40 + 2 * width)  # stretches may overlap
-            longer = passages.pieces(hashes, lo, hi, width)
+            longer = passages.pieces(hashes, lo, hi, width, passages.BANDS, 2)
             extra = sorted(range(40, 40 + width + 1))
             assert all(sorted(s for x, f, g in zip(longer[0], longer[2], longer[3]) if x == k for s in range(f, g + 1)) == sorted([*ok.tolist(), *extra]) for k in range(passages.BANDS))
             assert len(sig) and all(sorted(s for x, f, g in zip(band, first, last) if x == k for s in range(f, g + 1)) == ok.tolist() for k in range(passages.BANDS))
