@@ -29,6 +29,7 @@ its own.  Columns of docs beside doc_id and text are left out.  An empty table g
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from hashlib import blake2b
 
 import numpy as np
@@ -277,15 +278,15 @@ def _members(width: int):
             for k in range(len(batch)):
                 out: list[list] = [[] for _ in _MEMBERS]
                 at = np.array(ats[k].as_py(), dtype=np.int64).reshape(-1, 2)
-                begin = np.cumsum(at[:, 1] - at[:, 0]) - (at[:, 1] - at[:, 0])
+                begin = (np.cumsum(at[:, 1] - at[:, 0]) - at[:, 1]).tolist()  # less a stretch's first place
+                first = at[:, 0].tolist()
                 held = np.frombuffer(codes[k].as_py(), dtype=np.uint32)
                 row = rows[k].as_py()
                 for x in asked[k].as_py():
-                    j = int(np.searchsorted(at[:, 0], x["a"], side="right")) - 1
-                    p = int(begin[j] + x["a"] - at[j, 0])
+                    p = begin[bisect_right(first, x["a"]) - 1] + x["a"]
                     content = held[p : p + x["b"] - x["a"] + width].tobytes()
                     nb, own = x["nb"], x["ctx"] % x["nb"]
-                    pairs = [(i, j) for i in range(nb) for j in range(i, nb)] if x["kind"] & PIVOT else [(min(own, o), max(own, o)) for o in range(nb)]
+                    pairs = [(0, 0)] if nb == 1 else [(i, j) for i in range(nb) for j in range(i, nb)] if x["kind"] & PIVOT else [(min(own, o), max(own, o)) for o in range(nb)]
                     for bi, bj in pairs:
                         for col, v in zip(out, (x["sig"], bi, bj, own, x["ctx"], x["a"], x["off"], row, x["row2"], x["kind"], content), strict=True):
                             col.append(v)
@@ -320,9 +321,12 @@ def compare(x: Member, y: Member, need: int, width: int) -> None:
     if x.texts == y.texts and x.texts[0] == x.texts[1]:
         return
     if x.distinct and y.distinct:
-        sums = np.zeros((len(x.codes) + 1, len(y.codes) + 1), dtype=np.int16)
-        np.cumsum(np.cumsum(x.codes[:, None] == y.codes[None, :], axis=0, dtype=np.int16), axis=1, out=sums[1:, 1:])
-        good = sums[width:, width:] - sums[:-width, width:] - sums[width:, :-width] + sums[:-width, :-width] >= need
+        n, m = len(x.done), len(y.done)
+        sums = np.zeros((len(x.codes) + 1, len(y.codes)), dtype=np.int16)
+        np.cumsum(x.codes[:, None] == y.codes[None, :], axis=0, dtype=np.int16, out=sums[1:])
+        held = np.zeros((n, len(y.codes) + 1), dtype=np.int16)  # of each window of x, by places of y
+        np.cumsum(sums[width:] - sums[:n], axis=1, dtype=np.int16, out=held[:, 1:])
+        good = held[:, width:] - held[:, :m] >= need
     else:
         kinds = np.intersect1d(x.codes, y.codes)
         if not len(kinds):
