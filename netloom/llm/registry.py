@@ -22,13 +22,17 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def word_ranks(spark: SparkSession) -> dict[str, int]:
+    return secrets.ranked_words(bpe_automaton.read_file(spark, tokenizer_path("byte_bpe_50k.json")))
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.judged(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+    return secrets.find_secrets(table(spark, sf_dir, "documents"), ranks=word_ranks(spark))
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

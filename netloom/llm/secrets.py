@@ -4,13 +4,16 @@ The patterns find assigned keys and tokens, access key ids and long hexadecimal
 like words, so a value that follows a credential word (as "pwd: ...") is judged by what it costs to guess: a dynamic
 program over its characters finds the cheapest split into dictionary words, dates, repeats, keyboard walks and spans of
 brute force (Wheeler, "zxcvbn: Low-Budget Password Strength Estimation", 2016).  A value at or above min_bits is a
-"password" span; placeholders and plain words stay below.
+"password" span; placeholders and plain words stay below.  The dictionary is a short list of common passwords and then,
+where a vocabulary file of a byte-level tokenizer is given, its whole lower-case words in order of their ids, which is
+about that of their frequency: a word's rank is its number of guesses.
 
 Offsets count code points, end exclusive.  A null text is an empty one, without spans.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from hashlib import sha256
@@ -42,7 +45,8 @@ michael jordan thomas charlie george andrew daniel jessica ashley michelle rober
 cheese chocolate coffee orange banana apple purple yellow green black white silver golden diamond flower tiger eagle
 """.split()
 RANK = {w: k for k, w in reversed(list(enumerate(COMMON, 1)))}
-LONGEST = max(map(len, RANK))
+LONGEST = 16
+"""Letters of a dictionary word at most."""
 # Rows of a keyboard.
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 LEET = str.maketrans("0134578@$!", "oleastbasi")
@@ -77,7 +81,14 @@ def _least(starts: list[int], new: int, cost: list[float], more) -> float:
     return totals[k]
 
 
-def guess_bits(value: str) -> float:
+def ranked_words(raw: bytes) -> dict[str, int]:
+    """COMMON and then the words of three letters or more in a tokenizers JSON file (a letter U+0120 for the space before)."""
+    words = json.loads(raw)["model"]["vocab"]
+    known = [w[1:] for w in sorted(words, key=words.__getitem__) if re.fullmatch(f"\u0120[a-z]{{3,{LONGEST}}}", w)]
+    return {w: k for k, w in enumerate(dict.fromkeys([*COMMON, *known]), 1)}
+
+
+def guess_bits(value: str, rank_of: dict[str, int] = RANK) -> float:
     """log2 of the guesses of the cheapest split of value.
 
     cost[j], the least over i < j of cost[i] + the cost of value[i:j] + one bit for the join, for each kind of span.
@@ -101,7 +112,7 @@ def guess_bits(value: str) -> float:
         best = min(cost[j], cost[j - 1] + brute)
         for i in range(max(0, j - LONGEST), j):
             for word, more in ((lower[i:j], 0.0), (plain[i:j], 1.0)):
-                if (rank := RANK.get(word)) is not None and j - i > 1:
+                if (rank := rank_of.get(word)) is not None and j - i > 1:
                     cased = 1.0 if value[i:j] != word else 0.0
                     best = min(best, cost[i] + 1 + math.log2(rank + 1) + more + cased)
         walked = walked + 1 if j > 1 and lower[j - 2 : j] in NEAR else 1
@@ -122,7 +133,7 @@ def guess_bits(value: str) -> float:
     return cost[n]
 
 
-def find_spans(text: str, min_bits: float) -> list[tuple[int, int, int]]:
+def find_spans(text: str, min_bits: float, rank_of: dict[str, int] = RANK) -> list[tuple[int, int, int]]:
     """(start, kind, end), in order."""
     out: list[tuple[int, int, int]] = []
     raw = text.encode("utf-8", "replace")
@@ -136,7 +147,7 @@ def find_spans(text: str, min_bits: float) -> list[tuple[int, int, int]]:
     if any(h in lower for h in _CONTEXT_HINTS):
         for m in CONTEXT.finditer(text):
             value = m[1].rstrip(".,;:!?)")
-            if len(value) >= 6 and guess_bits(value) >= min_bits:
+            if len(value) >= 6 and guess_bits(value, rank_of) >= min_bits:
                 out.append((m.start(1), 3, m.start(1) + len(value)))
     return sorted(out)
 
@@ -155,11 +166,12 @@ def masked(text: str, spans) -> str:
     return "".join([*out, text[at:]])
 
 
-def _run(min_bits: float, mask: bool):
+def _run(min_bits: float, mask: bool, ranks):
     def run(batches):
+        rank_of = ranks.value
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            found = [find_spans(t, min_bits) if t else [] for t in texts]
+            found = [find_spans(t, min_bits, rank_of) if t else [] for t in texts]
             if mask:
                 column = pa.array([masked(t, s) if s else t for t, s in zip(texts, found, strict=True)], pa.string())
                 yield pa.RecordBatch.from_arrays([column if f.name == "text" else c for f, c in zip(batch.schema, batch.columns, strict=True)], schema=batch.schema)
@@ -171,12 +183,15 @@ def _run(min_bits: float, mask: bool):
     return run
 
 
-def find_secrets(docs: DataFrame, min_bits: float = 28.0) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256 and spans (kind:start:end, comma-joined) of each row of docs."""
+def find_secrets(docs: DataFrame, min_bits: float = 28.0, ranks: dict[str, int] = RANK) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256 and spans (kind:start:end, comma-joined) of each row of docs.
+
+    Repeated rows and null doc_ids are kept one by one, other columns left out; an empty table gives an empty one.
+    """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(_run(min_bits, False), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return texts.mapInArrow(_run(min_bits, False, docs.sparkSession.sparkContext.broadcast(ranks)), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
-def mask_secrets(docs: DataFrame, min_bits: float = 28.0) -> DataFrame:
+def mask_secrets(docs: DataFrame, min_bits: float = 28.0, ranks: dict[str, int] = RANK) -> DataFrame:
     """docs with every secret in text replaced by its kind; other columns as they are."""
-    return docs.mapInArrow(_run(min_bits, True), docs.schema)
+    return docs.mapInArrow(_run(min_bits, True, docs.sparkSession.sparkContext.broadcast(ranks)), docs.schema)

@@ -131,6 +131,17 @@ def test_secrets(docs, none):
     assert masked.columns == docs.columns and all(r["text"] is None or r["text"].startswith("[ASSIGN] ") for r in masked.collect())
 
 
+def test_ranked_words(spark):
+    ranks = secrets.ranked_words(bpe_automaton.read_file(spark, public_tokenizers.path("byte_bpe_50k.json")))
+    assert len(ranks) > 5000 and sorted(ranks.values()) == list(range(1, len(ranks) + 1))
+    bits = lambda v: secrets.guess_bits(v, ranks)
+    assert bits("elephant99") < 28 < bits("k8#Jq2!Lw9$z") and bits("elephant99") < secrets.guess_bits("elephant99")
+    assert bits("nevergonnagiveyouup") < 65 < secrets.guess_bits("nevergonnagiveyouup")
+    docs = spark.createDataFrame([(1, "pwd: elephant99"), (1, "pwd: k8#Jq2!Lw9$z"), (None, None)], "doc_id long, text string")
+    assert sorted(r["spans"] for r in secrets.find_secrets(docs, ranks=ranks).collect()) == ["", "", "password:5:17"]
+    assert {r["text"] for r in secrets.mask_secrets(docs, ranks=ranks).collect()} == {None, "pwd: elephant99", "pwd: [PASSWORD]"}
+
+
 def test_whole_secrets():
     found = lambda t: [(secrets.KINDS[k], t[a:b]) for a, k, b in secrets.find_spans(t, 28.0)]
     rng = random.Random(14)
