@@ -136,8 +136,8 @@ def distinct(codes: np.ndarray) -> np.ndarray:
 
 
 def row_words(data: np.ndarray, at: np.ndarray, kind: np.ndarray, lower: bool):
-    """(row, word codes) of each row of a column."""
-    for a, b in chunks(at):
+    """(row, word codes) of each row of a column; its arrays take some 50 bytes for each byte of a chunk."""
+    for a, b in chunks(at, 1 << 18):
         words = Words(data, at[a : b + 1], kind, lower)
         for k in range(b - a):
             yield a + k, words.codes[words.first[k] : words.first[k + 1]]
