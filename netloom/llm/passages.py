@@ -298,12 +298,13 @@ def _members(width: int):
 class Member:
     """A class of pieces of one signature, and which of its windows have a partner so far."""
 
-    __slots__ = ("codes", "ctx", "distinct", "done", "kind", "off", "texts")
+    __slots__ = ("codes", "ctx", "distinct", "done", "kind", "kinds", "off", "texts")
 
     def __init__(self, codes: np.ndarray, off: int, texts: tuple[bytes, bytes], kind: int, ctx: int, width: int):
         self.codes, self.off, self.texts, self.kind, self.ctx = codes, off, texts, kind, ctx
         self.done = np.full(len(codes) - width + 1, bool(kind & REPEATED))
-        self.distinct = len(set(codes.tolist())) == len(codes)
+        self.kinds = set(codes.tolist())
+        self.distinct = len(self.kinds) == len(codes)
 
 
 def _counts(codes: np.ndarray, kinds: np.ndarray, width: int) -> np.ndarray:
@@ -321,6 +322,11 @@ def compare(x: Member, y: Member, need: int, width: int) -> None:
     if x.texts == y.texts and x.texts[0] == x.texts[1]:
         return
     if x.distinct and y.distinct:
+        if len(x.kinds & y.kinds) < need:
+            return
+        _side_by_side(x, y, need, width)
+        if x.done.all() and y.done.all():
+            return
         n, m = len(x.done), len(y.done)
         sums = np.zeros((len(x.codes) + 1, len(y.codes)), dtype=np.int16)
         np.cumsum(x.codes[:, None] == y.codes[None, :], axis=0, dtype=np.int16, out=sums[1:])
@@ -341,6 +347,18 @@ def compare(x: Member, y: Member, need: int, width: int) -> None:
     y.done |= good.any(axis=0)
 
 
+def _side_by_side(x: Member, y: Member, need: int, width: int) -> None:
+    """Mark windows of x and y that share enough shingles in the same places, counted from the signature's shingle."""
+    shift = x.off - y.off
+    i, j = max(0, shift), max(0, -shift)
+    both = min(len(x.codes) - i, len(y.codes) - j)
+    if both >= width:
+        run = np.concatenate(([0], np.cumsum(x.codes[i : i + both] == y.codes[j : j + both])))
+        good = run[width:] - run[:-width] >= need
+        x.done[i : i + len(good)] |= good
+        y.done[j : j + len(good)] |= good
+
+
 def _like_pivot(members: list[Member], pivot: Member, need: int, width: int) -> None:
     """compare() each of many members with one: by shingles that stand side by side first."""
     size = max(len(m.codes) for m in members)
@@ -355,14 +373,7 @@ def _like_pivot(members: list[Member], pivot: Member, need: int, width: int) ->
         if not (most[k, :n][~m.done] >= need).any() and (pivot.done.all() or not (most[k, :n] >= need).any()):
             continue
         if m.distinct and pivot.distinct and not (m.texts == pivot.texts and m.texts[0] == m.texts[1]):
-            shift = m.off - pivot.off
-            i, j = max(0, shift), max(0, -shift)
-            both = min(len(m.codes) - i, len(pivot.codes) - j)
-            if both >= width:
-                run = np.concatenate(([0], np.cumsum(m.codes[i : i + both] == pivot.codes[j : j + both])))
-                good = run[width:] - run[:-width] >= need
-                m.done[i : i + len(good)] |= good
-                pivot.done[j : j + len(good)] |= good
+            _side_by_side(m, pivot, need, width)
         if (~m.done & (most[k, :n] >= need)).any() or not pivot.done.all():
             compare(m, pivot, need, width)
 
@@ -396,10 +407,12 @@ def compare_group(left: list[Member], right: list[Member] | None, pivot: Member
             # places of each open window whose codes another member holds, wherever it holds them
             sums = np.zeros((len(x.codes) + 1, len(others)), dtype=np.int16)
             np.cumsum(holds[ids[id(x)]], axis=0, dtype=np.int16, out=sums[1:])
-            most = (sums[width:] - sums[:-width])[~x.done].max(axis=0)
+            held = sums[width:] - sums[:-width]
+            most = held[~x.done].max(axis=0)
             can = np.flatnonzero(most >= need)
             for k in can[np.argsort(-most[can], kind="stable")].tolist():
-                if others[k] is not x:
+                # windows that are open by now; those of the other one are asked for in its own turn
+                if others[k] is not x and (held[~x.done, k] >= need).any():
                     compare(x, others[k], need, width)
                     if x.done.all():
                         break
