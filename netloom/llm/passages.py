@@ -319,11 +319,10 @@ def _counts(codes: np.ndarray, kinds: np.ndarray, width: int) -> np.ndarray:
 
 def compare(x: Member, y: Member, need: int, width: int) -> None:
     """Mark the windows of x and y that are alike, if another text than x's holds y."""
-    if x.texts == y.texts and x.texts[0] == x.texts[1]:
+    plain = x.distinct and y.distinct
+    if plain and len(x.kinds & y.kinds) < need or x.texts == y.texts and x.texts[0] == x.texts[1] or x.done.all() and y.done.all():
         return
-    if x.distinct and y.distinct:
-        if len(x.kinds & y.kinds) < need:
-            return
+    if plain:
         _side_by_side(x, y, need, width)
         if x.done.all() and y.done.all():
             return
@@ -384,8 +383,7 @@ def compare_group(left: list[Member], right: list[Member] | None, pivot: Member
     if len(both) <= FEW:
         for i, x in enumerate(left):
             for y in left[i + 1 :] if right is None else right:
-                if not (x.done.all() and y.done.all()):
-                    compare(x, y, need, width)
+                compare(x, y, need, width)
         return
     if pivot is not None:
         others = [m for m in both if m is not pivot and m.ctx != pivot.ctx]
@@ -410,12 +408,15 @@ def compare_group(left: list[Member], right: list[Member] | None, pivot: Member
             held = sums[width:] - sums[:-width]
             most = held[~x.done].max(axis=0)
             can = np.flatnonzero(most >= need)
+            live, done = most >= need, int(x.done.sum())
             for k in can[np.argsort(-most[can], kind="stable")].tolist():
-                # windows that are open by now; those of the other one are asked for in its own turn
-                if others[k] is not x and (held[~x.done, k] >= need).any():
+                if live[k] and others[k] is not x:
                     compare(x, others[k], need, width)
-                    if x.done.all():
+                    now = int(np.count_nonzero(x.done))
+                    if now == len(x.done):
                         break
+                    if now > done:  # windows that are open yet; those of the other one are asked for in its own turn
+                        live, done = (held[~x.done] >= need).any(axis=0), now
 
 
 _FOUND = pa.schema([("sig", pa.int64()), ("ctx", pa.int64()), ("row", pa.binary()), ("kind", pa.int8()), ("at", pa.int32()), ("s", pa.int32()), ("e", pa.int32())])
