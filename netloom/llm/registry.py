@@ -1,4 +1,4 @@
-"""The queries of the ten operators over the test tables, with their production parameters, and SQL for them."""
+"""The queries of the operators over the test tables, with their production parameters, and SQL for them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_automaton, chat, decontaminate, jaccard, language_id, licenses, passages, quality, secrets, token_counts
+from . import bpe_automaton, chat, decontaminate, jaccard, language_id, licenses, passages, quality, repair, secrets, token_counts
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -73,6 +73,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.fit(docs.where(~held_out)), held_out)
 
 
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = repair.damaged(table(spark, sf_dir, "conversations"))
+    return repair.repair(turns, F.col("copies")).summary()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f) and k[2:].split("_")[0].isdigit()}
 
