@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_automaton, chat, decontaminate, jaccard, language_id, licenses, passages, quality, repair, secrets, token_counts
+from . import bpe_automaton, chat, decontaminate, jaccard, language_id, lexical, licenses, passages, quality, repair, secrets, token_counts
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -78,6 +78,11 @@ def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair(turns, F.col("copies")).summary()
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lexical.index(table(spark, sf_dir, "documents"))
+    return found.search(table(spark, sf_dir, "benchmark"), k=10)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f) and k[2:].split("_")[0].isdigit()}
 
@@ -116,6 +121,18 @@ its as (select doc_id, count(distinct item_id) as n_items, array_to_string(list_
 select doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
   sha256(coalesce(s, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join hit using (doc_id) left join its using (doc_id)""",
+    "op12_lexical_search": r"""
+with d as (
+  select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as ws from documents),
+c as (select r, doc_id, len(ws) as n, 100 - 90 + ((90 * len(ws) * (select count(*) from d where len(ws) > 0)) // (select sum(len(ws))::bigint from d)) as m from d where len(ws) > 0),
+size as (select count(*) as n from c),
+tf as (select r, t, count(*) as tf from (select r, unnest(ws) as t from d) group by all),
+df as (select t, floor(1000 * ln((2 * (select n from size) + 2) / (2 * count(*) + 1)))::bigint as w from tf group by t),
+q as (select distinct item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t from benchmark),
+s as (select item_id, r, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint as score from q join df using (t) join tf using (t) join c using (r) group by all)
+select item_id, k::int as rank, doc_id, score
+from (select item_id, doc_id, score, row_number() over (partition by item_id order by score desc, doc_id) as k from s join c using (r) where score > 0)
+where k <= 10""",
     "op7_chat_format": r"""
 with t as (
   select conv_id, list(struct_pack(r := role, x := text) order by turn nulls last, role nulls last, text nulls last) as ts from conversations group by conv_id),
