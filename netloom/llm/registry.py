@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_automaton, chat, decontaminate, jaccard, language_id, lexical, licenses, passages, quality, repair, secrets, token_counts
+from . import bpe_automaton, chat, decontaminate, jaccard, language_id, lexical, licenses, packing, passages, quality, repair, secrets, token_counts
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -83,6 +83,11 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.search(table(spark, sf_dir, "benchmark"), k=10)
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = bpe_automaton.read_file(spark, tokenizer_path("word_bpe_49k.json"))
+    return packing.pack(table(spark, sf_dir, "documents"), raw, size=4096, end_id=2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f) and k[2:].split("_")[0].isdigit()}
 
