@@ -18,7 +18,9 @@ at a power of two of the tail.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 
 import numpy as np
@@ -33,26 +35,41 @@ CLASSES = 128
 """Length classes of the histogram; the basis of the linear program has as many rows at most."""
 GROUP = 1 << 16
 """Sequences, and items of a class, that one group of a window holds, about."""
-MEMO_BYTES = 48 << 20
+MEMO_BYTES = 160 << 20
 """What is remembered of ids of strings between white space, in about so many bytes."""
 LONG = 256
 """Bytes of a string that is not remembered."""
 SLICE_BYTES = 1 << 20
 """Text that is tokenized at a time."""
 
+_PLAIN = re.compile("[\n\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]*").fullmatch
+_VISIBLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_SHOWN = {b: 0x100 + k for k, b in enumerate(b for b in range(0x100) if b not in _VISIBLE)}
+"""Bytes that byte-level vocabularies write as characters from U+0100 on, in order."""
+
 
 # tokens
 
 
+class Vocabulary:
+    """A vocabulary file, and the encoder that a worker makes of it and keeps from task to task."""
+
+    def __init__(self, raw: bytes):
+        self.raw, self.encoder = raw, None
+
+
 class Encoder:
-    """Packed ids by the tokenizers library, remembered for strings between ASCII white space.
+    """Packed ids as the tokenizers library gives them, remembered for strings between ASCII white space.
 
     The vocabulary's pre-tokenizer must drop white space and match nothing across it, so that strings between white
-    space are encoded apart; independent() tests this on the file.
+    space are encoded apart; independent() tests this on the file.  A new string of plain characters (printable ASCII
+    and Latin letters, whose classes and lower case no version of Unicode disputes) is lowered and split here, and only
+    its words that are new go to the library's merges; other strings go to the library whole.
     """
 
     def __init__(self, raw: bytes):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(raw.decode())
@@ -60,29 +77,60 @@ class Encoder:
         self.tokenizer.no_padding()
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.apart = independent(raw)
+        spec = json.loads(raw)
+        self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall if self.apart else None
+        self.special = [t["content"] for t in spec.get("added_tokens", [])]
+        self.model = self.tokenizer.model
+        self.packed = [k.to_bytes(2 if self.kind == "<u2" else 4, "little") for k in range(self.tokenizer.get_vocab_size())]
         self.memo: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
         self.held = 0
 
     def _packed(self, texts: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
         return [np.array(x.ids, dtype=self.kind).tobytes() for x in found]
 
+    def _piece(self, piece: str) -> bytes:
+        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_SHOWN)
+        found = self.pieces[piece] = b"".join([self.packed[t.id] for t in self.model.tokenize(shown)])
+        self.held += 150 + len(piece) + len(found)
+        return found
+
+    def _new(self, words: list[bytes]) -> dict[bytes, bytes]:
+        whole = b"\n".join(words).decode("utf-8", "replace")
+        if not _PLAIN(whole) or any(t in whole for t in self.special):
+            if len(words) > 1:  # find those that are not plain
+                plain = [w for w in words if _PLAIN(t := w.decode("utf-8", "replace")) and not any(x in t for x in self.special)]
+                out = self._new(plain) if plain else {}
+                other = [w for w in words if w not in out]
+                out.update(zip(other, self._packed(other), strict=True))
+                return out
+            return {words[0]: self._packed(words)[0]}
+        out, known, learn, split = {}, self.pieces.get, self._piece, self.split
+        for w, text in zip(words, whole.lower().split("\n"), strict=True):
+            found = known(text)
+            if found is None:
+                found = learn(text) if text.isalpha() else b"".join([known(p) or learn(p) for p in split(text)])
+            out[w] = found
+        return out
+
     def _words(self, words: list[bytes]) -> bytes:
         memo = self.memo
-        new = list({w for w in words if w not in memo})
+        new = {w for w in words if w not in memo}
         if not new:
             return b"".join(map(memo.__getitem__, words))
         if self.held > MEMO_BYTES:
             memo.clear()
+            self.pieces.clear()
             self.held = 0
-            new = list(set(words))
-        made = dict(zip(new, self._packed(new), strict=True))
+            new = set(words)
+        made = self._new(list(new))
         short = {w: x for w, x in made.items() if len(w) <= LONG}
         memo.update(short)
         self.held += sum(150 + len(w) + len(x) for w, x in short.items())
         if len(short) == len(made):
             return b"".join(map(memo.__getitem__, words))
-        return b"".join([made.get(w) or memo.get(w, b"") for w in words])
+        return b"".join([made[w] if w in made else memo[w] for w in words])
 
     def encode(self, text: bytes) -> bytes:
         if not self.apart:
@@ -100,25 +148,26 @@ class Encoder:
 
 
 def independent(raw: bytes) -> bool:
-    """Whether a vocabulary file's pre-tokenizer splits by a pattern, first of all, that matches no white space, and drops what does not match."""
-    import json
-
+    """Whether a vocabulary file is for byte-level merges after its text is composed, its white space made spaces and its letters lowered, with words taken by a pattern that matches no white space."""
     import regex
 
     spec = json.loads(raw)
-    first = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
-    names = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
-    pattern = first.get("pattern", {}).get("Regex", "")
-    if first.get("type") != "Split" or first.get("behavior") != "Removed" or not first.get("invert") or not set(names) <= {"NFC", "Replace", "Lowercase"}:
+    steps = (spec.get("normalizer") or {}).get("normalizers", [])
+    splits = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    if [x.get("type") for x in steps] != ["NFC", "Replace", "Lowercase"] or steps[1]["pattern"] != {"Regex": r"\s+"} or [x.get("type") for x in splits] != ["Split", "ByteLevel"]:
+        return False
+    first, second = splits
+    if first.get("behavior") != "Removed" or not first.get("invert") or second.get("add_prefix_space") or second.get("use_regex") or spec["model"].get("type") != "BPE":
         return False
-    if any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or any(c.isspace() for c in t["content"]) for t in spec.get("added_tokens", [])):
+    if any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized") or any(c.isspace() for c in t["content"]) for t in spec.get("added_tokens", [])):
         return False
-    return not any(any(c.isspace() for c in m) for m in regex.findall(pattern, " \t\n\x0b\x0c\ra's 1 b\n?! \r\n ...  'd\t"))
+    return not any(any(c.isspace() for c in m) for m in regex.findall(first["pattern"]["Regex"], " \t\n\x0b\x0c\ra's 1 b\n?! \r\n ...  'd\t"))
 
 
 def _encode(sent, end_id: int):
     def run(batches):
-        encoder = Encoder(sent.value)
+        file = sent.value
+        encoder = file.encoder = file.encoder or Encoder(file.raw)
         end = np.array([end_id], dtype=encoder.kind).tobytes()
         width = len(end)
         for batch in batches:
@@ -316,7 +365,7 @@ def pack(docs: DataFrame, raw: bytes, size: int = 4096, end_id: int = 2, with_id
     if size < CLASSES or size & (size - 1):
         raise ValueError(f"size must be a power of two, {CLASSES} or more")
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(raw)
+    sent = spark.sparkContext.broadcast(Vocabulary(raw))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     made = texts.mapInArrow(_encode(sent, end_id), "doc_id long, n long, ids binary")
     tokens = keep(made.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n", "ids"), "tokens")

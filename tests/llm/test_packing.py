@@ -17,7 +17,7 @@ RNG = random.Random(13)
 PATH = public_tokenizers.path("word_bpe_49k.json")
 RAW = open(PATH, "rb").read()
 PLAIN = Tokenizer.from_file(PATH)
-ODD = ["", None, "  \n", "a", "It's we'll 'tis 3rd a1b2", "É́é ́x  y z\x1cq\x85r", "<|endoftext|>x <|startoftext|>", "<| endoftext|>", "ΟΔΟΣ ΣΑΣ İ", "日本語 テスト。", "🙂🙂 !!??..", "x" * 5000, "a\0b \x1f c"]
+ODD = ["", None, "  \n", "a", "It's we'll 'tis 3rd a1b2", "É́é ́x  y z\x1cq\x85r", "<|endoftext|>x <|startoftext|>", "<| endoftext|>", "ΟΔΟΣ ΣΑΣ İ", "日本語 テスト。", "🙂🙂 !!??..", "x" * 5000, "a\0b \x1f c", "Ärger's ÉTÉ'LL ñandú×2÷3 ĲŉſŦ İı ªº µ", "'S'T'RE'VE'M'LL'D ''s 's's", "ab<|endoftext|>cd"]
 
 
 def ids_of(text):
@@ -85,7 +85,7 @@ def test_a_long_text(spark):
 def test_encoder_equals_the_library(monkeypatch):
     encoder = packing.Encoder(RAW)
     assert encoder.apart
-    texts = [t or "" for t in ODD] + [words(50) for _ in range(30)] + ["".join(RNG.choices("ab'sd1 .!é\n\t　<|>", k=60)) for _ in range(500)]
+    texts = [t or "" for t in ODD] + [words(50) for _ in range(30)] + ["".join(RNG.choices("ab'SsdLl1 .!éÉÿĀ×Σ́\n\t　<|>", k=60)) for _ in range(500)]
     for slice_bytes, memo in ((1 << 20, 48 << 20), (20, 1000)):
         monkeypatch.setattr(packing, "SLICE_BYTES", slice_bytes)
         monkeypatch.setattr(packing, "MEMO_BYTES", memo)
