@@ -249,7 +249,7 @@ class GraphTable:
     def k_hop_neighborhood(self, node_id, k: int, directed: bool = False) -> GraphTable:
         if k < 0:
             raise ValueError("k must be 0 or more")
-        ids = components.reached(self, node_id, directed, k).select(F.col("id").alias(self.id_col))
+        ids = components.within_hops(self, node_id, directed, k).select(F.col("id").alias(self.id_col))
         return self._induced(self.nodes.join(ids, self.id_col, "left_semi"))
 
     def k_hop_mask(self, k: int, directed: bool = False) -> DataFrame:

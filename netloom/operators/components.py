@@ -1,139 +1,42 @@
-"""Connected components and reachability."""
+"""Connected components, and what a node reaches."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.fixpoint import settled, until_empty
-
+from .strong import strong_roots
+from ..plans.fixpoint import discard, settled, stored
 
-LOCAL_EDGES = 200_000
-"""Edges that are left for the driver to finish with, at most; more are worked on by rounds."""
+NEAR = 12
+"""Hops that a search makes one by one; what lies farther is found by labels."""
 
 
 def _pairs(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("source").alias("s"), F.col("target").alias("t")).where("s is not null and t is not null")
 
 
-def _labels_to_leasts(ids: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(id, root): the least id of each weak component, by alternating large-star and small-star steps.
+def stars(pairs: DataFrame) -> DataFrame:
+    """(id, root), root < id: the least id of the weak component of each node in pairs (s, t) that is not itself the least.
 
-    Steps halve the depth of the trees they build (Kiveris et al., 2014), so rounds grow with the logarithm of a
-    component's size and not with a path's length.
+    Large-star and small-star steps alternate and halve the depth of the trees they build (Kiveris et al., 2014), so
+    rounds grow with the logarithm of a component's size and not with a path's length.
     """
-    state = {"edges": settled(pairs.where("s <> t").select(F.greatest("s", "t").alias("u"), F.least("s", "t").alias("v")).distinct()), "sum": None}
-
-    def step(_turn: int) -> DataFrame:
-        e = state["edges"]
-        both = e.select("u", "v").union(e.select(F.col("v"), F.col("u")))
+    total = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
+    edges, now = stored(pairs.where("s <> t").select(F.greatest("s", "t").alias("u"), F.least("s", "t").alias("v")).distinct(), total=total)
+    while now["n_rows"]:
+        both = edges.select("u", "v").union(edges.select(F.col("v"), F.col("u")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         up = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(up, "u").select(F.col("v").alias("x"), "m", "u")
-        new = settled(small.select(F.col("x").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        state["edges"] = new
-        return new.join(e, ["u", "v"], "left_anti").union(e.join(new, ["u", "v"], "left_anti")).limit(1)
-
-    until_empty(step)
-    stars = state["edges"].select(F.col("u").alias("id"), F.col("v").alias("root"))
-    return ids.join(stars, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
-
-
-def _least_of_strong(pairs: list[tuple]) -> dict:
-    """The least node of each node's strong component, by Tarjan's walk without recursion."""
-    out: dict = {}
-    after: dict = {}
-    for s, t in pairs:
-        after.setdefault(s, []).append(t)
-    index: dict = {}
-    low: dict = {}
-    path: list = []
-    for start in after:
-        if start in index:
-            continue
-        index[start] = low[start] = len(index)
-        path.append(start)
-        walk = [(start, iter(after[start]))]
-        while walk:
-            node, rest = walk[-1]
-            for t in rest:
-                if t not in index:
-                    index[t] = low[t] = len(index)
-                    path.append(t)
-                    walk.append((t, iter(after.get(t, ()))))
-                    break
-                if t not in out:  # still on the path
-                    low[node] = min(low[node], index[t])
-            else:
-                walk.pop()
-                if walk:
-                    low[walk[-1][0]] = min(low[walk[-1][0]], low[node])
-                if low[node] == index[node]:
-                    own = []
-                    while not own or own[-1] != node:
-                        own.append(path.pop())
-                    out.update(dict.fromkeys(own, min(own)))
-    return out
-
-
-def _strong_roots(ids: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(id, root): the least id of each strong component.
-
-    Nodes without an edge in or out among the rest are components of their own and go first.  Then the least id that
-    reaches each node colours it; within a colour, what reaches its least node back is one component, and goes.  These
-    rounds follow paths; as soon as no more than LOCAL_EDGES edges are left, the driver finds their components in one walk.
-    """
-    left = settled(ids)
-    edges = settled(pairs.where("s <> t").distinct())
-    done: list[DataFrame] = []
-
-    def within(e: DataFrame, n: DataFrame) -> DataFrame:
-        return e.join(n.select(F.col("id").alias("s")), "s", "left_semi").join(n.select(F.col("id").alias("t")), "t", "left_semi").select("s", "t")
-
-    while not left.isEmpty():
-        if edges.limit(LOCAL_EDGES + 1).count() <= LOCAL_EDGES:
-            found = _least_of_strong([(r["s"], r["t"]) for r in edges.collect()])
-            kind = ids.schema["id"].dataType.simpleString()
-            table = ids.sparkSession.createDataFrame(list(found.items()), f"id {kind}, root {kind}")
-            done.append(left.join(table, "id", "left").select("id", F.coalesce("root", "id").alias("root")))
+        step = small.select(F.col("x").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        new, after = stored(step, total=total)
+        discard(edges)
+        edges, before, now = new, now, after
+        if now == before:
             break
-        if len(done) > 8:  # many layers, one table
-            done = [settled(reduce(DataFrame.union, done))]
-        core = settled(left.join(edges.select(F.col("s").alias("id")).distinct(), "id", "left_semi").join(edges.select(F.col("t").alias("id")).distinct(), "id", "left_semi"))
-        trimmed = left.join(core, "id", "left_anti")
-        if not trimmed.isEmpty():
-            done.append(settled(trimmed.select("id", F.col("id").alias("root"))))
-            left, edges = core, settled(within(edges, core))
-            continue
-        colour = {"now": settled(left.select("id", F.col("id").alias("c"))), "moved": None}
-
-        def paint(_turn: int, edges=edges, colour=colour) -> DataFrame:
-            now = colour["now"]
-            come = edges.join(now.select(F.col("id").alias("s"), "c"), "s").groupBy(F.col("t").alias("id")).agg(F.min("c").alias("m"))
-            new = settled(now.join(come, "id", "left").select("id", F.least("c", "m").alias("c"), (F.col("m") < F.col("c")).alias("moved")))
-            colour["now"] = new.select("id", "c")
-            return new.where("moved").limit(1)
-
-        until_empty(paint)
-        inside = edges.join(colour["now"].select(F.col("id").alias("s"), F.col("c").alias("cs")), "s").join(colour["now"].select(F.col("id").alias("t"), F.col("c").alias("ct")), "t").where("cs = ct").select("s", "t", F.col("cs").alias("c"))
-        inside = settled(inside)
-        reach = {"all": settled(colour["now"].where("id = c")), "new": None}
-        reach["new"] = reach["all"]
-
-        def back(_turn: int, inside=inside, reach=reach) -> DataFrame:
-            found = inside.join(reach["new"].select(F.col("id").alias("t")), "t", "left_semi").select(F.col("s").alias("id"), "c").distinct()
-            reach["new"] = settled(found.join(reach["all"], "id", "left_anti"))
-            reach["all"] = settled(reach["all"].union(reach["new"]))
-            return reach["new"].limit(1)
-
-        until_empty(back)
-        done.append(reach["all"].select("id", F.col("c").alias("root")))
-        left = settled(left.join(reach["all"], "id", "left_anti"))
-        edges = settled(within(edges, left))
-    return reduce(DataFrame.union, done, ids.select("id", F.col("id").alias("root")).limit(0))
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
 
 
 def roots(graph, directed: bool = True, connection: str = "weak") -> DataFrame:
@@ -142,8 +45,8 @@ def roots(graph, directed: bool = True, connection: str = "weak") -> DataFrame:
         raise ValueError("connection must be 'weak' or 'strong'")
     ids = graph.nodes.select(F.col(graph.id_col).alias("id"))
     if directed and connection == "strong":
-        return _strong_roots(ids, _pairs(graph.edges))
-    return _labels_to_leasts(ids, _pairs(graph.edges))
+        return strong_roots(ids, _pairs(graph.edges), stars)
+    return ids.join(stars(_pairs(graph.edges)), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
 
 
 def labels(graph, directed: bool = True, connection: str = "weak") -> DataFrame:
@@ -157,25 +60,70 @@ def labels(graph, directed: bool = True, connection: str = "weak") -> DataFrame:
     return found.join(numbered.select("root", F.col("_pos").alias("component")), "root").select(F.col("id").alias(graph.id_col), "component")
 
 
-def reached(graph, start, directed: bool, hops: int | None = None) -> DataFrame:
-    """(id, hop) of the nodes that start reaches, with the number of hops, at most hops if given."""
+def _start(graph, start) -> DataFrame:
+    own = graph.nodes.where(F.col(graph.id_col) == F.lit(start)).select(F.col(graph.id_col).alias("id"))
+    if own.isEmpty():
+        raise KeyError(start)
+    return own
+
+
+def _search(seen: DataFrame, pairs: DataFrame, hops: int) -> tuple[DataFrame, bool]:
+    """(id, hop) of what seen (id) reaches in hops steps, and whether the last of them found anything."""
+    seen = seen.select("id", F.lit(0).alias("hop"))
+    front = seen
+    for turn in range(1, hops + 1):
+        new = pairs.join(front.select(F.col("id").alias("s")), "s", "left_semi").select(F.col("t").alias("id")).distinct().join(seen, "id", "left_anti").select("id", F.lit(turn).alias("hop"))
+        front, now = stored(new)
+        if not now["n_rows"]:
+            return seen, False
+        seen = seen.union(front)
+    return seen, True
+
+
+def within_hops(graph, start, directed: bool, hops: int) -> DataFrame:
+    """(id, hop) of the nodes that start reaches in hops steps or fewer: one join for each step."""
     pairs = _pairs(graph.edges).distinct()
     if not directed:
         pairs = pairs.union(pairs.select(F.col("t").alias("s"), F.col("s").alias("t"))).distinct()
-    kind = graph.nodes.schema[graph.id_col].dataType.simpleString()
-    seen = graph.nodes.where(F.col(graph.id_col) == F.lit(start)).select(F.col(graph.id_col).alias("id"), F.lit(0).alias("hop"))
-    if seen.isEmpty():
-        raise KeyError(start)
-    front, turn = seen, 0
-    if hops is None or hops > 1:
-        pairs = settled(pairs)
-    while hops is None or turn < hops:
-        turn += 1
-        new = pairs.join(front.select(F.col("id").alias("s")), "s", "left_semi").select(F.col("t").alias("id")).distinct().join(seen, "id", "left_anti").select("id", F.lit(turn).alias("hop"))
-        front = settled(new)
-        if front.isEmpty():
+    return _search(_start(graph, start), settled(pairs) if hops > 1 else pairs, hops)[0]
+
+
+def reached(graph, start, directed: bool = True) -> DataFrame:
+    """(id) of the nodes that start reaches.
+
+    Without directions that is start's weak component.  With them, a search by hops comes first.  Where it isn't done
+    after NEAR of them, all it has found becomes one node with the least name, and each other node looks for the least
+    name that reaches it: that of a node before it, or that which the node of its own name has found, so that stretches
+    double along long paths.  What gets the start's name is reached.
+    """
+    own = _start(graph, start)
+    if not directed:
+        found = settled(roots(graph, directed=False))
+        return found.join(found.join(own, "id", "left_semi").select("root"), "root", "left_semi").select("id")
+    pairs = settled(_pairs(graph.edges).distinct())
+    seen, more = _search(own, pairs, NEAR)
+    near = seen.select("id")
+    if not more:
+        return near
+    from .strong import LEAST, mixed, number
+
+    near = settled(near)
+    ids, numbered = number(graph.nodes.select(F.col(graph.id_col).alias("id")).join(near, "id", "left_anti"))
+    ends = numbered(pairs.join(near.select(F.col("id").alias("t")), "t", "left_anti"), near)
+    edges = settled(ends.select(F.coalesce(mixed("s", 0), F.lit(LEAST)).alias("s"), mixed("t", 0).alias("t")).distinct())
+    source = ids.sparkSession.createDataFrame([(None, LEAST, LEAST)], "n long, v long, l long")
+    state = ids.select(F.col("v").alias("n"), mixed("v", 0).alias("v")).withColumn("l", F.col("v")).unionByName(source)
+    state, _ = stored(state)
+    done = 1
+    while True:
+        come = edges.join(state.select(F.col("v").alias("s"), "l"), "s").groupBy(F.col("t").alias("v")).agg(F.min("l").alias("m"))
+        new = state.join(come, "v", "left").select("n", "v", F.least("l", "m").alias("l"))
+        new = new.join(state.select(F.col("v").alias("l"), F.col("l").alias("far")), "l").select("n", "v", F.least("l", "far").alias("l"))
+        new, now = stored(new, done=F.count_if(F.col("l") == LEAST))
+        discard(state)
+        state = new
+        if now["done"] == done:  # an edge from what is reached to what is not would have added its end
             break
-        seen = seen.union(front)
-        if turn % 10 == 0:
-            seen = settled(seen)
-    return seen.select(F.col("id").cast(kind).alias("id"), "hop")
+        done = now["done"]
+    far = state.where((F.col("l") == LEAST) & F.col("n").isNotNull()).select(F.col("n").alias("v"))
+    return near.union(ids.join(far, "v", "left_semi").select("id"))

@@ -1,27 +1,48 @@
-"""Driver loops to a fixpoint.  Each round is written to reliable storage, so lineage stays short and lost executors cost no more than a task."""
+"""Tables written between the rounds of a driver loop.  Lineage ends at each of them, and lost executors cost no more than a task."""
 
 from __future__ import annotations
 
 import re
 import tempfile
-from collections.abc import Callable
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df cut from its lineage by checkpoint(); the folder is the session's, or in local mode, where it has none, one of this process."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not re.match(r"local(\[|$)", sc.master):
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir; in local mode, where it has none, a folder of this process."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="netloom-"))
-    return df.checkpoint()
+        folder = tempfile.mkdtemp(prefix="netloom-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def stored(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
+    """df, written to the shared folder and read back, and aggregates of its rows that are taken while they are written."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/round-{uuid.uuid4().hex}"
+    seen = Observation()
+    watched = df.observe(seen, F.count(F.lit(1)).alias("n_rows"), *[c.alias(k) for k, c in measures.items()])
+    watched.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out, seen.get
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df cut from its lineage."""
+    return stored(df)[0]
 
 
-def until_empty(step: Callable[[int], DataFrame]) -> None:
-    """Call step(round) until the table that it returns has no rows; each caller's steps make progress, so they end."""
-    turn = 0
-    while not step(turn).isEmpty():
-        turn += 1
+def discard(*tables: DataFrame | None) -> None:
+    """Delete what stored() wrote for tables that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_stored_at", None)
+        if path:
+            jvm = df.sparkSession._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)

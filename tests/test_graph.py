@@ -232,23 +232,6 @@ def test_nan_is_passed_over_in_aggregates(gaps):
         assert math.isclose(gaps.groupby_nodes("kind").apply_edges(name, "weight").first()["weight"], value)
 
 
-def test_long_rings_and_chains(spark, monkeypatch):
-    """A directed ring of 1500 nodes is one strong component, a chain none; by walks, and by rounds on smaller ones."""
-    from netloom.operators import components
-
-    def ring_and_chain(n):
-        pairs = [(k, (k + 1) % n) for k in range(n)] + [(k, k + 1) for k in range(n, 2 * n)]
-        nodes = spark.createDataFrame([(k,) for k in range(2 * n + 1)], "id long")
-        return GraphTable(nodes, spark.createDataFrame(pairs, "source long, target long"), id_col="id")
-
-    g = ring_and_chain(1500)
-    assert {r["id"]: r["root"] for r in components.roots(g, connection="strong").collect()} == {k: 0 if k < 1500 else k for k in range(3001)}
-    assert {r["root"] for r in components.roots(g).collect()} == {0, 1500}
-    monkeypatch.setattr(components, "LOCAL_EDGES", 0)
-    g = ring_and_chain(3)
-    assert {r["id"]: r["root"] for r in components.roots(g, connection="strong").collect()} == {k: 0 if k < 3 else k for k in range(7)}
-
-
 def test_spectral_order_against_dense_solver(spark, monkeypatch):
     import numpy as np
 
