@@ -27,6 +27,7 @@ class GraphTable:
         self.nodes, self.edges, self.directed, self.id_col = nodes, edges, directed, id_col
         self._order: DataFrame | None = None
         self._sources = self._targets = None
+        self._places: dict[str, DataFrame] = {}  # by side, once asked for
         if sources is not None:
             self._sources = subgraph.id_table(self, sources).withColumnRenamed("_id", id_col)
         if targets is not None:
@@ -66,6 +67,7 @@ class GraphTable:
             kind = self.nodes.schema[self.id_col].dataType.simpleString()
             order = self.nodes.sparkSession.createDataFrame([(v, k) for k, v in enumerate(order)], f"`{self.id_col}` {kind}, _key long")
         out._order = self._order if order is None else order
+        out._places = self._places if nodes is None and order is None else {}
         return out
 
     def _give(self, inplace: bool, out: GraphTable) -> GraphTable | None:
@@ -92,17 +94,22 @@ class GraphTable:
     targets = property(lambda self: self.target_nodes.select(self.id_col))
 
     def positions(self) -> DataFrame:
-        """nodes with _pos, their place in the node order."""
-        if self._order is None:
-            return matrix.positions_of(self.nodes, self.id_col, [])
-        return matrix.positions_of(self.nodes.join(self._order, self.id_col, "left"), self.id_col, ["_key"]).drop("_key")
+        """nodes with _pos, their place in the node order; sorted and written once for these nodes."""
+        if "all" not in self._places:
+            if self._order is None:
+                self._places["all"] = matrix.positions_of(self.nodes, self.id_col, [])
+            else:
+                self._places["all"] = matrix.positions_of(self.nodes.join(self._order, self.id_col, "left"), self.id_col, ["_key"]).drop("_key")
+        return self._places["all"]
 
     def _placed(self, side: str) -> DataFrame:
         ids = self._sources if side == "source" else self._targets
         if ids is None:
             return self.positions()
-        whole = self.positions().join(ids, self.id_col, "left_semi").withColumnRenamed("_pos", "_key")
-        return matrix.positions_of(whole, self.id_col, ["_key"]).drop("_key")
+        if side not in self._places:
+            whole = self.positions().join(ids, self.id_col, "left_semi").withColumnRenamed("_pos", "_key")
+            self._places[side] = matrix.positions_of(whole, self.id_col, ["_key"]).drop("_key")
+        return self._places[side]
 
     def shape(self) -> dict[str, tuple[int, int]]:
         return {"nodes": (self.nodes.count(), len(self.nodes.columns) - 1), "edges": (self.edges.count(), len(self.edges.columns))}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .strong import strong_roots
 from ..plans.fixpoint import discard, settled, stored
 
-NEAR = 12
+NEAR = 8
 """Hops that a search makes one by one; what lies farther is found by labels."""
 
 
@@ -111,19 +111,18 @@ def reached(graph, start, directed: bool = True) -> DataFrame:
     ids, numbered = number(graph.nodes.select(F.col(graph.id_col).alias("id")).join(near, "id", "left_anti"))
     ends = numbered(pairs.join(near.select(F.col("id").alias("t")), "t", "left_anti"), near)
     edges = settled(ends.select(F.coalesce(mixed("s", 0), F.lit(LEAST)).alias("s"), mixed("t", 0).alias("t")).distinct())
-    source = ids.sparkSession.createDataFrame([(None, LEAST, LEAST)], "n long, v long, l long")
-    state = ids.select(F.col("v").alias("n"), mixed("v", 0).alias("v")).withColumn("l", F.col("v")).unionByName(source)
-    state, _ = stored(state)
-    done = 1
+    nodes, _ = stored(ids.select(F.col("v").alias("n"), mixed("v", 0).alias("v")))
+    source = ids.sparkSession.createDataFrame([(LEAST, LEAST)], "v long, l long")
+    state, done = nodes.select("v", F.col("v").alias("l")).union(source), 1
     while True:
-        come = edges.join(state.select(F.col("v").alias("s"), "l"), "s").groupBy(F.col("t").alias("v")).agg(F.min("l").alias("m"))
-        new = state.join(come, "v", "left").select("n", "v", F.least("l", "m").alias("l"))
-        new = new.join(state.select(F.col("v").alias("l"), F.col("l").alias("far")), "l").select("n", "v", F.least("l", "far").alias("l"))
-        new, now = stored(new, done=F.count_if(F.col("l") == LEAST))
+        ask = edges.select(F.col("t").alias("v"), F.col("s").alias("w")).union(state.select("v", F.col("l")))
+        told = ask.join(state.select(F.col("v").alias("w"), "l"), "w").groupBy("v").agg(F.min("l").alias("l"))
+        new, now = stored(told, done=F.count_if(F.col("l") == LEAST))
         discard(state)
         state = new
         if now["done"] == done:  # an edge from what is reached to what is not would have added its end
             break
         done = now["done"]
-    far = state.where((F.col("l") == LEAST) & F.col("n").isNotNull()).select(F.col("n").alias("v"))
+    state = state.join(nodes, "v")
+    far = state.where(F.col("l") == LEAST).select(F.col("n").alias("v"))
     return near.union(ids.join(far, "v", "left_semi").select("id"))

@@ -118,7 +118,7 @@ class NodeGroups:
                 return g._replace(edges=within(g.edges, rows, cols))
             both = rows.union(cols).distinct().withColumnRenamed("_id", g.id_col)
             out = g._replace(nodes=g.nodes.join(both, g.id_col, "left_semi"), edges=within(g.edges, rows, cols))
-            out._sources, out._targets = rows.withColumnRenamed("_id", g.id_col), cols.withColumnRenamed("_id", g.id_col)
+            out._sources, out._targets, out._places = rows.withColumnRenamed("_id", g.id_col), cols.withColumnRenamed("_id", g.id_col), {}
             return out
 
         if self.axis == "source":

@@ -1,4 +1,4 @@
-"""Positions of nodes, adjacency as coordinates, and spectral order."""
+"""Positions of nodes, adjacency as coordinates, and spectral order by Lanczos steps."""
 
 from __future__ import annotations
 
@@ -6,11 +6,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.fixpoint import settled
+from ..plans.fixpoint import discard, settled, stored
 from .grouping import named_aggregate, without_nan
 
-DENSE_NODES = 1000
-"""Nodes of a graph whose eigenvectors the driver finds in one piece, at most."""
 DENSE_IDS = 10_000
 """Columns of a dense adjacency at most, Spark's own limit for a pivot."""
 
@@ -64,8 +62,8 @@ def coordinates(graph, weight_col: str | None = None, aggfunc="sum", verify_inte
     """(row, col, value): positions among sources and targets."""
     if verify_integrity:
         for side in ("source", "target"):
-            ends = graph.edges.select(F.col(side).alias("_id")).where("_id is not null")
-            if not ends.join(graph._placed(side).select(F.col(graph.id_col).alias("_id")), "_id", "left_anti").isEmpty():
+            strays = graph.edges.select(F.col(side).alias("_id")).where("_id is not null").join(graph._placed(side).select(F.col(graph.id_col).alias("_id")), "_id", "left_anti")
+            if not strays.isEmpty():
                 raise ValueError(f"an edge's {side} is not among the {side}s")
     rows = graph._placed("source").select(F.col(graph.id_col).alias("source"), F.col("_pos").alias("row"))
     cols = graph._placed("target").select(F.col(graph.id_col).alias("target"), F.col("_pos").alias("col"))
@@ -99,44 +97,68 @@ def collect_csr(graph, coo: DataFrame, limit: int) -> Csr:
     return Csr(indptr, cells["col"].to_numpy(dtype=np.int64), cells["value"].to_numpy(), shape)
 
 
-def spectral_keys(graph, weight_col: str = "weight", rounds: int = 200, tolerance: float = 1e-10) -> DataFrame:
-    """(id, _key): components of the leading eigenvector of A + A^T, the one of largest size made positive.
+STEPS = 30
+"""Lanczos vectors that a node holds; after so many, the iteration starts again from the best combination of them."""
+
+
+def _leading(diagonal: list[float], beside: list[float]) -> tuple[float, np.ndarray]:
+    """The eigenvalue of largest size of a small tridiagonal matrix, the positive one of two as large, and its vector."""
+    small = np.diag(diagonal) + np.diag(beside[: len(diagonal) - 1], 1) + np.diag(beside[: len(diagonal) - 1], -1)
+    values, vectors = np.linalg.eigh(small)
+    k = len(values) - 1 if abs(values[0]) <= abs(values[-1]) * (1 + 1e-9) else 0
+    return float(values[k]), vectors[:, k]
 
-    Graphs of up to DENSE_NODES nodes are solved whole.  Beyond, power iteration on the square, so that eigenvalues of
-    equal size and other sign do not swing: each round joins the vector to the edges twice and sums by row.  Raises
-    RuntimeError where the vector still moves by more than tolerance after rounds; more rounds may be given.
-    """
-    a = weighted(graph, weight_col).select("source", "target", F.col("value").cast("double").alias("w"))
-    both = settled(a.union(a.select(F.col("target"), F.col("source"), "w")).groupBy("source", "target").agg(F.sum("w").alias("w")))
-    placed = graph.positions().select(F.col(graph.id_col).alias("id"), "_pos")
-    ids = [r["id"] for r in placed.orderBy("_pos").select("id").limit(DENSE_NODES + 1).collect()]
-    if 0 < len(ids) <= DENSE_NODES:
-        at = {k: i for i, k in enumerate(ids)}
-        matrix = np.zeros((len(ids), len(ids)))
-        for r in both.collect():  # the square of DENSE_NODES cells at most
-            if r["source"] in at and r["target"] in at and r["w"] is not None:
-                matrix[at[r["source"]], at[r["target"]]] = r["w"]
-        values, vectors = np.linalg.eigh(matrix)
-        own = vectors[:, int(np.abs(values).argmax())] if matrix.any() else np.zeros(len(ids))
-        top = own[int(np.lexsort((own, np.round(np.abs(own), 9)))[-1])]
-        kind = graph.nodes.schema[graph.id_col].dataType.simpleString()
-        return graph.nodes.sparkSession.createDataFrame([(k, round(float(v) * (1.0 if top > 0 else -1.0), 12) + 0.0) for k, v in zip(ids, own, strict=True)], f"`{graph.id_col}` {kind}, _key double")
-    x = settled(placed.select("id", (F.lit(1.0) + F.sin(F.col("_pos").cast("double")) / 10).alias("x")))
-
-    def times(v: DataFrame) -> DataFrame:
-        return both.join(v.select(F.col("id").alias("target"), "x"), "target").groupBy(F.col("source").alias("id")).agg(F.sum(F.col("w") * F.col("x")).alias("x"))
 
+def spectral_keys(graph, weight_col: str = "weight", rounds: int = 10, tolerance: float = 1e-10) -> DataFrame:
+    """(id, _key): components of the eigenvector of A + A^T whose eigenvalue is largest in size, its largest component positive.
+
+    Of eigenvalues as large with either sign, as bipartite graphs have them, the positive one counts.  Lanczos steps:
+    each node holds its place in all vectors so far; a step sends the last one along the edges (a join and a sum by row),
+    takes off the parts along all of them, twice (sums of one row), and puts the rest beside them.  The driver solves
+    the tridiagonal matrix of STEPS rows at most.  Raises RuntimeError where the residual is still above tolerance, in
+    parts of the eigenvalue, after rounds of STEPS steps; more rounds may be given.
+    """
+    a = weighted(graph, weight_col).select("source", "target", F.coalesce(F.col("value").cast("double"), F.lit(0.0)).alias("w"))
+    ids = graph.nodes.select(F.col(graph.id_col).alias("id"))
+    both = a.union(a.select(F.col("target"), F.col("source"), "w")).groupBy(F.col("source").alias("id"), F.col("target").alias("other")).agg(F.sum("w").alias("w"))
+    both, _ = stored(both)
+    begin = F.lit(1.0) + F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 10_000_030
+    state, seen = stored(ids.select("id", F.array(begin).alias("q")), norm=F.sum(F.col("q")[0] * F.col("q")[0]))
+    scale, value = float(np.sqrt(seen["norm"] or 1.0)), 0.0
+    basis = F.array(F.col("q")[0] / scale)  # of a row of state
     for _ in range(rounds):
-        y = settled(times(times(x)))
-        norm = y.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0]
-        if not norm:
-            break
-        new = y.select("id", (F.col("x") / norm).alias("x"))
-        moved = x.join(new.withColumnRenamed("x", "z"), "id", "left").agg(F.max(F.abs(F.col("x") - F.coalesce("z", F.lit(0.0))))).first()[0]
-        x = new
-        if moved < tolerance:
-            break
+        diagonal, beside = [], []
+        combined = None
+        for k in range(STEPS):
+            held = state.select("id", basis.alias("q"))
+            sent = both.join(held.select(F.col("id").alias("other"), F.col("q")[k].alias("x")), "other").groupBy("id").agg(F.sum(F.col("w") * F.col("x")).alias("y"))
+            joined = held.join(sent, "id", "left").select("id", "q", F.coalesce("y", F.lit(0.0)).alias("y"))
+            q = [F.col("q")[i] for i in range(k + 1)]
+            new, seen = stored(joined, size=F.sum(F.col("y") * F.col("y")), **{f"h{i}": F.sum(q[i] * F.col("y")) for i in range(k + 1)})
+            discard(state)
+            state = new
+            first = [seen[f"h{i}"] or 0.0 for i in range(k + 1)]
+            rest = F.col("y") - sum((F.lit(h) * c for h, c in zip(first, q, strict=True)), F.lit(0.0))
+            again = state.agg(F.sum(rest * rest).alias("size"), *[F.sum(q[i] * rest).alias(f"h{i}") for i in range(k + 1)]).first()
+            second = [again[f"h{i}"] or 0.0 for i in range(k + 1)]
+            diagonal.append(first[k] + second[k])
+            left = float(np.sqrt(max((again["size"] or 0.0) - sum(h * h for h in second), 0.0)))
+            value, part = _leading(diagonal, beside)
+            beside.append(left)
+            combined = sum((F.lit(float(p)) * c for p, c in zip(part, q, strict=True)), F.lit(0.0))
+            if left * abs(part[-1]) <= tolerance * max(abs(value), 1e-300) or left <= 1e-13 * max(abs(value), 1e-300):
+                break
+            rest = rest - sum((F.lit(h) * c for h, c in zip(second, q, strict=True)), F.lit(0.0))
+            basis = F.array(*q, rest / left)
+        else:
+            state, seen = stored(state.select("id", combined.alias("x")), norm=F.sum(F.col("x") * F.col("x")))
+            basis = F.array(F.col("x") / float(np.sqrt(seen["norm"])))
+            continue
+        break
     else:
         raise RuntimeError(f"the leading eigenvector has not settled in {rounds} rounds: give more, or a larger tolerance")
-    top = x.agg(F.max_by("x", F.struct(F.round(F.abs("x"), 9), F.col("x")))).first()[0] or 1.0
-    return placed.join(x, "id", "left").select(F.col("id").alias(graph.id_col), F.round(F.coalesce("x", F.lit(0.0)) * F.lit(1.0 if top > 0 else -1.0), 12).alias("_key"))
+    found, seen = stored(state.select("id", combined.alias("x")), top=F.max_by("x", F.struct(F.round(F.abs("x"), 9), "x")))
+    discard(state, both)
+    if not value:  # no edge of any weight
+        return found.select(F.col("id").alias(graph.id_col), F.lit(0.0).alias("_key"))
+    return found.select(F.col("id").alias(graph.id_col), F.round(F.col("x") * F.lit(1.0 if (seen["top"] or 1.0) > 0 else -1.0), 12).alias("_key"))

@@ -22,8 +22,8 @@ from pyspark.sql import types as T
 from ..plans.fixpoint import discard, stored
 
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
-WORTH = 10
-"""A contraction is made if it draws in one node for so many edges, or more."""
+WORTH = 2
+"""A contraction is made if it draws in one node for so many edges, or more; that changes the time taken, not the result."""
 
 
 def mixed(column: str | Column, seed: int) -> Column:
@@ -124,20 +124,31 @@ class _Trees:
         return stored(components.union(own))[0]
 
 
+def _counts(edges: DataFrame) -> tuple[int, int, int]:
+    """Pairs with edges both ways, and nodes with one edge in, and with one out."""
+    one = F.lit(1)
+    both = edges.groupBy(F.least("s", "t").alias("x"), F.greatest("s", "t").alias("y")).agg(F.count(one).alias("n")).select(F.lit("both").alias("what"), (F.col("n") > 1).alias("yes"))
+    ends = [edges.groupBy(c).agg(F.count(one).alias("n")).select(F.lit(c).alias("what"), (F.col("n") == 1).alias("yes")) for c in ("t", "s")]
+    found = {r["what"]: r["n"] for r in both.union(ends[0]).union(ends[1]).groupBy("what").agg(F.count_if("yes").alias("n")).collect()}
+    return found.get("both", 0), found.get("t", 0), found.get("s", 0)
+
+
 def _contracted(edges: DataFrame, count: int, stars) -> tuple[DataFrame, int, list]:
     """edges after contractions, their number, and what undoes each of them."""
     undo: list = []
     while count:
         before = count
-        back = edges.join(_turned(edges), ["s", "t"], "left_semi").where("s < t")
-        mutual, seen = stored(back)
-        if seen["n_rows"] * WORTH >= count:
+        back, once_in, once_out = _counts(edges)
+        if back * WORTH >= count:
+            mutual = edges.join(_turned(edges), ["s", "t"], "left_semi").where("s < t")
             new, _ = stored(stars(mutual).select(F.col("id").alias("v"), "root"))
             edges, now = stored(_renamed(edges, new))
             count = now["n_rows"]
             undo.append(lambda c, new=new: stored(c.union(new.join(c.select(F.col("v").alias("root"), "c"), "root", "left").select("v", F.coalesce("c", "root").alias("c"))))[0])
         for turned in (False, True):
             own = _turned(edges) if turned else edges
+            if (once_out if turned else once_in) * WORTH < count:
+                continue
             single = own.groupBy(F.col("t").alias("v")).agg(F.count(F.lit(1)).alias("n"), F.first("s").alias("p")).where("n = 1").select("v", "p")
             tree, seen = stored(single)
             if count and seen["n_rows"] * WORTH >= count:
@@ -170,20 +181,22 @@ def _core(edges: DataFrame, count: int, spark) -> DataFrame:
         if not count:
             return done
         turn += 1
-        ends = edges.select(mixed("s", turn).alias("s"), mixed("t", turn).alias("t"))
-        nodes = edges.select(F.col("s").alias("n")).union(edges.select("t")).distinct()
-        state, _ = stored(nodes.select("n", mixed("n", turn).alias("v")).select("n", "v", F.col("v").alias("l"), F.col("v").alias("r")))
+        asked, _ = stored(edges.select(mixed("t", turn).alias("v"), mixed("s", turn).alias("w"), F.lit(True).alias("down")).union(edges.select(mixed("s", turn), mixed("t", turn), F.lit(False))))
+        nodes, _ = stored(edges.select(F.col("s").alias("n")).union(edges.select("t")).distinct().select("n", mixed("n", turn).alias("v")))
+        state, before = nodes.select("v", F.col("v").alias("l"), F.col("v").alias("r")), None
         while True:
-            down = ends.join(state.select(F.col("v").alias("s"), F.col("l").alias("x")), "s").select(F.col("t").alias("v"), "x", F.lit(None).cast("long").alias("y"))
-            up = ends.join(state.select(F.col("v").alias("t"), F.col("r").alias("y")), "t").select(F.col("s").alias("v"), F.lit(None).cast("long").alias("x"), "y")
-            come = down.union(up).groupBy("v").agg(F.min("x").alias("x"), F.min("y").alias("y"))
-            step = state.join(come, "v", "left").select("n", "v", F.col("l").alias("l0"), F.col("r").alias("r0"), F.least("l", "x").alias("l"), F.least("r", "y").alias("r"))
-            step = step.join(state.select(F.col("v").alias("l"), F.col("l").alias("x")), "l").join(state.select(F.col("v").alias("r"), F.col("r").alias("y")), "r")
-            new, seen = stored(step.select("n", "v", F.least("l", "x").alias("l"), F.least("r", "y").alias("r"), ((F.least("l", "x") < F.col("l0")) | (F.least("r", "y") < F.col("r0"))).alias("moved")), moved=F.count_if(F.col("moved")))
+            # each node asks those before it, and that of its own least name, for theirs; likewise those after it
+            ask = asked.union(state.select("v", F.col("l"), F.lit(True))).union(state.select("v", F.col("r"), F.lit(False)))
+            told = ask.join(state.select(F.col("v").alias("w"), "l", "r"), "w")
+            step = told.groupBy("v").agg(F.min(F.when(F.col("down"), F.col("l"))).alias("l"), F.min(F.when(~F.col("down"), F.col("r"))).alias("r"))
+            new, seen = stored(step, total=F.sum(F.col("l").cast("decimal(38,0)") + F.col("r")))
             discard(state)
             state = new
-            if not seen["moved"]:
+            if seen["total"] == before:  # names only fall
                 break
+            before = seen["total"]
+        discard(asked)
+        state = state.join(nodes, "v")
         heads = state.select(F.col("v").alias("l"), F.col("n").alias("c"))
         found = state.where("l = r").join(heads, "l").select(F.col("n").alias("v"), "c")
         done, _ = stored(done.union(found))

@@ -91,5 +91,5 @@ class Loc:
             out = out._replace(order=order)
         if not same:
             rename = lambda t: None if t is None else t.withColumnRenamed("_id", g.id_col)
-            out._sources, out._targets = rename(rows), rename(cols)
+            out._sources, out._targets, out._places = rename(rows), rename(cols), {}
         return out

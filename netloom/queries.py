@@ -44,8 +44,14 @@ def transitions(spark: SparkSession, d: str, strong: bool = False) -> GraphTable
 
 G1 = """nodes as (select n_nationkey as id, n_name, n_regionkey from nation),
 edges as (select s_nationkey as source, c_nationkey as target, l_quantity as weight from lineitem join supplier on s_suppkey = l_suppkey join orders on o_orderkey = l_orderkey join customer on c_custkey = o_custkey)"""
-G2 = """nodes as (select 'S' || s_suppkey as id from supplier union all select 'P' || p_partkey from part),
-edges as (select distinct 'S' || l_suppkey as source, 'P' || l_partkey as target from lineitem where l_quantity = 50 and l_discount = 0.1)"""
+
+
+def _g2(some: str = " where l_quantity = 50 and l_discount = 0.1") -> str:
+    return f"""nodes as (select 'S' || s_suppkey as id from supplier union all select 'P' || p_partkey from part),
+edges as (select distinct 'S' || l_suppkey as source, 'P' || l_partkey as target from lineitem{some})"""
+
+
+G2, G2W = _g2(), _g2("")
 
 
 def _g3(more: str = "") -> str:
@@ -268,9 +274,6 @@ def edges_json(spark, d):
 
 
 # Over all line items and all transitions; the closure in SQL is too slow there.
-G2W = G2.removesuffix(" where l_quantity = 50 and l_discount = 0.1")
-
-
 @query(f"with {G2W} select id from nodes where id in (select source from edges union select target from edges)")
 def remove_unused_nodes_whole(spark, d):
     return supply(spark, d, whole=True).remove_unused_nodes().nodes

@@ -232,22 +232,46 @@ def test_nan_is_passed_over_in_aggregates(gaps):
         assert math.isclose(gaps.groupby_nodes("kind").apply_edges(name, "weight").first()["weight"], value)
 
 
-def test_spectral_order_against_dense_solver(spark, monkeypatch):
+def spectral(spark, n, pairs, **options):
+    from netloom.operators import matrix
+
+    g = GraphTable(spark.createDataFrame([(k,) for k in range(n)], "id long"), spark.createDataFrame(pairs, "source long, target long, weight double"), id_col="id", validate=False)
+    return {r["id"]: r["_key"] for r in matrix.spectral_keys(g, **options).collect()}
+
+
+def leading(n, pairs):
+    """By a dense solver: the vector of the eigenvalue of largest size, of two as large the positive one."""
     import numpy as np
 
+    a = np.zeros((n, n))
+    for i, j, w in pairs:
+        a[i, j] += w
+    values, vectors = np.linalg.eigh(a + a.T)
+    k = n - 1 if abs(values[0]) <= abs(values[-1]) * (1 + 1e-9) else 0
+    own = vectors[:, k]
+    return own * (1 if own[np.lexsort((own, np.round(np.abs(own), 9)))[-1]] > 0 else -1)
+
+
+@pytest.mark.parametrize("n, degree, bipartite, sign", [(8, 2, False, 1), (500, 6, True, 1), (2000, 8, False, -1)])
+def test_spectral_order_against_dense_solver(spark, n, degree, bipartite, sign):
+    rng = random.Random(n)
+    pairs = [(rng.randrange(n), rng.randrange(n), float(sign * rng.randrange(1, 4))) for _ in range(n * degree)]
+    if bipartite:
+        pairs = [(a // 2 * 2, b // 2 * 2 + 1, w) for a, b, w in pairs]
+    got, want = spectral(spark, n, pairs), leading(n, pairs)
+    assert all(abs(got[k] - want[k]) < 1e-7 for k in range(n))
+
+
+def test_spectral_order_of_small_and_slow_graphs(spark, monkeypatch):
     from netloom.operators import matrix
 
-    rng = np.random.default_rng(2)
-    a = np.triu(rng.integers(0, 3, (8, 8)), 1)
-    pairs = [(int(i), int(j), float(a[i, j])) for i, j in zip(*np.nonzero(a))]
-    g = GraphTable(spark.createDataFrame([(k,) for k in range(8)], "id long"), spark.createDataFrame(pairs, "source long, target long, weight double"), id_col="id")
-    values, vectors = np.linalg.eigh((a + a.T).astype(float))
-    own = np.abs(vectors[:, np.abs(values).argmax()])  # of one sign, as all weights are positive
-    got = {r["id"]: r["_key"] for r in matrix.spectral_keys(g).collect()}
-    assert all(abs(got[k] - own[k]) < 1e-9 for k in range(8))
-    monkeypatch.setattr(matrix, "DENSE_NODES", 0)
+    assert set(spectral(spark, 3, []).values()) == {0.0}
+    monkeypatch.setattr(matrix, "STEPS", 5)
+    path = [(k, k + 1, 1.0) for k in range(9)]
+    got, want = spectral(spark, 10, path), leading(10, path)  # more steps than one round has
+    assert all(abs(got[k] - want[k]) < 1e-6 for k in range(10))
     with pytest.raises(RuntimeError):
-        matrix.spectral_keys(g, rounds=1)
+        spectral(spark, 10, path, rounds=1)
 
 
 def test_ends_of_other_types_are_refused(spark):
