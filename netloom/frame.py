@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .operators import components, khop, matrix, subgraph
 from .operators.grouping import NodeGroups, condense
+from .plans.fixpoint import ranged, settled
 from .sources import interop
 
 
@@ -231,7 +232,7 @@ class GraphTable:
 
     def largest_connected_component(self, directed: bool = True, connection: str = "weak", inplace: bool = False, verbose: bool = False) -> GraphTable | None:
         """The component with the most nodes; of several, the one of the least id."""
-        found = components.settled(components.roots(self, directed, connection))
+        found = settled(components.roots(self, directed, connection))
         top = found.groupBy("root").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "root").first()
         if top is None:
             raise ValueError("an empty graph has no component")
@@ -242,11 +243,17 @@ class GraphTable:
         return self._give(inplace, out)
 
     def connected_components(self, directed: bool = True, connection: str = "weak") -> Iterator[GraphTable]:
-        """A lazy sub-graph for each component, in label order."""
-        found = components.settled(self.component_labels(directed, connection))
-        for r in found.select("component").distinct().orderBy("component").toLocalIterator():
-            ids = found.where(F.col("component") == r[0]).select(self.id_col)
-            yield self._induced(self.nodes.join(ids, self.id_col, "left_semi"))
+        """A lazy sub-graph for each component, in label order.
+
+        Nodes and edges are joined with their labels once, and written in order of label; a sub-graph is a stretch of both.
+        """
+        found = settled(self.component_labels(directed, connection).select(F.col(self.id_col).alias("_id"), F.col("component").alias("_label")))
+        nodes = ranged(self.nodes.join(found.withColumnRenamed("_id", self.id_col), self.id_col).select(*self.nodes.columns, "_label"), "_label")
+        ends = self.edges.join(found.select(F.col("_id").alias("source"), "_label"), "source").join(found.select(F.col("_id").alias("target"), F.col("_label").alias("_other")), "target").where("_label = _other")
+        edges = ranged(ends.select(*self.edges.columns, "_label"), "_label")
+        for r in found.select("_label").distinct().orderBy("_label").toLocalIterator():
+            own = F.col("_label") == r[0]
+            yield self._replace(nodes=nodes.where(own).select(self.nodes.columns), edges=edges.where(own).select(self.edges.columns))
 
     def select_component_from_node(self, node_id, directed: bool = True, inplace: bool = False) -> GraphTable | None:
         """All that node_id reaches: along edges where directed, else its weak component."""
@@ -280,9 +287,17 @@ class GraphTable:
     def to_coordinates(self, weight_col: str | None = None, aggfunc="sum", verify_integrity: bool = True) -> DataFrame:
         return matrix.coordinates(self, weight_col, aggfunc, verify_integrity)
 
+    def to_adjacency_blocks(self, weight_col: str = "weight", aggfunc="sum", width: int = 1024) -> DataFrame:
+        """to_adjacency() for any number of targets: (source, row, block, cells)."""
+        return matrix.blocks(self, weight_col, aggfunc, width)
+
+    def to_csr(self, weight_col: str | None = None, aggfunc="sum", verify_integrity: bool = True) -> matrix.CsrTable:
+        """Compressed sparse rows as distributed tables; to_sparse_adjacency() reads them."""
+        return matrix.CsrTable(self, settled(self.to_coordinates(weight_col, aggfunc, verify_integrity)))
+
     def to_sparse_adjacency(self, weight_col: str | None = None, aggfunc="sum", verify_integrity: bool = True, format: str = "csr", limit: int = interop.LIMIT):
         """A SciPy matrix where SciPy is installed, else the same arrays in a Csr."""
-        out = matrix.collect_csr(self, self.to_coordinates(weight_col, aggfunc, verify_integrity), limit)
+        out = self.to_csr(weight_col, aggfunc, verify_integrity).collect(limit)
         try:
             return out.to_scipy(format)
         except ImportError:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.fixpoint import dealt
+
 _NAMED: dict[str, Callable[[Column], Column]] = {
     "mean": F.avg, "sum": F.sum, "max": F.max, "min": F.min, "any": lambda c: F.bool_or(F.coalesce(c.cast("double") != 0, F.lit(False))),
     "median": F.median, "std": F.stddev_samp, "var": F.var_samp, "count": F.count, "nunique": F.countDistinct, "first": lambda c: F.first(c, ignorenulls=True), "last": lambda c: F.last(c, ignorenulls=True),
@@ -100,39 +102,51 @@ class NodeGroups:
         n = count("source")
         return n if self.induced else n * count("target")
 
-    def _ids(self, side: str, key) -> DataFrame:
-        values = (key,) if self._single else key
-        rows = self._side(side)
-        for c, v in zip(self.by, values, strict=True):
-            rows = rows.where(F.col(c).eqNullSafe(F.lit(v)))
-        return rows.select(F.col(self.graph.id_col).alias("_id"))
+    def _numbered(self, side: str, keys: list) -> DataFrame:
+        """(_id, _n): the nodes of one side with the number of their group among keys."""
+        nodes = self._side(side)
+        kinds = T.StructType([T.StructField("_n", T.LongType()), *[T.StructField(f"_k{j}", nodes.schema[c].dataType) for j, c in enumerate(self.by)]])
+        table = nodes.sparkSession.createDataFrame([(n, *((k,) if self._single else k)) for n, k in enumerate(keys)], kinds)
+        same = F.lit(True)
+        for j, c in enumerate(self.by):
+            same = same & F.col(f"`{c}`").eqNullSafe(F.col(f"_k{j}"))
+        return nodes.join(table, same).select(F.col(self.graph.id_col).alias("_id"), "_n")
 
     def __iter__(self) -> Iterator:
-        """Lazy sub-graphs by group: ((source group, target group), graph) for both axes, else (group, graph)."""
-        from .subgraph import within
+        """Lazy sub-graphs by group: ((source group, target group), graph) for both axes, else (group, graph).
 
+        All edges are read once, and written by the numbers of their groups; a sub-graph's edges are one part of that
+        table, and its nodes parts of another.
+        """
         g = self.graph
-
-        def part(rows, cols):
-            if rows is None or cols is None:
-                return g._replace(edges=within(g.edges, rows, cols))
-            both = rows.union(cols).distinct().withColumnRenamed("_id", g.id_col)
-            out = g._replace(nodes=g.nodes.join(both, g.id_col, "left_semi"), edges=within(g.edges, rows, cols))
-            out._sources, out._targets, out._places = rows.withColumnRenamed("_id", g.id_col), cols.withColumnRenamed("_id", g.id_col), {}
+        sides = ["source", "target"] if self.axis == "both" else [self.axis]
+        keys = {s: self._keys(s) for s in sides}
+        members = {s: dealt(self._numbered(s, keys[s]), "_n") for s in sides}
+        marked = g.edges
+        for s in sides:
+            marked = marked.join(members[s].select(F.col("_id").alias(s), F.col("_n").alias(f"_{s}")), s)
+        marked = dealt(marked.select(*g.edges.columns, *[f"_{s}" for s in sides]), *[f"_{s}" for s in sides])
+
+        def part(at: dict[str, int]):
+            edges = marked
+            for s, n in at.items():
+                edges = edges.where(F.col(f"_{s}") == n)
+            edges = edges.select(g.edges.columns)
+            if len(at) == 1:
+                return g._replace(edges=edges)
+            rows, cols = (members[s].where(F.col("_n") == n).select(F.col("_id").alias(g.id_col)) for s, n in at.items())
+            out = g._replace(nodes=g.nodes.join(rows.union(cols).distinct(), g.id_col, "left_semi"), edges=edges)
+            out._sources, out._targets, out._places = rows, cols, {}
             return out
 
-        if self.axis == "source":
-            for key in self._keys("source"):
-                yield key, part(self._ids("source", key), None)
-        elif self.axis == "target":
-            for key in self._keys("target"):
-                yield key, part(None, self._ids("target", key))
+        if len(sides) == 1:
+            for n, key in enumerate(keys[self.axis]):
+                yield key, part({self.axis: n})
         else:
-            targets = self._keys("target")
-            for s in self._keys("source"):
-                for t in targets:
+            for i, s in enumerate(keys["source"]):
+                for j, t in enumerate(keys["target"]):
                     if not self.induced or s == t:
-                        yield (s, t), part(self._ids("source", s), self._ids("target", t))
+                        yield (s, t), part({"source": i, "target": j})
 
     def apply_edges(self, func="size", columns=None) -> DataFrame:
         """func over the edges of each observed pair of groups, keyed by source_<by> and target_<by>.

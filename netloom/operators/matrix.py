@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.fixpoint import discard, settled, stored
@@ -51,13 +51,34 @@ def dense(graph, weight_col: str = "weight", aggfunc="sum") -> DataFrame:
     """A row per source and a column per target, 0 where there is no edge, both in node order."""
     targets = [r[0] for r in graph._placed("target").orderBy("_pos").select(graph.id_col).limit(DENSE_IDS + 1).collect()]
     if len(targets) > DENSE_IDS:
-        raise ValueError(f"more than {DENSE_IDS} targets: use to_sparse_adjacency()")
+        raise ValueError(f"more than {DENSE_IDS} targets: use to_adjacency_blocks()")
     long = weighted(graph, weight_col, aggfunc)
     wide = long.groupBy("source").pivot("target", targets).agg(F.first("value")) if targets else long.select("source").distinct()
     rows = graph._placed("source").select(F.col(graph.id_col).alias("source"), "_pos").join(wide, "source", "left")
     return rows.select("source", *[F.coalesce(F.col(f"`{t}`"), F.lit(0)).alias(str(t)) for t in targets], "_pos").orderBy("_pos").drop("_pos")
 
 
+def blocks(graph, weight_col: str = "weight", aggfunc="sum", width: int = 1024) -> DataFrame:
+    """(source, row, block, cells): dense rows of any number of targets, cut into arrays of width cells, 0 where there is no edge.
+
+    Neither the targets nor a row is held as a whole anywhere: cells meet by row and block.
+    """
+    if width < 1:
+        raise ValueError("width must be 1 or more")
+    targets = graph._placed("target").count()
+    coo = coordinates(graph, weight_col, aggfunc).withColumn("block", F.floor(F.col("col") / width).cast("long"))
+    zero = F.lit(0).cast(coo.schema["value"].dataType)
+    held = coo.groupBy("row", "block").agg(F.array_sort(F.collect_list(F.struct((F.col("col") % width).cast("int").alias("k"), F.coalesce("value", zero).alias("v")))).alias("x"))
+    gap = lambda n: F.array_repeat(zero, n)
+    cells = F.flatten(F.transform("x", lambda c, i: F.concat(gap(c["k"] - F.coalesce(F.get("x", i - 1)["k"], F.lit(-1)) - 1), F.array(c["v"]))))
+    held = held.select("row", "block", cells.alias("cells"))
+    size = F.least(F.lit(width), F.lit(targets) - F.col("block") * width).cast("int")
+    rows = graph._placed("source").select(F.col(graph.id_col).alias("source"), F.col("_pos").alias("row"))
+    rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(0, (targets - 1) // width)).cast("long")))) if targets else rows.withColumn("block", F.lit(0).cast("long")).limit(0)
+    have = F.coalesce(F.size("cells"), F.lit(0))
+    return rows.join(held, ["row", "block"], "left").select("source", "row", "block", F.concat(F.coalesce("cells", gap(F.lit(0))), gap(size - have)).alias("cells"))
+
+
 def coordinates(graph, weight_col: str | None = None, aggfunc="sum", verify_integrity: bool = True) -> DataFrame:
     """(row, col, value): positions among sources and targets."""
     if verify_integrity:
@@ -88,13 +109,35 @@ class Csr:
         return out.tolil() if format == "lil" else out
 
 
-def collect_csr(graph, coo: DataFrame, limit: int) -> Csr:
-    cells = coo.orderBy("row", "col").limit(limit + 1).toPandas()
-    if len(cells) > limit:
-        raise ValueError(f"more than {limit} cells: keep the table, or raise limit")
-    shape = (graph._placed("source").count(), graph._placed("target").count())
-    indptr = np.concatenate(([0], np.cumsum(np.bincount(cells["row"].to_numpy(dtype=np.int64), minlength=shape[0]))))
-    return Csr(indptr, cells["col"].to_numpy(dtype=np.int64), cells["value"].to_numpy(), shape)
+PART = 1 << 16
+"""Rows of a matrix whose starts are summed in one group."""
+
+
+class CsrTable:
+    """Compressed sparse rows as two tables: indptr (row, start), with one row more than the matrix, and cells (at, col, value).
+
+    The cells of row r are those with at from start of r up to start of r + 1.  Cells are numbered by a sort over all of
+    them, dealt by range, so that a long row fills several tasks; starts are running sums of counts by row.
+    """
+
+    def __init__(self, graph, coo: DataFrame):
+        self.shape = (graph._placed("source").count(), graph._placed("target").count())
+        self._coo = coo
+        self.cells = positions_of(coo, "col", ["row"]).select(F.col("_pos").alias("at"), "col", "value")
+        counts = coo.groupBy("row").agg(F.count(F.lit(1)).alias("n"))
+        rows = coo.sparkSession.range(self.shape[0] + 1).withColumnRenamed("id", "row").join(counts, "row", "left").select("row", F.coalesce("n", F.lit(0)).alias("n"), F.floor(F.col("row") / PART).alias("part"))
+        before = Window.rowsBetween(Window.unboundedPreceding, -1)
+        sums = rows.groupBy("part").agg(F.sum("n").alias("n"))
+        base = sums.select("part", F.coalesce(F.sum("n").over(before.orderBy("part")), F.lit(0)).alias("base"))
+        within = F.coalesce(F.sum("n").over(before.partitionBy("part").orderBy("row")), F.lit(0))
+        self.indptr = rows.join(base, "part").select("row", (F.col("base") + within).cast("long").alias("start"))
+
+    def collect(self, limit: int) -> Csr:
+        cells = self.cells.orderBy("at").limit(limit + 1).toPandas()
+        if len(cells) > limit:
+            raise ValueError(f"more than {limit} cells: keep the tables, or raise limit")
+        indptr = self.indptr.orderBy("row").toPandas()["start"].to_numpy(dtype=np.int64)
+        return Csr(indptr, cells["col"].to_numpy(dtype=np.int64), cells["value"].to_numpy(), self.shape)
 
 
 STEPS = 30

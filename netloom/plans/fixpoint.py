@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,6 +34,27 @@ def stored(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
     return out, seen.get
 
 
+def dealt(df: DataFrame, *columns: str) -> DataFrame:
+    """df, written to the shared folder by values of columns, so that a filter on them reads no other files.
+
+    Rows of one value go to one task, or to several where they are many.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/parts-{uuid.uuid4().hex}"
+    df.hint("rebalance", *[F.col(c) for c in columns]).write.partitionBy(*columns).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path).select(df.columns)
+    out._stored_at = path
+    return out
+
+
+def ranged(df: DataFrame, column: str) -> DataFrame:
+    """df, written to the shared folder in order of column, so that a filter on it reads few files and row groups.
+
+    Rows of one value may fill several tasks, as a hash of the row is the second key.
+    """
+    return stored(df.repartitionByRange(F.col(column), F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))])).sortWithinPartitions(column))[0]
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df cut from its lineage."""
     return stored(df)[0]

@@ -250,6 +250,21 @@ def to_sparse_coo(spark, d):
     return transitions(spark, d).to_coordinates()
 
 
+@query(f"with {G3}, p as (select id, row_number() over (order by id) - 1 as k from nodes), d as (select source, count(distinct target) as n from edges where target in (select id from nodes) group by 1) select k as row, coalesce(sum(coalesce(n, 0)) over (order by k rows between unbounded preceding and 1 preceding), 0)::bigint as start from p left join d on source = id union all select (select count(*) from p), (select sum(n) from d)::bigint")
+def csr_indptr(spark, d):
+    return transitions(spark, d).to_csr().indptr
+
+
+@query(f"with {G3}, p as (select id, row_number() over (order by id) - 1 as k from nodes), c as (select a.k as row, b.k as col, count(*) as value from edges join p a on a.id = source join p b on b.id = target group by 1, 2) select row_number() over (order by row, col) - 1 as at, col, value from c")
+def csr_cells(spark, d):
+    return transitions(spark, d).to_csr().cells
+
+
+@query(f"with {G1}, p as (select id, row_number() over (order by id) - 1 as k from nodes), c as (select source, target, sum(weight) as w from edges group by 1, 2) select a.id as source, b.k // 10 as block, b.k % 10 as place, coalesce(w, 0)::double as value from p a cross join p b left join c on c.source = a.id and c.target = b.id")
+def adjacency_blocks(spark, d):
+    return trade(spark, d).to_adjacency_blocks(width=10).select("source", "block", F.posexplode("cells").alias("place", "value"))
+
+
 _INDEX = f"with {G3}, p as (select id, row_number() over (order by id) - 1 as k from nodes), x as (select a.k as src_pos, b.k as dst_pos, weight from edges join p a on a.id = source join p b on b.id = target) select * from x"
 
 
@@ -325,6 +340,17 @@ def connected_components(spark, d):
     return transitions(spark, d).component_labels().groupBy("component").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"with recursive {G3}, {BOTH}, {REACH}, {ROOTS} select (dense_rank() over (order by root) - 1)::bigint as component, count(distinct roots.id) as n_nodes, count(edges.source) as n_edges from roots left join edges on source = roots.id group by root")
+def connected_components_each(spark, d):
+    """Nodes and edges of each sub-graph that the component iterator gives."""
+    out = None
+    for k, part in enumerate(transitions(spark, d).connected_components()):
+        rows = part.nodes.select(F.lit(1).alias("n"), F.lit(0).alias("e")).union(part.edges.select(F.lit(0), F.lit(1)))
+        one = rows.agg(F.sum("n").alias("n_nodes"), F.sum("e").alias("n_edges")).select(F.lit(k).cast("long").alias("component"), "n_nodes", "n_edges")
+        out = one if out is None else out.union(one)
+    return out
+
+
 @query(f"with recursive {G3S}, {ONE}, {REACH}, roots as (select x.a as id, min(x.b) as root from reach x join reach y on y.a = x.b and y.b = x.a group by x.a) select id, (dense_rank() over (order by root) - 1)::bigint as component from roots")
 def scc_labels(spark, d):
     return transitions(spark, d, strong=True).component_labels(connection="strong")

@@ -280,3 +280,53 @@ def test_ends_of_other_types_are_refused(spark):
         with pytest.raises(ValueError):
             GraphTable(nodes, spark.createDataFrame([(value, value)], f"source {kind}, target {kind}"), id_col="id")
     assert GraphTable(nodes, spark.createDataFrame([(1, 2)], "source int, target short"), id_col="id").edges.count() == 1
+
+
+def test_group_names_flags_and_null_keys(spark):
+    nodes = spark.createDataFrame([(1, "a", 1.5), (2, None, 2.5), (3, "b", None), (4, "a", 1.5)], "id long, kind string, x double")
+    g = GraphTable(nodes, spark.createDataFrame([(1, 3), (1, 4), (2, 3), (3, 1), (3, 2)], "source long, target long"), validate=False)
+    by = g.groupby_nodes("kind")
+    assert by.source_group_names == by.target_group_names == ["a", "b"] and by.has_source_groups and by.has_target_groups
+    assert {k: rows(p.edges) for k, p in by} == {("a", "a"): [(1, 4)], ("a", "b"): [(1, 3)], ("b", "a"): [(3, 1)], ("b", "b"): []}
+    parts = {k: (rows(p.nodes.select("id")), p.edges.count()) for k, p in g.groupby_nodes("kind", dropna=False, induced=True)}
+    assert parts == {("a", "a"): ([(1,), (4,)], 1), ("b", "b"): ([(3,)], 0), (None, None): ([(2,)], 0)}
+    source = g.groupby_nodes(["kind", "x"], axis=0, dropna=False)
+    assert source.has_source_groups and not source.has_target_groups
+    assert {k: (len(p), p.edges.count()) for k, p in source} == {("a", 1.5): (4, 2), (None, 2.5): (4, 1), ("b", None): (4, 2)}
+    with pytest.raises(ValueError):
+        source.target_group_names
+    assert set(g.get_public_attributes()) >= {"nodes", "edges", "directed", "id_col"}
+
+
+def test_component_iterator(spark):
+    nodes = spark.createDataFrame([(k, f"n{k}") for k in range(7)], "id long, name string")
+    g = GraphTable(nodes, spark.createDataFrame([(0, 3, 1), (3, 0, 2), (1, 2, 3), (4, 0, 4), (2, 2, 5)], "source long, target long, w long"))
+    weak = [(rows(p.nodes.select("id")), rows(p.edges)) for p in g.connected_components()]
+    assert weak == [([(0,), (3,), (4,)], [(0, 3, 1), (3, 0, 2), (4, 0, 4)]), ([(1,), (2,)], [(1, 2, 3), (2, 2, 5)]), ([(5,)], []), ([(6,)], [])]
+    strong = [(len(p), p.edges.count()) for p in g.connected_components(connection="strong")]
+    assert strong == [(2, 2), (1, 0), (1, 1), (1, 0), (1, 0), (1, 0)]
+    assert "EqualTo(_label,0)" in next(g.connected_components()).edges._jdf.queryExecution().toString()
+
+
+def test_blocks_of_many_targets_and_csr_tables(spark, monkeypatch):
+    from netloom.operators import matrix
+
+    monkeypatch.setattr(matrix, "PART", 7)
+    rng = random.Random(5)
+    n = 30
+    pairs = {(rng.randrange(n), rng.randrange(n)): float(rng.randrange(1, 9)) for _ in range(80)}
+    g = GraphTable(spark.range(n), spark.createDataFrame([(a, b, w) for (a, b), w in pairs.items()] + [(0, 5, 1.0), (0, 5, 2.0)], "source long, target long, weight double"), validate=False)
+    pairs[0, 5] = pairs.get((0, 5), 0.0) + 3.0
+    held = g.to_csr("weight")
+    starts = [r["start"] for r in held.indptr.orderBy("row").collect()]
+    cells = [(r["col"], r["value"]) for r in held.cells.orderBy("at").collect()]
+    assert len(starts) == n + 1 and starts[-1] == len(cells) == len(pairs)
+    assert {(r, c): v for r in range(n) for c, v in cells[starts[r] : starts[r + 1]]} == pairs
+    assert (matrix.CsrTable.collect(held, 1000).toarray() == [[pairs.get((a, b), 0.0) for b in range(n)] for a in range(n)]).all()
+    rows_ = {}
+    for r in g.to_adjacency_blocks(width=8).orderBy("row", "block").collect():
+        rows_.setdefault(r["source"], []).extend(r["cells"])
+    assert rows_ == {a: [pairs.get((a, b), 0.0) for b in range(n)] for a in range(n)}
+    wide = GraphTable(spark.range(20000), spark.createDataFrame([(3, 19999, 2.0)], "source long, target long, weight double"), sources=[3], validate=False)
+    parts = wide.to_adjacency_blocks(width=4096).orderBy("block").collect()
+    assert [len(r["cells"]) for r in parts] == [4096] * 4 + [20000 - 4 * 4096] and sum(sum(r["cells"]) for r in parts) == 2.0 and parts[-1]["cells"][-1] == 2.0
