@@ -148,12 +148,17 @@ class GraphTable:
 
     loc = property(subgraph.Loc)
 
-    def query_nodes(self, expr, inplace: bool = False, local_dict=None, global_dict=None, engine=None, parser=None) -> GraphTable | None:
-        """Nodes on which a query string (or a Column) holds, and the edges among them; engine and parser change nothing."""
-        return self._give(inplace, self._induced(self.nodes.where(subgraph.as_condition(self, self.nodes, expr, local_dict, global_dict, True))))
+    def query_nodes(self, expr=None, inplace: bool = False, local_dict=None, global_dict=None, engine=None, parser=None, sql: str | None = None) -> GraphTable | None:
+        """Nodes on which a query string (or a Column) holds, and the edges among them; engine and parser change nothing.
 
-    def query_edges(self, expr, inplace: bool = False, local_dict=None, global_dict=None, engine=None, parser=None) -> GraphTable | None:
-        return self._give(inplace, self._replace(edges=self.edges.where(subgraph.as_condition(self, self.edges, expr, local_dict, global_dict, False))))
+        sql is a condition in Spark SQL, beside expr or alone.  A name in @name may be a list of any length, or a table,
+        whose first column is the list; both are joined.
+        """
+        return self._give(inplace, self._induced(subgraph.chosen(self, self.nodes, expr, local_dict, global_dict, True, sql)))
+
+    def query_edges(self, expr=None, inplace: bool = False, local_dict=None, global_dict=None, engine=None, parser=None, sql: str | None = None) -> GraphTable | None:
+        """Edges on which expr and sql hold, and all nodes."""
+        return self._give(inplace, self._replace(edges=subgraph.chosen(self, self.edges, expr, local_dict, global_dict, False, sql)))
 
     def remove_nodes(self, nodes, inplace: bool = False, errors: str = "raise") -> GraphTable | None:
         ids = subgraph.id_table(self, nodes)

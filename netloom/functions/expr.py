@@ -12,7 +12,7 @@ import io
 import tokenize
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _MATH = {"sqrt": F.sqrt, "abs": F.abs, "sin": F.sin, "cos": F.cos, "tan": F.tan, "exp": F.exp, "log": F.log, "log10": F.log10, "log1p": F.log1p, "expm1": F.expm1, "floor": F.floor, "ceil": F.ceil, "arcsin": F.asin, "arccos": F.acos, "arctan": F.atan, "sinh": F.sinh, "cosh": F.cosh, "tanh": F.tanh}
@@ -56,10 +56,15 @@ def _there(c: Column) -> Column:
     return F.when(~F.isnan(c), c)
 
 
+MANY = 1000
+"""Values of a list that stand in a plan as literals, at most; longer ones, and tables, are joined."""
+
+
 class _Compiler:
     def __init__(self, columns: list[str], id_col: str | None, names, local_dict, global_dict, kinds):
         self.columns, self.id_col, self.names, self.kinds = columns, id_col, names, kinds or {}
         self.scope = {**(global_dict or {}), **(local_dict or {})}
+        self.joined: list[tuple[Column, Any]] = []
 
     def visit(self, node: ast.AST) -> Any:
         method = getattr(self, "on_" + type(node).__name__, None)
@@ -92,7 +97,7 @@ class _Compiler:
             if name not in self.scope:
                 raise ValueError(f"variable @{name} is not in local_dict or global_dict")
             value = self.scope[name]
-            if isinstance(value, (str, bytes, Column)) or not hasattr(value, "__iter__"):
+            if isinstance(value, (str, bytes, Column, DataFrame)) or not hasattr(value, "__iter__"):
                 return value.item() if hasattr(value, "item") and getattr(value, "ndim", 1) == 0 else value
             return [x.item() if hasattr(x, "item") else x for x in value]
         return self.name(node.id)
@@ -163,14 +168,12 @@ class _Compiler:
 
     def compare(self, left, op, right) -> Column:
         listed = self.visit(right)
-        if isinstance(listed, (list, tuple, set)) or isinstance(op, (ast.In, ast.NotIn)):
-            if not isinstance(listed, (list, tuple, set)):
+        if isinstance(listed, (list, tuple, set, DataFrame)) or isinstance(op, (ast.In, ast.NotIn)):
+            if not isinstance(listed, (list, tuple, set, DataFrame)):
                 raise ValueError("in needs a list")
             if not isinstance(op, (ast.In, ast.NotIn, ast.Eq, ast.NotEq)):
                 raise ValueError("a list can be compared by in, not in, == and != only")
-            own = self.column(left)
-            found = F.coalesce(own.isin([x for x in listed if not _missing(x)]), F.lit(False))
-            found = found | own.isNull() if any(map(_missing, listed)) else found
+            found = self.among(self.column(left), listed)
             return ~found if isinstance(op, (ast.NotIn, ast.NotEq)) else found
         a, b = self.column(left), listed if isinstance(listed, Column) else F.lit(None if _missing(listed) else listed)
         kind = _COMPARE.get(type(op))
@@ -179,6 +182,15 @@ class _Compiler:
         made = {"==": lambda: a == b, "!=": lambda: a != b, "<": lambda: a < b, "<=": lambda: a <= b, ">": lambda: a > b, ">=": lambda: a >= b}[kind]()
         return F.coalesce(made, F.lit(kind == "!="))
 
+    def among(self, own: Column, listed) -> Column:
+        """Is own one of listed; a long list or a table becomes a mark that a join puts beside the row."""
+        if isinstance(listed, DataFrame) or len(listed) > MANY:
+            self.joined.append((own, listed))
+            mark = F.coalesce(F.col(f"_among{len(self.joined) - 1}"), F.lit(False))
+            return mark if isinstance(listed, DataFrame) or not any(map(_missing, listed)) else mark | own.isNull()
+        found = F.coalesce(own.isin([x for x in listed if not _missing(x)]), F.lit(False))
+        return found | own.isNull() if any(map(_missing, listed)) else found
+
     def on_Call(self, node):
         if isinstance(node.func, ast.Name) and node.func.id in _MATH and not node.keywords:
             made = _MATH[node.func.id](*[self.column(x) for x in node.args])
@@ -196,8 +208,7 @@ class _Compiler:
         if method in ("notna", "notnull"):
             return c.isNotNull()
         if method == "isin":
-            found = F.coalesce(c.isin([x for x in args[0] if not _missing(x)]), F.lit(False))
-            return found | c.isNull() if any(map(_missing, args[0])) else found
+            return self.among(c, args[0])
         if method == "between":
             low, high = args[:2]
             inclusive = options.get("inclusive", "both")
@@ -223,13 +234,39 @@ class _Compiler:
         raise ValueError(f"unknown string method in a query: {method}")
 
 
-def compile_query(text: str, columns: list[str], id_col: str | None = None, local_dict=None, global_dict=None, kinds: dict[str, str] | None = None) -> Column:
-    """A query string as a boolean column over a table with these columns; index is the id column, kinds their type names."""
+def compile_query(text: str, columns: list[str], id_col: str | None = None, local_dict=None, global_dict=None, kinds: dict[str, str] | None = None) -> tuple[Column, list]:
+    """A query string as a boolean column over a table with these columns; index is the id column, kinds their type names.
+
+    With it come (column, values) of the lists that are to be joined: the k-th one's mark is the column _among<k>.
+    """
     try:
         source, names = _prepare(text)
         tree = ast.parse(source, mode="eval")
     except (SyntaxError, tokenize.TokenError) as e:
         raise ValueError(f"can't read the query {text!r}") from e
-    value = _Compiler(columns, id_col, names, local_dict, global_dict, kinds).visit(tree)
+    compiler = _Compiler(columns, id_col, names, local_dict, global_dict, kinds)
+    value = compiler.visit(tree)
     value = value if isinstance(value, Column) else F.lit(value)
-    return F.coalesce(value.cast("boolean"), F.lit(False))
+    return F.coalesce(value.cast("boolean"), F.lit(False)), compiler.joined
+
+
+def _values(spark, listed) -> DataFrame:
+    """One column of distinct values, without missing ones."""
+    if isinstance(listed, DataFrame):
+        return listed.select(F.col(f"`{listed.columns[0]}`").alias("_value")).dropna().distinct()
+    there = list({x for x in listed if not _missing(x)})
+    kinds = {type(x) for x in there}
+    kind = "long" if kinds == {int} else "string" if kinds == {str} else "double" if kinds <= {int, float} and kinds else None
+    if kind is None:
+        return spark.createDataFrame([(x,) for x in there], ["_value"]) if there else spark.createDataFrame([], "_value string")
+    return spark.createDataFrame([(float(x) if kind == "double" else x,) for x in there], f"_value {kind}")
+
+
+def where(table: DataFrame, text: str, id_col: str | None = None, local_dict=None, global_dict=None) -> DataFrame:
+    """The rows of table on which a query string holds."""
+    condition, joined = compile_query(text, table.columns, id_col, local_dict, global_dict, {f.name: f.dataType.typeName() for f in table.schema})
+    out = table
+    for k, (own, listed) in enumerate(joined):
+        values = _values(table.sparkSession, listed).select(F.col("_value").alias(f"_value{k}"), F.lit(True).alias(f"_among{k}"))
+        out = out.join(values, own == F.col(f"_value{k}"), "left")
+    return out.where(condition).select([F.col(f"`{c}`") for c in table.columns]) if joined else table.where(condition)

@@ -53,12 +53,17 @@ def touched(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("source").alias("_id")).union(edges.select("target")).distinct()
 
 
-def as_condition(graph, table: DataFrame, expr, local_dict, global_dict, is_nodes: bool) -> Column:
-    from ..functions.expr import compile_query
+def chosen(graph, table: DataFrame, expr, local_dict, global_dict, is_nodes: bool, sql: str | None = None) -> DataFrame:
+    """Rows of table on which expr (a query string or a Column) and sql (a Spark SQL condition) hold; a null is not true."""
+    from ..functions.expr import where
 
+    if expr is None and sql is None:
+        raise ValueError("a query needs an expression or a SQL condition")
     if isinstance(expr, Column):
-        return F.coalesce(expr, F.lit(False))
-    return compile_query(expr, table.columns, graph.id_col if is_nodes else None, local_dict, global_dict, {f.name: f.dataType.typeName() for f in table.schema})
+        table = table.where(F.coalesce(expr, F.lit(False)))
+    elif expr is not None:
+        table = where(table, expr, graph.id_col if is_nodes else None, local_dict, global_dict)
+    return table if sql is None else table.where(sql)
 
 
 class Loc:

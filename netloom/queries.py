@@ -168,6 +168,18 @@ def query_edges(spark, d):
     return trade(spark, d).query_edges("10 < weight < 30 & source % 3 == 1 | target == 4").edges
 
 
+@query(f"with {G3}, busy as (select user_id from events where event_type = 'error' group by 1 having count(*) > 16) select * from nodes where id in (from busy) or n_types < 3")
+def query_nodes_in_table(spark, d):
+    g = transitions(spark, d)
+    busy = _t(spark, d, "events").where("event_type = 'error'").groupBy("user_id").count().where("count > 16").select("user_id")
+    return g.query_nodes("index in @busy or n_types < 3", local_dict={"busy": busy}).nodes
+
+
+@query(f"with {G1} select * from edges where weight between 10 and 20 and (source + target) % 2 = 0")
+def query_edges_sql(spark, d):
+    return trade(spark, d).query_edges("weight >= 10", sql="weight <= 20 and (source + target) % 2 = 0").edges
+
+
 @query(f"with {G1} select * from edges where source not in (1, 2, 3) and target not in (1, 2, 3)")
 def remove_nodes(spark, d):
     return trade(spark, d).remove_nodes([1, 2, 3]).edges

@@ -330,3 +330,20 @@ def test_blocks_of_many_targets_and_csr_tables(spark, monkeypatch):
     wide = GraphTable(spark.range(20000), spark.createDataFrame([(3, 19999, 2.0)], "source long, target long, weight double"), sources=[3], validate=False)
     parts = wide.to_adjacency_blocks(width=4096).orderBy("block").collect()
     assert [len(r["cells"]) for r in parts] == [4096] * 4 + [20000 - 4 * 4096] and sum(sum(r["cells"]) for r in parts) == 2.0 and parts[-1]["cells"][-1] == 2.0
+
+
+def test_long_lists_tables_and_sql_in_queries(spark, toy):
+    nodes = spark.range(3000).selectExpr("id", "case when id % 7 > 0 then id % 100 end as x", "concat('n', id) as name")
+    g = GraphTable(nodes, spark.createDataFrame([(1, 2)], "source long, target long"), validate=False)
+    long = list(range(0, 100_000, 2))
+    found = g.query_nodes("id in @keep and name not in @names", local_dict={"keep": long, "names": [f"n{k}" for k in range(2000)]})
+    assert [r[0] for r in found.nodes.select("id").orderBy("id").collect()] == list(range(2000, 3000, 2))
+    assert found.nodes.columns == ["id", "x", "name"]
+    assert len(g.query_nodes("x in @keep | x.isin(@keep)", local_dict={"keep": [None, *long]})) == sum(k % 7 == 0 or k % 100 % 2 == 0 for k in range(3000))
+    assert len(g.query_nodes("not (x in @keep)", local_dict={"keep": long})) == sum(not (k % 7 > 0 and k % 100 % 2 == 0) for k in range(3000))
+    table = spark.createDataFrame([(1,), (1,), (None,), (5,)], "some long")
+    assert len(g.query_nodes("index in @table", local_dict={"table": table})) == 2
+    assert len(g.query_nodes("id < 100", sql="x % 10 = 3")) == sum(k % 7 > 0 and k % 10 == 3 for k in range(100))
+    assert toy.query_edges(sql="weight > 2").edges.count() == 2
+    with pytest.raises(ValueError):
+        toy.query_nodes()
