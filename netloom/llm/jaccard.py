@@ -24,7 +24,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _words as W
@@ -38,6 +38,10 @@ SMALL = 32
 """Members of a bucket that is compared at once."""
 BLOCK = 256
 """Members of a block of a larger bucket, about."""
+BLOCK_TOKENS = 1 << 22
+"""Tokens of a block, about, of 8 bytes each: a bucket of long texts has more blocks, of fewer members."""
+RANGE_TOKENS = 1 << 19
+"""Tokens that are matched at a time where two blocks are compared."""
 FEW = 500_000
 """Ids that are broadcast at most, 8 bytes each."""
 
@@ -208,19 +212,30 @@ def _verify(percent: int):
     return run
 
 
-def _shared(x: list[np.ndarray], y: list[np.ndarray], width: int = 4096) -> np.ndarray:
-    """The intersection sizes of all of x with all of y, by products of indicator matrices, width tokens at a time."""
-    sizes = [len(t) for t in (*x, *y)]
-    values, column = np.unique(np.concatenate([*x, *y]), return_inverse=True)
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    out = np.zeros((len(x), len(y)), dtype=np.float32)
-    for start in range(0, len(values), width):
-        lo, hi = np.searchsorted(column, [start, start + width])
-        part = np.zeros((len(sizes), width), dtype=np.float32)
-        part[row[lo:hi], column[lo:hi] - start] = 1
-        out += part[: len(x)] @ part[len(x) :].T
+def _ranges(sets: list[np.ndarray], tokens: int) -> Iterator[list[np.ndarray]]:
+    """The parts of sorted sets in equal ranges of codes, which hold about so many tokens each, as codes are hashes."""
+    n = max(1, -(-sum(map(len, sets)) // tokens))
+    at = [0] * len(sets)
+    for k in range(1, n + 1):
+        to = [len(t) if k == n else int(np.searchsorted(t, np.uint64((k << 64) // n))) for t in sets]
+        yield [t[i:j] for t, i, j in zip(sets, at, to, strict=True)]
+        at = to
+
+
+def _shared(x: list[np.ndarray], y: list[np.ndarray], width: int = 4096, tokens: int = RANGE_TOKENS) -> np.ndarray:
+    """The intersection sizes of all of x with all of y, sorted sets, by products of indicator matrices, width tokens at a time."""
+    out = np.zeros((len(x), len(y)), dtype=np.int64)
+    for parts in _ranges([*x, *y], tokens):
+        sizes = [len(t) for t in parts]
+        values, column = np.unique(np.concatenate(parts), return_inverse=True)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        for start in range(0, len(values), width):
+            lo, hi = np.searchsorted(column, [start, start + width])
+            part = np.zeros((len(sizes), width), dtype=np.float32)
+            part[row[lo:hi], column[lo:hi] - start] = 1
+            out += (part[: len(x)] @ part[len(x) :].T).astype(np.int64)
     return out
 
 
@@ -228,7 +243,6 @@ def _compare_blocks(percent: int):
     """Links that join the components of two blocks of one bucket: the sets are compared in numpy, no pair is a row."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
         classes, labels, own = (table.column(c).to_numpy() for c in ("class", "label", "own"))
         sets = [_unpacked(x) for chunk in table.column("tokens").chunks for x in chunk]
         bi, bj = table.column("bi")[0].as_py(), table.column("bj")[0].as_py()
@@ -289,6 +303,11 @@ def signed_sets(docs: DataFrame, size: int, percent: int, text_bytes: int | None
     return keep(texts.mapInArrow(_sign(size, percent, bits, spark.sparkContext.broadcast(blocks)), "doc_id long, class long, n long, first array<long>, tokens binary"), "sets")
 
 
+def _blocks(members: Column, tokens: Column) -> Column:
+    """Blocks of a bucket: of about BLOCK members and BLOCK_TOKENS tokens each."""
+    return F.greatest(F.ceil(members / BLOCK), F.ceil(tokens / BLOCK_TOKENS)).cast("int")
+
+
 def _only(content: DataFrame, classes: DataFrame) -> DataFrame:
     """One row of each of classes, a table that keep() wrote; its ids are broadcast where they are FEW at most."""
     return content.join(F.broadcast(classes) if classes.count() <= FEW else classes, "class", "left_semi").dropDuplicates(["class"])
@@ -300,7 +319,7 @@ def class_components(sets: DataFrame, percent: int) -> DataFrame | None:
     Buckets of up to SMALL members are often equal, as near copies share many tokens: each set of members counts once.
     In every bucket all members are first compared with the one of least class, so that a pair which many buckets hold
     is compared once.  Where that leaves more than one component among three members or more, they are dealt into blocks
-    of about BLOCK, and pairs of blocks are compared, each in a task of its own, passing over pairs of one component.
+    of about BLOCK members and BLOCK_TOKENS tokens, and pairs of blocks are compared, each in a task of its own, passing over pairs of one component.
     Buckets of one pivot are pooled for that where it sends no more rows to blocks.
     """
     content = sets.where("tokens is not null").select("class", "tokens")
@@ -324,7 +343,7 @@ def class_components(sets: DataFrame, percent: int) -> DataFrame | None:
     comp = None
     star = keep(starred.where("class <> pivot.class").where(near_pivot).select(F.col("class").alias("a"), F.col("pivot.class").alias("b")).distinct(), "star")
     # the comparison with the pivot is all that a bucket of two needs
-    small = equal.where("size(xs) > 2").select(F.xxhash64("xs").alias("token"), F.explode("xs.class").alias("class"), F.lit(1).alias("nb"))
+    small = equal.where("size(xs) > 2").select(F.xxhash64("xs").alias("token"), F.inline("xs"), _blocks(F.size("xs"), F.aggregate("xs", F.lit(0).cast("long"), lambda total, x: total + x["n"])).alias("nb"))
     if not star.isEmpty():
         ids = keep(star.select(F.col("a").alias("class")).union(star.select("b")).distinct(), "ids")
         some = keep(_only(content, ids), "content")
@@ -337,14 +356,14 @@ def class_components(sets: DataFrame, percent: int) -> DataFrame | None:
         drop(some)
         drop(ids)
     drop(star)
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int").alias("nb")
+    large = large.join(large.groupBy("token").agg(_blocks(F.count(F.lit(1)), F.sum("n")).alias("nb")), "token")
     named = lambda rows: rows.withColumn("label", F.col("class")) if comp is None else rows.join(comp.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
-    rows = keep(named(small.unionByName(large.select("token", "class", blocks))), "rows")
+    rows = keep(named(small.unionByName(large.select("token", "class", "n", "nb"))), "rows")
     still = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("class").alias("p")).where("lo <> hi").select("token", "p")
     held, rows = rows, keep(rows.join(still, "token"), "still")
     # open buckets of one pivot overlap: they are one bucket where that sends no more rows to blocks
-    pooled = rows.select("p", "class", "label").distinct()
-    pools = pooled.groupBy("p").agg(F.count(F.lit(1)).alias("m")).withColumn("pool", F.ceil(F.col("m") / BLOCK).cast("int"))
+    pooled = rows.select("p", "class", "n", "label").distinct()
+    pools = pooled.groupBy("p").agg(F.count(F.lit(1)).alias("m"), _blocks(F.count(F.lit(1)), F.sum("n")).alias("pool"))
     pools = keep(pools.join(rows.groupBy("p").agg(F.sum("nb").alias("sent")), "p").where(F.col("m") * F.col("pool") <= F.col("sent")).select("p", "pool"), "pools")
     apart = rows.join(pools, "p", "left_anti").select("token", "class", "label", "nb")
     pooled = pooled.join(pools, "p").select(F.xxhash64("p", F.lit("pool")).alias("token"), "class", "label", F.col("pool").alias("nb"))

@@ -89,7 +89,33 @@ def test_blocks_agree_with_pairs():
 
     sets = [np.unique(np.array([RNG.randrange(500) for _ in range(60)], dtype=np.uint64)) for _ in range(12)]
     got = jaccard._shared(sets[:5], sets[5:], width=7)
-    assert [[int(v) for v in row] for row in got] == [[len(np.intersect1d(a, b)) for b in sets[5:]] for a in sets[:5]]
+    counted = [[len(np.intersect1d(a, b)) for b in sets[5:]] for a in sets[:5]]
+    assert got.tolist() == counted
+    wide = [t * np.uint64((1 << 64) // 500) for t in sets]  # over all codes, as hashes are, a few at a time
+    assert jaccard._shared(wide[:5], wide[5:], width=7, tokens=50).tolist() == counted
+
+
+def test_jaccard_of_buckets_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SMALL", 4)
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    monkeypatch.setattr(jaccard, "BLOCK_TOKENS", 300)
+    words, at, texts = [f"w{RNG.randrange(10**6)}" for _ in range(1000)], 0, []
+    while at < 800:  # windows that move by few words are linked, and by more are not
+        texts.append(" ".join(words[at : at + RNG.choice((60, 62))]))
+        at += RNG.choice((1, 2, 3, 4, 5, 9))
+    texts.append(" ".join(words * 200))
+    RNG.shuffle(texts)
+    sets = [shingle_set(t, 4) for t in texts]
+    label = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            i = len(sets[a] & sets[b])
+            if label[a] != label[b] and 100 * i >= 85 * (len(sets[a]) + len(sets[b]) - i):
+                low, high = sorted((label[a], label[b]))
+                label = [low if x == high else x for x in label]
+    out = jaccard.jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 4, 85)
+    assert 10 < len(set(label)) < len(label) - 10
+    assert {r["doc_id"]: r["component_id"] for r in out.collect()} == dict(enumerate(label))
 
 
 def test_quality(docs, none):
