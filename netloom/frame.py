@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .operators import components, khop, matrix, subgraph
 from .operators.grouping import NodeGroups, condense
 from .plans.fixpoint import ranged, settled
-from .sources import interop
+from .sources import interop, jsonlines, shards
 
 
 class GraphTable:
@@ -333,6 +333,18 @@ class GraphTable:
         """Each edge as a JSON string: the form of to_json() that stays distributed."""
         return self.edges.select(F.to_json(F.struct("*")).alias("edge"))
 
+    def to_json_lines(self, orient: str = "records") -> DataFrame:
+        """Both tables as lines of JSON, some hundred rows each, in the layouts of to_json(); GraphTable.from_json_lines() reads them."""
+        return jsonlines.write_lines(self, orient)
+
+    @classmethod
+    def from_json_lines(cls, lines: DataFrame, orient: str = "records", **options) -> GraphTable:
+        return jsonlines.read_lines(lines, orient, **options)
+
+    def to_shards(self, rows: int, path: str | None = None, weight_col: str | None = None) -> shards.GraphShards:
+        """Tables for training, a folder for each range of rows nodes, with local numbers and ghost nodes."""
+        return shards.write_shards(self, rows, path, weight_col)
+
     def write_parquet(self, nodes: str, edges: str, mode: str = "errorifexists") -> None:
         self.nodes.write.mode(mode).parquet(nodes)
         self.edges.write.mode(mode).parquet(edges)

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .frame import GraphTable
 from .operators.khop import aggregate_over_pairs
+from .plans.fixpoint import settled
+from .sources.jsonlines import ORIENTS
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -439,6 +442,51 @@ def equality(spark, d):
     return spark.createDataFrame([(g == other and g != g.query_nodes("id > 3"),)], "equal boolean")
 
 
+LAYOUTS = ", ".join(f"('{x}')" for x in ORIENTS)
+
+
+def _again(spark, d):
+    """(layout, trade network read again from its lines in this layout)."""
+    g = trade(spark, d)
+    return [(x, GraphTable.from_json_lines(settled(g.to_json_lines(x)), x, validate=False)) for x in ORIENTS]
+
+
+def _all(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
+
+
+@query(f"with {G1} select layout, source::bigint as source, target::bigint as target, weight from edges, (values {LAYOUTS}) v(layout)")
+def json_lines_edges(spark, d):
+    return _all([g.edges.select(F.lit(x).alias("layout"), "source", "target", "weight") for x, g in _again(spark, d)])
+
+
+@query(f"with {G1} select layout, id::bigint as id, n_name, n_regionkey::bigint as n_regionkey from nodes, (values {LAYOUTS}) v(layout)")
+def json_lines_nodes(spark, d):
+    return _all([g.nodes.select(F.lit(x).alias("layout"), "id", "n_name", "n_regionkey") for x, g in _again(spark, d)])
+
+
+SHARD = 100
+"""Nodes of a shard."""
+PLACED = f"placed as (select *, row_number() over (order by id) - 1 as pos from nodes), ends as (select (s.pos // {SHARD})::int as shard, s.pos as src, t.pos as dst, weight from edges join placed s on s.id = source join placed t on t.id = target)"
+
+
+@query(f"with {G3}, {PLACED} select * from ends")
+def shard_edges(spark, d):
+    """Edges of shards, with both ends' local numbers turned back into positions."""
+    parts = transitions(spark, d).to_shards(SHARD, weight_col="weight")
+    place = lambda end: parts.nodes.select("shard", F.col("local").alias(f"{end}_"), F.col("position").alias(end))
+    return parts.edges.withColumnsRenamed({"src": "src_", "dst": "dst_"}).join(place("src"), ["shard", "src_"]).join(place("dst"), ["shard", "dst_"]).select("shard", "src", "dst", "weight")
+
+
+@query(
+    f"with {G3}, {PLACED}, held as (select (pos // {SHARD})::int as shard, pos, false as ghost from placed union select shard, dst, true from ends where dst // {SHARD} <> shard)"
+    " select shard, row_number() over (partition by shard order by ghost, pos) - 1 as local, pos as position, ghost, n_events::double as n_events, n_types::double as n_types from held join placed using (pos)"
+)
+def shard_nodes(spark, d):
+    nodes = transitions(spark, d).to_shards(SHARD).nodes
+    return nodes.select("shard", "local", "position", "ghost", F.col("x")[0].alias("n_events"), F.col("x")[1].alias("n_types"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, (f, _) in ENTRIES.items()}
 
