@@ -279,7 +279,7 @@ class GraphTable:
         return khop.Neighborhoods(self, k, directed)
 
     def k_hop_aggregation(self, k: int, aggregations="mean", directed: bool = False, drop_self_in_neighborhood: bool = True, drop_non_numeric: bool = True, verbose: bool = False, engine: str = "auto") -> DataFrame:
-        return khop.aggregate_over_pairs(khop.pairs(self, k, directed), self.nodes, aggregations, drop_self_in_neighborhood, drop_non_numeric, self.id_col, engine, verbose)
+        return khop.aggregate_over_reach(self, k, aggregations, directed, drop_self_in_neighborhood, drop_non_numeric, engine)
 
     # matrices and exports
 
