@@ -32,6 +32,12 @@ from ._shared import components, drop, keep
 
 BLOCK_BITS = 20
 """Cells in a block of the sketch, as a power of two."""
+SLICE_BITS = 28
+"""Cells in a slice of the sketch, which is broadcast by itself, as a power of two (32 MB)."""
+SKETCH_BITS = 30
+"""Cells of the sketch at most, as a power of two: four slices, 128 MB."""
+COUNT_TOKENS = 1 << 22
+"""Tokens that a task counts at a time, of 4 bytes each."""
 HEAVY_BITS = 20
 """Counters for frequent tokens, as a power of two."""
 SMALL = 32
@@ -66,44 +72,71 @@ def _sets(batch: pa.RecordBatch, size: int):
         yield row, _set(codes, size)
 
 
+_BLOCKS = pa.schema([("block", pa.int64()), ("ones", pa.binary()), ("more", pa.binary())])
+
+
+def _pack_cells(cells: np.ndarray) -> bytes:
+    """Sorted distinct cells of a block, as steps whose bytes are laid out by place, since the upper ones are mostly 0."""
+    return zlib.compress(np.diff(cells, prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _unpack_cells(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(packed), dtype=np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.int64)
+
+
 def _count(size: int, cell_bits: int):
-    """Sketch rows of a task: for each block, one bit for cells seen once and one for cells seen again, and counts."""
+    """Sketch rows of a task: for each block, its cells and a bit for those that are seen again, and counts.
+
+    No array of all cells is made, so that a task's memory does not grow with them.
+    """
 
     def run(batches):
-        ones = np.zeros(1 << (cell_bits - 3), dtype=np.uint8)
-        more = np.zeros(1 << (cell_bits - 3), dtype=np.uint8)
         heavy = np.zeros(1 << HEAVY_BITS, dtype=np.uint32)
-
-        def add(held: list[np.ndarray]) -> None:
-            tokens = np.concatenate(held)
-            heavy[:] += np.bincount((tokens >> np.uint64(64 - HEAVY_BITS)).astype(np.int64), minlength=len(heavy)).astype(np.uint32)
-            cells, counts = np.unique((tokens & np.uint64((1 << cell_bits) - 1)).astype(np.uint32), return_counts=True)
-            at, bit = cells >> 3, (1 << (cells & 7)).astype(np.uint8)
-            again = (counts > 1) | ((ones[at] & bit) > 0)
-            np.bitwise_or.at(more, at[again], bit[again])
-            np.bitwise_or.at(ones, at, bit)
-
+        held: list[np.ndarray] = []
+
+        def blocks():
+            cells = np.concatenate(held)
+            held.clear()
+            cells.sort()
+            new = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1])))
+            again = np.diff(np.append(new, len(cells))) > 1
+            cells = cells[new]
+            number = cells >> np.uint32(BLOCK_BITS)
+            first = np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1])))
+            cells &= np.uint32((1 << BLOCK_BITS) - 1)
+            out = [(int(number[i]), _pack_cells(cells[i:j]), np.packbits(again[i:j]).tobytes()) for i, j in zip(first, np.append(first[1:], len(cells)), strict=True)]
+            return pa.RecordBatch.from_pydict({f.name: [r[k] for r in out] for k, f in enumerate(_BLOCKS)}, schema=_BLOCKS)
+
+        n = 0
         for batch in batches:
-            held, n = [], 0
+            some, m = [], 0
             for _, tokens in _sets(batch, size):
-                held.append(tokens)
-                n += len(tokens)
-                if n > 1 << 19:
-                    add(held)
-                    held, n = [], 0
-            if held:
-                add(held)
-        step = 1 << (BLOCK_BITS - 3)
-        out = [(-1, zlib.compress(heavy.tobytes(), 1), b"")]
-        for k in range(len(ones) // step):
-            part = ones[k * step : (k + 1) * step]
-            if part.any():
-                out.append((k, zlib.compress(part.tobytes(), 1), zlib.compress(more[k * step : (k + 1) * step].tobytes(), 1)))
-        yield pa.RecordBatch.from_pydict({"block": [r[0] for r in out], "ones": [r[1] for r in out], "more": [r[2] for r in out]}, schema=pa.schema([("block", pa.int64()), ("ones", pa.binary()), ("more", pa.binary())]))
+                some.append(tokens)
+                m += len(tokens)
+                if m > 1 << 18:
+                    n += _counted(some, heavy, held, cell_bits)
+                    some, m = [], 0
+                if n > COUNT_TOKENS:
+                    yield blocks()
+                    n = 0
+            if some:
+                n += _counted(some, heavy, held, cell_bits)
+        if n:
+            yield blocks()
+        yield pa.RecordBatch.from_pydict({"block": [-1], "ones": [zlib.compress(heavy.tobytes(), 1)], "more": [b""]}, schema=_BLOCKS)
 
     return run
 
 
+def _counted(some: list[np.ndarray], heavy: np.ndarray, held: list[np.ndarray], cell_bits: int) -> int:
+    """Add tokens to the counters and their cells to held; how many they are."""
+    tokens = np.concatenate(some)
+    heavy += np.bincount((tokens >> np.uint64(64 - HEAVY_BITS)).astype(np.int64), minlength=len(heavy)).astype(np.uint32)
+    held.append((tokens & np.uint64((1 << cell_bits) - 1)).astype(np.uint32))
+    return len(tokens)
+
+
 def _merge_blocks(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One block's rows, one at a time: what two tasks have seen once each is seen again."""
     block, ones, more = None, None, None
@@ -114,32 +147,67 @@ def _merge_blocks(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 part = np.frombuffer(zlib.decompress(a.as_py()), dtype=np.uint32).astype(np.uint64)
                 ones = part if ones is None else ones + part
             else:
-                one, two = (np.frombuffer(zlib.decompress(x.as_py()), dtype=np.uint8) for x in (a, b))
                 if ones is None:
-                    ones, more = one.copy(), two.copy()
-                else:
-                    more |= two | (ones & one)
-                    ones |= one
+                    ones, more = np.zeros((2, 1 << BLOCK_BITS), dtype=bool)
+                cells = _unpack_cells(a.as_py())
+                again = np.unpackbits(np.frombuffer(b.as_py(), dtype=np.uint8), count=len(cells)).astype(bool)
+                more[cells[again | ones[cells]]] = True
+                ones[cells] = True
     if block is not None:
-        if block < 0:
-            ones = (np.log2(ones.astype(np.float64) + 1) * 2).astype(np.uint8)
-        yield pa.RecordBatch.from_pydict({"block": [block], "bits": [zlib.compress((ones if block < 0 else more).tobytes(), 1)]}, schema=pa.schema([("block", pa.int64()), ("bits", pa.binary())]))
+        bits = (np.log2(ones.astype(np.float64) + 1) * 2).astype(np.uint8) if block < 0 else np.packbits(more, bitorder="little")
+        yield pa.RecordBatch.from_pydict({"block": [block], "bits": [zlib.compress(bits.tobytes(), 1)]}, schema=pa.schema([("block", pa.int64()), ("bits", pa.binary())]))
+
+
+class Sketch:
+    """Which tokens another document may hold: broadcast slices of bits, of which the driver holds one at a time, and counters."""
+
+    def __init__(self, texts: DataFrame, size: int, cell_bits: int):
+        context = texts.sparkSession.sparkContext
+        counted = texts.select("text").mapInArrow(_count(size, cell_bits), "block long, ones binary, more binary")
+        merged = keep(counted.groupBy("block").applyInArrow(_merge_blocks, "block long, bits binary"), "sketch")
+        self.cell_bits, self.slices = cell_bits, []
+        blocks, step = 1 << (min(cell_bits, SLICE_BITS) - BLOCK_BITS), 1 << (BLOCK_BITS - 3)
+        for k in range(1 << max(0, cell_bits - SLICE_BITS)):
+            bits = np.zeros(blocks * step, dtype=np.uint8)
+            for r in merged.where(f"block >= {k * blocks} and block < {(k + 1) * blocks}").toLocalIterator():
+                at = (r["block"] - k * blocks) * step
+                bits[at : at + step] = np.frombuffer(zlib.decompress(r["bits"]), dtype=np.uint8)
+            self.slices.append(context.broadcast(bits))
+        heavy = merged.where("block < 0").first()
+        self.heavy = context.broadcast(np.frombuffer(zlib.decompress(heavy["bits"]), dtype=np.uint8) if heavy else np.zeros(1 << HEAVY_BITS, dtype=np.uint8))
+        drop(merged)
+
+    def again(self, tokens: np.ndarray) -> np.ndarray:
+        """Which of tokens may be seen again."""
+        cells = (tokens & np.uint64((1 << self.cell_bits) - 1)).astype(np.int64)
+        if len(self.slices) == 1:
+            return (self.slices[0].value[cells >> 3] >> (cells & 7).astype(np.uint8)) & 1 > 0
+        out, number = np.zeros(len(tokens), dtype=bool), cells >> SLICE_BITS
+        for k, bits in enumerate(self.slices):
+            at = np.flatnonzero(number == k)
+            some = cells[at] & ((1 << SLICE_BITS) - 1)
+            out[at] = (bits.value[some >> 3] >> (some & 7).astype(np.uint8)) & 1 > 0
+        return out
+
+    def drop(self) -> None:
+        """Free the executors' memory."""
+        for bits in (*self.slices, self.heavy):
+            bits.unpersist()
 
 
 def _order_codes(tokens: np.ndarray, k: int) -> np.ndarray:
     return W.mix(tokens ^ np.uint64((0xA0761D6478BD642F * k) & (1 << 64) - 1))
 
 
-def _prefixes(tokens: np.ndarray, percent: int, seen_again: np.ndarray, heavy: np.ndarray, cell_bits: int):
+def _prefixes(tokens: np.ndarray, percent: int, sketch: Sketch):
     """First-order prefix tokens that another set may hold."""
     p = prefix_length(len(tokens), percent)
-    cells = (tokens & np.uint64((1 << cell_bits) - 1)).astype(np.int64)
-    again = (seen_again[cells >> 3] >> (cells & 7).astype(np.uint8)) & 1
+    again = sketch.again(tokens)
     alone = len(tokens) - int(again.sum())
     if alone >= p:  # a token of one set only makes no candidate
         return None
-    rest = tokens[again > 0]
-    return rest[np.lexsort((rest, heavy[(rest >> np.uint64(64 - HEAVY_BITS)).astype(np.int64)]))[: p - alone]]
+    rest = tokens[again]
+    return rest[np.lexsort((rest, sketch.heavy.value[(rest >> np.uint64(64 - HEAVY_BITS)).astype(np.int64)]))[: p - alone]]
 
 
 def _hash_prefix(tokens: np.ndarray, k: int, percent: int) -> np.ndarray:
@@ -151,19 +219,8 @@ def _hash_prefix(tokens: np.ndarray, k: int, percent: int) -> np.ndarray:
 _SIGNED = pa.schema([("doc_id", pa.int64()), ("class", pa.int64()), ("n", pa.int64()), ("first", pa.list_(pa.int64())), ("tokens", pa.binary())])
 
 
-def _sign(size: int, percent: int, cell_bits: int, sketch):
+def _sign(size: int, percent: int, sketch: Sketch):
     def run(batches):
-        blocks = sketch.value
-        if isinstance(blocks, dict):
-            seen = np.zeros(1 << (cell_bits - 3), dtype=np.uint8)
-            step = 1 << (BLOCK_BITS - 3)
-            heavy = np.zeros(1 << HEAVY_BITS, dtype=np.uint8)
-            for k, bits in blocks.items():
-                part = np.frombuffer(zlib.decompress(bits), dtype=np.uint8)
-                if k < 0:
-                    heavy = part
-                else:
-                    seen[k * step : (k + 1) * step] = part
         written = set()  # of a task's copies only the first carries prefixes and tokens
         for batch in batches:
             cols: list[list] = [[] for _ in _SIGNED]
@@ -171,7 +228,7 @@ def _sign(size: int, percent: int, cell_bits: int, sketch):
             for row, tokens in _sets(batch, size):
                 first, held = None, None
                 digest = int.from_bytes(blake2b(tokens.tobytes(), digest_size=16).digest()[:8], "little") >> 1
-                if len(tokens) and digest not in written and (found := _prefixes(tokens, percent, seen, heavy, cell_bits)) is not None:
+                if len(tokens) and digest not in written and (found := _prefixes(tokens, percent, sketch)) is not None:
                     written.add(digest)
                     first, held = found.view(np.int64), tokens.tobytes()
                 for col, v in zip(cols, (ids[row], digest, len(tokens), first, held), strict=True):
@@ -281,26 +338,24 @@ def _compare_blocks(percent: int):
     return run
 
 
-def sketch_bits(n_chars: int, most: int = 27) -> int:
-    """Cells for the sketch, as a power of two: about two cells for each word, between 2^20 and 2^most (2^27: 16 MB of bits).
+def sketch_bits(n_chars: int) -> int:
+    """Cells for the sketch, as a power of two: one or two cells for each word, between 2^20 and 2^SKETCH_BITS.
 
-    The bound holds at any input.  Beyond it more tokens look repeated, so more prefix tokens are written out; results
-    stay the same.
+    The bound holds at any input.  Where cells are fewer than words more tokens look repeated, so more prefix tokens are
+    written out; results stay the same.
     """
-    return min(most, max(20, int(np.ceil(np.log2(max(1, n_chars) / 3)))))
+    return min(SKETCH_BITS, max(20, int(np.ceil(np.log2(max(1, n_chars) / 6)))))
 
 
 def signed_sets(docs: DataFrame, size: int, percent: int, text_bytes: int | None = None) -> DataFrame:
     """One row per document: its class, set size and, where another document may be like it, first-order prefix and set."""
-    spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     if text_bytes is None:
         text_bytes = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = sketch_bits(text_bytes)
-    counted = texts.select("text").mapInArrow(_count(size, bits), "block long, ones binary, more binary")
-    merged = counted.groupBy("block").applyInArrow(_merge_blocks, "block long, bits binary")
-    blocks = {r["block"]: bytes(r["bits"]) for r in merged.toLocalIterator()}  # 2^bits bits and 2^20 bytes at most
-    return keep(texts.mapInArrow(_sign(size, percent, bits, spark.sparkContext.broadcast(blocks)), "doc_id long, class long, n long, first array<long>, tokens binary"), "sets")
+    sketch = Sketch(texts, size, sketch_bits(text_bytes))
+    sets = keep(texts.mapInArrow(_sign(size, percent, sketch), "doc_id long, class long, n long, first array<long>, tokens binary"), "sets")
+    sketch.drop()
+    return sets
 
 
 def _blocks(members: Column, tokens: Column) -> Column:

@@ -28,7 +28,6 @@ its own.  Columns of docs beside doc_id and text are left out.  An empty table g
 
 from __future__ import annotations
 
-import zlib
 from bisect import bisect_right
 from hashlib import blake2b
 
@@ -39,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import _words as W
 from ._shared import drop, keep
-from .jaccard import BLOCK_BITS, HEAVY_BITS, _count, _merge_blocks, sketch_bits
+from .jaccard import Sketch, sketch_bits
 
 BANDS = 4
 """Signatures of a passage."""
@@ -47,8 +46,6 @@ AGREE = 1
 """Hash functions of a signature."""
 BLOCK = 512
 """Classes of a block of a larger group, about."""
-SKETCH_BITS = 28
-"""Cells of the sketch at most, as a power of two (32 MB); beyond it more passages live on to step 2, with the same result."""
 FEW_COPIES = 200_000
 """Rows that are broadcast at most, 24 bytes each, to pass over copies of one text; where there are more, each task passes over its own."""
 FEW = 6
@@ -129,15 +126,6 @@ def pieces(codes: np.ndarray, lo: np.ndarray, hi: np.ndarray, width: int, bands:
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _unsketched(blocks: dict[int, bytes], cell_bits: int) -> np.ndarray:
-    """Bits of the cells that are seen again, of op4's sketch."""
-    seen, step = np.zeros(1 << (cell_bits - 3), dtype=np.uint8), 1 << (BLOCK_BITS - 3)
-    for k, bits in blocks.items():
-        if k >= 0:
-            seen[k * step : (k + 1) * step] = np.frombuffer(zlib.decompress(bits), dtype=np.uint8)
-    return seen
-
-
 _RUNS = pa.schema([("doc_id", pa.int64()), ("row", pa.binary()), ("n_words", pa.int32()), ("at", pa.list_(pa.int32())), ("codes", pa.binary()), ("sig", pa.list_(pa.int64())), ("ctx", pa.list_(pa.int64())), ("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32())), ("off", pa.list_(pa.int16())), ("own", pa.list_(pa.int32()))])
 _RUNS_DDL = "doc_id long, row binary, n_words int, at array<int>, codes binary, sig array<long>, ctx array<long>, a array<int>, b array<int>, off array<short>, own array<int>"
 
@@ -180,11 +168,10 @@ def _own_repeats(s: np.ndarray, begin: np.ndarray, end: np.ndarray, width: int,
     return start, text[start]
 
 
-def _emit(size: int, width: int, percent: int, cell_bits: int, sketch):
+def _emit(size: int, width: int, percent: int, sketch: Sketch):
     need = least_shared(width, percent)
 
     def run(batches):
-        seen_again = _unsketched(sketch.value, cell_bits)
         written = set()  # of a task's copies only the first carries pieces
         for batch in batches:
             data, at = W.utf8(batch.column("text"))
@@ -209,8 +196,7 @@ def _emit(size: int, width: int, percent: int, cell_bits: int, sketch):
                 if held:
                     s = np.concatenate(held)
                     begin, end = np.array(begin), np.array(end)
-                    cells = (s & np.uint64((1 << cell_bits) - 1)).astype(np.int64)
-                    again = ((seen_again[cells >> 3] >> (cells & 7).astype(np.uint8)) & 1).astype(bool)
+                    again = sketch.again(s)
                     full = end > begin
                     lo, hi = _alive(s, begin[full], end[full], again, width, need)
                     if len(lo):
@@ -495,9 +481,8 @@ def _compared(width: int, percent: int):
 def repeated_passages(docs: DataFrame, words: int = 50, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_spans, n_repeat_words and spans (start:end in words, end exclusive, comma-joined) of texts with repeats."""
     width = words - size + 1
-    spark = docs.sparkSession
     texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    bits = sketch_bits(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0, SKETCH_BITS)
+    bits = sketch_bits(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     # of equal texts only the one of least doc_id need be counted and cut into pieces
     digests = texts.where("doc_id is not null").select("doc_id", F.unhex(F.md5("text")).alias("digest"))
     least = digests.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
@@ -507,9 +492,9 @@ def repeated_passages(docs: DataFrame, words: int = 50, size: int = 5, percent:
         texts = marked.select("doc_id", "text", F.col("copy").isNull().alias("first"))
     else:
         texts = texts.withColumn("first", F.lit(True))
-    merged = texts.where("first").select("text").mapInArrow(_count(size, bits), "block long, ones binary, more binary").groupBy("block").applyInArrow(_merge_blocks, "block long, bits binary")
-    sketch = spark.sparkContext.broadcast({r["block"]: bytes(r["bits"]) for r in merged.where("block >= 0").toLocalIterator()})  # as in op4
-    found_runs = keep(texts.mapInArrow(_emit(size, width, percent, bits, sketch), _RUNS_DDL), "runs")
+    sketch = Sketch(texts.where("first"), size, bits)
+    found_runs = keep(texts.mapInArrow(_emit(size, width, percent, sketch), _RUNS_DDL), "runs")
+    sketch.drop()
     flat = found_runs.where("size(sig) > 0").select("row", F.inline(F.arrays_zip("sig", "ctx", "a", "b", "off")))
     classes = flat.groupBy("sig", "ctx").agg(F.min(F.struct("row", "a", "b", "off")).alias("x"), F.max("row").alias("row2"), F.max("a").alias("a2"), F.count(F.lit(1)).alias("n"))
     kind = F.when(F.col("row2") != F.col("x.row"), REPEATED).when(F.col("a2") > F.col("x.a"), SEVERAL).otherwise(SINGLE)

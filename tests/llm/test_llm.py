@@ -5,6 +5,7 @@ import json
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter
 
@@ -13,8 +14,11 @@ import pytest
 pytest.importorskip("netloom.llm")
 
 import public_tokenizers  # noqa: E402
+import pyarrow as pa  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
 
-from netloom.llm import bpe_automaton, chat, decontaminate, jaccard, language_id, licenses, passages, quality, secrets, token_counts  # noqa: E402
+from netloom.llm import _shared, bpe_automaton, chat, decontaminate, jaccard, language_id, licenses, passages, quality, secrets, token_counts  # noqa: E402
+from netloom.llm import _words as W  # noqa: E402
 
 SPACE = r"[^\x20\x09-\x0D]+"
 RNG = random.Random(5)
@@ -77,6 +81,34 @@ def test_jaccard(docs, none):
     assert jaccard.jaccard_components(none, 4, 85).count() == 0
 
 
+def test_sketch_in_slices(spark, monkeypatch):
+    """Tokens of two texts are seen again, in each slice, and hardly others; 10 GB of text have cells enough."""
+    import numpy as np
+
+    assert 2 ** jaccard.sketch_bits(10 * 10**9) * 2 > 10**10 / 7.6  # words
+    monkeypatch.setattr(jaccard, "SLICE_BITS", 20)
+    words = [f"w{RNG.randrange(10**6)}" for _ in range(9000)]
+    texts = [" ".join(words[:5000]), " ".join(words[4000:]), None, "", " ".join(words[:300])]
+    sketch = jaccard.Sketch(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), 4, 22)
+    assert len(sketch.slices) == 4
+    codes = [c for _, c in W.row_words(*W.utf8(pa.array([" ".join(words)])), W.SPACE_SEPARATED, True)][0]
+    again = sketch.again(W.shingles(codes, 4))
+    assert again[:297].all() and again[4000:4997].all() and again.sum() < 1294 + 100
+    cells = np.sort(np.array(RNG.sample(range(1 << 20), 5000), dtype=np.uint32))
+    assert (jaccard._unpack_cells(jaccard._pack_cells(cells)) == cells).all()
+
+
+def test_kept_tables_leave_no_shuffle_files(spark):
+    files = lambda: {f.rsplit("/", 1)[-1] for f in spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+    before = files()
+    kept = _shared.keep(spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not files() - before and kept.count() == 7
+    assert spark.conf.get(_shared.CLEAN_UP, None) in (None, "false")
+
+
 def test_prefix_bounds():
     for percent in (50, 80, 85, 100):
         for n in range(1, 200):
