@@ -23,6 +23,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import keep
+
 CUES = "(?i)licen[sc]|copyright|spdx|redistribut|permission is hereby|public domain|all rights reserved"
 NAMES = "(?i)(^|/)(licen[sc]e|copying|notice)([.][a-z]+)?$"
 TOKEN = "[^a-z0-9.]+|[.](?![0-9])"
@@ -159,6 +161,7 @@ def scan(docs: DataFrame, min_header: float = 0.6, min_file: float = 0.5) -> Dat
         F.regexp_replace("path", "/?[^/]*$", "").alias("dir"),
         F.when(F.col("_named") & (F.col("_full") | (F.col("_whole.score") >= min_file) | F.col("path").rlike(NAMES)), F.col("_best.name")).alias("file_license"),
     )
+    rows = keep(rows, "licenses")  # read four times below, and the texts once
     owners = rows.where("file_license is not null and path is not null").groupBy(F.col("dir").alias("above")).agg(F.min(F.struct("path", "file_license")).alias("owner"))
     dirs = rows.where("dir is not null and header is null").select("dir").distinct()
     parts = F.split("dir", "/", -1)

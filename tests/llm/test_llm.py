@@ -370,6 +370,13 @@ def test_licenses(spark):
     assert found[2][1] == found[5][1] == "inherited"
 
 
+def test_licenses_read_texts_once(spark):
+    """The texts are searched where they are read, not again for each use of the rows."""
+    out = licenses.scan(spark.createDataFrame([(1, "SPDX-License-Identifier: MIT", "a/b")], "doc_id long, text string, path string"))
+    assert "RLIKE" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert [r["license"] for r in out.collect()] == ["MIT"]
+
+
 def test_real_licenses(spark):
     """Real headers on one line, and whole texts, wrapped and not, with a copyright line."""
     whole = lambda name: f"Copyright (c) 2020 A. Author\n\n{licenses.FILES[name]}"
