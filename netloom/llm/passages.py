@@ -48,8 +48,10 @@ BLOCK = 512
 """Classes of a block of a larger group, about."""
 FEW_COPIES = 200_000
 """Rows that are broadcast at most, 24 bytes each, to pass over copies of one text; where there are more, each task passes over its own."""
-FEW = 6
-"""Classes of a group in which all pairs are compared at once."""
+FEW = 4
+"""Classes of a group in which pairs are compared one by one."""
+ROWS = 512
+"""Windows of a larger group that are compared with others at a time."""
 
 
 def least_shared(width: int, percent: int) -> int:
@@ -284,13 +286,22 @@ def _members(width: int):
 class Member:
     """A class of pieces of one signature, and which of its windows have a partner so far."""
 
-    __slots__ = ("codes", "ctx", "distinct", "done", "kind", "kinds", "off", "texts")
+    __slots__ = ("_kinds", "codes", "ctx", "done", "kind", "off", "texts")
 
     def __init__(self, codes: np.ndarray, off: int, texts: tuple[bytes, bytes], kind: int, ctx: int, width: int):
         self.codes, self.off, self.texts, self.kind, self.ctx = codes, off, texts, kind, ctx
         self.done = np.full(len(codes) - width + 1, bool(kind & REPEATED))
-        self.kinds = set(codes.tolist())
-        self.distinct = len(self.kinds) == len(codes)
+        self._kinds: set[int] | None = None
+
+    @property
+    def kinds(self) -> set[int]:
+        if self._kinds is None:
+            self._kinds = set(self.codes.tolist())
+        return self._kinds
+
+    @property
+    def distinct(self) -> bool:
+        return len(self.kinds) == len(self.codes)
 
 
 def _counts(codes: np.ndarray, kinds: np.ndarray, width: int) -> np.ndarray:
@@ -344,23 +355,59 @@ def _side_by_side(x: Member, y: Member, need: int, width: int) -> None:
         y.done[j : j + len(good)] |= good
 
 
-def _like_pivot(members: list[Member], pivot: Member, need: int, width: int) -> None:
-    """compare() each of many members with one: by shingles that stand side by side first."""
-    size = max(len(m.codes) for m in members)
-    table = np.zeros((len(members), size + width), dtype=np.uint64)
-    for k, m in enumerate(members):
-        table[k, : len(m.codes)] = m.codes.astype(np.uint64) + 1
-    can = np.isin(table, pivot.codes.astype(np.uint64) + 1)
-    sums = np.concatenate((np.zeros((len(members), 1), dtype=np.int32), np.cumsum(can, axis=1)), axis=1)
-    most = sums[:, width:] - sums[:, :-width]
-    for k, m in enumerate(members):
-        n = len(m.done)
-        if not (most[k, :n][~m.done] >= need).any() and (pivot.done.all() or not (most[k, :n] >= need).any()):
-            continue
-        if m.distinct and pivot.distinct and not (m.texts == pivot.texts and m.texts[0] == m.texts[1]):
-            _side_by_side(m, pivot, need, width)
-        if (~m.done & (most[k, :n] >= need)).any() or not pivot.done.all():
-            compare(m, pivot, need, width)
+class Windows:
+    """The windows of a group's members as sets of tokens, and which of them have a partner so far.
+
+    A token is a shingle and how often it stood in the window before, so two windows share as many shingles, counted as
+    often as both hold them, as they share tokens.
+    """
+
+    def __init__(self, members: list[Member], width: int):
+        size = np.array([len(m.codes) for m in members])
+        n = size - width + 1
+        self.n, self.first = n, np.cumsum(n) - n
+        self.owner = np.repeat(np.arange(len(members)), n)
+        start = np.arange(int(n.sum())) + (width - 1) * self.owner  # a member has width - 1 places more than windows
+        _, ids = np.unique(np.concatenate([m.codes for m in members]), return_inverse=True)
+        rows = np.sort(np.lib.stride_tricks.sliding_window_view(ids.astype(np.int32), width)[start], axis=1)
+        place = np.arange(width, dtype=np.int32)
+        again = np.zeros(rows.shape, dtype=bool)
+        again[:, 1:] = rows[:, 1:] == rows[:, :-1]
+        rows *= width
+        if again.any():
+            rows += place - np.maximum.accumulate(np.where(again, 0, place), axis=1)
+        values, ids = np.unique(rows, return_inverse=True)
+        self.tokens = ids.reshape(rows.shape).astype(np.int32)
+        self.holds = np.zeros((len(values), len(members)), dtype=bool)
+        self.holds[self.tokens.ravel(), np.repeat(self.owner, width)] = True
+        self.shared = self.holds.sum(axis=1) > 1
+        self.done = np.concatenate([m.done for m in members])
+        # a class in one text only isn't compared with another one of that text, nor any with itself
+        names: dict[bytes, int] = {}
+        self.text = np.array([names.setdefault(m.texts[0], len(names)) if m.texts[0] == m.texts[1] else -1 - k for k, m in enumerate(members)])
+
+    def _bits(self, rows: np.ndarray, column: np.ndarray, n: int) -> np.ndarray:
+        """For each of these windows the columns of its tokens; the column beyond the last stands for all others."""
+        out = np.zeros((len(rows), n + 1), dtype=np.float32)
+        out[np.repeat(np.arange(len(rows)), self.tokens.shape[1]), column[self.tokens[rows]].ravel()] = 1
+        return out[:, :n]
+
+    def ask(self, rows: np.ndarray, may: np.ndarray, need: int) -> None:
+        """Mark all that is alike between these windows and those of members that they may be compared with (members x members)."""
+        asked = np.unique(self.tokens[rows])
+        asked = asked[self.shared[asked]]
+        column = np.full(len(self.shared), len(asked), dtype=np.int32)
+        column[asked] = np.arange(len(asked))
+        bits = self._bits(rows, column, len(asked))
+        owner = self.owner[rows]
+        # windows of members that hold enough of a window's tokens, in whichever of their windows
+        can = (bits @ self.holds[asked].astype(np.float32) >= need) & may[owner]
+        others = np.flatnonzero(can.any(axis=0)[self.owner])
+        for k in range(0, len(others), ROWS):
+            some = others[k : k + ROWS]
+            good = (self._bits(some, column, len(asked)) @ bits.T >= need) & may[self.owner[some]][:, owner]
+            self.done[some] |= good.any(axis=1)
+            self.done[rows] |= good.any(axis=0)
 
 
 def compare_group(left: list[Member], right: list[Member] | None, pivot: Member | None, need: int, width: int) -> None:
@@ -371,38 +418,22 @@ def compare_group(left: list[Member], right: list[Member] | None, pivot: Member
             for y in left[i + 1 :] if right is None else right:
                 compare(x, y, need, width)
         return
+    members = both if pivot is None or any(m is pivot for m in both) else [*both, pivot]
+    windows = Windows(members, width)
+    may = windows.text[:, None] != windows.text[None, :]
     if pivot is not None:
-        others = [m for m in both if m is not pivot and m.ctx != pivot.ctx]
-        if others:
-            _like_pivot(others, pivot, need, width)
-    sides = [(left, left)] if right is None else [(left, right), (right, left)]
-    values, inverse = np.unique(np.concatenate([m.codes for m in both]), return_inverse=True)
-    ids = dict(zip(map(id, both), np.split(inverse, np.cumsum([len(m.codes) for m in both])[:-1]), strict=True))
-    for askers, others in sides:
-        asking = [x for x in askers if not x.done.all()]
-        if not asking:
-            continue
-        holds = np.zeros((len(values), len(others)), dtype=bool)
-        for k, y in enumerate(others):
-            holds[ids[id(y)], k] = True
-        for x in asking:
-            if x.done.all():  # by now
-                continue
-            # places of each open window whose codes another member holds, wherever it holds them
-            sums = np.zeros((len(x.codes) + 1, len(others)), dtype=np.int16)
-            np.cumsum(holds[ids[id(x)]], axis=0, dtype=np.int16, out=sums[1:])
-            held = sums[width:] - sums[:-width]
-            most = held[~x.done].max(axis=0)
-            can = np.flatnonzero(most >= need)
-            live, done = most >= need, int(x.done.sum())
-            for k in can[np.argsort(-most[can], kind="stable")].tolist():
-                if live[k] and others[k] is not x:
-                    compare(x, others[k], need, width)
-                    now = int(np.count_nonzero(x.done))
-                    if now == len(x.done):
-                        break
-                    if now > done:  # windows that are open yet; those of the other one are asked for in its own turn
-                        live, done = (held[~x.done] >= need).any(axis=0), now
+        k = next(k for k, m in enumerate(members) if m is pivot)
+        windows.ask(np.arange(windows.first[k], windows.first[k] + windows.n[k]), may, need)
+    if right is not None:
+        side = np.arange(len(members)) < len(left)
+        may &= side[:, None] != side[None, :]
+    may[len(both) :] = may[:, len(both) :] = False  # the pivot of another block has been compared
+    rows = np.flatnonzero(windows.shared[windows.tokens].sum(axis=1) >= need)  # others have no partner
+    while len(rows := rows[~windows.done[rows]]):
+        windows.ask(rows[:ROWS], may, need)
+        rows = rows[ROWS:]
+    for m, at, n in zip(members, windows.first.tolist(), windows.n.tolist(), strict=True):
+        m.done[:] = windows.done[at : at + n]
 
 
 _FOUND = pa.schema([("sig", pa.int64()), ("ctx", pa.int64()), ("row", pa.binary()), ("kind", pa.int8()), ("at", pa.int32()), ("s", pa.int32()), ("e", pa.int32())])
@@ -410,9 +441,10 @@ _FOUND = pa.schema([("sig", pa.int64()), ("ctx", pa.int64()), ("row", pa.binary(
 
 def runs(done: np.ndarray) -> list[tuple[int, int]]:
     """The first and last place of each run of true ones."""
-    if done.all():
+    flags = done.tobytes()
+    if b"\0" not in flags:
         return [(0, len(done) - 1)]
-    if not done.any():
+    if b"\1" not in flags:
         return []
     edge = np.diff(np.concatenate(([0], done.astype(np.int8), [0])))
     return list(zip(np.flatnonzero(edge > 0).tolist(), (np.flatnonzero(edge < 0) - 1).tolist(), strict=True))
@@ -457,16 +489,20 @@ def _compared(width: int, percent: int):
         last = None
         for batch in batches:
             columns = {f.name: batch.column(f.name).to_pylist() for f in _MEMBERS}
-            keys = list(zip(columns["sig"], columns["bi"], columns["bj"], strict=True))
-            start = 0
-            for k in range(len(keys)):
-                if keys[k] != last:
+            new = np.zeros(len(batch), dtype=bool)
+            for c in ("sig", "bi", "bj"):
+                values = batch.column(c).to_numpy()
+                new[1:] |= values[1:] != values[:-1]
+            start, new[:1] = 0, True  # a batch's first row may go on with the last group
+            for k in np.flatnonzero(new).tolist():
+                key = columns["sig"][k], columns["bi"][k], columns["bj"][k]
+                if key != last:
                     if last is not None:
                         for name, values in rest.items():
                             values += columns[name][start:k]
                         settle(rest, out)
                         rest = {f.name: [] for f in _MEMBERS}
-                    start, last = k, keys[k]
+                    start, last = k, key
             for name, values in rest.items():
                 values += columns[name][start:]
             if len(out[0]):

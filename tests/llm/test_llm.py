@@ -491,6 +491,33 @@ def test_multisets_of_repeating_windows():
         assert x.done.tolist() == [any(row) for row in alike] and y.done.tolist() == [any(c) for c in zip(*alike)]
 
 
+def test_larger_groups_of_windows_that_repeat_shingles(monkeypatch):
+    """Windows of many classes that repeat shingles are compared in one product, not pair by pair, with the same result."""
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    width, need = 8, 6
+    for blocks in (1, 2):
+        members = []
+        for k in range(40):
+            codes = rng.integers(0, 16, 8 + k % 5).astype(np.uint32)
+            row = b"%d" % (k // 2)  # two classes of a text
+            members.append(passages.Member(codes, 0, (row, b"other" if k % 8 == 7 else row), passages.REPEATED if k % 8 == 7 else passages.SINGLE, k, width))
+        left, right = (members, None) if blocks == 1 else (members[:20], members[20:])
+        counts = [[Counter(m.codes[i : i + width].tolist()) for i in range(len(m.done))] for m in members]
+        pivot = members[5]
+        expected = []
+        for a, x in enumerate(members):
+            others = [b for b, y in enumerate(members) if a != b and (blocks == 1 or (a < 20) != (b < 20) or pivot in (x, y)) and not (x.texts == y.texts and x.texts[0] == x.texts[1])]
+            expected.append([bool(x.kind & passages.REPEATED) or any(sum((u & v).values()) >= need for b in others for v in counts[b]) for u in counts[a]])
+        monkeypatch.setattr(passages, "ROWS", 50)
+        monkeypatch.setattr(passages, "compare", None)
+        passages.compare_group(left, right, pivot, need, width)
+        assert [m.done.tolist() for m in members] == expected
+        assert len({x for m in expected for x in m}) == 2
+        monkeypatch.undo()
+
+
 def test_near_passages_are_all_found(spark):
     rng = random.Random(11)
     some = lambda n: [f"v{rng.randrange(400)}" for _ in range(n)]
