@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -36,6 +36,8 @@ SLICE_BITS = 28
 """Cells in a slice of the sketch, which is broadcast by itself, as a power of two (32 MB)."""
 SKETCH_BITS = 30
 """Cells of the sketch at most, as a power of two: four slices, 128 MB."""
+FINER_BITS = 4
+"""Where there are more words than cells: for each word so many cells to count in, as a power of two."""
 COUNT_TOKENS = 1 << 22
 """Tokens that a task counts at a time, of 4 bytes each."""
 HEAVY_BITS = 20
@@ -85,11 +87,13 @@ def _unpack_cells(packed: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.int64)
 
 
-def _count(size: int, cell_bits: int):
+def _count(size: int, cell_bits: int, finer: int = 0, only: Callable[[pa.RecordBatch], np.ndarray] | None = None):
     """Sketch rows of a task: for each block, its cells and a bit for those that are seen again, and counts.
 
-    No array of all cells is made, so that a task's memory does not grow with them.
+    No array of all cells is made, so that a task's memory does not grow with them.  finer: bits by which each cell is
+    told apart into others while they are counted.  only: which rows of a batch are counted.
     """
+    inside = BLOCK_BITS + finer
 
     def run(batches):
         heavy = np.zeros(1 << HEAVY_BITS, dtype=np.uint32)
@@ -102,26 +106,26 @@ def _count(size: int, cell_bits: int):
             new = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1])))
             again = np.diff(np.append(new, len(cells))) > 1
             cells = cells[new]
-            number = cells >> np.uint32(BLOCK_BITS)
+            number = cells >> cells.dtype.type(inside)
             first = np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1])))
-            cells &= np.uint32((1 << BLOCK_BITS) - 1)
+            cells = (cells & cells.dtype.type((1 << inside) - 1)).astype(np.uint32)
             out = [(int(number[i]), _pack_cells(cells[i:j]), np.packbits(again[i:j]).tobytes()) for i, j in zip(first, np.append(first[1:], len(cells)), strict=True)]
             return pa.RecordBatch.from_pydict({f.name: [r[k] for r in out] for k, f in enumerate(_BLOCKS)}, schema=_BLOCKS)
 
         n = 0
         for batch in batches:
             some, m = [], 0
-            for _, tokens in _sets(batch, size):
+            for _, tokens in _sets(batch if only is None else batch.filter(pa.array(only(batch))), size):
                 some.append(tokens)
                 m += len(tokens)
                 if m > 1 << 18:
-                    n += _counted(some, heavy, held, cell_bits)
+                    n += _counted(some, heavy, held, cell_bits, finer)
                     some, m = [], 0
                 if n > COUNT_TOKENS:
                     yield blocks()
                     n = 0
             if some:
-                n += _counted(some, heavy, held, cell_bits)
+                n += _counted(some, heavy, held, cell_bits, finer)
         if n:
             yield blocks()
         yield pa.RecordBatch.from_pydict({"block": [-1], "ones": [zlib.compress(heavy.tobytes(), 1)], "more": [b""]}, schema=_BLOCKS)
@@ -129,42 +133,64 @@ def _count(size: int, cell_bits: int):
     return run
 
 
-def _counted(some: list[np.ndarray], heavy: np.ndarray, held: list[np.ndarray], cell_bits: int) -> int:
+def _counted(some: list[np.ndarray], heavy: np.ndarray, held: list[np.ndarray], cell_bits: int, finer: int) -> int:
     """Add tokens to the counters and their cells to held; how many they are."""
     tokens = np.concatenate(some)
     heavy += np.bincount((tokens >> np.uint64(64 - HEAVY_BITS)).astype(np.int64), minlength=len(heavy)).astype(np.uint32)
-    held.append((tokens & np.uint64((1 << cell_bits) - 1)).astype(np.uint32))
+    cells = tokens & np.uint64((1 << cell_bits) - 1)
+    if finer:  # block, then the finer bits, then the cell in its block
+        low = np.uint64((1 << BLOCK_BITS) - 1)
+        above = (tokens >> np.uint64(cell_bits)) & np.uint64((1 << finer) - 1)
+        held.append(((cells & ~low) << np.uint64(finer)) | (above << np.uint64(BLOCK_BITS)) | (cells & low))
+    else:
+        held.append(cells.astype(np.uint32))
     return len(tokens)
 
 
-def _merge_blocks(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One block's rows, one at a time: what two tasks have seen once each is seen again."""
-    block, ones, more = None, None, None
-    for batch in rows:
-        for k, a, b in zip(batch.column("block").to_pylist(), batch.column("ones"), batch.column("more"), strict=True):
-            block = k
-            if k < 0:
-                part = np.frombuffer(zlib.decompress(a.as_py()), dtype=np.uint32).astype(np.uint64)
-                ones = part if ones is None else ones + part
-            else:
-                if ones is None:
-                    ones, more = np.zeros((2, 1 << BLOCK_BITS), dtype=bool)
+def _merge_blocks(finer: int):
+    def merge(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One block's rows, one at a time: what two tasks have seen once each is seen again."""
+        block, ones, more = None, None, None
+        held = []  # finer cells, of 4 bytes each, with a bit for those that are seen again
+        for batch in rows:
+            for k, a, b in zip(batch.column("block").to_pylist(), batch.column("ones"), batch.column("more"), strict=True):
+                block = k
+                if k < 0:
+                    part = np.frombuffer(zlib.decompress(a.as_py()), dtype=np.uint32).astype(np.uint64)
+                    ones = part if ones is None else ones + part
+                    continue
                 cells = _unpack_cells(a.as_py())
                 again = np.unpackbits(np.frombuffer(b.as_py(), dtype=np.uint8), count=len(cells)).astype(bool)
+                if finer:
+                    held.append((cells << 1 | again).astype(np.uint32))
+                    continue
+                if ones is None:
+                    ones, more = np.zeros((2, 1 << BLOCK_BITS), dtype=bool)
                 more[cells[again | ones[cells]]] = True
                 ones[cells] = True
-    if block is not None:
-        bits = (np.log2(ones.astype(np.float64) + 1) * 2).astype(np.uint8) if block < 0 else np.packbits(more, bitorder="little")
-        yield pa.RecordBatch.from_pydict({"block": [block], "bits": [zlib.compress(bits.tobytes(), 1)]}, schema=pa.schema([("block", pa.int64()), ("bits", pa.binary())]))
+        if held:
+            cells = np.concatenate(held)
+            held.clear()
+            cells.sort()
+            again = (cells & np.uint32(1)).astype(bool)
+            cells >>= np.uint32(1)
+            again[1:] |= cells[1:] == cells[:-1]
+            more = np.zeros(1 << BLOCK_BITS, dtype=bool)
+            more[cells[again] & np.uint32((1 << BLOCK_BITS) - 1)] = True
+        if block is not None:
+            bits = (np.log2(ones.astype(np.float64) + 1) * 2).astype(np.uint8) if block < 0 else np.packbits(more, bitorder="little")
+            yield pa.RecordBatch.from_pydict({"block": [block], "bits": [zlib.compress(bits.tobytes(), 1)]}, schema=pa.schema([("block", pa.int64()), ("bits", pa.binary())]))
+
+    return merge
 
 
 class Sketch:
     """Which tokens another document may hold: broadcast slices of bits, of which the driver holds one at a time, and counters."""
 
-    def __init__(self, texts: DataFrame, size: int, cell_bits: int):
+    def __init__(self, texts: DataFrame, size: int, cell_bits: int, finer: int = 0, only: Callable[[pa.RecordBatch], np.ndarray] | None = None):
         context = texts.sparkSession.sparkContext
-        counted = texts.select("text").mapInArrow(_count(size, cell_bits), "block long, ones binary, more binary")
-        merged = keep(counted.groupBy("block").applyInArrow(_merge_blocks, "block long, bits binary"), "sketch")
+        counted = (texts if only else texts.select("text")).mapInArrow(_count(size, cell_bits, finer, only), "block long, ones binary, more binary")
+        merged = keep(counted.groupBy("block").applyInArrow(_merge_blocks(finer), "block long, bits binary"), "sketch")
         self.cell_bits, self.slices = cell_bits, []
         blocks, step = 1 << (min(cell_bits, SLICE_BITS) - BLOCK_BITS), 1 << (BLOCK_BITS - 3)
         for k in range(1 << max(0, cell_bits - SLICE_BITS)):
@@ -347,6 +373,16 @@ def sketch_bits(n_chars: int) -> int:
     return min(SKETCH_BITS, max(20, int(np.ceil(np.log2(max(1, n_chars) / 6)))))
 
 
+def finer_bits(n_chars: int) -> int:
+    """Bits by which cells are told apart while they are counted, where there are more words than cells, else 0.
+
+    Then only what is seen again fills cells, and not what shares a cell with something else; at most 11, so that a cell
+    in its block has 32 bits.
+    """
+    bits = int(np.ceil(np.log2(max(1, n_chars) / 6)))
+    return min(11, bits - SKETCH_BITS + FINER_BITS) if bits > SKETCH_BITS else 0
+
+
 def signed_sets(docs: DataFrame, size: int, percent: int, text_bytes: int | None = None) -> DataFrame:
     """One row per document: its class, set size and, where another document may be like it, first-order prefix and set."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

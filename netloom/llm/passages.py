@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import _words as W
 from ._shared import drop, keep
-from .jaccard import Sketch, sketch_bits
+from .jaccard import Sketch, finer_bits, sketch_bits
 
 BANDS = 4
 """Signatures of a passage."""
@@ -46,8 +46,8 @@ AGREE = 1
 """Hash functions of a signature."""
 BLOCK = 512
 """Classes of a block of a larger group, about."""
-FEW_COPIES = 200_000
-"""Rows that are broadcast at most, 24 bytes each, to pass over copies of one text; where there are more, each task passes over its own."""
+FEW_COPIES = 1 << 23
+"""Copies of other texts that are broadcast at most, 8 bytes each, to pass over them; of further ones each task passes over its own."""
 FEW = 4
 """Classes of a group in which pairs are compared one by one."""
 ROWS = 512
@@ -170,14 +170,35 @@ def _own_repeats(s: np.ndarray, begin: np.ndarray, end: np.ndarray, width: int,
     return start, text[start]
 
 
-def _emit(size: int, width: int, percent: int, sketch: Sketch):
+class Copies:
+    """Rows whose text a row of lesser doc_id holds, by 64 bits of both, in a broadcast array."""
+
+    def __init__(self, marks: DataFrame):
+        some = marks if marks.count() <= FEW_COPIES else marks.limit(FEW_COPIES)
+        self.marks = marks.sparkSession.sparkContext.broadcast(np.sort(some.toArrow().column("mark").to_numpy()))
+
+    def first(self, batch: pa.RecordBatch) -> np.ndarray:
+        """Which rows aren't such ones."""
+        marks, mark = self.marks.value, batch.column("mark")
+        if not len(marks):
+            return np.ones(len(batch), dtype=bool)
+        known = mark.is_valid().to_numpy(zero_copy_only=False)
+        mark = mark.fill_null(0).to_numpy()
+        return ~known | (marks[np.minimum(np.searchsorted(marks, mark), len(marks) - 1)] != mark)
+
+    def drop(self) -> None:
+        """Free the executors' memory."""
+        self.marks.unpersist()
+
+
+def _emit(size: int, width: int, percent: int, sketch: Sketch, copies: Copies):
     need = least_shared(width, percent)
 
     def run(batches):
         written = set()  # of a task's copies only the first carries pieces
         for batch in batches:
             data, at = W.utf8(batch.column("text"))
-            ids, first_of = batch.column("doc_id").to_pylist(), batch.column("first").to_pylist()
+            ids, first_of = batch.column("doc_id").to_pylist(), copies.first(batch).tolist()
             for first_row, last_row in W.chunks(at):
                 words = W.Words(data, at[first_row : last_row + 1], W.SPACE_SEPARATED, True)
                 cols: list[list] = [[] for _ in _RUNS]
@@ -518,19 +539,17 @@ def repeated_passages(docs: DataFrame, words: int = 50, size: int = 5, percent:
     """doc_id, n_spans, n_repeat_words and spans (start:end in words, end exclusive, comma-joined) of texts with repeats."""
     width = words - size + 1
     texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    bits = sketch_bits(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    text_bytes = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # of equal texts only the one of least doc_id need be counted and cut into pieces
     digests = texts.where("doc_id is not null").select("doc_id", F.unhex(F.md5("text")).alias("digest"))
     least = digests.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    copies = keep(digests.join(least, "digest").where("doc_id > least").select("doc_id", "digest").distinct(), "copies")
-    if copies.count() <= FEW_COPIES:
-        marked = texts.withColumn("digest", F.unhex(F.md5("text"))).join(F.broadcast(copies.withColumn("copy", F.lit(True))), ["doc_id", "digest"], "left")
-        texts = marked.select("doc_id", "text", F.col("copy").isNull().alias("first"))
-    else:
-        texts = texts.withColumn("first", F.lit(True))
-    sketch = Sketch(texts.where("first"), size, bits)
-    found_runs = keep(texts.mapInArrow(_emit(size, width, percent, sketch), _RUNS_DDL), "runs")
-    sketch.drop()
+    marks = keep(digests.join(least, "digest").where("doc_id > least").select(F.xxhash64("doc_id", "digest").alias("mark")).distinct(), "copies")
+    copies = Copies(marks)
+    texts = texts.withColumn("mark", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", F.unhex(F.md5("text")))))
+    sketch = Sketch(texts, size, sketch_bits(text_bytes), finer_bits(text_bytes), copies.first)
+    found_runs = keep(texts.mapInArrow(_emit(size, width, percent, sketch, copies), _RUNS_DDL), "runs")
+    for held in (sketch, copies):
+        held.drop()
     flat = found_runs.where("size(sig) > 0").select("row", F.inline(F.arrays_zip("sig", "ctx", "a", "b", "off")))
     classes = flat.groupBy("sig", "ctx").agg(F.min(F.struct("row", "a", "b", "off")).alias("x"), F.max("row").alias("row2"), F.max("a").alias("a2"), F.count(F.lit(1)).alias("n"))
     kind = F.when(F.col("row2") != F.col("x.row"), REPEATED).when(F.col("a2") > F.col("x.a"), SEVERAL).otherwise(SINGLE)
@@ -555,7 +574,7 @@ def repeated_passages(docs: DataFrame, words: int = 50, size: int = 5, percent:
     copied = ids.groupBy("row").agg(F.count(F.lit(1)).alias("n"), F.first("n_words").alias("n_words")).where("n > 1")
     spans = spans.unionByName(copied.select("row", F.lit(0).alias("s"), F.col("n_words").alias("e")))
     ends = keep(spans.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("ends")), "ends")  # no more than a text has pieces
-    for kept in (classes, alike, copies):
+    for kept in (classes, alike, marks):
         drop(kept)
 
     def unite(batches):

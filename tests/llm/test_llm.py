@@ -518,6 +518,32 @@ def test_larger_groups_of_windows_that_repeat_shingles(monkeypatch):
         monkeypatch.undo()
 
 
+def test_many_copies_are_written_once(spark, monkeypatch):
+    """Of more than 200,000 copies one is cut into pieces, not one a task."""
+    kept = {}
+    monkeypatch.setattr(passages, "keep", lambda df, name: kept.setdefault(name, _shared.keep(df, name)))
+    words = " ".join(f"v{k}" for k in range(50))
+    docs = spark.range(200_100).selectExpr("id as doc_id", f"if(id < 4, concat('u', id, ' x y z ', '{words}'), '{words}') as text")
+    out = passages.repeated_passages(docs.repartition(6, "doc_id"))
+    assert out.where(f"spans = '0:50' or (doc_id < 4 and spans like '%:54')").count() == 200_100
+    assert kept["runs"].where("doc_id >= 4 and size(sig) > 0").count() == 1
+
+
+def test_sketch_tells_more_words_than_cells_apart(spark):
+    """Three words for each cell: all that is seen again is known, and most of what isn't."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    texts = [" ".join(map(str, rng.integers(0, 10**9, 20_000).tolist())) for _ in range(150)]
+    frame = spark.createDataFrame([(t,) for t in [*texts, texts[0]]], "text string").repartition(3)
+    sketch = jaccard.Sketch(frame, 5, 20, 6)
+    data, at = W.utf8(pa.array(texts))
+    sets = [W.shingles(codes, 5) for _, codes in W.row_words(data, at, W.SPACE_SEPARATED, True)]
+    assert sketch.again(sets[0]).all()
+    assert np.mean([sketch.again(s).mean() for s in sets[1:]]) < 0.25
+    assert jaccard.finer_bits(10**9) == 0 and jaccard.finer_bits(10 * 10**9) == 5 and jaccard.finer_bits(10**15) == 11
+
+
 def test_near_passages_are_all_found(spark):
     rng = random.Random(11)
     some = lambda n: [f"v{rng.randrange(400)}" for _ in range(n)]
