@@ -16,8 +16,9 @@ lower case, are one text; a text that several documents hold is repeated from en
    probability J^AGREE, and one of BANDS with 1 - (1 - J^AGREE)^BANDS: 0.998 at 0.8 for four bands of one function, which
    is more than five bands of two give (0.994) at half the pieces; what agrees by chance is sorted out by comparison.
 4. Pieces of one signature and one content are a class; a class that stands in two places is a repeat.  Different classes
-   of one signature are compared exactly.  Large groups are dealt into blocks, each pair of blocks in a task of its own,
-   with the group's commonest class in each: what is like that one is settled first, the rest by shared shingles.
+   of one signature are compared exactly.  A large group is split by the rarest shingles of its windows, of which two
+   that are alike share one.  Groups and parts are dealt into blocks, each pair of blocks in a task of its own, with the
+   group's commonest class in each: what is like that one is settled first, the rest by shared shingles.
 
 So a found passage is always a true one, and one without equal is missed with the probability above at most, in practice
 less, as a repeat has many passages.  Windows that repeat shingles inside may have fewer signatures in common.
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 
 from . import _words as W
 from ._shared import drop, keep
-from .jaccard import Sketch, finer_bits, sketch_bits
+from .jaccard import HEAVY_BITS, Sketch, finer_bits, sketch_bits
 
 BANDS = 4
 """Signatures of a passage."""
@@ -48,6 +49,8 @@ BLOCK = 512
 """Classes of a block of a larger group, about."""
 FEW_COPIES = 1 << 23
 """Copies of other texts that are broadcast at most, 8 bytes each, to pass over them; of further ones each task passes over its own."""
+SPLIT = 4 * BLOCK
+"""Classes of a group from which it is split by its windows' rarest shingles, as blocks would repeat its rows with its square."""
 FEW = 4
 """Classes of a group in which pairs are compared one by one."""
 ROWS = 512
@@ -272,32 +275,79 @@ def _arrays(s, begin, end, lo, hi, width):
     return [(small(2 * stretch_at), at.astype(np.int32)), (None, codes), (own, sig.view(np.int64)), (own, ctx.view(np.int64)), (own, (a - begin[owner]).astype(np.int32)), (own, (b - begin[owner]).astype(np.int32)), (own, (c - a).astype(np.int16))]
 
 
-_MEMBERS = pa.schema([("sig", pa.int64()), ("bi", pa.int32()), ("bj", pa.int32()), ("own", pa.int32()), ("ctx", pa.int64()), ("a", pa.int32()), ("off", pa.int16()), ("row", pa.binary()), ("row2", pa.binary()), ("kind", pa.int8()), ("codes", pa.binary())])
-_MEMBERS_DDL = "sig long, bi int, bj int, own int, ctx long, a int, off short, row binary, row2 binary, kind byte, codes binary"
+_MEMBERS = pa.schema([("sig", pa.int64()), ("part", pa.int64()), ("bi", pa.int32()), ("bj", pa.int32()), ("own", pa.int32()), ("ctx", pa.int64()), ("a", pa.int32()), ("off", pa.int16()), ("row", pa.binary()), ("row2", pa.binary()), ("kind", pa.int8()), ("codes", pa.binary())])
+_MEMBERS_DDL = "sig long, part long, bi int, bj int, own int, ctx long, a int, off short, row binary, row2 binary, kind byte, codes binary"
 # kinds: what a class is to its group
 SINGLE, SEVERAL, REPEATED, PIVOT = 1, 2, 4, 8
 
 
+def _contents(batch: pa.RecordBatch, width: int):
+    """Each text's digest, and the classes asked for with their codes."""
+    for row, at, codes, asked in zip(*(batch.column(c) for c in ("row", "at", "codes", "asked")), strict=True):
+        at = np.array(at.as_py(), dtype=np.int64).reshape(-1, 2)
+        begin = (np.cumsum(at[:, 1] - at[:, 0]) - at[:, 1]).tolist()  # less a stretch's first place
+        first = at[:, 0].tolist()
+        held = np.frombuffer(codes.as_py(), dtype=np.uint32)
+        out = []
+        for x in asked.as_py():
+            p = begin[bisect_right(first, x["a"]) - 1] + x["a"]
+            out.append((x, held[p : p + x["b"] - x["a"] + width]))
+        yield row.as_py(), out
+
+
+def rarest(codes: np.ndarray, counts: np.ndarray, width: int, need: int) -> np.ndarray:
+    """Of each window the first width - need + 1 tokens in an order of all tokens, rare shingles first, as one sorted array.
+
+    A token is a shingle and how often it stood in the window before.  Two windows that share need of width tokens share
+    one of these at least.  counts: how frequent shingles are, by the upper bits of their codes.
+    """
+    kinds = np.unique(codes)
+    kinds = kinds[np.argsort(counts[kinds >> np.uint32(32 - HEAVY_BITS)], kind="stable")]
+    by_code = np.argsort(kinds)
+    rank = by_code[np.searchsorted(kinds, codes, sorter=by_code)]
+    rows = np.sort(np.lib.stride_tricks.sliding_window_view(rank, width), axis=1)
+    place = np.arange(width)
+    again = np.zeros(rows.shape, dtype=bool)
+    again[:, 1:] = rows[:, 1:] == rows[:, :-1]
+    level = place - np.maximum.accumulate(np.where(again, 0, place), axis=1)
+    # of one shingle the later ones first, which fewer windows hold
+    tokens = np.unique(np.sort(rows * width + (width - 1 - level), axis=1)[:, : width - need + 1])
+    return np.unique(kinds[tokens // width].astype(np.int64) * width + (width - 1 - tokens % width))
+
+
+_PARTS = pa.schema([("sig", pa.int64()), ("part", pa.int64()), ("ctx", pa.int64()), ("row", pa.binary()), ("a", pa.int32()), ("b", pa.int32()), ("off", pa.int16()), ("row2", pa.binary()), ("n", pa.int64()), ("kind", pa.int32())])
+_PARTS_DDL = "sig long, part long, ctx long, row binary, a int, b int, off short, row2 binary, n long, kind int"
+
+
+def _parts(width: int, need: int, heavy):
+    """The parts of its group that each class of a large group takes part in."""
+
+    def run(batches):
+        for batch in batches:
+            for row, asked in _contents(batch, width):
+                out: list[list] = [[] for _ in _PARTS]
+                for x, codes in asked:
+                    x["row"] = row
+                    for part in rarest(codes, heavy.value, width, need).tolist():
+                        for col, f in zip(out, _PARTS, strict=True):
+                            col.append(part if f.name == "part" else x[f.name])
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _PARTS, strict=True)], schema=_PARTS)
+
+    return run
+
+
 def _members(width: int):
     """The codes of each class that is asked for, in each pair of blocks that it takes part in."""
 
     def run(batches):
         for batch in batches:
-            rows, ats, codes, asked = (batch.column(c) for c in ("row", "at", "codes", "asked"))
-            for k in range(len(batch)):
+            for row, asked in _contents(batch, width):
                 out: list[list] = [[] for _ in _MEMBERS]
-                at = np.array(ats[k].as_py(), dtype=np.int64).reshape(-1, 2)
-                begin = (np.cumsum(at[:, 1] - at[:, 0]) - at[:, 1]).tolist()  # less a stretch's first place
-                first = at[:, 0].tolist()
-                held = np.frombuffer(codes[k].as_py(), dtype=np.uint32)
-                row = rows[k].as_py()
-                for x in asked[k].as_py():
-                    p = begin[bisect_right(first, x["a"]) - 1] + x["a"]
-                    content = held[p : p + x["b"] - x["a"] + width].tobytes()
+                for x, content in asked:
                     nb, own = x["nb"], x["ctx"] % x["nb"]
                     pairs = [(0, 0)] if nb == 1 else [(i, j) for i in range(nb) for j in range(i, nb)] if x["kind"] & PIVOT else [(min(own, o), max(own, o)) for o in range(nb)]
                     for bi, bj in pairs:
-                        for col, v in zip(out, (x["sig"], bi, bj, own, x["ctx"], x["a"], x["off"], row, x["row2"], x["kind"], content), strict=True):
+                        for col, v in zip(out, (x["sig"], x["part"], bi, bj, own, x["ctx"], x["a"], x["off"], row, x["row2"], x["kind"], content.tobytes()), strict=True):
                             col.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _MEMBERS, strict=True)], schema=_MEMBERS)
 
@@ -472,7 +522,7 @@ def runs(done: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _compared(width: int, percent: int):
-    """Rows sorted by sig, bi and bj: the runs of windows with a partner, of each class and pair of blocks."""
+    """Rows sorted by sig, part, bi and bj: the runs of windows with a partner, of each class and pair of blocks."""
     need = least_shared(width, percent)
 
     def settle(columns: dict[str, list], out: list[list]) -> None:
@@ -511,12 +561,12 @@ def _compared(width: int, percent: int):
         for batch in batches:
             columns = {f.name: batch.column(f.name).to_pylist() for f in _MEMBERS}
             new = np.zeros(len(batch), dtype=bool)
-            for c in ("sig", "bi", "bj"):
+            for c in ("sig", "part", "bi", "bj"):
                 values = batch.column(c).to_numpy()
                 new[1:] |= values[1:] != values[:-1]
             start, new[:1] = 0, True  # a batch's first row may go on with the last group
             for k in np.flatnonzero(new).tolist():
-                key = columns["sig"][k], columns["bi"][k], columns["bj"][k]
+                key = columns["sig"][k], columns["part"][k], columns["bi"][k], columns["bj"][k]
                 if key != last:
                     if last is not None:
                         for name, values in rest.items():
@@ -554,14 +604,24 @@ def repeated_passages(docs: DataFrame, words: int = 50, size: int = 5, percent:
     classes = flat.groupBy("sig", "ctx").agg(F.min(F.struct("row", "a", "b", "off")).alias("x"), F.max("row").alias("row2"), F.max("a").alias("a2"), F.count(F.lit(1)).alias("n"))
     kind = F.when(F.col("row2") != F.col("x.row"), REPEATED).when(F.col("a2") > F.col("x.a"), SEVERAL).otherwise(SINGLE)
     classes = keep(classes.select("sig", "ctx", "x.*", "row2", "n", kind.alias("kind")), "classes")
-    # groups of several classes and texts, of which one class at least is open
-    groups = classes.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.max(F.struct("n", "ctx")).alias("pivot"), F.min("kind").alias("least"), F.min("row").alias("row"), F.max("row2").alias("row2")).where((F.col("m") > 1) & (F.col("least") < REPEATED) & (F.col("row") != F.col("row2")))
-    groups = groups.select("sig", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb"), F.col("pivot.ctx").alias("pivot"))
-    asked = classes.join(groups, "sig").withColumn("kind", F.col("kind") + F.when(F.col("ctx") == F.col("pivot"), PIVOT).otherwise(0))
-    asked = asked.groupBy("row").agg(F.collect_list(F.struct("sig", "nb", "ctx", "a", "b", "off", "row2", "kind")).alias("asked"))  # a text's own pieces
     store = found_runs.where("codes is not null").select("row", "at", "codes").dropDuplicates(["row"])
-    members = store.join(asked, "row").mapInArrow(_members(width), _MEMBERS_DDL)
-    alike = members.repartition("sig", "bi", "bj").sortWithinPartitions("sig", "bi", "bj").mapInArrow(_compared(width, percent), "sig long, ctx long, row binary, kind byte, at int, s int, e int")
+
+    def asked(of: DataFrame, *fields: str) -> DataFrame:
+        """Texts and those of their own classes that are asked for."""
+        return store.join(of.groupBy("row").agg(F.collect_list(F.struct(*fields)).alias("asked")), "row")
+
+    def grouped(of: DataFrame, *key: str) -> DataFrame:
+        """Classes in groups of several classes and texts, of which one class at least is open."""
+        groups = of.groupBy(*key).agg(F.count(F.lit(1)).alias("m"), F.max(F.struct("n", "ctx")).alias("pivot"), F.min("kind").alias("least"), F.min("row").alias("row"), F.max("row2").alias("row2")).where((F.col("m") > 1) & (F.col("least") < REPEATED) & (F.col("row") != F.col("row2")))
+        return of.join(groups.select(*key, "m", F.col("pivot.ctx").alias("pivot")), list(key))
+
+    whole = grouped(classes, "sig").withColumn("part", F.lit(-1).cast("long"))
+    large = asked(whole.where(F.col("m") > SPLIT), "sig", "ctx", "a", "b", "off", "row2", "n", "kind")
+    parts = keep(large.mapInArrow(_parts(width, least_shared(width, percent), sketch.heavy), _PARTS_DDL), "parts")
+    whole = whole.where(F.col("m") <= SPLIT).unionByName(grouped(parts, "sig", "part"))
+    whole = whole.withColumn("nb", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("kind", F.col("kind") + F.when(F.col("ctx") == F.col("pivot"), PIVOT).otherwise(0))
+    members = asked(whole, "sig", "part", "nb", "ctx", "a", "b", "off", "row2", "kind").mapInArrow(_members(width), _MEMBERS_DDL)
+    alike = members.repartition("sig", "part", "bi", "bj").sortWithinPartitions("sig", "part", "bi", "bj").mapInArrow(_compared(width, percent), "sig long, ctx long, row binary, kind byte, at int, s int, e int")
     alike = keep(alike, "alike")
     # a class in one place is that place; others are looked up
     spans = alike.where(F.col("kind") != SEVERAL).select("row", (F.col("at") + F.col("s")).alias("s"), (F.col("at") + F.col("e") + words).alias("e"))
@@ -574,7 +634,7 @@ def repeated_passages(docs: DataFrame, words: int = 50, size: int = 5, percent:
     copied = ids.groupBy("row").agg(F.count(F.lit(1)).alias("n"), F.first("n_words").alias("n_words")).where("n > 1")
     spans = spans.unionByName(copied.select("row", F.lit(0).alias("s"), F.col("n_words").alias("e")))
     ends = keep(spans.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("ends")), "ends")  # no more than a text has pieces
-    for kept in (classes, alike, marks):
+    for kept in (classes, parts, alike, marks):
         drop(kept)
 
     def unite(batches):

@@ -518,6 +518,31 @@ def test_larger_groups_of_windows_that_repeat_shingles(monkeypatch):
         monkeypatch.undo()
 
 
+def test_parts_of_large_groups(spark, monkeypatch):
+    """Windows that are alike share a part; groups that are split give the repeats that they give whole."""
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    counts = rng.integers(0, 5, 1 << jaccard.HEAVY_BITS).astype(np.uint8)
+    for values in (4, 9, 10**6):
+        spread = rng.integers(0, 1 << 32, values).astype(np.uint32)
+        for _ in range(100):
+            x = spread[rng.integers(0, values, 11)]
+            y = np.concatenate((x[2:], spread[rng.integers(0, values, 2)]))
+            alike = any(sum((Counter(x[i : i + 8].tolist()) & Counter(y[j : j + 8].tolist())).values()) >= 6 for i in range(4) for j in range(4))
+            assert not alike or len(np.intersect1d(passages.rarest(x, counts, 8, 6), passages.rarest(y, counts, 8, 6)))
+    some = random.Random(16)
+    line = "p q r s t u"
+    texts = {k: " ".join([line, f"v{k // 3} v{some.randrange(4)}"] * 4 + [line] * 4 + ["z"] * (k % 3)) for k in range(60)}
+    expected = found_passages(spark, texts)
+    written = {}
+    monkeypatch.setattr(passages, "keep", lambda df, name: written.setdefault(name, _shared.keep(df, name)))
+    monkeypatch.setattr(passages, "drop", lambda df: None)
+    monkeypatch.setattr(passages, "SPLIT", 3)
+    assert found_passages(spark, texts) == expected
+    assert written["parts"].count() > 0
+
+
 def test_many_copies_are_written_once(spark, monkeypatch):
     """Of more than 200,000 copies one is cut into pieces, not one a task."""
     kept = {}
