@@ -16,9 +16,9 @@ lower case, are one text; a text that several documents hold is repeated from en
    probability J^AGREE, and one of BANDS with 1 - (1 - J^AGREE)^BANDS: 0.998 at 0.8 for four bands of one function, which
    is more than five bands of two give (0.994) at half the pieces; what agrees by chance is sorted out by comparison.
 4. Pieces of one signature and one content are a class; a class that stands in two places is a repeat.  Different classes
-   of one signature are compared exactly.  A large group is split by the rarest shingles of its windows, of which two
-   that are alike share one.  Groups and parts are dealt into blocks, each pair of blocks in a task of its own, with the
-   group's commonest class in each: what is like that one is settled first, the rest by shared shingles.
+   of one signature are compared exactly.  A large group is dealt into blocks with its commonest class in each: classes
+   are compared within their block and with that one.  Windows that this leaves open ask the whole group, in parts by
+   their rarest shingles, of which two windows that are alike share one.
 
 So a found passage is always a true one, and one without equal is missed with the probability above at most, in practice
 less, as a repeat has many passages.  Windows that repeat shingles inside may have fewer signatures in common.
@@ -29,6 +29,7 @@ its own.  Columns of docs beside doc_id and text are left out.  An empty table g
 
 from __future__ import annotations
 
+import zlib
 from bisect import bisect_right
 from hashlib import blake2b
 
@@ -39,18 +40,22 @@ from pyspark.sql import functions as F
 
 from . import _words as W
 from ._shared import drop, keep
-from .jaccard import HEAVY_BITS, Sketch, finer_bits, sketch_bits
+from .jaccard import _BLOCKS, BLOCK_BITS, COUNT_TOKENS, HEAVY_BITS, SLICE_BITS, Sketch, _merge_blocks, _pack_cells, finer_bits, sketch_bits
 
 BANDS = 4
 """Signatures of a passage."""
 AGREE = 1
 """Hash functions of a signature."""
+SPLIT = 1024
+"""Classes of a group from which it is dealt into blocks, and what these leave open is split by rarest shingles."""
 BLOCK = 512
-"""Classes of a block of a larger group, about."""
+"""Classes of a block, about, and those that a task compares classes with open windows with at a time."""
 FEW_COPIES = 1 << 23
 """Copies of other texts that are broadcast at most, 8 bytes each, to pass over them; of further ones each task passes over its own."""
-SPLIT = 4 * BLOCK
-"""Classes of a group from which it is split by its windows' rarest shingles, as blocks would repeat its rows with its square."""
+OPEN = 2 * BLOCK
+"""Classes with open windows that meet all others of a part in one task, about."""
+PART_BITS = 9
+"""Cells of the sketch of parts for each class of a large group, as a power of two."""
 FEW = 4
 """Classes of a group in which pairs are compared one by one."""
 ROWS = 512
@@ -275,10 +280,10 @@ def _arrays(s, begin, end, lo, hi, width):
     return [(small(2 * stretch_at), at.astype(np.int32)), (None, codes), (own, sig.view(np.int64)), (own, ctx.view(np.int64)), (own, (a - begin[owner]).astype(np.int32)), (own, (b - begin[owner]).astype(np.int32)), (own, (c - a).astype(np.int16))]
 
 
-_MEMBERS = pa.schema([("sig", pa.int64()), ("part", pa.int64()), ("bi", pa.int32()), ("bj", pa.int32()), ("own", pa.int32()), ("ctx", pa.int64()), ("a", pa.int32()), ("off", pa.int16()), ("row", pa.binary()), ("row2", pa.binary()), ("kind", pa.int8()), ("codes", pa.binary())])
-_MEMBERS_DDL = "sig long, part long, bi int, bj int, own int, ctx long, a int, off short, row binary, row2 binary, kind byte, codes binary"
-# kinds: what a class is to its group
-SINGLE, SEVERAL, REPEATED, PIVOT = 1, 2, 4, 8
+_MEMBERS = pa.schema([("sig", pa.int64()), ("block", pa.int32()), ("ctx", pa.int64()), ("a", pa.int32()), ("off", pa.int16()), ("row", pa.binary()), ("row2", pa.binary()), ("kind", pa.int8()), ("codes", pa.binary())])
+_MEMBERS_DDL = "sig long, block int, ctx long, a int, off short, row binary, row2 binary, kind byte, codes binary"
+# kinds: what a class is to its group; LARGE: its group has several blocks
+SINGLE, SEVERAL, REPEATED, PIVOT, LARGE = 1, 2, 4, 8, 16
 
 
 def _contents(batch: pa.RecordBatch, width: int):
@@ -295,61 +300,137 @@ def _contents(batch: pa.RecordBatch, width: int):
         yield row.as_py(), out
 
 
-def rarest(codes: np.ndarray, counts: np.ndarray, width: int, need: int) -> np.ndarray:
-    """Of each window the first width - need + 1 tokens in an order of all tokens, rare shingles first, as one sorted array.
+def rare_tokens(codes: np.ndarray, counts: np.ndarray, width: int, need: int) -> np.ndarray:
+    """Of each window the first width - need + 1 tokens in an order of all tokens, rare shingles first: windows x tokens.
 
     A token is a shingle and how often it stood in the window before.  Two windows that share need of width tokens share
     one of these at least.  counts: how frequent shingles are, by the upper bits of their codes.
     """
-    kinds = np.unique(codes)
-    kinds = kinds[np.argsort(counts[kinds >> np.uint32(32 - HEAVY_BITS)], kind="stable")]
-    by_code = np.argsort(kinds)
-    rank = by_code[np.searchsorted(kinds, codes, sorter=by_code)]
-    rows = np.sort(np.lib.stride_tricks.sliding_window_view(rank, width), axis=1)
+    first = width - need + 1
+    keys = (counts[codes >> np.uint32(32 - HEAVY_BITS)].astype(np.int64) << 32) | codes
+    windows = np.lib.stride_tricks.sliding_window_view
+    kinds = np.sort(keys)
+    if (kinds[1:] != kinds[:-1]).all():
+        return (np.partition(windows(keys, width), first - 1, axis=1)[:, :first] & 0xFFFFFFFF) * width
+    kinds = W.distinct(keys)
+    rows = np.sort(windows(np.searchsorted(kinds, keys), width), axis=1)
     place = np.arange(width)
     again = np.zeros(rows.shape, dtype=bool)
     again[:, 1:] = rows[:, 1:] == rows[:, :-1]
     level = place - np.maximum.accumulate(np.where(again, 0, place), axis=1)
     # of one shingle the later ones first, which fewer windows hold
-    tokens = np.unique(np.sort(rows * width + (width - 1 - level), axis=1)[:, : width - need + 1])
-    return np.unique(kinds[tokens // width].astype(np.int64) * width + (width - 1 - tokens % width))
+    tokens = np.sort(rows * width + (width - 1 - level), axis=1)[:, :first]
+    return (kinds[tokens // width] & 0xFFFFFFFF) * width + (width - 1 - tokens % width)
 
 
-_PARTS = pa.schema([("sig", pa.int64()), ("part", pa.int64()), ("ctx", pa.int64()), ("row", pa.binary()), ("a", pa.int32()), ("b", pa.int32()), ("off", pa.int16()), ("row2", pa.binary()), ("n", pa.int64()), ("kind", pa.int32())])
-_PARTS_DDL = "sig long, part long, ctx long, row binary, a int, b int, off short, row2 binary, n long, kind int"
+def rarest(codes: np.ndarray, counts: np.ndarray, width: int, need: int) -> np.ndarray:
+    """The rare tokens of all windows as one sorted array."""
+    return W.distinct(rare_tokens(codes, counts, width, need).ravel())
 
 
-def _parts(width: int, need: int, heavy):
-    """The parts of its group that each class of a large group takes part in."""
+def _members(width: int):
+    """Each class that is asked for with its codes, in its block; the group's commonest class in all blocks."""
 
     def run(batches):
         for batch in batches:
             for row, asked in _contents(batch, width):
-                out: list[list] = [[] for _ in _PARTS]
-                for x, codes in asked:
-                    x["row"] = row
-                    for part in rarest(codes, heavy.value, width, need).tolist():
-                        for col, f in zip(out, _PARTS, strict=True):
-                            col.append(part if f.name == "part" else x[f.name])
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _PARTS, strict=True)], schema=_PARTS)
+                out: list[list] = [[] for _ in _MEMBERS]
+                for x, content in asked:
+                    for block in range(x["nb"]) if x["kind"] & PIVOT else (x["ctx"] % x["nb"],):
+                        for col, v in zip(out, (x["sig"], block, x["ctx"], x["a"], x["off"], row, x["row2"], x["kind"], content.tobytes()), strict=True):
+                            col.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _MEMBERS, strict=True)], schema=_MEMBERS)
 
     return run
 
 
-def _members(width: int):
-    """The codes of each class that is asked for, in each pair of blocks that it takes part in."""
+def _settled(n: int, kind: int, spans: list[dict] | None) -> np.ndarray:
+    """Which of a class's n windows have a partner by these runs."""
+    done = np.full(n, bool(kind & REPEATED))
+    for x in spans or ():
+        done[x["s"] : x["e"] + 1] = True
+    return done
+
+
+_PARTS = pa.schema([("sig", pa.int64()), ("part", pa.int64()), ("ctx", pa.int64()), ("row", pa.binary()), ("row2", pa.binary()), ("asks", pa.bool_())])
+_PARTS_DDL = "sig long, part long, ctx long, row binary, row2 binary, asks boolean"
+
+
+_TOKENS = pa.schema([("sig", pa.int64()), ("ctx", pa.int64()), ("row", pa.binary()), ("row2", pa.binary()), ("tokens", pa.list_(pa.int64())), ("own", pa.list_(pa.int64()))])
+_TOKENS_DDL = "sig long, ctx long, row binary, row2 binary, tokens array<long>, own array<long>"
+
+
+def _tokens(width: int, need: int, heavy):
+    """Of each class of a large group the parts that its windows fall into, and those that open ones do."""
 
     def run(batches):
         for batch in batches:
-            for row, asked in _contents(batch, width):
-                out: list[list] = [[] for _ in _MEMBERS]
-                for x, content in asked:
-                    nb, own = x["nb"], x["ctx"] % x["nb"]
-                    pairs = [(0, 0)] if nb == 1 else [(i, j) for i in range(nb) for j in range(i, nb)] if x["kind"] & PIVOT else [(min(own, o), max(own, o)) for o in range(nb)]
-                    for bi, bj in pairs:
-                        for col, v in zip(out, (x["sig"], x["part"], bi, bj, own, x["ctx"], x["a"], x["off"], row, x["row2"], x["kind"], content.tobytes()), strict=True):
-                            col.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _MEMBERS, strict=True)], schema=_MEMBERS)
+            tokens: list[np.ndarray] = []
+            own: list[np.ndarray] = []
+            for kind, codes, spans in zip(*(batch.column(c).to_pylist() for c in ("kind", "codes", "spans")), strict=True):
+                found = rare_tokens(np.frombuffer(codes, dtype=np.uint32), heavy.value, width, need)
+                still = ~_settled(len(found), kind, spans)
+                tokens.append(W.distinct(found.ravel()))
+                own.append(tokens[-1] if still.all() else W.distinct(found[still].ravel()))
+            lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *x]))) for x in (tokens, own)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("sig", "ctx", "row", "row2")), *lists], schema=_TOKENS)
+
+    return run
+
+
+def _lists(batch: pa.RecordBatch, name: str, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The values of a column of lists, the rows that they are of, and their cells of 2^bits."""
+    lists = batch.column(name)
+    owner = np.repeat(np.arange(len(batch)), lists.value_lengths().to_numpy(zero_copy_only=False))
+    values = lists.flatten().to_numpy()
+    sig = W.mix(batch.column("sig").to_numpy().view(np.uint64))
+    return values, owner, (W.mix(sig[owner] + values.view(np.uint64)) & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
+def _held(bits: int):
+    """Blocks of two sketches, as those of shingles: parts that a second class may hold, and, 2^bits cells on, parts of open windows."""
+
+    def blocks(held: list[np.ndarray]) -> pa.RecordBatch:
+        cells, times = np.unique(np.concatenate(held), return_counts=True)
+        held.clear()
+        number = cells >> BLOCK_BITS
+        new = np.flatnonzero(np.diff(number, prepend=-1))
+        cells = (cells & ((1 << BLOCK_BITS) - 1)).astype(np.uint32)
+        ends = np.append(new[1:], len(cells))
+        return pa.RecordBatch.from_pydict({"block": number[new], "ones": [_pack_cells(cells[i:j]) for i, j in zip(new, ends, strict=True)], "more": [np.packbits(times[i:j] > 1).tobytes() for i, j in zip(new, ends, strict=True)]}, schema=_BLOCKS)
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            cells, asks = _lists(batch, "tokens", bits)[2], _lists(batch, "own", bits)[2] + (1 << bits)
+            held += [cells, asks, asks]  # one class is enough to ask
+            n += len(cells) + 2 * len(asks)
+            if n > COUNT_TOKENS:
+                yield blocks(held)
+                n = 0
+        if n:
+            yield blocks(held)
+
+    return run
+
+
+def _parts(bits: int, asked):
+    """The parts that each class of a large group takes part in, and whether it asks there.
+
+    asked: a bit for the cells of those that an open window and a second class may hold.
+    """
+
+    def run(batches):
+        for batch in batches:
+            parts, owner, cells = _lists(batch, "tokens", bits)
+            own, asker, _ = _lists(batch, "own", bits)
+            some = np.flatnonzero((asked.value[cells >> 3] >> (cells & 7).astype(np.uint8)) & 1)
+            parts, owner, asks = parts[some], owner[some], np.zeros(len(some), dtype=bool)
+            pairs = np.concatenate((np.stack((asker, own), axis=1), np.stack((owner, parts), axis=1)))
+            order = np.lexsort((np.arange(len(pairs)), pairs[:, 1], pairs[:, 0]))
+            same = np.flatnonzero((pairs[order[1:]] == pairs[order[:-1]]).all(axis=1)) + 1  # what is asked stands before
+            asks[order[same] - len(own)] = True
+            yield pa.RecordBatch.from_arrays([batch.column("sig").take(pa.array(owner)), pa.array(parts), *(batch.column(c).take(pa.array(owner)) for c in ("ctx", "row", "row2")), pa.array(asks)], schema=_PARTS)
 
     return run
 
@@ -357,7 +438,7 @@ def _members(width: int):
 class Member:
     """A class of pieces of one signature, and which of its windows have a partner so far."""
 
-    __slots__ = ("_kinds", "codes", "ctx", "done", "kind", "off", "texts")
+    __slots__ = ("_kinds", "at", "codes", "ctx", "done", "kind", "off", "texts")
 
     def __init__(self, codes: np.ndarray, off: int, texts: tuple[bytes, bytes], kind: int, ctx: int, width: int):
         self.codes, self.off, self.texts, self.kind, self.ctx = codes, off, texts, kind, ctx
@@ -507,6 +588,7 @@ def compare_group(left: list[Member], right: list[Member] | None, pivot: Member
         m.done[:] = windows.done[at : at + n]
 
 
+_ROWS_OUT = 4096
 _FOUND = pa.schema([("sig", pa.int64()), ("ctx", pa.int64()), ("row", pa.binary()), ("kind", pa.int8()), ("at", pa.int32()), ("s", pa.int32()), ("e", pa.int32())])
 
 
@@ -521,70 +603,140 @@ def runs(done: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(np.flatnonzero(edge > 0).tolist(), (np.flatnonzero(edge < 0) - 1).tolist(), strict=True))
 
 
+def _stretches(batches, keys: tuple[str, ...], most: int | None = None):
+    """(key, columns) of the rows of each key, which stand together; a key's rows in stretches of most."""
+    last, held = None, {}
+    for batch in batches:
+        columns = {f.name: batch.column(f.name).to_pylist() for f in batch.schema}
+        new = np.zeros(len(batch), dtype=bool)
+        new[:1] = True  # a batch's first row may go on with the last key
+        for c in keys:
+            values = batch.column(c).to_numpy()
+            new[1:] |= values[1:] != values[:-1]
+        starts = np.flatnonzero(new).tolist()
+        for start, stop in zip(starts, [*starts[1:], len(batch)], strict=True):
+            key = tuple(columns[c][start] for c in keys)
+            while start < stop:
+                if key != last or most is not None and len(held[keys[0]]) >= most:
+                    if last is not None:
+                        yield last, held
+                    last, held = key, {name: [] for name in columns}
+                until = stop if most is None else min(stop, start + most - len(held[keys[0]]))
+                for name, values in held.items():
+                    values += columns[name][start:until]
+                start = until
+    if last is not None:
+        yield last, held
+
+
+def _found(out: list[list]) -> pa.RecordBatch:
+    batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _FOUND, strict=True)], schema=_FOUND)
+    for c in out:
+        c.clear()
+    return batch
+
+
 def _compared(width: int, percent: int):
-    """Rows sorted by sig, part, bi and bj: the runs of windows with a partner, of each class and pair of blocks."""
+    """Rows sorted by sig and block: the runs of windows with a partner in the block or in the group's commonest class."""
     need = least_shared(width, percent)
 
-    def settle(columns: dict[str, list], out: list[list]) -> None:
-        bi, bj = columns["bi"][0], columns["bj"][0]
-        sides: tuple[dict[int, Member], dict[int, Member]] = ({}, {})
-        pivot, rows = None, {}
-        for own, ctx, a, off, row, row2, kind, codes in zip(*(columns[c] for c in ("own", "ctx", "a", "off", "row", "row2", "kind", "codes")), strict=True):
-            side = sides[0] if own == bi else sides[1] if own == bj else None
-            if side is not None and ctx in side:
-                continue
-            m = Member(np.frombuffer(codes, dtype=np.uint32), off, (row, row2), kind, ctx, width)
-            if kind & PIVOT:
-                pivot = m
-            rows[ctx] = (row, a)
-            if side is not None:
-                side[ctx] = m
-        compare_group(list(sides[0].values()), None if bi == bj else list(sides[1].values()), pivot, need, width)
-        members = {**sides[0], **sides[1]} | ({pivot.ctx: pivot} if pivot is not None else {})
-        for ctx, m in members.items():
-            if not m.kind & REPEATED:  # else known
-                for s, e in runs(m.done):
-                    for col, v in zip(out, (columns["sig"][0], ctx, rows[ctx][0], m.kind & SEVERAL, rows[ctx][1], s, e), strict=True):
-                        col.append(v)
-
     def run(batches):
-        rest: dict[str, list] = {f.name: [] for f in _MEMBERS}
         out: list[list] = [[] for _ in _FOUND]
+        for (sig, _), columns in _stretches(batches, ("sig", "block")):
+            members, pivot = {}, None
+            for ctx, a, off, row, row2, kind, codes in zip(*(columns[c] for c in ("ctx", "a", "off", "row", "row2", "kind", "codes")), strict=True):
+                m = members[ctx] = Member(np.frombuffer(codes, dtype=np.uint32), off, (row, row2), kind, ctx, width)
+                m.at = a
+                if kind & PIVOT:
+                    pivot = m
+            compare_group(list(members.values()), None, pivot, need, width)
+            for m in members.values():
+                if not m.kind & REPEATED:  # else known
+                    for s, e in runs(m.done):
+                        for col, v in zip(out, (sig, m.ctx, m.texts[0], m.kind & (SEVERAL | LARGE), m.at, s, e), strict=True):
+                            col.append(v)
+            if len(out[0]) >= _ROWS_OUT:
+                yield _found(out)
+        yield _found(out)
 
-        def flush():
-            nonlocal out
-            batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _FOUND, strict=True)], schema=_FOUND)
-            out = [[] for _ in _FOUND]
-            return batch
+    return run
 
+
+def _answered(width: int, percent: int):
+    """Rows sorted by sig, part, block and first those that ask: the further runs of their windows with a partner.
+
+    Each class that asks is given out once for a part, whatever it is like; those that answer pass by, BLOCK at a time.
+    """
+    need = least_shared(width, percent)
+
+    def run(batches):
+        out: list[list] = [[] for _ in _FOUND]
+        asking: dict[int, tuple[Member, np.ndarray]] = {}
         last = None
-        for batch in batches:
-            columns = {f.name: batch.column(f.name).to_pylist() for f in _MEMBERS}
-            new = np.zeros(len(batch), dtype=bool)
-            for c in ("sig", "part", "bi", "bj"):
-                values = batch.column(c).to_numpy()
-                new[1:] |= values[1:] != values[:-1]
-            start, new[:1] = 0, True  # a batch's first row may go on with the last group
-            for k in np.flatnonzero(new).tolist():
-                key = columns["sig"][k], columns["part"][k], columns["bi"][k], columns["bj"][k]
-                if key != last:
-                    if last is not None:
-                        for name, values in rest.items():
-                            values += columns[name][start:k]
-                        settle(rest, out)
-                        rest = {f.name: [] for f in _MEMBERS}
-                    start, last = k, key
-            for name, values in rest.items():
-                values += columns[name][start:]
-            if len(out[0]):
-                yield flush()
-        if last is not None:
-            settle(rest, out)
-        yield flush()
+
+        def finish():
+            for m, before in asking.values():
+                for s, e in runs(m.done & ~before):
+                    for col, v in zip(out, (last[0], m.ctx, m.texts[0], m.kind & (SEVERAL | LARGE), m.at, s, e), strict=True):
+                        col.append(v)
+            asking.clear()
+
+        for key, columns in _stretches(batches, ("sig", "part", "block"), BLOCK):
+            if key != last:
+                finish()
+                last = key
+                if len(out[0]) >= _ROWS_OUT:
+                    yield _found(out)
+            others = []
+            for asks, ctx, a, off, row, row2, kind, codes, spans in zip(*(columns[c] for c in ("asks", "ctx", "a", "off", "row", "row2", "kind", "codes", "spans")), strict=True):
+                # what answers is not asked for its own windows
+                m = Member(np.frombuffer(codes, dtype=np.uint32), off, (row, row2), kind if asks else kind | REPEATED, ctx, width)
+                if asks:
+                    m.at, m.done = a, _settled(len(m.done), kind, spans)
+                    asking[ctx] = m, m.done.copy()
+                else:
+                    others.append(m)
+            left = [m for m, _ in asking.values() if not m.done.all()]
+            if left and others:
+                compare_group(left, others, None, need, width)
+        finish()
+        yield _found(out)
 
     return run
 
 
+def _far(large: DataFrame, near: DataFrame, heavy, width: int, percent: int, found: str) -> DataFrame | None:
+    """Further runs in groups of several blocks: windows that are still open against those of the whole group."""
+    need = least_shared(width, percent)
+    spans = near.where(F.col("kind") >= LARGE).groupBy("sig", "ctx").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    once = (F.col("kind").bitwiseAND(PIVOT) == 0) | (F.col("block") == 0)  # the commonest class stands in each block
+    rest = keep(large.where(once).join(spans, ["sig", "ctx"], "left"), "rest")
+    bits = min(SLICE_BITS, max(BLOCK_BITS, rest.count().bit_length() + PART_BITS))
+    tokens = keep(rest.mapInArrow(_tokens(width, need, heavy), _TOKENS_DDL), "tokens")
+    held = keep(tokens.mapInArrow(_held(bits), "block long, ones binary, more binary").groupBy("block").applyInArrow(_merge_blocks(0), "block long, bits binary"), "asked")
+    sketches, step = np.zeros(1 << (bits - 2), dtype=np.uint8), 1 << (BLOCK_BITS - 3)
+    for r in held.toLocalIterator():
+        sketches[r["block"] * step : (r["block"] + 1) * step] = np.frombuffer(zlib.decompress(r["bits"]), dtype=np.uint8)
+    drop(held)
+    second, open_ones = sketches.reshape(2, -1)
+    if not (second & open_ones).any():
+        drop(rest)
+        drop(tokens)
+        return None
+    asked = rest.sparkSession.sparkContext.broadcast(second & open_ones)
+    parts = keep(tokens.mapInArrow(_parts(bits, asked), _PARTS_DDL), "parts")
+    asked.unpersist()
+    groups = parts.groupBy("sig", "part").agg(F.count(F.lit(1)).alias("m"), F.count_if("asks").alias("n"), F.min("row").alias("row"), F.max("row2").alias("row2")).where((F.col("n") > 0) & (F.col("row") != F.col("row2")))
+    dealt = parts.select("sig", "part", "ctx", "asks").join(groups.select("sig", "part", F.ceil(F.col("n") / OPEN).cast("int").alias("nb")), ["sig", "part"])
+    # what asks does so in one block, and answers in all
+    dealt = dealt.select("sig", "part", "ctx", F.explode(F.concat(F.when(F.col("asks"), F.array(F.struct(F.pmod("ctx", "nb").cast("int").alias("block"), F.lit(True).alias("asks")))).otherwise(F.array()), F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda k: F.struct(k.alias("block"), F.lit(False).alias("asks"))))).alias("x")).select("sig", "part", "ctx", "x.*")
+    members = dealt.join(rest.drop("block"), ["sig", "ctx"])
+    far = keep(members.repartition("sig", "part", "block").sortWithinPartitions("sig", "part", "block", F.desc("asks")).mapInArrow(_answered(width, percent), found), "far")
+    for kept in (rest, tokens, parts):
+        drop(kept)
+    return far
+
+
 def repeated_passages(docs: DataFrame, words: int = 50, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_spans, n_repeat_words and spans (start:end in words, end exclusive, comma-joined) of texts with repeats."""
     width = words - size + 1
@@ -610,23 +762,23 @@ def repeated_passages(docs: DataFrame, words: int = 50, size: int = 5, percent:
         """Texts and those of their own classes that are asked for."""
         return store.join(of.groupBy("row").agg(F.collect_list(F.struct(*fields)).alias("asked")), "row")
 
-    def grouped(of: DataFrame, *key: str) -> DataFrame:
-        """Classes in groups of several classes and texts, of which one class at least is open."""
-        groups = of.groupBy(*key).agg(F.count(F.lit(1)).alias("m"), F.max(F.struct("n", "ctx")).alias("pivot"), F.min("kind").alias("least"), F.min("row").alias("row"), F.max("row2").alias("row2")).where((F.col("m") > 1) & (F.col("least") < REPEATED) & (F.col("row") != F.col("row2")))
-        return of.join(groups.select(*key, "m", F.col("pivot.ctx").alias("pivot")), list(key))
-
-    whole = grouped(classes, "sig").withColumn("part", F.lit(-1).cast("long"))
-    large = asked(whole.where(F.col("m") > SPLIT), "sig", "ctx", "a", "b", "off", "row2", "n", "kind")
-    parts = keep(large.mapInArrow(_parts(width, least_shared(width, percent), sketch.heavy), _PARTS_DDL), "parts")
-    whole = whole.where(F.col("m") <= SPLIT).unionByName(grouped(parts, "sig", "part"))
-    whole = whole.withColumn("nb", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("kind", F.col("kind") + F.when(F.col("ctx") == F.col("pivot"), PIVOT).otherwise(0))
-    members = asked(whole, "sig", "part", "nb", "ctx", "a", "b", "off", "row2", "kind").mapInArrow(_members(width), _MEMBERS_DDL)
-    alike = members.repartition("sig", "part", "bi", "bj").sortWithinPartitions("sig", "part", "bi", "bj").mapInArrow(_compared(width, percent), "sig long, ctx long, row binary, kind byte, at int, s int, e int")
-    alike = keep(alike, "alike")
+    # groups of several classes and texts, of which one class at least is open
+    groups = classes.groupBy("sig").agg(F.count(F.lit(1)).alias("m"), F.max(F.struct("n", "ctx")).alias("pivot"), F.min("kind").alias("least"), F.min("row").alias("row"), F.max("row2").alias("row2")).where((F.col("m") > 1) & (F.col("least") < REPEATED) & (F.col("row") != F.col("row2")))
+    whole = classes.join(groups.select("sig", "m", F.col("pivot.ctx").alias("pivot")), "sig").withColumn("nb", F.when(F.col("m") > SPLIT, F.ceil(F.col("m") / min(SPLIT, BLOCK))).otherwise(1).cast("int"))
+    whole = whole.withColumn("kind", (F.col("kind") + F.when(F.col("ctx") == F.col("pivot"), PIVOT).otherwise(0) + F.when(F.col("nb") > 1, LARGE).otherwise(0)).cast("byte"))
+    members = lambda of: asked(of, "sig", "nb", "ctx", "a", "b", "off", "row2", "kind").mapInArrow(_members(width), _MEMBERS_DDL)
+    found = "sig long, ctx long, row binary, kind byte, at int, s int, e int"
+    # the classes of larger groups are written, as they are read again
+    large = keep(members(whole.where("nb > 1")), "large")
+    near = members(whole.where("nb = 1")).unionByName(large)
+    near = keep(near.repartition("sig", "block").sortWithinPartitions("sig", "block").mapInArrow(_compared(width, percent), found), "near")
+    far = _far(large, near, sketch.heavy, width, percent, found)
+    alike = near if far is None else near.unionByName(far)
     # a class in one place is that place; others are looked up
-    spans = alike.where(F.col("kind") != SEVERAL).select("row", (F.col("at") + F.col("s")).alias("s"), (F.col("at") + F.col("e") + words).alias("e"))
+    several = F.col("kind").bitwiseAND(SEVERAL) > 0
+    spans = alike.where(~several).select("row", (F.col("at") + F.col("s")).alias("s"), (F.col("at") + F.col("e") + words).alias("e"))
     repeated = classes.where(F.col("kind") == REPEATED).select("sig", "ctx", F.lit(0).alias("s"), (F.col("b") - F.col("a")).alias("e"))
-    repeated = repeated.unionByName(alike.where(F.col("kind") == SEVERAL).select("sig", "ctx", "s", "e"))
+    repeated = repeated.unionByName(alike.where(several).select("sig", "ctx", "s", "e"))
     spans = spans.unionByName(flat.select("row", "sig", "ctx", "a").join(repeated, ["sig", "ctx"]).select("row", (F.col("a") + F.col("s")).alias("s"), (F.col("a") + F.col("e") + words).alias("e")))
     own = found_runs.where("size(own) > 0").select("row", F.posexplode("own").alias("k", "x")).groupBy("row", F.floor(F.col("k") / 2).alias("k"))
     spans = spans.unionByName(own.agg(F.min("x").alias("s"), F.max("x").alias("e")).select("row", "s", "e"))
@@ -634,7 +786,7 @@ def repeated_passages(docs: DataFrame, words: int = 50, size: int = 5, percent:
     copied = ids.groupBy("row").agg(F.count(F.lit(1)).alias("n"), F.first("n_words").alias("n_words")).where("n > 1")
     spans = spans.unionByName(copied.select("row", F.lit(0).alias("s"), F.col("n_words").alias("e")))
     ends = keep(spans.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("ends")), "ends")  # no more than a text has pieces
-    for kept in (classes, parts, alike, marks):
+    for kept in (classes, large, near, far, marks):
         drop(kept)
 
     def unite(batches):

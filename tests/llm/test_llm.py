@@ -543,6 +543,30 @@ def test_parts_of_large_groups(spark, monkeypatch):
     assert written["parts"].count() > 0
 
 
+def test_rows_of_large_groups_grow_with_their_classes(spark, monkeypatch):
+    """Classes of a large group are given out about once, however many blocks it has, and pairs across blocks are found."""
+    some = random.Random(17)
+    base = [f"v{k}" for k in range(60)]
+    texts = {}
+    for k in range(96):
+        words = list(base)
+        for at in random.Random(k // 2).sample(range(60), 4 if k % 8 > 5 else 0):  # some two of a kind, unlike most others
+            words[at] = f"x{k // 2}"
+        words[some.randrange(60)] = f"y{k}"
+        texts[k] = " ".join(words)
+    expected = found_passages(spark, texts)
+    written = {}
+    monkeypatch.setattr(passages, "keep", lambda df, name: written.setdefault(name, _shared.keep(df, name)))
+    monkeypatch.setattr(passages, "drop", lambda df: None)
+    for name in ("SPLIT", "BLOCK"):
+        monkeypatch.setattr(passages, name, 4)
+    monkeypatch.setattr(passages, "OPEN", 3, raising=False)
+    assert found_passages(spark, texts) == expected and len(expected) > 60
+    given = [df for df in written.values() if {"sig", "ctx", "s", "e"} <= set(df.columns)]
+    assert sum(df.count() for df in given) <= 2 * given[0].unionByName(given[-1]).distinct().count()
+    assert written["far"].count() > 0
+
+
 def test_many_copies_are_written_once(spark, monkeypatch):
     """Of more than 200,000 copies one is cut into pieces, not one a task."""
     kept = {}
